@@ -98,29 +98,31 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
     ``(group, view_id, ticker, pick, q, omega)`` and may hold relative views.
     """
     schema = f"{group} {assets.schema[group].dataType.simpleString()}, ticker string, mu double, sigma array<double>"
+    said = (
+        views.select(group, "ticker", F.struct(F.col("view_id").cast("string").alias("id"), "pick", "q", "omega").alias("v"))
+        .groupBy(group, "ticker")
+        .agg(F.array_sort(F.collect_list("v")).alias("v"))
+        .select(group, "ticker", "v.id", "v.pick", "v.q", "v.omega")
+    )
 
-    def solve(rows: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({group: [], "ticker": [], "mu": [], "sigma": []})
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
-        order = {name: k for k, name in enumerate(rows["ticker"])}
-        ids = sorted(said["view_id"].unique())
-        picks = np.zeros((len(ids), len(order)))
-        where = {v: k for k, v in enumerate(ids)}
-        for v, name, pick in zip(said["view_id"], said["ticker"], said["pick"]):
-            picks[where[v], order[name]] = pick
-        firsts = said.drop_duplicates("view_id").set_index("view_id").reindex(ids)
-        mu, sigma = blend(
-            _matrix(rows), rows["pi"].to_numpy(), tau, picks, firsts["q"].to_numpy(), firsts["omega"].to_numpy()
-        )
+        entries = [
+            (view, asset, pick, q, omega)
+            for asset, (ids, picks, qs, omegas) in enumerate(zip(rows["id"], rows["pick"], rows["q"], rows["omega"]))
+            if ids is not None
+            for view, pick, q, omega in zip(ids, picks, qs, omegas)
+        ]
+        order = {view: k for k, view in enumerate(sorted({e[0] for e in entries}))}
+        picks, q, omega = np.zeros((len(order), len(rows))), np.zeros(len(order)), np.zeros(len(order))
+        for view, asset, pick, value, variance in entries:
+            k = order[view]
+            picks[k, asset], q[k], omega[k] = pick, value, variance
+        mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), tau, picks, q, omega)
         return rows[[group, "ticker"]].assign(mu=mu, sigma=list(sigma))
 
-    return (
-        assets.select(group, "ticker", "pi", "sigma")
-        .groupBy(group)
-        .cogroup(views.select(group, "view_id", "ticker", "pick", "q", "omega").groupBy(group))
-        .applyInPandas(solve, schema)
-    )
+    viewed = assets.select(group, "ticker", "pi", "sigma").join(said, [group, "ticker"], "left")
+    return viewed.groupBy(group).applyInPandas(solve, schema)
 
 
 def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_weight: float) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltlab.functions.numeric import average_rank, correlation, hashed_uniform, total
+from tiltlab.functions.numeric import average_rank, hashed_uniform, total
 from tiltlab.params import MIN_IC_DATES, MIN_NAMES
 
 
@@ -55,14 +55,23 @@ def hac_mean(
 def spearman_by(pairs: DataFrame, keys: Sequence[str], x: str, y: str, min_names: int = MIN_NAMES) -> DataFrame:
     """Rank correlation per key over at least ``min_names`` pairs; undefined ones are dropped.
 
-    Ranks, counts and the correlation share one shuffle on ``keys``.
+    Ranks, counts and the correlation share one shuffle on ``keys``. Ranks are centred on their known
+    mean, so all sums are exact and a zero correlation is exactly zero whatever the summation order.
     """
+    centre = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) + 1) / F.lit(2.0)
     ranked = pairs.select(
-        *keys, average_rank(x, *keys).alias("_rx"), average_rank(y, *keys).alias("_ry")
+        *keys,
+        (average_rank(x, *keys) - centre).alias("_rx"),
+        (average_rank(y, *keys) - centre).alias("_ry"),
     )
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    spread = F.sqrt(product("_rx", "_rx") * product("_ry", "_ry"))
     return (
         ranked.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("names"), correlation("_rx", "_ry").alias("ic"))
+        .agg(
+            F.count(F.lit(1)).alias("names"),
+            F.when(spread > 0, F.try_divide(product("_rx", "_ry"), spread)).alias("ic"),
+        )
         .where((F.col("names") >= min_names) & F.col("ic").isNotNull())
     )
 
