@@ -68,9 +68,9 @@ SELECT min(CASE WHEN date >= DATE '1995-06-08' THEN t END) AS t_start,
        max(CASE WHEN date < DATE '2001-06-01' THEN t END) AS t_end FROM days"""
 CTES["bounds28"] = CTES["bounds"].replace("1995-06-08", "1995-06-29")
 
-ORACLES["price_panel"] = compose(f"SELECT ticker, t, date, {r('close', 'close', 5)}, {r('bench', 'bench', 5)} FROM grid")
+ORACLES["price_panel"] = compose(f"SELECT ticker, t, date, {r('ln(close)', 'log_close', 8)}, {r('ln(bench)', 'log_bench', 8)} FROM grid")
 ORACLES["price_lookback"] = compose(
-    f"SELECT ticker, date, {r('px_sum / px_count', 'close', 5)} FROM bars WHERE date >= DATE '2001-06-01' - 365"
+    f"SELECT ticker, date, {r('ln(px_sum / px_count)', 'log_close', 8)} FROM bars WHERE date >= DATE '2001-06-01' - 365"
 )
 ORACLES["aligned_returns"] = compose(f"""
 WITH common AS (SELECT date FROM bars GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM bars)),
@@ -190,9 +190,9 @@ CTES["quarterly"] = """
 SELECT *, CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS fend FROM cube"""
 _annual = """'USD' AS unit, fstart, fend, {val} AS val,
   CASE status WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-K/A' ELSE '20-F' END AS form,
-  fend + CASE status WHEN 'F' THEN 60 WHEN 'O' THEN 150 ELSE 90 END AS filed FROM yearly"""
+  fend + CASE status WHEN 'F' THEN 60 WHEN 'O' THEN 150 ELSE 90 END AS filed, CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS pos FROM yearly"""
 _instant = """'{unit}' AS unit, CAST(NULL AS DATE) AS fstart, fend, {val} AS val, '10-Q' AS form,
-  fend + CASE WHEN status = 'F' THEN 30 ELSE 45 END AS filed FROM quarterly"""
+  fend + CASE WHEN status = 'F' THEN 30 ELSE 45 END AS filed, CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS pos FROM quarterly"""
 CTES["facts"] = (
     "SELECT cik, 'us-gaap' AS taxonomy, CASE WHEN status = 'P' THEN 'Revenues' ELSE 'RevenueFromContractWithCustomerExcludingAssessedTax' END AS tag, "
     + _annual.format(val="total")
@@ -231,7 +231,7 @@ def known(name: str, as_ofs: str, point_in_time: bool = True) -> None:
     CTES[f"{name}_pts"] = f"""
 SELECT cik, as_of, series, tag_rank, fend, val FROM (
   SELECT a.cik, a.as_of, f.series, f.tag_rank, f.fend, f.val,
-         row_number() OVER (PARTITION BY a.cik, a.as_of, f.series, f.tag_rank, f.fend ORDER BY f.filed DESC) AS k
+         row_number() OVER (PARTITION BY a.cik, a.as_of, f.series, f.tag_rank, f.fend ORDER BY f.filed DESC, f.pos) AS k
   FROM {as_ofs} a JOIN usable f ON f.cik = a.cik {see}) WHERE k = 1"""
     CTES[f"{name}_ser"] = f"""
 SELECT p.* FROM {name}_pts p JOIN (
@@ -283,10 +283,10 @@ CTES["fpanel"] = "SELECT f.*, d.t FROM fm_score f JOIN days d ON d.t >= f.t_from
 
 FUNDS = ", ".join(r(c, c) for c in ("revenue_growth", "net_margin", "debt_to_equity", "shares"))
 ORACLES["facts_dedupe"] = compose(f"""
-SELECT cik, tag, unit, fend AS period_end, {r('arg_max(val, filed)', 'val', 2)}, max(filed) AS filed FROM facts
+SELECT cik, tag, unit, fend AS period_end, {r('arg_max(val, (filed, -pos))', 'val', 3)}, max(filed) AS filed FROM facts
 WHERE (form LIKE '10-K%' OR form LIKE '20-F%') AND fend - fstart BETWEEN 350 AND 380 GROUP BY 1, 2, 3, 4""")
 ORACLES["facts_asof"] = compose(
-    f"SELECT cik, as_of, series, tag_rank, fend AS period_end, {r('val', 'val', 2)} FROM fq_pts WHERE as_of - fend <= 980"
+    f"SELECT cik, as_of, series, tag_rank, fend AS period_end, {r('val', 'val', 3)} FROM fq_pts WHERE as_of - fend <= 980"
 )
 ORACLES["share_classes"] = compose(f"""
 SELECT cik, filed, max(fend) AS period_end, {r('arg_max(val, fend)', 'val', 2)}
@@ -402,16 +402,16 @@ SELECT CAST(r AS INTEGER) AS r, CAST(least(r + 13, l) AS INTEGER) AS nxt FROM (
 CTES["rebal28"] = CTES["rebal"].replace("generate_series(52,", "generate_series(greatest(52, (SELECT t_start FROM bounds28)),")
 ORACLES["rebalance_schedule"] = compose("SELECT r, nxt AS next FROM rebal")
 CTES["asof_sums"] = "SELECT signal, r, t, sxx, sxy, names FROM sums JOIN rebal28 ON t + 4 <= r"
-CTES["asof"] = """
+CTES["upto"] = """
 SELECT signal, r, t, sxy - kappa * sxx AS u, kappa, total, observations FROM asof_sums JOIN (
   SELECT signal, r, sum(sxy) / sum(sxx) AS kappa, sum(sxx) AS total, CAST(sum(names) AS BIGINT) AS observations
   FROM asof_sums GROUP BY 1, 2 HAVING sum(sxx) > 0) USING (signal, r)"""
-CTES["asof_idx"] = indexed("asof", "signal, r", "t", "u", "8")
-CTES["asof_hac"] = hac("asof", "signal, r", "t", "u", "8")
+CTES["upto_idx"] = indexed("upto", "signal, r", "t", "u", "8")
+CTES["upto_hac"] = hac("upto", "signal, r", "t", "u", "8")
 ORACLES["slope_asof"] = compose(f"""
 SELECT signal, r, {r('kappa', 'kappa')}, {r('sqrt(lrv * n) / total', 'se')},
   {r('CASE WHEN lrv > 0 THEN kappa / (sqrt(lrv * n) / total) ELSE 0.0 END', 't')}, n AS dates, observations
-FROM asof_hac JOIN (SELECT DISTINCT signal, r, kappa, total, observations FROM asof) USING (signal, r) WHERE n >= 2""")
+FROM upto_hac JOIN (SELECT DISTINCT signal, r, kappa, total, observations FROM upto) USING (signal, r) WHERE n >= 2""")
 
 # Long-short ----------------------------------------------------------------------------------------
 
@@ -519,13 +519,13 @@ SELECT r, ticker, {r('q', 'q')}, {r('omega', 'omega')}, {r('coalesce((q - pi) /
 ORACLES["simplex_projection"] = compose(f"""
 WITH p AS (SELECT s_nationkey AS portfolio, s_suppkey AS asset, s_acctbal / 10000.0 AS v,
                   greatest(0.3, 1.0 / count(*) OVER (PARTITION BY s_nationkey)) AS cap FROM supplier),
+l AS (SELECT portfolio, list(v) AS vs, max(cap) AS cap FROM p GROUP BY portfolio),
 /*RECURSIVE*/b AS (
-  SELECT portfolio, min(v) - max(cap) AS lo, max(v) AS hi, 0 AS step FROM p GROUP BY portfolio
+  SELECT portfolio, vs, cap, list_min(vs) - cap AS lo, list_max(vs) AS hi, 0 AS step FROM l
   UNION ALL
-  SELECT b.portfolio, CASE WHEN s > 1 THEN mid ELSE lo END, CASE WHEN s > 1 THEN hi ELSE mid END, step + 1
-  FROM b JOIN LATERAL (SELECT sum(least(greatest(p.v - (b.lo + b.hi) / 2, 0.0), p.cap)) AS s, max((b.lo + b.hi) / 2) AS mid FROM p WHERE p.portfolio = b.portfolio) m ON true
-  WHERE step < 60)
-SELECT p.portfolio, p.asset, {r('p.v', 'v')}, {r('least(greatest(p.v - (b.lo + b.hi) / 2, 0.0), p.cap)', 'weight')}
+  SELECT portfolio, vs, cap, CASE WHEN s > 1 THEN mid ELSE lo END, CASE WHEN s > 1 THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(vs, lambda v: least(greatest(v - (lo + hi) / 2, 0.0), cap))) AS s FROM b WHERE step < 60))
+SELECT p.portfolio, p.asset, {r('p.v', 'v', 11)}, {r('least(greatest(p.v - (b.lo + b.hi) / 2, 0.0), p.cap)', 'weight', 11)}
 FROM p JOIN b ON b.portfolio = p.portfolio AND b.step = 60""")
 CTES["orders_in"] = """
 SELECT r, ticker, price, w, floor(w * 10000.0 / price) AS base, row_number() OVER (PARTITION BY r ORDER BY w * 10000.0 - floor(w * 10000.0 / price) * price DESC, ticker DESC) AS k

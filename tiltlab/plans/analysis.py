@@ -130,7 +130,8 @@ def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
         F.reverse(F.array_sort(F.collect_list(F.struct("published", "title")))).alias("latest")
     )
     report = (
-        rows.join(post.select("run", "ticker", F.col("mu").alias("posterior_return")), ["run", "ticker"])
+        rows.drop("shares")
+        .join(post.select("run", "ticker", F.col("mu").alias("posterior_return")), ["run", "ticker"])
         .join(orders.select("run", "ticker", "weight", "shares"), ["run", "ticker"])
         .join(titles, "ticker", "left")
         .select(

@@ -71,13 +71,15 @@ def variants_of(st: S.Study) -> DataFrame:
 @query
 def price_panel(spark, root):
     st = study(spark, root)
-    return rounded(P.price_panel(st.prices, st.days), 5)
+    panel = P.price_panel(st.prices, st.days)
+    logs = (F.log("close").alias("log_close"), F.log("bench").alias("log_bench"))
+    return rounded(panel.select("ticker", "t", "date", *logs), 8)
 
 
 @query
 def price_lookback(spark, root):
     bars = tables.prices(tables.brand_bars(spark, root))
-    return rounded(P.lookback(bars, END, 365), 5)
+    return rounded(P.lookback(bars, END, 365).select("ticker", "date", F.log("close").alias("log_close")), 8)
 
 
 @query
@@ -295,7 +297,7 @@ def facts_dedupe(spark, root):
     """Latest filed annual value per period end, restatements included."""
     annual = tables.facts(spark, root).where(fundamentals.is_annual())
     out = fundamentals.dedupe_by_end(annual)
-    return rounded(out.withColumnRenamed("end", "period_end"), 2)
+    return rounded(out.withColumnRenamed("end", "period_end"), 3)
 
 
 @query
@@ -303,7 +305,7 @@ def facts_asof(spark, root):
     """Values known per filer, date, series and period."""
     facts = cut_lineage(tables.facts(spark, root))
     known = fundamentals.visible_periods(facts, _year_ends(spark, root))
-    return rounded(known.where("datediff(as_of, end) <= 980").withColumnRenamed("end", "period_end"), 2)
+    return rounded(known.where("datediff(as_of, end) <= 980").withColumnRenamed("end", "period_end"), 3)
 
 
 @query
@@ -471,7 +473,7 @@ def simplex_projection(spark, root):
     )
     size = F.count(F.lit(1)).over(Window.partitionBy("portfolio"))
     cap = portfolio.feasible_cap(F.lit(0.3), size)
-    return rounded(portfolio.project_capped_simplex(points, ("portfolio",), "v", cap))
+    return rounded(portfolio.project_capped_simplex(points, ("portfolio",), "v", cap), 11)
 
 
 @query
@@ -872,8 +874,8 @@ def _analysis(spark, root, calibrated: bool = False) -> analysis.Report:
 @query
 def analysis_report(spark, root):
     out = _analysis(spark, root).assets
-    shown = out.drop("latest", "market_cap").withColumn("titles", F.coalesce(F.size("latest"), F.lit(0)))
-    return rounded(shown)
+    titles = F.when(F.col("latest").isNull(), 0).otherwise(F.size("latest"))
+    return rounded(out.withColumn("titles", titles).drop("latest", "market_cap"))
 
 
 @query

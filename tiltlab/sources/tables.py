@@ -134,12 +134,14 @@ def facts(spark: SparkSession, root: str) -> DataFrame:
                 'tag', if(status = 'P', 'Revenues', 'RevenueFromContractWithCustomerExcludingAssessedTax'),
                 'unit', 'USD', 'start', start, 'end', end, 'val', total,
                 'form', decode(status, 'F', '10-K', 'O', '10-K/A', '20-F'),
-                'filed', date_add(end, decode(status, 'F', 60, 'O', 150, 90))),
+                'filed', date_add(end, decode(status, 'F', 60, 'O', 150, 90)),
+                'pos', decode(status, 'F', 0, 'O', 1, 2)),
             named_struct('taxonomy', 'us-gaap',
                 'tag', if(status = 'P', 'ProfitLoss', 'NetIncomeLoss'),
                 'unit', 'USD', 'start', start, 'end', end, 'val', total * 0.1D - n * 10000.0D,
                 'form', decode(status, 'F', '10-K', 'O', '10-K/A', '20-F'),
-                'filed', date_add(end, decode(status, 'F', 60, 'O', 150, 90)))
+                'filed', date_add(end, decode(status, 'F', 60, 'O', 150, 90)),
+                'pos', decode(status, 'F', 0, 'O', 1, 2))
         ))""",
     )
     # Quarter-length revenue is never an annual observation. Share classes O and P are filed together and
@@ -148,27 +150,28 @@ def facts(spark: SparkSession, root: str) -> DataFrame:
         "cik", "status", "total", "n", "cast(quarter as date) as start",
         "date_sub(add_months(quarter, 3), 1) as end",
         "date_add(date_sub(add_months(quarter, 3), 1), if(status = 'F', 30, 45)) as filed",
+        "decode(status, 'F', 0, 'O', 1, 2) as pos",
     ).selectExpr(
         "cik",
         """inline(array(
             named_struct('taxonomy', 'us-gaap', 'tag', 'Revenues', 'unit', 'USD', 'start', start,
-                'end', end, 'val', total, 'form', '10-Q', 'filed', filed),
+                'end', end, 'val', total, 'form', '10-Q', 'filed', filed, 'pos', pos),
             named_struct('taxonomy', 'us-gaap',
                 'tag', if(status = 'P', 'StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest',
                           'StockholdersEquity'),
                 'unit', 'USD', 'start', cast(null as date), 'end', end, 'val', total - n * 240000.0D,
-                'form', '10-Q', 'filed', filed),
+                'form', '10-Q', 'filed', filed, 'pos', pos),
             named_struct('taxonomy', 'us-gaap',
                 'tag', if(status = 'O', 'LongTermDebtNoncurrent', 'LongTermDebt'),
                 'unit', 'USD', 'start', cast(null as date), 'end', end, 'val', total * 0.2D,
-                'form', '10-Q', 'filed', filed),
+                'form', '10-Q', 'filed', filed, 'pos', pos),
             named_struct('taxonomy', 'us-gaap', 'tag', 'CommonStockSharesOutstanding', 'unit', 'shares',
-                'start', cast(null as date), 'end', end, 'val', n * 900.0D, 'form', '10-Q', 'filed', filed),
+                'start', cast(null as date), 'end', end, 'val', n * 900.0D, 'form', '10-Q', 'filed', filed, 'pos', pos),
             named_struct('taxonomy', 'dei', 'tag', 'EntityCommonStockSharesOutstanding', 'unit', 'shares',
-                'start', cast(null as date), 'end', end, 'val', n * 1000.0D, 'form', '10-Q', 'filed', filed)
+                'start', cast(null as date), 'end', end, 'val', n * 1000.0D, 'form', '10-Q', 'filed', filed, 'pos', pos)
         ))""",
     ).where("not (taxonomy = 'dei' and month(end) = 9)")
-    return yearly_facts.unionByName(quarterly_facts).withColumn("pos", F.lit(0))
+    return yearly_facts.unionByName(quarterly_facts)
 
 
 def registrants(spark: SparkSession, root: str) -> DataFrame:
