@@ -219,7 +219,8 @@ def project_capped_simplex(points: DataFrame, keys: tuple[str, ...], value: str,
         .agg(F.max_by(theta, F.struct("b", "_k")).alias("_theta"))
     )
     clamped = F.least(F.greatest(F.col(value) - F.col("_theta"), F.lit(0.0)), F.col("_cap"))
-    return ready.join(found, list(keys), "left").withColumn("weight", clamped).drop("_theta", "_cap", "_n")
+    weight = F.when(F.col("_theta").isNotNull(), clamped)
+    return ready.join(found, list(keys), "left").withColumn("weight", weight).drop("_theta", "_cap", "_n")
 
 
 def whole_shares(assets: DataFrame, keys: tuple[str, ...], budget: Column) -> DataFrame:
