@@ -718,3 +718,79 @@ WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders),
 q AS (SELECT CAST(unnest(generate_series(DATE '1993-01-01', DATE '2003-01-01', INTERVAL 3 MONTH)) AS DATE) AS s),
 e AS (SELECT as_of, max(CAST(s + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)) AS last FROM d JOIN q ON CAST(s + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) <= as_of - 90 GROUP BY 1)
 SELECT as_of, 'CY' || year(last) || 'Q' || quarter(last) || 'I' AS share_frame FROM e"""
+
+
+# Analysis: one run per region, brands as tickers, on the last order day. ---------------------------
+
+CTES["today"] = "SELECT CAST(max(o_orderdate) AS DATE) AS today FROM orders"
+CTES["a_prices"] = """
+SELECT f.region AS run, b.ticker, b.date, b.px_sum / b.px_count AS close FROM bars b JOIN filers f USING (ticker), today
+WHERE b.date >= today - 365 AND b.date <= today"""
+CTES["a_rets"] = """
+SELECT run, ticker, date, ln(close / lag(close) OVER (PARTITION BY run, ticker ORDER BY date)) AS ret FROM a_prices
+WHERE (run, date) IN (SELECT (run, date) FROM a_prices JOIN (SELECT run, count(DISTINCT ticker) AS n FROM a_prices GROUP BY run) USING (run)
+                      GROUP BY run, date HAVING count(*) = max(n))"""
+CTES["a_dem"] = "SELECT run, ticker, date, ret - avg(ret) OVER (PARTITION BY run, ticker) AS x FROM a_rets WHERE ret IS NOT NULL"
+CTES["a_samp"] = """
+SELECT a.run, a.ticker AS i, b.ticker AS j, sum(a.x * b.x) / count(*) AS s, count(*) AS t FROM a_dem a JOIN a_dem b ON a.run = b.run AND a.date = b.date GROUP BY 1, 2, 3"""
+CTES["a_target"] = "SELECT run, sum(CASE WHEN i = j THEN s ELSE 0.0 END) / sqrt(count(*)) AS m, sqrt(count(*)) AS n, max(t) AS t FROM a_samp GROUP BY run"
+CTES["a_shrink"] = """
+SELECT run, n, t, m, least(b2, d2) / d2 AS shrinkage FROM a_target
+JOIN (SELECT run, sum(pow(s - CASE WHEN i = j THEN m ELSE 0.0 END, 2)) / max(n) AS d2 FROM a_samp JOIN a_target USING (run) GROUP BY run) USING (run)
+JOIN (SELECT a.run, sum(pow(a.x * b.x - s.s, 2)) AS q FROM a_dem a JOIN a_dem b ON a.run = b.run AND a.date = b.date
+      JOIN a_samp s ON s.run = a.run AND s.i = a.ticker AND s.j = b.ticker GROUP BY a.run) USING (run),
+LATERAL (SELECT q / (n * t * t) AS b2)"""
+CTES["a_cov"] = """
+SELECT run, i, j, ((CASE WHEN i = j THEN shrinkage * m ELSE 0.0 END) + (1.0 - shrinkage) * s) * 252.0 AS value FROM a_samp JOIN a_shrink USING (run)"""
+ORACLES["analysis_risk"] = compose(
+    f"SELECT run, {r('shrinkage', 'shrinkage')}, t AS observations, CAST(n AS BIGINT) AS names FROM a_shrink"
+)
+CTES["today_asof"] = "SELECT cik, today AS as_of FROM filers, today"
+known("ft", "today_asof", False)
+CTES["a_assets"] = """
+SELECT run, ticker, name, price, fscore, coverage, cap, count(cap) OVER g = count(*) OVER g AS ok, cap / sum(cap) OVER g AS share, 1.0 / count(*) OVER g AS flat FROM (
+  SELECT p.run, p.ticker, f.n_name AS name, p.price, k.fscore, k.coverage, p.price * k.shares * coalesce(product(s.ratio), 1.0) AS cap
+  FROM (SELECT run, ticker, arg_max(close, date) / 100.0 AS price FROM a_prices GROUP BY 1, 2) p JOIN filers f USING (ticker)
+  LEFT JOIN ft_score k ON k.cik = f.cik LEFT JOIN splits s ON s.ticker = p.ticker AND s.date > k.shares_as_of
+  GROUP BY p.run, p.ticker, f.n_name, p.price, k.fscore, k.coverage, k.shares)
+WINDOW g AS (PARTITION BY run)"""
+CTES["a_heads"] = """
+SELECT ticker, CAST(today - date AS DOUBLE) AS age, positive, negative, neutral FROM (
+  SELECT 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS date, o_orderkey,
+         o_totalprice / 500000.0 AS positive, 0.5 - o_totalprice / 1000000.0 AS negative,
+         1.0 - o_totalprice / 500000.0 - (0.5 - o_totalprice / 1000000.0) AS neutral, today
+  FROM orders, today WHERE o_orderdate >= today - 7)
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC, o_orderkey) <= 40"""
+CTES["a_news"] = summary("a_heads", "ticker")
+CTES["a_rows"] = """
+SELECT a.*, CASE WHEN a.ok THEN a.share ELSE a.flat END AS market_weight, sqrt(v.value) AS volatility, coalesce(n.score, 0.0) AS score,
+  coalesce(n.confidence, 0.0) AS news_confidence, coalesce(n.headlines, 0) AS headlines, n.dispersion, n.effective_count, p.pi
+FROM a_assets a JOIN a_cov v ON v.run = a.run AND v.i = a.ticker AND v.j = a.ticker LEFT JOIN a_news n ON n.ticker = a.ticker
+JOIN (SELECT c.run, c.i AS ticker, 2.5 * sum(c.value * CASE WHEN b.ok THEN b.share ELSE b.flat END) AS pi
+      FROM a_cov c JOIN a_assets b ON b.run = c.run AND b.ticker = c.j GROUP BY 1, 2) p ON p.run = a.run AND p.ticker = a.ticker"""
+A_COLUMNS = "run, ticker, name, " + ", ".join(
+    r(c, c) for c in ("price", "market_weight", "volatility", "score", "news_confidence", "fscore", "value", "confidence", "pi", "q", "omega")
+) + ", headlines"
+ORACLES["analysis_signals"] = compose(f"""
+WITH b AS (SELECT *, {BLEND} FROM (SELECT *, 0.7 * news_confidence AS ws, CASE WHEN fscore IS NULL THEN 0.0 ELSE (1.0 - 0.7) * 0.35 * coverage END AS wf FROM a_rows)),
+v AS (SELECT *, CASE WHEN confidence >= 0.02 THEN pi + 0.25 * value * volatility END AS q,
+             CASE WHEN confidence >= 0.02 THEN 0.05 * volatility * volatility * (1.0 - confidence) / confidence END AS omega FROM b)
+SELECT {A_COLUMNS}, 'heuristic' AS view_mode FROM v""")
+ORACLES["analysis_signals_calibrated"] = compose(f"""
+WITH x AS (SELECT *, s0 - avg(s0) OVER g AS xs, fscore - avg(fscore) OVER g AS xf, pow(greatest(dispersion, 0.3), 2) / effective_count AS sv
+           FROM (SELECT *, CASE WHEN headlines >= 1 THEN score END AS s0 FROM a_rows) WINDOW g AS (PARTITION BY run)),
+k AS (SELECT 0.5 * (1 - 1 / 6.25) AS ks, 0.2 * sqrt(1 - 1 / 6.25) AS ss, 0.3 * (1 - 1 / 9.0) AS kf, 0.1 * sqrt(1 - 1 / 9.0) AS sf),
+a AS (SELECT *, coalesce(ks * xs, 0.0) + coalesce(kf * xf, 0.0) AS alpha,
+             coalesce(pow(ss * xs, 2) + ks * ks * sv, 0.0) + coalesce(pow(sf * xf, 2), 0.0) AS var, xs IS NOT NULL OR xf IS NOT NULL AS used FROM x, k),
+q AS (SELECT *, CASE WHEN used THEN pi + volatility * alpha END AS q, CASE WHEN used THEN volatility * volatility * var + 1e-6 END AS omega FROM a),
+v AS (SELECT *, coalesce((q - pi) / volatility, 0.0) AS value,
+             coalesce(0.05 * volatility * volatility / (0.05 * volatility * volatility + omega), 0.0) AS confidence FROM q)
+SELECT {A_COLUMNS}, 'calibrated' AS view_mode FROM v""")
+
+# Backtest counters: every solve succeeds; a rebalance is calibrated once a signal has 60 realized dates.
+CTES["all_sections"] = CTES["sections"].replace(", bounds28", "").replace(" AND v.t BETWEEN t_start AND t_end", "")
+ORACLES["backtest_counters"] = compose("""
+WITH d AS (SELECT signal, t FROM all_sections WHERE names >= 5 GROUP BY 1, 2),
+c AS (SELECT r FROM rebal JOIN d ON d.t + 4 <= r GROUP BY r, signal HAVING count(*) >= 60)
+SELECT (SELECT count(*) FROM rebal) AS rebalances, (SELECT count(DISTINCT r) FROM c) AS calibrated_rebalances,
+       (SELECT count(DISTINCT r) FROM prior WHERE cap_fallback) AS market_cap_fallbacks""")

@@ -81,48 +81,69 @@ def weekly_cap(headlines: DataFrame, per_week: int) -> DataFrame:
 
     A title past the cap is never taken, so a later week may still use it: whether a title is taken
     depends on all earlier weeks. Instead of folding a ticker's weeks in one task, undecided titles are
-    settled in rounds. In each round a title is
+    settled in rounds. Call a title free if no earlier week took it or still can. In a round a title is
 
-    * dropped, if an earlier week took it or the titles already taken before it fill its week;
-    * taken, if no earlier week can take it and even all undecided titles before it leave room.
+    * dropped, if an earlier week took it, or the taken and free titles before it fill its week;
+    * taken, if it is free and even all undecided titles before it leave room.
 
     Every round settles at least the earliest open week of every ticker, and usually nearly all of
-    them; windows are per (ticker, week) and per (ticker, title), never per ticker.
+    them; windows are per (ticker, week) and per (ticker, title), never per ticker, and dropped titles
+    leave the data.
     """
     keyed = headlines.withColumn("_key", dedupe_key(F.col("title"))).withColumn(
         "_week", week_start(F.col("date"))
     )
     rest = [c for c in headlines.columns if c not in ("ticker",)]
-    titles = (
-        keyed.groupBy("ticker", "_week", "_key")
-        .agg(F.min_by(F.struct(*rest), "pos").alias("_row"), F.min("pos").alias("_pos"))
-        .withColumn("_state", F.lit(0))  # 0 undecided, 1 taken, -1 dropped
+    titles = keyed.groupBy("ticker", "_week", "_key").agg(
+        F.min_by(F.struct(*rest), "pos").alias("_row"), F.min("pos").alias("_pos"), F.lit(False).alias("_taken")
     )
+    titles = _within_reach(titles, per_week)
+    while True:
+        for _ in range(2):
+            titles = _settle(titles, per_week)
+        titles = cut_lineage(titles)
+        if titles.where("not _taken").isEmpty():
+            return titles.select("ticker", "_row.*")
+
+
+def _within_reach(titles: DataFrame, per_week: int, salts: int = 32) -> DataFrame:
+    """Drop titles that can never be taken: an exact bound, so that a hot week stays small.
+
+    A title is passed over before its week is full only if an earlier week took it, and w weeks take at
+    most ``per_week`` x w titles; so beyond that position in the week nothing is reached. The position
+    is cut in salted parts of the week first, then over what they leave.
+    """
+    weeks = titles.agg((F.datediff(F.max("_week"), F.min("_week")) / 7 + 1).cast("int").alias("n"))
+    reach = F.coalesce(weeks.scalar(), F.lit(0)) * per_week
+    part = titles.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
+    for keys in (("ticker", "_week", "_salt"), ("ticker", "_week")):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_pos", "_key"))
+        part = part.withColumn("_place", place).where(F.col("_place") <= reach)
+    return part.drop("_place", "_salt")
+
+
+def _settle(titles: DataFrame, per_week: int) -> DataFrame:
+    """One round of ``weekly_cap``; rows carry ``_taken`` and undecided rows have it false."""
     before = Window.partitionBy("ticker", "_week").orderBy("_pos", "_key").rowsBetween(
         Window.unboundedPreceding, -1
     )
     earlier = Window.partitionBy("ticker", "_key").orderBy("_week").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    none = F.lit(0)
-    while True:
-        taken, open_ = F.col("_state") == 1, F.col("_state") == 0
-        settled = (
-            titles.withColumn("_took", F.coalesce(F.count_if(taken).over(earlier), none))
-            .withColumn("_may", F.coalesce(F.count_if(open_).over(earlier), none))
-            .withColumn("_full", F.coalesce(F.count_if(taken).over(before), none))
-            .withColumn("_open", F.coalesce(F.count_if(open_).over(before), none))
-        )
-        dropped = (F.col("_took") > 0) | (F.col("_full") >= per_week)
-        sure = (F.col("_took") + F.col("_may") == 0) & (F.col("_full") + F.col("_open") < per_week)
-        titles = cut_lineage(
-            settled.withColumn(
-                "_state",
-                F.when(F.col("_state") != 0, F.col("_state")).when(dropped, -1).when(sure, 1).otherwise(0),
-            ).drop("_took", "_may", "_full", "_open")
-        )
-        if titles.where("_state = 0").isEmpty():
-            return titles.where("_state = 1").select("ticker", "_row.*")
+    taken = F.col("_taken")
+    known = (
+        titles.withColumn("_took", F.count_if(taken).over(earlier))
+        .withColumn("_free", ~taken & (F.count(F.lit(1)).over(earlier) == 0))
+        .where(taken | (F.col("_took") == 0))
+        .withColumn("_full", F.count_if(taken | F.col("_free")).over(before))
+        .withColumn("_most", F.count(F.lit(1)).over(before))
+    )
+    sure = F.col("_free") & (F.col("_most") < per_week)
+    return (
+        known.where(taken | (F.col("_full") < per_week))
+        .withColumn("_taken", taken | sure)
+        .drop("_took", "_free", "_full", "_most")
+    )
 
 
 def archive_headlines(headlines: DataFrame, names: DataFrame, start: str, end: str, per_week: int) -> DataFrame:

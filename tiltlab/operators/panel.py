@@ -52,10 +52,13 @@ def lookback(prices: DataFrame, end: str, days: int) -> DataFrame:
 
 
 def aligned_log_returns(prices: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Log returns between consecutive dates on which every ticker (of the group) has a close."""
+    """Log returns between consecutive dates on which every ticker (of the group) has a close.
+
+    ``prices`` has one row per (group, ticker, date).
+    """
     keys = list(group)
     everyone = prices.groupBy(*keys).agg(F.countDistinct("ticker").alias("names"))
-    present = prices.groupBy(*keys, "date").agg(F.countDistinct("ticker").alias("seen"))
+    present = prices.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("seen"))
     if keys:
         common = present.join(everyone, keys)
     else:

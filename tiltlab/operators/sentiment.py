@@ -181,15 +181,12 @@ def lexicon_scorer(positive=POSITIVE_WORDS, negative=NEGATIVE_WORDS, prior: floa
     """Word-share scorer in native expressions; ``prior`` is the pseudo-count of neutral words."""
 
     def score(texts: DataFrame) -> DataFrame:
-        words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-        hits = lambda vocabulary: F.size(
-            F.filter(words, lambda w: w.isin(list(vocabulary)))
-        ).cast("double")
-        counted = texts.select(
-            "text",
-            hits(positive).alias("p"),
-            hits(negative).alias("q"),
-        )
+        def hits(vocabulary) -> Column:
+            return F.size(F.filter("_words", lambda w: w.isin(list(vocabulary)))).cast("double")
+
+        # Texts are split once; both vocabularies count on the same words.
+        split = texts.select("text", F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("_words"))
+        counted = split.select("text", hits(positive).alias("p"), hits(negative).alias("q"))
         mass = F.col("p") + F.col("q") + prior
         return counted.select(
             "text",

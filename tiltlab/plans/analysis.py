@@ -68,8 +68,9 @@ def _with_views(inputs: AnalysisInputs, rows: DataFrame, params: AnalysisParams)
         return views.heuristic_views(rows, params.tau, params.view_scale).withColumn(
             "view_mode", F.lit("heuristic")
         )
-    # One row per calibration.
-    known = rows.join(F.broadcast(inputs.calibration.limit(1).withColumn("_one", F.lit(1))), F.lit(True))
+    known = rows
+    for column in ("c_news", "c_facts", "min_headlines"):
+        known = known.withColumn(column, inputs.calibration.select(column).scalar())
     enough = F.col("headlines") >= F.col("min_headlines")
     shown = ("score", "dispersion", "effective_count")
     kept = known.withColumnsRenamed({c: f"_{c}" for c in shown})
@@ -79,22 +80,29 @@ def _with_views(inputs: AnalysisInputs, rows: DataFrame, params: AnalysisParams)
     viewed = viewed.drop(*shown).withColumnsRenamed({f"_{c}": c for c in shown})
     return (
         views.tilt_readback(viewed, params.tau)
-        .drop("c_news", "c_facts", "min_headlines", "_one")
+        .drop("c_news", "c_facts", "min_headlines")
         .withColumn("view_mode", F.lit("calibrated"))
     )
 
 
-def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
+def prepare(inputs: AnalysisInputs, params: AnalysisParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assets with prior, signal and view; covariances; and the scalars of the risk model."""
     returns = P.aligned_log_returns(inputs.prices, ("run",))
     cov, scalars = risk.covariance(returns, "run")
-    cov, scalars = cut_lineage(cov), cut_lineage(scalars)
+    cov = cut_lineage(cov)
     assets = cut_lineage(priced_assets(inputs))
     prior = assets.select("run", "ticker", F.col("market_weight").alias("weight"))
     pi = risk.implied_returns(cov, prior, "run", params.risk_aversion)
     rows = _signals(inputs, assets, params).join(pi, ["run", "ticker"]).join(
         risk.volatilities(cov, "run"), ["run", "ticker"]
     )
-    rows = cut_lineage(_with_views(inputs, rows, params))
+    return _with_views(inputs, rows, params), cov, scalars
+
+
+def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
+    rows, cov, scalars = prepare(inputs, params)
+    rows = cut_lineage(rows)
+    prior = rows.select("run", "ticker", F.col("market_weight").alias("weight"))
     matrix = rows.select("run", "ticker", "pi").join(risk.matrix_rows(cov, "run"), ["run", "ticker"])
     post = cut_lineage(
         portfolio.posterior(matrix, views.long_views(rows, "run"), "run", params.tau)
@@ -103,7 +111,9 @@ def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
     weights = portfolio.clean_weights(solved, ("run",))
 
     # Benchmarks share the posterior for comparability.
-    no_view = post.select("run", "ticker", "sigma").join(pi, ["run", "ticker"]).withColumnRenamed("pi", "mu")
+    no_view = post.select("run", "ticker", "sigma").join(
+        rows.select("run", "ticker", F.col("pi").alias("mu")), ["run", "ticker"]
+    )
     capped = portfolio.optimal_weights(no_view, "run", params.risk_aversion, params.max_weight)
     equal = prior.withColumn(
         "weight", F.lit(1.0) / F.count(F.lit(1)).over(P.Window.partitionBy("run"))
@@ -121,7 +131,7 @@ def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
     stats = risk.portfolio_stats(cut_lineage(books), post, posterior_cov, "run", ("portfolio",))
 
     orders = portfolio.whole_shares(
-        weights.join(assets.select("run", "ticker", "price"), ["run", "ticker"]).select("run", "ticker", "price", "weight"),
+        weights.join(rows.select("run", "ticker", "price"), ["run", "ticker"]).select("run", "ticker", "price", "weight"),
         ("run",),
         F.lit(params.budget),
     )

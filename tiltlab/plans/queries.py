@@ -423,16 +423,16 @@ def combined_signal(spark, root):
 def _view_rows(spark, root, calibrated: bool = True):
     """Inputs of the solves; news alone is calibrated here."""
     st, cov, prior = _prior_risk(spark, root)
-    known = st.fundamentals().select("ticker", "t", "fscore", "coverage")
-    days = B.rebalance_days(W.plan_of(st))
+    known = cut_lineage(st.fundamentals().select("ticker", "t", "fscore", "coverage"))
+    days = cut_lineage(B.rebalance_days(W.plan_of(st)))
     if calibrated:
         news_only = S.signal_variants(S.signal_grid(replace(st, facts=None)), (LEVEL,))
         sums = cut_lineage(S.calibration_sums(st, news_only))
-        coefficients = W.coefficients_as_of(st, sums, days)
+        coefficients = cut_lineage(W.coefficients_as_of(st, sums, days))
     else:
         none = F.lit(None).cast("struct<kappa:double,se:double,t:double>")
         coefficients = days.select("r", none.alias("c_news"), none.alias("c_facts"))
-    return W.view_assets(st, cov, prior, st.news(), known, coefficients)
+    return W.view_assets(st, cov, prior, cut_lineage(st.news()), known, coefficients)
 
 
 @query
@@ -823,7 +823,7 @@ def share_frames(spark, root):
 # Analysis ------------------------------------------------------------------------------------------
 
 
-def _analysis(spark, root, calibrated: bool = False) -> analysis.Report:
+def _inputs(spark, root, calibrated: bool = False) -> tuple[analysis.AnalysisInputs, AnalysisParams]:
     """One run per region, its five brands as tickers, on the last day with orders."""
     params = AnalysisParams()
     bars = cut_lineage(tables.prices(tables.brand_bars(spark, root)))
@@ -863,12 +863,31 @@ def _analysis(spark, root, calibrated: bool = False) -> analysis.Report:
         coefficients = today.select(
             fixed(0.5, 0.2).alias("c_news"), fixed(0.3, 0.1).alias("c_facts"), F.lit(1).alias("min_headlines")
         )
-    return analysis.analyze(
-        analysis.AnalysisInputs(
-            cut_lineage(assets), cut_lineage(prices), latest, tables.splits(spark, root), now, coefficients
-        ),
-        params,
+    inputs = analysis.AnalysisInputs(
+        cut_lineage(assets), cut_lineage(prices), latest, tables.splits(spark, root), now, coefficients
     )
+    return inputs, params
+
+
+def _analysis(spark, root, calibrated: bool = False) -> analysis.Report:
+    return analysis.analyze(*_inputs(spark, root, calibrated))
+
+
+SIGNAL_COLUMNS = (
+    "run", "ticker", "name", "price", "market_weight", "volatility", "score", "news_confidence", "headlines", "fscore",
+    "value", "confidence", "pi", "q", "omega", "view_mode",
+)
+
+
+@query
+def analysis_signals(spark, root):
+    """Everything the analysis knows per asset before the solve."""
+    return rounded(analysis.prepare(*_inputs(spark, root))[0].select(*SIGNAL_COLUMNS))
+
+
+@query
+def analysis_signals_calibrated(spark, root):
+    return rounded(analysis.prepare(*_inputs(spark, root, True))[0].select(*SIGNAL_COLUMNS))
 
 
 @query
@@ -895,4 +914,4 @@ def analysis_benchmarks(spark, root):
 
 @query
 def analysis_risk(spark, root):
-    return rounded(_analysis(spark, root).risk)
+    return rounded(analysis.prepare(*_inputs(spark, root))[2])

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Plans here are built from many small expressions; recording a Python call site for each is costly.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def local_session(cores: int | str = 8, app: str = "tiltlab", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,7 +28,7 @@ def local_session(cores: int | str = 8, app: str = "tiltlab", shuffle_partitions
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **START_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
