@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from tiltlab.operators.sentiment import lexicon_scorer
 from tiltlab.params import STRATEGIES, AnalysisParams, EvalParams
 from tiltlab.plans import analysis
 from tiltlab.plans import walkforward as W
+from tiltlab.plans.evaluation import evaluate
 from tiltlab.plans.study import Study
+from tiltlab.sources.reports import write_sections
 from tiltlab.sources.scores import read_store
 from tiltlab.streaming import headlines as H
 
@@ -93,6 +96,18 @@ def test_holdings_match_a_daily_simulation(spark, quiet):
     assert B.schedule(study.days, F.lit(0), 28, 5).count() == 0
 
 
+def test_evaluation_sections(spark, quiet, tmp_path):
+    sections = evaluate(replace(quiet, start="2024-01-05", end="2025-01-20"))
+    write_sections(sections, str(tmp_path / "report"), "parquet")
+    read = lambda name: spark.read.parquet(str(tmp_path / "report" / name))
+    assert read("ic").count() == read("long_short").count() == 0
+    assert read("coverage").first().sparse and read("coverage").first().signal_coverage == 0.0
+    assert {r.ticker: r.headlines for r in read("headlines").collect()} == {"A": 0, "B": 0, "C": 0}
+    assert read("strategies").count() == 5 and read("returns").count() == 5 * 147
+    document = read("calibration").first()
+    assert document.sentiment is None and document.universe == ["A", "B", "C"]
+
+
 def test_universe_sampling(spark, day):
     ticker_map = spark.createDataFrame(
         [(f"{c:010d}", t) for c, ts in enumerate([("AAA", "AA", "AA-P"), ("BB", "BA"), ("TOOLONG",), ("CC",), ("DD",)]) for t in ts], "cik string, ticker string"
@@ -116,6 +131,10 @@ def test_universe_sampling(spark, day):
     assert {r.ticker for r in drawn.collect()} != {r.ticker for r in universe.draw(many, 10, 2).collect()}
     row = universe.draw_summary(many, drawn, 10, 1, F.lit(as_of)).first()
     assert row.candidates == 60 and 10 <= row.screened < 60 and row.filled
+    with pytest.raises(ValueError):
+        universe.sample(frame, ticker_map, prices, None, F.lit(as_of), 3, 1, 1.0, 100.0)
+    picked, told = universe.sample(frame, ticker_map, prices, splits, F.lit(as_of), 5, 1, 1.0, 100.0)
+    assert [r.ticker for r in picked.collect()] == ["AA"] and told.first().candidates == 3 and not told.first().filled
     short = universe.draw(many, 50, 1)
     assert not universe.draw_summary(many, short, 50, 1, F.lit(as_of)).first().filled
 

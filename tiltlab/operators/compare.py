@@ -34,7 +34,7 @@ def score_variants(texts: DataFrame, variants: dict[str, Scorer]) -> DataFrame:
 def agreement(scored: DataFrame, reference: str, key: str = "text") -> DataFrame:
     """Per model against ``reference``: same label share, score differences and correlation.
 
-    ``scored`` is ``(model, key, positive, negative, neutral)``. The reference is spread over its text's
+    ``scored`` is ``(model, key, positive, negative, neutral)`` with one row per model and key. The reference is spread over its text's
     rows by one aggregate per text (bounded by the number of models), not by a self join.
     """
     entry = F.struct("model", (F.col("positive") - F.col("negative")).alias("s"), last_label().alias("label"))
@@ -93,3 +93,13 @@ def _p99(pairs: DataFrame, stats: DataFrame) -> DataFrame:
         .groupBy("model")
         .agg(F.min("diff").alias("p99_abs_score_diff"))
     )
+
+
+def compare_models(texts: DataFrame, variants: dict[str, Scorer], limit: int | None = None) -> DataFrame:
+    """Score (a hash sample of) distinct texts with every variant; the first one is the reference."""
+    distinct = texts.select("text").distinct()
+    sample = distinct if limit is None else hash_sample(distinct, limit).select("text")
+    scored = score_variants(sample, variants)
+    # Long texts need not travel: a digest identifies them.
+    keyed = scored.withColumn("text", F.sha2(F.col("text"), 256))
+    return agreement(keyed, next(iter(variants)))

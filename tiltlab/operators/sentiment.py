@@ -41,12 +41,15 @@ def recency_weight(age_days: Column) -> Column:
     return F.pow(F.lit(0.5), age_days / HALF_LIFE_DAYS)
 
 
-def daily_moments(headlines: DataFrame) -> DataFrame:
-    """Per (ticker, date): count, mean polarity, squared deviations and class counts."""
+def moments(headlines: DataFrame, when: str) -> DataFrame:
+    """Per (ticker, ``when``): count, mean polarity, squared deviations and class counts.
+
+    All aggregates merge map-side, so a ticker travels as one row per distinct time.
+    """
     label = summary_label()
     return (
-        headlines.select("ticker", "date", polarity().alias("s"), label.alias("label"))
-        .groupBy("ticker", "date")
+        headlines.select("ticker", when, polarity().alias("s"), label.alias("label"))
+        .groupBy("ticker", when)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("s").alias("mean"),
@@ -80,7 +83,7 @@ def sentiment_panel(
     moment rows.
     """
     seen = (
-        daily_moments(headlines)
+        moments(headlines, "date")
         .withColumn("age", F.explode(F.sequence(F.lit(1), F.lit(window_days))))
         .withColumn("date", F.date_add("date", F.col("age")))
         .join(F.broadcast(cal.select("date", "t")), "date")
@@ -124,28 +127,27 @@ def sentiment_panel(
 def live_summary(headlines: DataFrame, now: Column, tickers: DataFrame | None = None) -> DataFrame:
     """Summary per ticker of timestamped headlines as of ``now``; zeros for tickers without any.
 
-    Two passes: weighted means, then deviations around them. Both are map-side aggregates by ticker.
+    Headlines fold to one row per (ticker, second). Two aggregates over those rows follow: weighted
+    means, then deviations around them.
     """
-    age = F.greatest(
-        F.unix_seconds(F.to_timestamp(now)) - F.unix_seconds("published"), F.lit(0)
-    ) / F.lit(86400.0)
-    aged = headlines.select(
-        "ticker", polarity().alias("s"), summary_label().alias("label"), recency_weight(age).alias("w")
-    )
-    means = aged.groupBy("ticker").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("mu"))
-    deviation = (F.col("s") - F.col("mu")) * (F.col("s") - F.col("mu"))
+    at = F.unix_seconds("published")
+    age = F.greatest(F.unix_seconds(F.to_timestamp(now)) - F.col("at"), F.lit(0)) / F.lit(86400.0)
+    aged = moments(headlines.withColumn("at", at), "at").withColumn("w", recency_weight(age))
+    mass = F.col("w") * F.col("n")
+    means = aged.groupBy("ticker").agg((F.sum(mass * F.col("mean")) / F.sum(mass)).alias("mu"))
+    offset = F.col("mean") - F.col("mu")
     grouped = (
         aged.join(means, "ticker")
         .groupBy("ticker")
         .agg(
-            F.sum("w").alias("w1"),
-            F.sum(F.col("w") * F.col("w")).alias("w2"),
+            F.sum(mass).alias("w1"),
+            F.sum(F.col("w") * mass).alias("w2"),
             F.max("mu").alias("mu"),
-            F.sum(F.col("w") * deviation).alias("ss"),
-            F.count(F.lit(1)).alias("headlines"),
-            F.count_if(F.col("label") == "positive").alias("positive"),
-            F.count_if(F.col("label") == "negative").alias("negative"),
-            F.count_if(F.col("label") == "neutral").alias("neutral"),
+            F.sum(F.col("w") * (F.col("dev") + F.col("n") * offset * offset)).alias("ss"),
+            F.sum("n").alias("headlines"),
+            F.sum("n_pos").alias("positive"),
+            F.sum("n_neg").alias("negative"),
+            F.sum("n_neu").alias("neutral"),
         )
     )
     out = grouped.select(

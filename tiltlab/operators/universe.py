@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tiltlab.functions.numeric import hashed_uniform
 from tiltlab.functions.text import PLAIN_TICKER, share_frame
+from tiltlab.session import cut_lineage
 
 
 def shortest_tickers(ticker_map: DataFrame) -> DataFrame:
@@ -91,3 +92,16 @@ def draw_summary(screened: DataFrame, drawn: DataFrame, n: int, seed: int, as_of
         last.select("kept").scalar().alias("kept"),
         full.alias("filled"),
     )
+
+
+def sample(
+    frame: DataFrame, ticker_map: DataFrame, prices: DataFrame, splits: DataFrame | None, as_of: Column,
+    n: int, seed: int, min_cap: float, max_cap: float, min_history: int = 300,
+) -> tuple[DataFrame, DataFrame]:
+    """Sampled tickers with caps, and the summary row; ``filled`` is false if too few are eligible."""
+    if n < 5:
+        raise ValueError("sample at least 5 tickers")
+    pool = candidates(frame, ticker_map)
+    screened = cut_lineage(screen(pool, prices, splits, as_of, min_cap, max_cap, min_history))
+    drawn = cut_lineage(draw(screened, n, seed))
+    return drawn, draw_summary(screened, drawn, n, seed, as_of)

@@ -17,10 +17,11 @@ from tiltlab.operators import backtest as B
 from tiltlab.operators import compare, fundamentals, headlines, longshort, portfolio, risk
 from tiltlab.operators import panel as P
 from tiltlab.operators import sentiment, signals, stats, universe, views
-from tiltlab.params import EX_MOMENTUM, FUNDAMENTALS, LEVEL, STRATEGIES, SURPRISE, AnalysisParams, EvalParams
+from tiltlab.params import LEVEL, STRATEGIES, AnalysisParams, EvalParams
 from tiltlab.plans import analysis
 from tiltlab.plans import study as S
 from tiltlab.plans import walkforward as W
+from tiltlab.plans.evaluation import long_short_books
 from tiltlab.plans.warehouse import brand_study
 from tiltlab.session import cut_lineage
 from tiltlab.sources import tables
@@ -248,14 +249,9 @@ def slope_asof(spark, root):
 # Long-short ----------------------------------------------------------------------------------------
 
 
-def _long_short(spark, root):
+def _long_short(spark, root) -> tuple[DataFrame, DataFrame]:
     st = study(spark, root, DENSE, window=True)
-    rows = S.signal_variants(S.signal_grid(st), (LEVEL, EX_MOMENTUM)).where(st.in_window())
-    last = P.evaluation_bounds(st.days, START, END, DENSE.news_window_days)
-    t_end = F.least(last.select("t_end").scalar(), st.days.agg(F.max("t")).scalar())
-    before = rows.where(F.col("t") < t_end)
-    weights = cut_lineage(longshort.leg_weights(before, DENSE.leg_fraction))
-    return weights, st.days.where(st.in_window() & (F.col("t") < t_end)).select("t")
+    return long_short_books(st, S.signal_grid(st))
 
 
 @query
@@ -266,12 +262,12 @@ def long_short_weights(spark, root):
 
 @query
 def long_short_daily(spark, root):
-    return rounded(longshort.daily_book(*_long_short(spark, root)))
+    return rounded(_long_short(spark, root)[1])
 
 
 @query
 def long_short_summary(spark, root):
-    book = cut_lineage(longshort.daily_book(*_long_short(spark, root)))
+    book = cut_lineage(_long_short(spark, root)[1])
     out = longshort.summary(book, DENSE.leg_fraction)
     flat = out.select(
         *[c for c in out.columns if c != "net"], F.inline("net").alias("cost_bps", "net_annual_return", "net_sharpe")
@@ -744,16 +740,12 @@ def scores_memoised(spark, root):
 
 @query
 def model_agreement(spark, root):
-    texts = _texts(spark, root).select("text").distinct()
-    scored = compare.score_variants(
-        texts,
-        {
-            "reference": sentiment.lexicon_scorer(*FIRST_WORDS),
-            "smooth": sentiment.lexicon_scorer(*FIRST_WORDS, prior=20.0),
-            "other": sentiment.lexicon_scorer(*SECOND_WORDS),
-        },
-    ).withColumn("text", F.md5(F.col("text").cast("binary")))
-    return rounded(compare.agreement(scored, "reference"))
+    variants = {
+        "reference": sentiment.lexicon_scorer(*FIRST_WORDS),
+        "smooth": sentiment.lexicon_scorer(*FIRST_WORDS, prior=20.0),
+        "other": sentiment.lexicon_scorer(*SECOND_WORDS),
+    }
+    return rounded(compare.compare_models(_texts(spark, root), variants))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltlab.params import FUNDAMENTALS, LEVEL
+from tiltlab.params import BENCHMARK_LARGE, BENCHMARK_SMALL, FUNDAMENTALS, LEVEL
 
 # Layout of a calibration document.
 COEFFICIENT = "struct<kappa: double, se: double, t: double, dates: bigint, observations: bigint>"
@@ -32,6 +32,11 @@ def preset_universe(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(tickers)), "pos int, ticker string")
 
 
+def preset_benchmark(name: str) -> str:
+    """Ticker of the market proxy that goes with a preset universe."""
+    return BENCHMARK_LARGE if name == "large" else BENCHMARK_SMALL
+
+
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALIBRATION_SCHEMA).option("multiLine", True).json(path)
 
