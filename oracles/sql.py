@@ -733,7 +733,7 @@ WHERE (run, date) IN (SELECT (run, date) FROM a_prices JOIN (SELECT run, count(D
 CTES["a_dem"] = "SELECT run, ticker, date, ret - avg(ret) OVER (PARTITION BY run, ticker) AS x FROM a_rets WHERE ret IS NOT NULL"
 CTES["a_samp"] = """
 SELECT a.run, a.ticker AS i, b.ticker AS j, sum(a.x * b.x) / count(*) AS s, count(*) AS t FROM a_dem a JOIN a_dem b ON a.run = b.run AND a.date = b.date GROUP BY 1, 2, 3"""
-CTES["a_target"] = "SELECT run, sum(CASE WHEN i = j THEN s ELSE 0.0 END) / sqrt(count(*)) AS m, sqrt(count(*)) AS n, max(t) AS t FROM a_samp GROUP BY run"
+CTES["a_target"] = "SELECT run, sum(CASE WHEN i = j THEN s ELSE 0.0 END) / sqrt(count(*)) AS m, sqrt(count(*)) AS n, max(t) AS t FROM a_samp GROUP BY run HAVING max(t) >= 30"
 CTES["a_shrink"] = """
 SELECT run, n, t, m, least(b2, d2) / d2 AS shrinkage FROM a_target
 JOIN (SELECT run, sum(pow(s - CASE WHEN i = j THEN m ELSE 0.0 END, 2)) / max(n) AS d2 FROM a_samp JOIN a_target USING (run) GROUP BY run) USING (run)
@@ -794,3 +794,15 @@ WITH d AS (SELECT signal, t FROM all_sections WHERE names >= 5 GROUP BY 1, 2),
 c AS (SELECT r FROM rebal JOIN d ON d.t + 4 <= r GROUP BY r, signal HAVING count(*) >= 60)
 SELECT (SELECT count(*) FROM rebal) AS rebalances, (SELECT count(DISTINCT r) FROM c) AS calibrated_rebalances,
        (SELECT count(DISTINCT r) FROM prior WHERE cap_fallback) AS market_cap_fallbacks""")
+
+# The flagship: the same table on monthly bars, 90 days of news, one headline enough, whole span.
+_monthly = ORACLES["ic_table"]
+for _week, _month in (
+    ("date_trunc('week', l_shipdate)", "date_trunc('month', l_shipdate)"),
+    ("h.date >= d.date - 7 ", "h.date >= d.date - 90 "),
+    ("WHERE headlines >= 3", "WHERE headlines >= 1"),
+    ("WHERE t BETWEEN t_start AND t_end", "WHERE true"),
+):
+    assert _week in _monthly
+    _monthly = _monthly.replace(_week, _month)
+ORACLES["ic_monthly"] = _monthly

@@ -158,6 +158,7 @@ def test_analysis(spark):
     prices = prices.unionByName(prices.where("ticker != 'C'").withColumn("run", F.lit("y")))
     rows = [(run, n, "Acme", "USD", 100.0, None if (run, n) == ("y", "B") else 1e6 * (i + 1), None, 0.4, 1.0)
             for run, ns in (("x", "ABC"), ("y", "AB")) for i, n in enumerate(ns)]
+    rows += [("x", "D", "Gone", "USD", None, 1e6, None, 0.4, 1.0), ("z", "A", "Lone", "USD", 100.0, 1e6, None, 0.4, 1.0)]
     assets = spark.createDataFrame(rows, "run string, ticker string, name string, currency string, price double, shares double, shares_as_of date, fscore double, coverage double")
     heads = spark.createDataFrame([("A", f"title {k}", now - dt.timedelta(hours=k), 0.8, 0.1, 0.1) for k in range(6)],
                                   "ticker string, title string, published timestamp, positive double, negative double, neutral double")
@@ -174,6 +175,7 @@ def test_analysis(spark):
     told = {(r.run, r.warning) for r in report.warnings.collect()}
     assert ("y", "equal-weight prior: no share count for B") in told and ("x", "no headlines for B, C") in told
     assert ("y", "max weight infeasible; raised to 1/n") in told
+    assert ("x", "D: dropped, no price") in told and any(run == "z" and "no result" in w for run, w in told)
     cash = {r.run: r for r in report.portfolio.collect()}
     assert all(abs(r.invested + r.cash_left - 10000) < 1e-6 for r in cash.values())
     assert report.benchmarks.count() == 8 and report.correlation.count() == 13

@@ -43,9 +43,15 @@ class Report:
 
 
 def priced_assets(inputs: AnalysisInputs) -> DataFrame:
-    """Assets with market cap and prior weight; a run falls back to equal weights if any cap is unknown."""
-    capped = P.market_cap(inputs.assets.withColumn("close", F.col("price")), inputs.splits).drop("close")
-    return P.cap_weights(capped, ("run",))
+    """Assets with market cap and prior weight; a run falls back to equal weights if any cap is unknown.
+
+    Assets without a price drop out, and runs left with fewer than two.
+    """
+    priced = inputs.assets.where("price is not null").withColumn(
+        "_names", F.count(F.lit(1)).over(P.Window.partitionBy("run"))
+    )
+    capped = P.market_cap(priced.where("_names >= 2").withColumn("close", F.col("price")), inputs.splits)
+    return P.cap_weights(capped.drop("close", "_names"), ("run",))
 
 
 def _signals(inputs: AnalysisInputs, assets: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -162,11 +168,11 @@ def analyze(inputs: AnalysisInputs, params: AnalysisParams) -> Report:
         stats.where(F.col("portfolio") == "With views").drop("portfolio").join(cash, "run").join(steps, "run")
     )
     return Report(
-        report, summary, stats, scalars, risk.correlation(cov, "run"), _warnings(rows, solved, params)
+        report, summary, stats, scalars, risk.correlation(cov, "run"), _warnings(inputs, rows, solved, params)
     )
 
 
-def _warnings(rows: DataFrame, solved: DataFrame, params: AnalysisParams) -> DataFrame:
+def _warnings(inputs: AnalysisInputs, rows: DataFrame, solved: DataFrame, params: AnalysisParams) -> DataFrame:
     """``(run, warning)``: what a reader of the report should know."""
     facts = rows.groupBy("run").agg(
         F.array_sort(F.collect_list(F.when(F.col("market_cap").isNull(), F.col("ticker")))).alias("uncapped"),
@@ -184,4 +190,10 @@ def _warnings(rows: DataFrame, solved: DataFrame, params: AnalysisParams) -> Dat
             F.when(~F.col("converged"), F.lit("optimizer stopped at its step limit")),
         )
     )
-    return facts.select("run", F.explode(found).alias("warning"))
+    unpriced = inputs.assets.where("price is null").select(
+        "run", F.concat("ticker", F.lit(": dropped, no price")).alias("warning")
+    )
+    failed = inputs.assets.select("run").distinct().join(rows.select("run"), "run", "left_anti").select(
+        "run", F.lit("no result: needs two priced tickers with 30 common returns").alias("warning")
+    )
+    return facts.select("run", F.explode(found).alias("warning")).unionByName(unpriced).unionByName(failed)
