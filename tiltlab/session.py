@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,22 @@ def local_session(cores: int | str = 8, app: str = "tiltlab", shuffle_partitions
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application.
+
+    Workers import the functions that tasks run; without this they find them only where the package is installed
+    or on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tiltlab_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tiltlab-")  # the driver serves the archive from here while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/tiltlab", "zip", package.parent, package.name))
+    context._tiltlab_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
