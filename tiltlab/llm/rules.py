@@ -11,6 +11,8 @@ squared Mahalanobis distance from its group's estimate exceeds ``CUTOFF``.
   distinct quantised values, so a group of any size aggregates into a bounded map before the shuffle.
 * The covariance has each statistic's ``FLOOR`` squared added: most statistics are zero for most documents, and a zero
   variance would reject the slightest deviation.
+* Tables of one row a group are written before they are joined, so Spark knows their size and broadcasts them only if small;
+  larger ones are joined by shuffles that it can split.
 * Groups are estimated on top of the estimate over all documents, which counts as ``PRIOR`` documents, so a small group needs no
   special case.
 
@@ -155,15 +157,15 @@ def _by_estimate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def _central(rows: DataFrame) -> DataFrame:
     """The share ``SUPPORT`` of each group with the smallest distances (equal quantised ones included)."""
     ranked = rows.withColumn("rank", F.round(100 * F.log(F.col("distance") + 1e-6)).cast("long"))
-    bound = ranked.groupBy("key").agg(F.ceil(F.percentile("rank", F.lit(SUPPORT))).alias("bound"))
+    bound = staged(ranked.groupBy("key").agg(F.ceil(F.percentile("rank", F.lit(SUPPORT))).alias("bound")))
     return ranked.join(bound, "key").where("rank <= bound")
 
 
 def scatter(rows: DataFrame, prior: Row | None = None) -> DataFrame:
     """MCD estimate of every ``key`` of ``rows``; ``prior`` is an estimate that counts as ``PRIOR`` rows."""
-    medians = rows.groupBy("key").agg(*[F.median(a).alias(f"med_{a}") for a in STATISTICS])
+    medians = staged(rows.groupBy("key").agg(*[F.median(a).alias(f"med_{a}") for a in STATISTICS]))
     off = rows.join(medians, "key")
-    spread = off.groupBy("key").agg(*[F.median(F.abs(F.col(a) - F.col(f"med_{a}"))).alias(f"mad_{a}") for a in STATISTICS])
+    spread = staged(off.groupBy("key").agg(*[F.median(F.abs(F.col(a) - F.col(f"med_{a}"))).alias(f"mad_{a}") for a in STATISTICS]))
     start = off.join(spread, "key")
     scaled = F.lit(0.0)
     for a in STATISTICS:
@@ -183,9 +185,10 @@ def judge(docs: DataFrame) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), key.alias("key"))
     measured = measures(narrow).select("doc_id", "text_hash", "key", *base, *[c.alias(n) for n, c in _statistics().items()])
-    measured = staged(measured)
-    sound = measured.where("NOT base_failed").select("key", *STATISTICS)
-    overall = scatter(sound.withColumn("key", F.lit("all")))
+    measured = staged(measured.withColumn("everyone", F.lit("all")))
+    sound = measured.where("NOT base_failed").select("key", "everyone", *STATISTICS)
+    overall = scatter(sound.drop("key").withColumnRenamed("everyone", "key"))
+    sound = sound.drop("everyone")
     groups = scatter(sound, overall.first())
     judged = _by_estimate(measured, groups)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
