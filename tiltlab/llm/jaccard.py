@@ -5,10 +5,9 @@ Two documents link when their sets of distinct five-word shingles have a Jaccard
 
 1. *Profile.* Tasks hash each text's shingles, give the set's size and a 128-bit fingerprint, and add up how
    often each hash cell of shingles occurs (a sketch of fixed size).
-2. *Prefixes.* Shingles are ordered by cell frequency, rarest first. Linked documents share one of the first
-   ``n - ceil(threshold * n) + 1`` shingles of each, so only those are posted. A count-min sketch drops those that occur
-   once; a shingle's posting list then names its leader. Components of the leader graph (*regions*) hold every
-   link, since linked documents share a posted shingle.
+2. *Prefixes.* Shingles are ordered by cell frequency, rarest first, and each set is posted under its first ones, by size class
+   (see ``postings``). A count-min sketch drops blocks that occur once; an indexed set of a block is its leader. Components
+   of the leader graph (*regions*) hold every link, since linked documents share a block in which one is indexed.
 3. *T-occurrence.* Each region's sets are gathered, one row for each distinct set. Small regions share a group;
    a large region is cut into chunks of ``CHUNK`` sets. Within a group an inverted index over shingles is searched
    with every set: DivideSkip merges the short lists, keeps candidates that reach the required overlap less the
@@ -43,7 +42,7 @@ from tiltlab.session import staged
 
 SIZE = 5
 PERCENT = 75
-FREQUENCY_BITS = 20
+FREQUENCY_BITS = 22
 POSTED_BITS = 26
 CHOSEN_BITS = 24
 CHUNK = 1000
@@ -95,16 +94,36 @@ def linked(shared, a, b, percent: int = PERCENT):
     return (100 + percent) * shared >= percent * (a + b)
 
 
-def prefixes(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Posted shingles and their texts: the first ones in order of (cell frequency, hash)."""
+def band(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Size classes such that sets that link are in the same class or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] <= (sizes.max() if len(sizes) else 0):
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+    return np.searchsorted(np.array(edges), sizes, side="right")
+
+
+def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks, texts and roles of the posted shingles, by order of (cell frequency, hash).
+
+    Of a linked pair, the first common shingle is among the first n - ceil(t n) + 1 of either set, and in the set that is not larger
+    among the first m - ceil(2 t / (1 + t) m) + 1. So every set is *indexed* under the latter in its own size class, and *probes* under the
+    former in its own class and the one below. A block is a hash of shingle and class; role 1 is indexed.
+    """
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
     rank = (level[cell(hashes, 0, FREQUENCY_BITS)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
     order = np.lexsort((rank, owner))
-    keep = n - least_overlap(n, percent) + 1
     place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
-    chosen = order[place < np.repeat(keep, n)]
-    return hashes[chosen], owner[chosen]
+    indexed = place < np.repeat(n + (2 * percent * n // -(100 + percent)) + 1, n)
+    probing = place < np.repeat(n - least_overlap(n, percent) + 1, n)
+    size_class = np.repeat(band(n, percent), n)
+    blocks, owners, roles = [], [], []
+    for down, role in ((0, indexed), (1, np.zeros(len(hashes), bool))):
+        at = np.flatnonzero(probing | indexed)
+        blocks.append(T.mix(hashes[order[at]] + (size_class[at] - down).astype(np.uint64) * T.M3))
+        owners.append(owner[at])
+        roles.append(role[at])
+    return np.concatenate(blocks), np.concatenate(owners), np.concatenate(roles)
 
 
 def search(sizes: np.ndarray, first: np.ndarray, members: np.ndarray, label: np.ndarray, queries: np.ndarray, indexed: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -179,23 +198,24 @@ def _regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
     cells = frequency_sketch(docs, all_shingles, FREQUENCY_BITS)
     level = context.broadcast(np.minimum(255, np.floor(8 * np.log2(cells + 1.0))).astype(np.uint8))
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for piece in T.pieces(batches):
             hashes, first = shingle_sets(piece.column("text"), size)
             a, _ = fingerprints(hashes, first)
-            token, owner = prefixes(hashes, first, level.value, percent)
-            yield token, a[owner]
+            block, owner, role = postings(hashes, first, level.value, percent)
+            yield block, a[owner], role
 
-    sketch = context.broadcast(repeat_sketch(docs, lambda batches: (token for token, _ in posted(batches)), POSTED_BITS))
+    sketch = context.broadcast(repeat_sketch(docs, lambda batches: (block for block, _, _ in posted(batches)), POSTED_BITS))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, a in posted(batches):
-            keep = sketch.value.repeated(token)
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(a[keep])], names=["token", "a"])
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, a, role in posted(batches):
+            keep = sketch.value.repeated(block)
+            yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(a[keep]), pa.array(role[keep])], names=["block", "a", "indexed"])
 
-    lists = staged(docs.mapInArrow(postings, "token long, a long"))
-    leaders = lists.groupBy("token").agg(F.min("a").alias("leader"), F.max("a").alias("other")).where("leader <> other")
-    edges = lists.join(leaders.select("token", "leader"), "token").where("a <> leader").select("a", F.col("leader").alias("b")).distinct()
+    found = staged(docs.mapInArrow(lists, "block long, a long, indexed boolean"))
+    leaders = found.groupBy("block").agg(F.min(F.when(F.col("indexed"), F.col("a"))).alias("leader"), F.min("a").alias("low"), F.max("a").alias("high"))
+    leaders = leaders.where("leader IS NOT NULL AND low <> high").select("block", "leader")
+    edges = found.join(leaders, "block").where("a <> leader").select("a", F.col("leader").alias("b")).distinct()
     return components(edges)
 
 
