@@ -6,8 +6,9 @@ Two documents link when their sets of distinct five-word shingles have a Jaccard
 1. *Profile.* Tasks hash each text's shingles, give the set's size and a 128-bit fingerprint, and add up how
    often each hash cell of shingles occurs (a sketch of fixed size).
 2. *Prefixes.* Shingles are ordered by cell frequency, rarest first, and each set is posted under its first ones, by size class
-   (see ``postings``). A count-min sketch drops blocks that occur once; an indexed set of a block is its leader. Components
-   of the leader graph (*regions*) hold every link, since linked documents share a block in which one is indexed.
+   (see ``postings``); linked documents share a block. A count-min sketch drops blocks that occur once. Sets of a block
+   with many rows are joined to a leader; in blocks of at most ``FEW`` rows the pairs are taken, less those that sizes or parity bits
+   prove unlinked. Components of that graph (*regions*) hold every link.
 3. *T-occurrence.* Each region's sets are gathered, one row for each distinct set. Small regions share a group;
    a large region is cut into chunks of ``CHUNK`` sets. Within a group an inverted index over shingles is searched
    with every set: DivideSkip merges the short lists, keeps candidates that reach the required overlap less the
@@ -46,6 +47,8 @@ FREQUENCY_BITS = 22
 POSTED_BITS = 26
 CHOSEN_BITS = 24
 CHUNK = 1000
+FEW = 16
+PARITY_BITS = 1024
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,20 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return a.view(np.int64), b.view(np.int64)
 
 
+def parities(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """``PARITY_BITS`` bits of each set: how often its shingles hit each, modulo two.
+
+    Bits that differ between two sets are no more than the shingles in which they differ.
+    """
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    hit = owner * PARITY_BITS + (T.mix(hashes) >> np.uint64(54)).astype(np.int64)
+    bits = np.bincount(hit, minlength=n * PARITY_BITS).astype(np.uint8) & 1
+    longs = np.packbits(bits).view(np.int64)
+    width = PARITY_BITS // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(longs))
+
+
 def least_overlap(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shingles that a set of this size shares at least with any set it links with."""
     return -(-percent * sizes // 100)
@@ -181,13 +198,16 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
         for piece in T.pieces(batches):
             hashes, first = shingle_sets(piece.column("text"), size)
             a, b = fingerprints(hashes, first)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(first)), pa.array(a), pa.array(b)], names=["doc_id", "text_hash", "n_shingles", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(first)), pa.array(a), pa.array(b), parities(hashes, first)],
+                names=["doc_id", "text_hash", "n_shingles", "a", "b", "parity"],
+            )
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return hashed.mapInArrow(profile, "doc_id long, text_hash long, n_shingles long, a long, b long")
+    return hashed.mapInArrow(profile, "doc_id long, text_hash long, n_shingles long, a long, b long, parity array<long>")
 
 
-def _regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root): sets that share a posted shingle with a different set, by fingerprint a, and their region."""
     context = docs.sparkSession.sparkContext
 
@@ -213,10 +233,23 @@ def _regions(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(a[keep]), pa.array(role[keep])], names=["block", "a", "indexed"])
 
     found = staged(docs.mapInArrow(lists, "block long, a long, indexed boolean"))
-    leaders = found.groupBy("block").agg(F.min(F.when(F.col("indexed"), F.col("a"))).alias("leader"), F.min("a").alias("low"), F.max("a").alias("high"))
-    leaders = leaders.where("leader IS NOT NULL AND low <> high").select("block", "leader")
-    edges = found.join(leaders, "block").where("a <> leader").select("a", F.col("leader").alias("b")).distinct()
-    return components(edges)
+    blocks = found.groupBy("block").agg(
+        F.min(F.when(F.col("indexed"), F.col("a"))).alias("leader"), F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("rows")
+    )
+    blocks = staged(blocks.where("leader IS NOT NULL AND low <> high").select("block", "leader", "rows"))
+    # Many sets in a block: each with the leader.
+    stars = found.join(blocks.where(F.col("rows") > FEW).select("block", "leader"), "block").where("a <> leader")
+    stars = stars.select("a", F.col("leader").alias("b")).distinct()
+    # Few: the pairs of each distinct list, unless their sizes or parities rule a link out.
+    members = found.join(blocks.where(F.col("rows") <= FEW).select("block"), "block").groupBy("block").agg(F.sort_array(F.collect_set("a")).alias("s"))
+    lists = members.select("s").distinct()
+    pairs = lists.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))")).alias("p"))
+    pairs = pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).distinct()
+    sets = profile.dropDuplicates(["a"]).select("a", "n_shingles", "parity")
+    pairs = pairs.join(sets.toDF("a", "n", "p"), "a").join(sets.toDF("b", "m", "q"), "b")
+    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m")))
+    return components(stars.unionByName(pairs.where(fits).select("a", "b")))
 
 
 def _tiles(sets: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profile = staged(_profile(docs, size))
-    regions = staged(_regions(docs.where("doc_id IS NOT NULL"), size, percent))
+    regions = staged(_regions(docs.where("doc_id IS NOT NULL"), profile, size, percent))
     classes = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Sets that may link, each under the smallest id that has it.
     chosen = staged(classes.join(regions, F.col("a") == F.col("node")).select("rep", "a", "b", F.col("root").alias("region")))
