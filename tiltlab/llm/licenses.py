@@ -129,6 +129,18 @@ class RareTokenIndex:
             for place, word in enumerate(np.searchsorted(self.vocabulary, template.words).tolist()):
                 self.postings[word].append((number, place))
         self.frequency = np.zeros(len(self.vocabulary), np.int64)
+        self.anchor = np.zeros(len(self.vocabulary), bool)
+
+    def count_files(self, frequency: np.ndarray) -> None:
+        """Take the words' document frequencies; the rarest word of each mandatory phrase becomes its anchor.
+
+        A file without any anchor can hold no template and no base phrase.
+        """
+        self.frequency = frequency
+        keys = [t.words[k : k + n] for t in self.templates for k, n in t.keys[:1]] + [p for p, _ in self.phrases]
+        for key in keys:
+            kinds = np.searchsorted(self.vocabulary, key)
+            self.anchor[kinds[np.argmin(frequency[kinds])]] = True
 
     def match(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of words that occur in some template, and which words."""
@@ -182,8 +194,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, ra
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["word", "files"])
 
     counted = narrow.select("text").mapInArrow(frequencies, "word long, files long").groupBy("word").agg(F.sum("files").alias("files"))
+    frequency = np.zeros(len(index.vocabulary), np.int64)
     for word, files in counted.collect():  # at most one row for each template word
-        index.frequency[word] = files
+        frequency[word] = files
+    index.count_files(frequency)
     shared = spark.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +206,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, ra
             found = T.words(piece.column("text"), T.NOT_ALNUM, lower=True)
             at, kind = index.match(found.hash)
             bounds = np.searchsorted(at, found.first)
+            anchors = np.concatenate([[0], np.cumsum(index.anchor[kind])])
+            worth = anchors[bounds[1:]] > anchors[bounds[:-1]]
             rows = {"n_base": [], "first_word": [], "last_word": [], "base_labels": [], "labels": [], "score": []}
             for i in range(len(found)):
                 words = found.hash[found.first[i] : found.first[i + 1]]
                 part = slice(bounds[i], bounds[i + 1])
                 places, base, labels, score = [], set(), set(), 0.0
-                if part.stop > part.start:
+                if worth[i]:
                     for phrase, label in index.phrases:
                         spots = _find(words, phrase)
                         if len(spots):
