@@ -88,7 +88,7 @@ def repeat_sketch(df: DataFrame, keys: Keys, bits: int, least: int = 2) -> Repea
         df.mapInArrow(count, "slice int, once binary, more binary")
         .repartition("slice")
         .mapInArrow(merge, "slice int, bitmap binary")
-        .collect()
+        .toLocalIterator()  # one slice at a time on the driver
     )
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(RepeatSketch.rows)]
     for number, bitmap in found:

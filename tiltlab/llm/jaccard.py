@@ -44,7 +44,7 @@ from tiltlab.session import staged
 SIZE = 5
 PERCENT = 75
 FREQUENCY_BITS = 22
-POSTED_BITS = 26
+POSTED_BITS = 28
 CHOSEN_BITS = 24
 CHUNK = 1000
 FEW = 16
@@ -128,8 +128,10 @@ def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent:
     """
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
-    rank = (level[cell(hashes, 0, FREQUENCY_BITS)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
-    order = np.lexsort((rank, owner))
+    # Sets come sorted by hash, so a stable sort by text, level and leading bits orders ties by the whole hash.
+    room = np.uint64(max(len(n), 1).bit_length())
+    rank = (owner.astype(np.uint64) << (np.uint64(64) - room)) | (level[cell(hashes, 0, FREQUENCY_BITS)].astype(np.uint64) << (np.uint64(56) - room))
+    order = np.argsort(rank | (hashes >> (np.uint64(8) + room)), kind="stable")
     place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
     indexed = place < np.repeat(n + (2 * percent * n // -(100 + percent)) + 1, n)
     probing = place < np.repeat(n - least_overlap(n, percent) + 1, n)
