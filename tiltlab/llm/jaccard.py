@@ -111,12 +111,13 @@ def linked(shared, a, b, percent: int = PERCENT):
     return (100 + percent) * shared >= percent * (a + b)
 
 
-def band(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Size classes such that sets that link are in the same class or in neighbouring ones."""
+def band(sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Size classes such that sets that link are in the same class or in neighbouring ones, and each class's smallest size."""
     edges = [1]
     while edges[-1] <= (sizes.max() if len(sizes) else 0):
         edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
-    return np.searchsorted(np.array(edges), sizes, side="right")
+    number = np.searchsorted(np.array(edges), sizes, side="right")
+    return number, np.array(edges)[np.maximum(number - 1, 0)]
 
 
 def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +125,8 @@ def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent:
 
     Of a linked pair, the first common shingle is among the first n - ceil(t n) + 1 of either set, and in the set that is not larger
     among the first m - ceil(2 t / (1 + t) m) + 1. So every set is *indexed* under the latter in its own size class, and *probes* under the
-    former in its own class and the one below. A block is a hash of shingle and class; role 1 is indexed.
+    former in its own class (where the bound uses the class's smallest size) and the one below. A block is a hash of shingle
+    and class; role 1 is indexed.
     """
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
@@ -135,10 +137,12 @@ def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent:
     place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
     indexed = place < np.repeat(n + (2 * percent * n // -(100 + percent)) + 1, n)
     probing = place < np.repeat(n - least_overlap(n, percent) + 1, n)
-    size_class = np.repeat(band(n, percent), n)
+    classes, smallest = band(n, percent)
+    beside = place < np.repeat(n + (percent * (n + smallest) // -(100 + percent)) + 1, n)
+    size_class = np.repeat(classes, n)
     blocks, owners, roles = [], [], []
-    for down, role in ((0, indexed), (1, np.zeros(len(hashes), bool))):
-        at = np.flatnonzero(probing | indexed)
+    for down, role, within in ((0, indexed, (beside & probing) | indexed), (1, np.zeros(len(hashes), bool), probing)):
+        at = np.flatnonzero(within)
         blocks.append(T.mix(hashes[order[at]] + (size_class[at] - down).astype(np.uint64) * T.M3))
         owners.append(owner[at])
         roles.append(role[at])
@@ -235,6 +239,8 @@ def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(a[keep]), pa.array(role[keep])], names=["block", "a", "indexed"])
 
     found = staged(docs.mapInArrow(lists, "block long, a long, indexed boolean"))
+    level.destroy()
+    sketch.destroy()
     blocks = found.groupBy("block").agg(
         F.min(F.when(F.col("indexed"), F.col("a"))).alias("leader"), F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("rows")
     )
@@ -258,6 +264,8 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
     """Links found in each group of (tile); ``side`` 0 is searched in the index of side 1, or both in one."""
 
     def solve(table: pa.Table) -> pa.Table:
+        rows = pa.table([table.column("rep"), table.column("side"), pa.array(np.arange(table.num_rows))], names=["rep", "side", "i"])
+        table = table.take(rows.group_by(["rep", "side"]).aggregate([("i", "min")]).column("i_min"))  # equal rows of other pieces
         sizes = table.column("n").to_numpy().astype(np.int64)
         names = table.column("rep").to_numpy()
         side = table.column("side").to_numpy()
@@ -286,6 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
     classes = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Sets that may link, each under the smallest id that has it.
     chosen = staged(classes.join(regions, F.col("a") == F.col("node")).select("rep", "a", "b", F.col("root").alias("region")))
+    chosen = chosen.join(chosen.groupBy("region").agg(F.count("*").alias("members")), "region")
 
     def chosen_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -297,6 +306,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
         for piece in T.pieces(batches):
             keep = picked.value.repeated(T.mix(piece.column("doc_id").to_numpy().view(np.uint64)))
             piece = piece.filter(pa.array(keep))
+            if piece.num_rows:  # equal rows of a piece count once
+                rows = pa.table([piece.column("doc_id"), piece.column("text_hash"), pa.array(np.arange(piece.num_rows))], names=["d", "t", "i"])
+                piece = piece.take(rows.group_by(["d", "t"]).aggregate([("i", "min")]).column("i_min").combine_chunks())
             if piece.num_rows == 0:
                 continue
             hashes, first = shingle_sets(piece.column("text"), size)
@@ -304,16 +316,17 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
             raw = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(hashes.tobytes())])
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b), raw.cast(pa.binary())], names=["id", "n", "sa", "sb", "shingles"])
 
-    found = docs.where("doc_id IS NOT NULL").mapInArrow(sets, "id long, n long, sa long, sb long, shingles binary")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = named.mapInArrow(sets, "id long, n long, sa long, sb long, shingles binary")
     same = (F.col("id") == F.col("rep")) & (F.col("sa") == F.col("a")) & (F.col("sb") == F.col("b"))
-    gathered = staged(found.join(chosen, same).dropDuplicates(["rep", "a", "b"]).select("rep", "n", "shingles", "region"))
+    gathered = staged(found.join(chosen, same).select("rep", "n", "shingles", "region", "members"))
+    picked.destroy()
     return _label(profile, classes, _link(gathered, percent, chunk))
 
 
 def _link(gathered: DataFrame, percent: int, chunk: int) -> DataFrame:
     """(node, root) over the sets of ``gathered`` that are linked with another set."""
-    sizes = gathered.groupBy("region").agg(F.count("*").alias("members"))
-    placed = gathered.join(sizes, "region")
+    placed = gathered
     # Small regions share groups of about ``chunk`` sets; a large one is cut at random into chunks of about that size.
     pool = F.lit(1) + F.floor(F.lit(placed.select("rep").count()) / F.lit(chunk))
     chunks = F.when(F.col("members") > chunk, F.ceil(F.col("members") / F.lit(chunk))).otherwise(1)
