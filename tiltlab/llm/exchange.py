@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tiltlab.llm.tokens import M3, mix
 
 SLICES = 64
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 Keys = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
 
 

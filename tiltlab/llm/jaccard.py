@@ -44,7 +44,7 @@ from tiltlab.session import staged
 SIZE = 5
 PERCENT = 75
 FREQUENCY_BITS = 22
-POSTED_BITS = 28
+POSTED_BITS = 27
 CHOSEN_BITS = 24
 CHUNK = 1000
 FEW = 16
