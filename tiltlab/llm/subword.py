@@ -53,8 +53,9 @@ def _groups(found: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     yield np.where(echo, 0, 1), found.first[:-1], found.first[1:]
     for order in ORDERS:
         if len(found.data) >= order:
-            last = np.maximum(found.offsets[1:] - order + 1, found.offsets[:-1])
-            yield _grams(found.data, order), found.offsets[:-1], last
+            grams = _grams(found.data, order)
+            first = np.minimum(found.offsets[:-1], len(grams))
+            yield grams, first, np.clip(found.offsets[1:] - order + 1, first, len(grams))
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
