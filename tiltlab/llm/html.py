@@ -251,6 +251,8 @@ class BlockReader(HTMLParser):
 
     def finish(self, page: str) -> list[Block]:
         self.feed(page)
+        if re.match(r"</?[a-zA-Z!]", self.rawdata):  # a tag or comment that the page's end cuts off
+            self.rawdata = ""
         self.close()
         self._end_block()
         return self.blocks
