@@ -261,7 +261,8 @@ class BlockReader(HTMLParser):
 def features(blocks: list[Block]) -> list[tuple]:
     none = Block("", 0, 0.0, False, False, False, False)
     rows = []
-    for before, block, after in zip([none, *blocks[:-1]], blocks, [*blocks[1:], none], strict=True):
+    around = [none, *blocks, none]
+    for before, block, after in zip(around, blocks, around[2:]):
         rows.append((block.words, block.links, before.words, before.links, after.words, after.links, block.heading, block.furniture, block.marked, block.main))
     return rows
 
