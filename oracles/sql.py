@@ -70,7 +70,7 @@ CTES["bounds28"] = CTES["bounds"].replace("1995-06-08", "1995-06-29")
 
 ORACLES["price_panel"] = compose(f"SELECT ticker, t, date, {r('ln(close)', 'log_close', 8)}, {r('ln(bench)', 'log_bench', 8)} FROM grid")
 ORACLES["price_lookback"] = compose(
-    f"SELECT ticker, date, {r('ln(px_sum / px_count)', 'log_close', 8)} FROM bars WHERE date >= DATE '2001-06-01' - 365"
+    f"SELECT ticker, date, {r('ln(px_sum / px_count)', 'log_close', 8)} FROM bars WHERE date BETWEEN DATE '2001-06-01' - 365 AND DATE '2001-06-01'"
 )
 ORACLES["aligned_returns"] = compose(f"""
 WITH common AS (SELECT date FROM bars GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM bars)),
@@ -269,8 +269,8 @@ FROM (SELECT *, list_filter([tanh(revenue_growth / 0.15), tanh((net_margin - 0.0
 
 CTES["filers"] = "SELECT 'Brand#' || CAST(n_nationkey + 1 AS VARCHAR) AS ticker, lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS cik, n_regionkey AS region, n_name FROM nation"
 CTES["quarter_ends"] = """
-SELECT cik, CAST(last_day(CAST(d AS DATE)) AS DATE) AS as_of FROM filers,
- (SELECT unnest(generate_series(DATE '1996-03-01', DATE '2002-12-01', INTERVAL 3 MONTH)) AS d)"""
+SELECT cik, CAST(unnest(generate_series(a, b, INTERVAL 3 MONTH)) - INTERVAL 1 DAY AS DATE) AS as_of FROM filers, (
+  SELECT date_trunc('quarter', min(filed)) AS a, date_trunc('quarter', max(filed)) + INTERVAL 12 MONTH AS b FROM facts)"""
 CTES["months"] = """
 SELECT date AS as_of, t AS t_from, coalesce(lead(t) OVER (ORDER BY t), (SELECT max(t) + 1 FROM days)) AS t_to
 FROM (SELECT date, t, lag(date) OVER (ORDER BY t) AS p FROM days) WHERE p IS NULL OR month(p) <> month(date)"""
@@ -286,7 +286,7 @@ ORACLES["facts_dedupe"] = compose(f"""
 SELECT cik, tag, unit, fend AS period_end, {r('arg_max(val, (filed, -pos))', 'val', 3)}, max(filed) AS filed FROM facts
 WHERE (form LIKE '10-K%' OR form LIKE '20-F%') AND fend - fstart BETWEEN 350 AND 380 GROUP BY 1, 2, 3, 4""")
 ORACLES["facts_asof"] = compose(
-    f"SELECT cik, as_of, series, tag_rank, fend AS period_end, {r('val', 'val', 3)} FROM fq_pts WHERE as_of - fend <= 980"
+    f"SELECT cik, as_of, series, tag_rank, fend AS period_end, {r('val', 'val', 3)} FROM fq_pts"
 )
 ORACLES["share_classes"] = compose(f"""
 SELECT cik, filed, max(fend) AS period_end, {r('arg_max(val, fend)', 'val', 2)}
@@ -573,15 +573,16 @@ SELECT strategy, days, {r('ret', 'annual_return')}, {r('vol', 'annual_volatility
 FROM s JOIN bt_dd USING (strategy) JOIN u USING (strategy)""")
 U01 = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
 ORACLES["bootstrap_ci"] = compose(f"""
-WITH n AS (SELECT max(t) AS n FROM days),
+WITH x AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY ticker) AS n, simple_return
+      FROM weekly WHERE simple_return IS NOT NULL),
+n AS (SELECT DISTINCT n FROM x),
 g AS (SELECT rep, i, n, (i = 0) OR ({U01.format("'42:' || rep || ':' || i || ':break'")}) < 0.1 AS brk,
              CAST(floor(({U01.format("'42:' || rep || ':' || i || ':start'")}) * n) AS BIGINT) AS s
-      FROM (SELECT unnest(range(200)) AS rep), n, LATERAL (SELECT unnest(range(n)) AS i)),
+      FROM (SELECT unnest(range(2000)) AS rep), n, LATERAL (SELECT unnest(range(n)) AS i)),
 f AS (SELECT rep, i, n, last_value(CASE WHEN brk THEN s END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN brk THEN i END IGNORE NULLS) OVER w AS at0
-      FROM g WINDOW w AS (PARTITION BY rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-p AS (SELECT rep, i, (s + i - at0) % n AS idx FROM f),
-x AS (SELECT ticker, t - 1 AS idx, simple_return FROM weekly QUALIFY count(*) OVER (PARTITION BY ticker) = (SELECT n FROM n)),
-d AS (SELECT ticker, rep, avg(simple_return) AS draw FROM p JOIN x USING (idx) GROUP BY 1, 2),
+      FROM g WINDOW w AS (PARTITION BY n, rep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT rep, n, (s + i - at0) % n AS idx FROM f),
+d AS (SELECT ticker, rep, avg(simple_return) AS draw FROM p JOIN x USING (n, idx) GROUP BY 1, 2),
 k AS (SELECT ticker, draw, row_number() OVER (PARTITION BY ticker ORDER BY draw, rep) - 1 AS k, count(*) OVER (PARTITION BY ticker) AS c FROM d)
 SELECT ticker, {r('max(CASE WHEN k = CAST(round((c - 1) * 0.025) AS INTEGER) THEN draw END)', 'ci_low')},
   {r('max(CASE WHEN k = CAST(round((c - 1) * 0.975) AS INTEGER) THEN draw END)', 'ci_high')}, count(*) AS draws FROM k GROUP BY 1""")
@@ -601,7 +602,7 @@ SELECT p_partkey, array_to_string(list_transform(string_split(n, ' '), lambda w:
 ORACLES["tickers_normalized"] = """
 SELECT p_partkey, CASE WHEN p_type = p_brand THEN NULL ELSE upper(p_brand) || ',BRK-B,' || upper(p_type) END AS tickers FROM part"""
 ORACLES["csv_dates"] = """
-SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN d WHEN '2' THEN d WHEN '3' THEN d + 1 WHEN '4' THEN d + 1 END AS date
+SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN d WHEN '2' THEN CASE WHEN o_orderkey % 2 = 0 THEN d ELSE d - 1 END WHEN '3' THEN d + 1 WHEN '4' THEN d + 1 END AS date
 FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)"""
 ORACLES["relevance"] = """
 WITH h AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'Of' WHEN 'fr' THEN 'La' WHEN 'de' THEN 'Der' ELSE 'El' END AS ticker FROM documents)
@@ -621,9 +622,9 @@ SELECT page_id, {DECODE.format('raw')} AS title,
 FROM (SELECT *, regexp_extract(raw, '(\\S+)$', 1) AS src FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw FROM pages))"""
 ORACLES["headlines_dedup_topk"] = """
 WITH f AS (
-  SELECT source AS ticker, text AS title, TIMESTAMP '2024-01-10' - to_minutes(CAST(doc_id AS INTEGER)) AS published, doc_id AS pos, 0 AS feed_rank FROM documents
+  SELECT source AS ticker, text AS title, TIMESTAMP '2024-01-10' - to_minutes(CAST(doc_id * 37 % 20160 AS INTEGER)) AS published, doc_id AS pos, 0 AS feed_rank FROM documents
   UNION ALL
-  SELECT 'src' || CAST(conv_id % 20 AS VARCHAR), text, TIMESTAMP '2024-01-10' - to_minutes(CAST(conv_id AS INTEGER)), conv_id * 1000 + turn, 1 FROM conversations),
+  SELECT 'src' || CAST(conv_id % 20 AS VARCHAR), text, TIMESTAMP '2024-01-10' - to_minutes(CAST(conv_id * 37 % 20160 AS INTEGER)), conv_id * 1000 + turn, 1 FROM conversations),
 k AS (SELECT *, row_number() OVER (PARTITION BY ticker, lower(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')) ORDER BY feed_rank, pos) AS c
       FROM f WHERE published >= TIMESTAMP '2024-01-10' - INTERVAL 7 DAY)
 SELECT ticker, feed_rank, pos, md5(title) AS title_md5 FROM k WHERE c = 1
@@ -693,17 +694,17 @@ SELECT md5(text) AS text_md5, {r(U01.format('text'), 'u', 9)} FROM (SELECT DISTI
 # Universe ------------------------------------------------------------------------------------------
 
 CTES["listed"] = """
-SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_suppkey, translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS ticker, s_acctbal * 100.0 AS val
-FROM supplier WHERE length(CAST(s_suppkey AS VARCHAR)) <= 5"""
+SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_suppkey, s_acctbal * 100.0 AS val,
+       array_to_string(list_transform([456976, 17576, 676, 26, 1], lambda step: chr(CAST(65 + s_suppkey // step % 26 AS INTEGER))), '') AS ticker
+FROM supplier"""
 ORACLES["shortest_ticker"] = compose("SELECT cik, ticker FROM listed")
 CTES["screened"] = """
 SELECT l.ticker, l.cik, CASE WHEN DATE '1999-07-01' - p.last <= 7 THEN p.close * l.val END AS cap,
        coalesce(DATE '1999-07-01' - p.last <= 7 AND p.close * l.val BETWEEN 5e7 AND 3e9 AND p.history >= 300, false) AS eligible
-FROM listed l LEFT JOIN (
+FROM (SELECT * FROM listed WHERE val > 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY s_suppkey) = 1) l LEFT JOIN (
   SELECT l_suppkey, max(d) AS last, arg_max(close, d) AS close, count(*) FILTER (d < DATE '1999-07-01') AS history FROM (
     SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2)
-  WHERE d <= DATE '1999-07-01' GROUP BY 1) p ON p.l_suppkey = l.s_suppkey
-WHERE l.val > 0"""
+  WHERE d <= DATE '1999-07-01' GROUP BY 1) p ON p.l_suppkey = l.s_suppkey"""
 ORACLES["universe_screen"] = compose(f"SELECT ticker, cik, {r('cap / 1e6', 'cap', 4)}, eligible FROM screened")
 CTES["drawn"] = f"""
 SELECT row_number() OVER (ORDER BY u, ticker) AS position, ticker, cap, u FROM (

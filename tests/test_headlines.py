@@ -102,11 +102,11 @@ def test_agreement(spark):
     assert got["ref"].label_agreement == 1.0 and abs(got["ref"].score_correlation - 1) < 1e-12
 
 
-def test_percentile_brackets_large_groups(spark):
-    n = 120_000
-    ids = spark.range(n)
-    pairs = ids.select(F.lit("m").alias("model"), ((F.col("id") * 7919) % n / n).alias("diff"))
-    stats = pairs.groupBy("model").agg(
-        F.count(F.lit(1)).alias("texts"), F.percentile_approx("diff", F.array(F.lit(0.9895), F.lit(0.9905)), F.lit(10000)).alias("_near")
-    )
-    assert compare._p99(pairs, stats).first().p99_abs_score_diff == int((n - 1) * 0.99) / n
+def test_percentile_is_exact_at_any_size(spark):
+    for n in (1, 7, 99_999, 100_001, 250_000):
+        # A permutation of n values, a third of them equal.
+        diff = F.when(F.col("id") % 3 == 0, 0.25).otherwise((F.col("id") * 7919 % n) / n * 2)
+        pairs = spark.range(n).select(F.lit("m").alias("model"), diff.cast("double").alias("diff"))
+        stats = pairs.groupBy("model").agg(F.count(F.lit(1)).alias("texts"))
+        want = sorted(r.diff for r in pairs.collect())[int((n - 1) * 0.99)]
+        assert compare._p99(pairs, stats).first().p99_abs_score_diff == want

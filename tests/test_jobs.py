@@ -148,7 +148,8 @@ def test_request_validation(spark):
     got = {}
     for r in validation.violations(validation.normalized_requests(df)).collect():
         got.setdefault(r.run, []).append(r.violation)
-    assert "ok" not in got and len(got["one"]) == len(got["bad"]) == 1 and len(got["nan"]) == 2
+    assert "ok" not in got and got["one"] == ["tickers:count in 2..20"] and got["bad"] == ["tickers:shape"]
+    assert {v.split(":")[0] for v in got["nan"]} == {"budget", "tau"} and len(got["nan"]) == 2
 
 
 def test_analysis(spark):

@@ -130,11 +130,27 @@ def has_words(title: Column, least: int = 3) -> Column:
     return F.size(F.filter(F.split(title, r"\s+"), lambda w: w != "")) >= least
 
 
+# Named zones of RFC 2822.
+ZONES = {
+    "EST": "-0500",
+    "EDT": "-0400",
+    "CST": "-0600",
+    "CDT": "-0500",
+    "MST": "-0700",
+    "MDT": "-0600",
+    "PST": "-0800",
+    "PDT": "-0700",
+}
+
+
 def feed_timestamp(raw: Column) -> Column:
-    """Feed publication date (day name optional, numeric zone or GMT) as a timestamp; NULL if malformed."""
+    """Feed publication date (RFC 2822: day name and seconds optional, zone numeric or named) as a timestamp; NULL if malformed."""
     undated = F.regexp_replace(F.trim(raw), "^[A-Za-z]{3}, *", "")
     zoned = F.regexp_replace(undated, "(GMT|UTC|UT|Z)$", "+0000")
-    return F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss xx"))
+    for zone, offset in ZONES.items():
+        zoned = F.regexp_replace(zoned, f" {zone}$", f" {offset}")
+    timed = F.regexp_replace(zoned, r" (\d{2}:\d{2}) ", " $1:00 ")
+    return F.try_to_timestamp(timed, F.lit("d MMM yyyy HH:mm:ss xx"))
 
 
 def parse_date(raw: Column) -> Column:
@@ -145,7 +161,8 @@ def parse_date(raw: Column) -> Column:
         text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"),
         F.try_to_timestamp(F.replace(F.upper(text), F.lit("T"), F.lit(" "))),
     )
-    offset = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss xx"))
+    plain = F.regexp_replace(text, r"([+-]\d{2}):(\d{2})$", "$1$2")
+    offset = F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss xx"))
     leading = F.when(
         F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"),
         F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),

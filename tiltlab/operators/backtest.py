@@ -160,7 +160,6 @@ def strategy_stats(returns: DataFrame, turnovers: DataFrame, params: EvalParams,
         active.select("strategy", "idx", "active"),
         ("strategy",),
         F.avg("active") * ann,
-        returns.agg((F.max("idx") + 1).alias("n")).scalar(),
         params.bootstrap_reps,
         params.bootstrap_block,
         params.bootstrap_seed,

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tiltlab.functions.numeric import correlation, hashed_uniform
 from tiltlab.operators.sentiment import Scorer
+from tiltlab.session import staged
+
+BUCKETS = 8192
 
 
 def last_label() -> Column:
@@ -52,44 +55,37 @@ def agreement(scored: DataFrame, reference: str, key: str = "text") -> DataFrame
             F.abs(F.col("_v.s") - F.col("_ref.s")).alias("diff"),
         )
     )
-    near = F.percentile_approx("diff", F.array(F.lit(0.9895), F.lit(0.9905)), F.lit(10000))
+    pairs = staged(pairs)
     stats = pairs.groupBy("model").agg(
         F.count(F.lit(1)).alias("texts"),
         F.avg(F.col("same").cast("double")).alias("label_agreement"),
         F.avg("diff").alias("mean_abs_score_diff"),
         F.max("diff").alias("max_abs_score_diff"),
         correlation("r", "s").alias("score_correlation"),
-        near.alias("_near"),
     )
-    return stats.drop("_near").join(_p99(pairs, stats), "model")
+    return stats.join(_p99(pairs, stats), "model")
 
 
 def _p99(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     """The element at floor((n - 1) * 0.99) of each model's differences, exactly.
 
-    A quantile sketch brackets it; values below the bracket are only counted and values inside are
-    ranked, so no task sorts a model's whole column. Small groups are ranked whole.
+    Differences are counted by buckets of fixed width, a running count finds the bucket that holds the element, and
+    only the values inside it are ranked. Differences lie between 0 and 2, so a model has ``BUCKETS`` of them at most.
     """
-    small = F.col("texts") < 100_000
-    bracket = stats.select(
-        "model",
-        F.floor((F.col("texts") - 1) * F.lit(0.99)).alias("_at"),
-        F.when(~small, F.get("_near", F.lit(0))).alias("_low"),
-        F.when(~small, F.get("_near", F.lit(1))).alias("_high"),
-    )
+    at = stats.select("model", F.floor((F.col("texts") - 1) * F.lit(0.99)).alias("_at"))
+    bucketed = pairs.select("model", "diff", F.floor(F.col("diff") * F.lit(BUCKETS / 2)).alias("_bucket"))
+    upto = Window.partitionBy("model").orderBy("_bucket")
+    counted = bucketed.groupBy("model", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).join(at, "model")
+    holds = (F.col("_before") <= F.col("_at")) & (F.col("_before") + F.col("_c") > F.col("_at"))
     # One row per compared model: a handful.
-    met = pairs.select("model", "diff").join(F.broadcast(bracket), "model")
-    below = F.coalesce(F.col("diff") < F.col("_low"), F.lit(False))
-    inside = met.where(~below & F.coalesce(F.col("diff") <= F.col("_high"), F.lit(True)))
-    skipped = met.groupBy("model").agg(F.count_if(below).alias("_skipped"))
-    # Differences repeat: count per value, then run over the distinct values of the bracket.
-    upto = Window.partitionBy("model").orderBy("diff")
+    met = bucketed.join(F.broadcast(counted.where(holds).drop("_c")), ["model", "_bucket"])
+    # Differences repeat: count per value, then run over the distinct values of the bucket.
+    values = met.groupBy("model", "diff", "_at", "_before").agg(F.count(F.lit(1)).alias("_c"))
+    running = F.sum("_c").over(Window.partitionBy("model").orderBy("diff"))
     return (
-        inside.groupBy("model", "diff", "_at")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(upto))
-        .join(F.broadcast(skipped), "model")
-        .where(F.col("_upto") + F.col("_skipped") > F.col("_at"))
+        values.withColumn("_upto", running + F.col("_before"))
+        .where(F.col("_upto") > F.col("_at"))
         .groupBy("model")
         .agg(F.min("diff").alias("p99_abs_score_diff"))
     )

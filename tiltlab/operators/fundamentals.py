@@ -132,9 +132,15 @@ def _meet(versions: DataFrame, as_ofs: DataFrame, last_useful: Column) -> DataFr
     ).drop("_month")
 
 
-def visible_periods(facts: DataFrame, as_ofs: DataFrame) -> DataFrame:
-    """Period values known at each ``(cik, as_of)``."""
-    return _meet(_period_versions(facts), as_ofs, F.date_add("end", _USEFUL_DAYS)).select(
+def visible_periods(facts: DataFrame, as_ofs: DataFrame, useful_days: int | None = None) -> DataFrame:
+    """Period values known at each ``(cik, as_of)``, however old, or at most about ``useful_days`` old.
+
+    The limit saves work for readers that ignore older periods; it is applied by the month.
+    """
+    last = as_ofs.agg(F.max("as_of")).scalar()
+    if useful_days is not None:
+        last = F.least(last, F.date_add("end", useful_days))
+    return _meet(_period_versions(facts), as_ofs, last).select(
         "cik", "as_of", "series", "tag_rank", "end", "val"
     )
 
@@ -213,7 +219,7 @@ def _extract(as_ofs: DataFrame, series: DataFrame, cover: DataFrame) -> DataFram
 
 def fundamentals_as_of(facts: DataFrame, as_ofs: DataFrame) -> DataFrame:
     """Fundamentals exactly as known at each distinct ``(cik, as_of)``: filed on or before that date."""
-    series = choose_series(visible_periods(facts, as_ofs.select("cik", "as_of")))
+    series = choose_series(visible_periods(facts, as_ofs.select("cik", "as_of"), _USEFUL_DAYS))
     return _extract(as_ofs, series, visible_cover(facts, as_ofs.select("cik", "as_of")))
 
 

@@ -47,8 +47,9 @@ def price_panel(prices: DataFrame, days: DataFrame, tickers: DataFrame | None =
 
 
 def lookback(prices: DataFrame, end: str, days: int) -> DataFrame:
-    """Closes of the last ``days`` calendar days before ``end``."""
-    return prices.where(F.col("date") >= F.date_sub(F.lit(end).cast("date"), days))
+    """Closes of the ``days`` calendar days up to ``end``, which is included; later ones are not seen."""
+    last = F.lit(end).cast("date")
+    return prices.where((F.col("date") >= F.date_sub(last, days)) & (F.col("date") <= last))
 
 
 def aligned_log_returns(prices: DataFrame, group: Sequence[str] = ()) -> DataFrame:

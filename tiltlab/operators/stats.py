@@ -207,42 +207,42 @@ def max_drawdown(returns: DataFrame, keys: Sequence[str], order: str, value: str
     )
 
 
-def bootstrap_paths(length: Column, reps: int, block: float, seed: int, spark) -> DataFrame:
-    """Stationary-bootstrap index paths ``(rep, i, idx)`` with geometric blocks and wrap-around.
+def bootstrap_paths(lengths: DataFrame, reps: int, block: float, seed: int) -> DataFrame:
+    """Stationary-bootstrap index paths ``(len, rep, i, idx)`` for each row of ``lengths(len)``, with geometric blocks and wrap-around.
 
     Uniforms are hashed from (seed, rep, i): a lost task recomputes the same path, and replicates
     spread over the cluster.
     """
-    grid = spark.range(reps).select(
-        F.col("id").cast("int").alias("rep"),
-        length.cast("int").alias("len"),
-    ).select("rep", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    grid = lengths.where("len > 0").select("len", replicates).repartition("len", "rep")
+    grid = grid.select("rep", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
     seed_col = F.lit(str(seed))
     draw = hashed_uniform(seed_col, F.col("rep"), F.col("i"), F.lit("break"))
     start = F.floor(hashed_uniform(seed_col, F.col("rep"), F.col("i"), F.lit("start")) * F.col("len"))
     breaks = (F.col("i") == 0) | (draw < 1.0 / max(block, 1.0))
-    path = Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    path = Window.partitionBy("len", "rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return (
         grid.withColumn("_from", F.when(breaks, F.struct(start.alias("s"), F.col("i").alias("at"))))
         .withColumn("_from", F.last("_from", ignorenulls=True).over(path))
         .select(
-            "rep", "i", ((F.col("_from.s") + F.col("i") - F.col("_from.at")) % F.col("len")).cast("int").alias("idx")
+            "len", "rep", "i", ((F.col("_from.s") + F.col("i") - F.col("_from.at")) % F.col("len")).cast("int").alias("idx")
         )
     )
 
 
 def bootstrap_ci(
-    series: DataFrame, keys: Sequence[str], statistic: Column, length: Column,
+    series: DataFrame, keys: Sequence[str], statistic: Column,
     reps: int = 2000, block: float = 10.0, seed: int = 42,
 ) -> DataFrame:
     """2.5% and 97.5% nearest-rank percentiles of ``statistic`` over resampled series.
 
-    ``series`` has rows ``(keys, idx, ...)`` with a dense ``idx``; ``statistic`` is any Spark aggregate
-    over its columns.
+    ``series`` has rows ``(keys, idx, ...)`` with a dense ``idx`` from 0; ``statistic`` is any Spark aggregate
+    over its columns. Each key is resampled at its own length; keys of one length share their paths.
     """
-    paths = bootstrap_paths(length, reps, block, seed, series.sparkSession)
+    lengths = series.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("len"))
+    paths = bootstrap_paths(lengths.select("len").distinct(), reps, block, seed)
     draws = (
-        paths.join(series, "idx")
+        paths.join(series.join(lengths, list(keys)), ["len", "idx"])
         .groupBy(*keys, "rep")
         .agg(statistic.alias("draw"))
         .where("draw is not null and not isnan(draw) and abs(draw) < double('infinity')")

@@ -1,4 +1,4 @@
-"""Range checks of analysis requests: one row per violated rule."""
+"""Range checks of analysis requests: one row per violated rule, named ``field:rule``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tiltlab.functions.text import ticker_list
 from tiltlab.params import MAX_TICKERS
 
+MAX_FINITE = 1.7976931348623157e308
 TICKER_SHAPE = r"^[A-Za-z0-9^-]{1,12}$"
 
 
@@ -24,19 +25,17 @@ def _rules() -> list[tuple[Column, str]]:
         return (F.col(name) > 0) & (F.col(name) <= high)
 
     names = F.size("tickers")
+    # The accepted ranges.
+    closed = {
+        "lookback_days": (60, 1825), "max_headlines": (1, 100), "news_days": (1, 30),
+        "sentiment_weight": (0.0, 1.0), "view_scale": (0.0, 2.0),
+    }
+    positive_up_to = {"budget": MAX_FINITE, "max_weight": 1.0, "risk_aversion": 50.0, "tau": 1.0}
     return [
-        (names >= 2, "enter at least two tickers"),
-        (names <= MAX_TICKERS, f"at most {MAX_TICKERS} tickers are supported"),
-        (F.forall("tickers", lambda t: t.rlike(TICKER_SHAPE)), "tickers may only contain letters, digits, '-', '.' or '^'"),
-        ((F.col("budget") > 0) & (F.col("budget") < float("inf")), "budget must be positive"),
-        (above("max_weight", 1.0), "max weight must be in (0, 1]"),
-        (within("lookback_days", 60, 1825), "lookback must be 60 to 1825 days"),
-        (within("news_days", 1, 30), "news window must be 1 to 30 days"),
-        (within("max_headlines", 1, 100), "max headlines must be 1 to 100"),
-        (above("risk_aversion", 50.0), "risk aversion must be in (0, 50]"),
-        (above("tau", 1.0), "tau must be in (0, 1]"),
-        (within("view_scale", 0.0, 2.0), "view scale must be in [0, 2]"),
-        (within("sentiment_weight", 0.0, 1.0), "sentiment weight must be in [0, 1]"),
+        (F.forall("tickers", lambda t: t.rlike(TICKER_SHAPE)), "tickers:shape"),
+        (names.between(2, MAX_TICKERS), f"tickers:count in 2..{MAX_TICKERS}"),
+        *[(within(name, low, high), f"{name}:in [{low}, {high}]") for name, (low, high) in closed.items()],
+        *[(above(name, high), f"{name}:in (0, {high}]") for name, high in positive_up_to.items()],
     ]
 
 

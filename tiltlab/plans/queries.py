@@ -279,13 +279,14 @@ def long_short_summary(spark, root):
 
 
 def _year_ends(spark, root) -> DataFrame:
-    """Every filer at every quarter end of its filings' span."""
-    return tables.registrants(spark, root).select(
-        "cik",
-        F.explode(
-            F.sequence(F.lit("1996-03-31").cast("date"), F.lit("2002-12-31").cast("date"), F.expr("interval 3 months"))
-        ).alias("as_of"),
+    """Every filer at every quarter end of all filings' span, one year beyond the last."""
+    filed = F.col("filed")
+    span = tables.facts(spark, root).agg(
+        F.trunc(F.min(filed), "quarter").alias("a"), F.add_months(F.trunc(F.max(filed), "quarter"), 12).alias("b")
     )
+    starts = span.select(F.explode(F.expr("sequence(a, b, interval 3 months)")).alias("start"))
+    ends = F.broadcast(starts.select(F.date_sub("start", 1).alias("as_of")))  # one row per quarter
+    return tables.registrants(spark, root).select("cik").join(ends)
 
 
 @query
@@ -301,7 +302,7 @@ def facts_asof(spark, root):
     """Values known per filer, date, series and period."""
     facts = cut_lineage(tables.facts(spark, root))
     known = fundamentals.visible_periods(facts, _year_ends(spark, root))
-    return rounded(known.where("datediff(as_of, end) <= 980").withColumnRenamed("end", "period_end"), 3)
+    return rounded(known.withColumnRenamed("end", "period_end"), 3)
 
 
 @query
@@ -535,17 +536,12 @@ def strategy_stats(spark, root):
 
 @query
 def bootstrap_ci(spark, root):
-    """Stationary-bootstrap interval of every ticker's annualised mean return, complete series only."""
+    """Stationary-bootstrap interval of every ticker's mean return over the days it has one."""
     st = study(spark, root)
     returns = P.with_returns(st.panel()).where("simple_return is not null")
-    n = st.days.agg(F.max("t").cast("int")).scalar()
-    whole = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
-    series = returns.select("ticker", (F.col("t") - 1).alias("idx"), "simple_return", whole.alias("k")).where(
-        F.col("k") == n
-    )
-    return rounded(
-        stats.bootstrap_ci(series, ("ticker",), F.avg("simple_return"), n, reps=200, block=10.0, seed=42)
-    )
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("t")) - 1
+    series = cut_lineage(returns.select("ticker", place.alias("idx"), "simple_return"))
+    return rounded(stats.bootstrap_ci(series, ("ticker",), F.avg("simple_return")))
 
 
 @query
@@ -597,12 +593,13 @@ def tickers_normalized(spark, root):
 
 @query
 def csv_dates(spark, root):
-    """Dates of five layouts; offsets roll over to the next UTC day, garbage is NULL."""
+    """Dates of six layouts; offsets roll over to the next UTC day, garbage is NULL."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     layout = F.substring("o_orderpriority", 1, 1)
     raw = (
         F.when(layout == "1", day)
-        .when(layout == "2", F.concat(day, F.lit(" 13:00:00")))
+        .when((layout == "2") & (F.col("o_orderkey") % 2 == 0), F.concat(day, F.lit(" 13:00:00")))
+        .when(layout == "2", F.concat(day, F.lit(" 01:15:00 +03:30")))
         .when(layout == "3", F.concat(day, F.lit("T23:30:00-02:00")))
         .when(layout == "4", F.concat(day, F.lit(" 22:30:00 -0400")))
         .otherwise(F.concat(F.lit("on "), day))
@@ -652,15 +649,17 @@ def page_titles(spark, root):
 
 
 def _feeds(spark, root) -> DataFrame:
+    """Documents and turns as two feeds, spread over the fourteen days up to 2024-01-10."""
     start = F.lit("2024-01-10").cast("timestamp")
+    ago = lambda key: F.make_dt_interval(mins=(F.col(key) * 37 % (14 * 24 * 60)).cast("int"))
     documents = tables.table(spark, root, "documents").select(
         F.col("source").alias("ticker"), F.col("text").alias("title"),
-        (start - F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published"),
+        (start - ago("doc_id")).alias("published"),
         F.col("doc_id").alias("pos"),
     )
     turns = tables.table(spark, root, "conversations").select(
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("ticker"), F.col("text").alias("title"),
-        (start - F.make_dt_interval(mins=F.col("conv_id").cast("int"))).alias("published"),
+        (start - ago("conv_id")).alias("published"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
     )
     return headlines.union_feeds(documents, turns)
@@ -759,8 +758,12 @@ def text_sample(spark, root):
 
 
 def _ticker_map(spark, root) -> DataFrame:
-    """Three tickers per supplier: a plain one, a longer one and a preferred share."""
-    letters = F.translate(F.col("s_suppkey").cast("string"), "0123456789", "ABCDEFGHIJ")
+    """Three tickers per supplier: a plain one, a longer one and a preferred share.
+
+    The plain one is the key in base 26, five letters; keys that differ by a multiple of 26 ** 5 share it.
+    """
+    digit = lambda k: F.chr((F.lit(65) + F.floor(F.col("s_suppkey") / F.lit(26**k)) % 26).cast("int"))
+    letters = F.concat(*[digit(k) for k in (4, 3, 2, 1, 0)])
     listed = F.array(F.concat(letters, F.lit("W")), letters, F.concat(letters, F.lit("-P")))
     return tables.table(spark, root, "supplier").select(
         F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"), F.explode(listed).alias("ticker")
@@ -776,9 +779,7 @@ def _frame(spark, root) -> DataFrame:
 
 def _screened(spark, root) -> DataFrame:
     pool = universe.candidates(_frame(spark, root), _ticker_map(spark, root))
-    names = universe.shortest_tickers(_ticker_map(spark, root)).select(
-        F.col("cik").cast("bigint").alias("instrument"), "ticker"
-    )
+    names = pool.select(F.col("cik").cast("bigint").alias("instrument"), "ticker")
     prices = tables.supplier_prices(spark, root).join(names, "instrument").select("ticker", "date", "close")
     return universe.screen(pool, prices, None, F.lit("1999-07-01").cast("date"), 5e7, 3e9, 300)
 
