@@ -58,13 +58,14 @@ def _column(columns: list[str], role: str, required: bool = True) -> str | None:
     return found[0] if found else None
 
 
-def read_headline_csv(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+def read_headline_csv(spark: SparkSession, path: str, wanted: DataFrame | None = None, quoted_breaks: bool = False) -> DataFrame:
     """``(ticker, date, title, source)`` of a headline table with a header row.
 
     Header names are matched case-insensitively; ragged rows are tolerated; rows without a usable date,
-    title or wanted ticker drop out; the first copy of a title per ticker and date stays.
+    title or wanted ticker drop out; the first copy of a title per ticker and date stays. With ``quoted_breaks`` quoted
+    fields may hold line breaks; each file is then read by one task, otherwise files are split.
     """
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=quoted_breaks, escape='"')
     columns = raw.columns
     source = _column(columns, "source", required=False)
     pick = lambda role: F.col(f"`{_column(columns, role)}`")
