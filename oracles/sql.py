@@ -589,6 +589,7 @@ SELECT ticker, {r('max(CASE WHEN k = CAST(round((c - 1) * 0.025) AS INTEGER) THE
 
 # Texts ---------------------------------------------------------------------------------------------
 
+# Legal suffixes, generic first words and entities, as alternatives and lists of SQL.
 SUFFIXES = "incorporated|inc|corporation|corp|company|com|co|ltd|limited|plc|holdings|group|class a|class b|class c|the"
 GENERIC = "'american','united','general','first','national','international','global','bank','energy','capital','financial','technologies','systems'"
 CTES["companies"] = f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiltlab.operators import backtest as B
 from tiltlab.operators import panel as P
-from tiltlab.operators import universe, validation
+from tiltlab.operators import portfolio, universe, validation
 from tiltlab.operators.sentiment import lexicon_scorer
 from tiltlab.params import STRATEGIES, AnalysisParams, EvalParams
 from tiltlab.plans import analysis
@@ -182,6 +182,39 @@ def test_analysis(spark):
     assert report.benchmarks.count() == 8 and report.correlation.count() == 13
 
 
+def test_analysis_settles_its_assets_once(spark):
+    now = dt.datetime(2025, 2, 3)
+    closes = path(spark, A=(0.0005, 0.02), B=(0.0002, 0.015), C=(0.0007, 0.03)).withColumn("run", F.lit("mixed"))
+    closes = closes.unionByName(closes.where("ticker != 'C'").withColumn("run", F.lit("plain")))
+    rows = [("mixed", "A", 100.0, 2e6), ("mixed", "B", 100.0, 6e6), ("mixed", "C", None, 5e6), ("mixed", "D", 50.0, 9e6),
+            ("plain", "A", 100.0, 2e6), ("plain", "B", 100.0, 6e6)]
+    assets = spark.createDataFrame([(r, t, t, "USD", p, s, None, None, None) for r, t, p, s in rows],
+                                   "run string, ticker string, name string, currency string, price double, shares double, shares_as_of date, fscore double, coverage double")
+    heads = spark.createDataFrame([], "ticker string, title string, published timestamp, positive double, negative double, neutral double")
+    splits = spark.createDataFrame([], "ticker string, date date, ratio double")
+    report = analysis.analyze(analysis.AnalysisInputs(assets, closes, heads, splits, F.lit(now)), AnalysisParams())
+    got = {(r.run, r.ticker): r for r in report.assets.collect()}
+    # C has history but no price, D a price but no history: the run is as if they were not asked for.
+    assert set(got) == {(run, t) for run in ("mixed", "plain") for t in "AB"}
+    for t, weight in (("A", 0.25), ("B", 0.75)):
+        mixed, plain = got[("mixed", t)], got[("plain", t)]
+        assert abs(mixed.market_weight - weight) < 1e-12
+        assert abs(mixed.prior_return - plain.prior_return) < 1e-12 and abs(mixed.weight - plain.weight) < 1e-12
+    told = {r.warning for r in report.warnings.where("run = 'mixed'").collect()}
+    assert {"C: dropped, no price", "D: dropped, no price history"} <= told
+
+
+def test_one_failing_portfolio_leaves_the_others(spark):
+    nan = float("nan")
+    rows = [("good", "A", 0.05, [0.04, 0.01]), ("good", "B", 0.03, [0.01, 0.02]), ("bad", "A", 0.05, [nan, 0.0]), ("bad", "B", nan, [0.0, 0.02])]
+    assets = spark.createDataFrame(rows, "run string, ticker string, pi double, sigma array<double>")
+    said = spark.createDataFrame([], "run string, view_id string, ticker string, pick double, q double, omega double")
+    post = portfolio.posterior(assets, said, "run", 0.05)
+    assert {r.run for r in post.collect()} == {"good"}
+    solved = portfolio.optimal_weights(post, "run", 2.5, 0.9).collect()
+    assert {r.run for r in solved} == {"good"} and abs(sum(r.weight for r in solved) - 1) < 1e-9
+
+
 def test_streams(spark, tmp_path):
     now = dt.datetime(2024, 1, 8)
     rows = [("A", "gain today", now + dt.timedelta(days=k), 0.5, 0.0, 0.5) for k in range(20)] + [("B", "loss today", now, 0.0, 0.5, 0.5)]

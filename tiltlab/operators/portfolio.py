@@ -19,6 +19,8 @@ TOLERANCE = 1e-12
 
 def blend(sigma: np.ndarray, pi: np.ndarray, tau: float, picks: np.ndarray, q: np.ndarray, omega: np.ndarray):
     """Posterior mean and predictive covariance; the prior itself without views."""
+    if not (np.isfinite(sigma).all() and np.isfinite(pi).all()):
+        raise ValueError("a prior that is not finite")
     prior = tau * sigma
     if len(q) == 0:
         return pi.copy(), sigma + prior
@@ -95,7 +97,8 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
     """``(group, ticker, mu, sigma)`` per asset: posterior mean and its row of the predictive covariance.
 
     ``assets`` is ``(group, ticker, pi, sigma)`` with sigma rows in ticker order; ``views`` is
-    ``(group, view_id, ticker, pick, q, omega)`` and may hold relative views.
+    ``(group, view_id, ticker, pick, q, omega)`` and may hold relative views. A group whose solve fails yields
+    no rows, and the others are not touched.
     """
     schema = f"{group} {assets.schema[group].dataType.simpleString()}, ticker string, mu double, sigma array<double>"
     said = (
@@ -118,8 +121,12 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
         for view, asset, pick, value, variance in entries:
             k = order[view]
             picks[k, asset], q[k], omega[k] = pick, value, variance
-        mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), tau, picks, q, omega)
-        return rows[[group, "ticker"]].assign(mu=mu, sigma=list(sigma))
+        out = rows[[group, "ticker"]]
+        try:
+            mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), tau, picks, q, omega)
+        except ValueError:  # also numpy's LinAlgError
+            return out.iloc[:0].assign(mu=[], sigma=[])
+        return out.assign(mu=mu, sigma=list(sigma))
 
     viewed = assets.select(group, "ticker", "pi", "sigma").join(said, [group, "ticker"], "left")
     return viewed.groupBy(group).applyInPandas(solve, schema)
@@ -128,7 +135,7 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
 def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_weight: float) -> DataFrame:
     """``(group, ticker, weight, iterations, converged)``; the cap is raised to 1/n where it is infeasible.
 
-    ``assets`` is ``(group, ticker, mu, sigma)`` with sigma rows in ticker order.
+    ``assets`` is ``(group, ticker, mu, sigma)`` with sigma rows in ticker order. A group whose solve fails yields no rows.
     """
     schema = (
         f"{group} {assets.schema[group].dataType.simpleString()}, ticker string, weight double, "
@@ -138,8 +145,12 @@ def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_wei
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
         cap = max(max_weight, 1.0 / len(rows))
-        w, steps, done = best_weights(rows["mu"].to_numpy(), _matrix(rows), risk_aversion, cap)
-        return rows[[group, "ticker"]].assign(weight=w, iterations=steps, converged=done)
+        out = rows[[group, "ticker"]]
+        try:
+            w, steps, done = best_weights(rows["mu"].to_numpy(), _matrix(rows), risk_aversion, cap)
+        except ValueError:  # also numpy's LinAlgError
+            return out.iloc[:0].assign(weight=[], iterations=[], converged=[])
+        return out.assign(weight=w, iterations=steps, converged=done)
 
     return assets.select(group, "ticker", "mu", "sigma").groupBy(group).applyInPandas(solve, schema)
 
@@ -165,7 +176,7 @@ def view_weights(assets: DataFrame, keys: tuple[str, ...], tau: float, risk_aver
             )
             cap = max(max_weight, 1.0 / len(rows))
             w, steps, done = best_weights(mu, sigma, risk_aversion, cap)
-        except np.linalg.LinAlgError:
+        except ValueError:  # also numpy's LinAlgError
             return out.iloc[:0].assign(mu=0.0, weight=0.0, iterations=0, converged=False)
         return out.assign(mu=mu, weight=w, iterations=steps, converged=done)
 

@@ -42,16 +42,26 @@ class Report:
     warnings: DataFrame
 
 
-def priced_assets(inputs: AnalysisInputs) -> DataFrame:
-    """Assets with market cap and prior weight; a run falls back to equal weights if any cap is unknown.
+def _histories(inputs: AnalysisInputs) -> DataFrame:
+    """``(run, ticker)`` with at least two closes, without which there is no return."""
+    closes = inputs.prices.where("close is not null").groupBy("run", "ticker").agg(F.count(F.lit(1)).alias("_closes"))
+    return closes.where("_closes >= 2").select("run", "ticker")
 
-    Assets without a price drop out, and runs left with fewer than two.
+
+def settled_assets(inputs: AnalysisInputs) -> DataFrame:
+    """The assets that a run is about: priced and with history, in runs that have two of them at least.
+
+    Prior weights, covariances and everything after use these and no others.
     """
-    priced = inputs.assets.where("price is not null").withColumn(
-        "_names", F.count(F.lit(1)).over(P.Window.partitionBy("run"))
-    )
-    capped = P.market_cap(priced.where("_names >= 2").withColumn("close", F.col("price")), inputs.splits)
-    return P.cap_weights(capped.drop("close", "_names"), ("run",))
+    kept = inputs.assets.where("price is not null").join(_histories(inputs), ["run", "ticker"], "left_semi")
+    names = F.count(F.lit(1)).over(P.Window.partitionBy("run"))
+    return kept.withColumn("_names", names).where("_names >= 2").drop("_names")
+
+
+def prior_assets(inputs: AnalysisInputs) -> DataFrame:
+    """Settled assets with market cap and prior weight; a run falls back to equal weights if any cap is unknown."""
+    capped = P.market_cap(settled_assets(inputs).withColumn("close", F.col("price")), inputs.splits)
+    return P.cap_weights(capped.drop("close"), ("run",))
 
 
 def _signals(inputs: AnalysisInputs, assets: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -93,10 +103,11 @@ def _with_views(inputs: AnalysisInputs, rows: DataFrame, params: AnalysisParams)
 
 def prepare(inputs: AnalysisInputs, params: AnalysisParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Assets with prior, signal and view; covariances; and the scalars of the risk model."""
-    returns = P.aligned_log_returns(inputs.prices, ("run",))
+    assets = cut_lineage(prior_assets(inputs))
+    held = inputs.prices.where("close is not null").join(assets.select("run", "ticker"), ["run", "ticker"], "left_semi")
+    returns = P.aligned_log_returns(held, ("run",))
     cov, scalars = risk.covariance(returns, "run")
     cov = cut_lineage(cov)
-    assets = cut_lineage(priced_assets(inputs))
     prior = assets.select("run", "ticker", F.col("market_weight").alias("weight"))
     pi = risk.implied_returns(cov, prior, "run", params.risk_aversion)
     rows = _signals(inputs, assets, params).join(pi, ["run", "ticker"]).join(
@@ -193,7 +204,16 @@ def _warnings(inputs: AnalysisInputs, rows: DataFrame, solved: DataFrame, params
     unpriced = inputs.assets.where("price is null").select(
         "run", F.concat("ticker", F.lit(": dropped, no price")).alias("warning")
     )
+    bare = inputs.assets.where("price is not null").join(_histories(inputs), ["run", "ticker"], "left_anti").select(
+        "run", F.concat("ticker", F.lit(": dropped, no price history")).alias("warning")
+    )
     failed = inputs.assets.select("run").distinct().join(rows.select("run"), "run", "left_anti").select(
         "run", F.lit("no result: needs two priced tickers with 30 common returns").alias("warning")
     )
-    return facts.select("run", F.explode(found).alias("warning")).unionByName(unpriced).unionByName(failed)
+    unsolved = rows.select("run").distinct().join(solved.select("run"), "run", "left_anti").select(
+        "run", F.lit("no result: the posterior or the optimum could not be solved").alias("warning")
+    )
+    out = facts.select("run", F.explode(found).alias("warning"))
+    for more in (unpriced, bare, failed, unsolved):
+        out = out.unionByName(more)
+    return out
