@@ -125,7 +125,7 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
         try:
             mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), tau, picks, q, omega)
         except ValueError:  # also numpy's LinAlgError
-            return out.iloc[:0].assign(mu=[], sigma=[])
+            return pd.DataFrame(columns=[group, "ticker", "mu", "sigma"], dtype=object)
         return out.assign(mu=mu, sigma=list(sigma))
 
     viewed = assets.select(group, "ticker", "pi", "sigma").join(said, [group, "ticker"], "left")
@@ -149,7 +149,7 @@ def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_wei
         try:
             w, steps, done = best_weights(rows["mu"].to_numpy(), _matrix(rows), risk_aversion, cap)
         except ValueError:  # also numpy's LinAlgError
-            return out.iloc[:0].assign(weight=[], iterations=[], converged=[])
+            return pd.DataFrame(columns=[group, "ticker", "weight", "iterations", "converged"], dtype=object)
         return out.assign(weight=w, iterations=steps, converged=done)
 
     return assets.select(group, "ticker", "mu", "sigma").groupBy(group).applyInPandas(solve, schema)
