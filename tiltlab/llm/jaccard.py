@@ -6,9 +6,9 @@ Two documents link when their sets of distinct five-word shingles have a Jaccard
 1. *Profile.* Tasks hash each text's shingles, give the set's size and a 128-bit fingerprint, and add up how
    often each hash cell of shingles occurs (a sketch of fixed size).
 2. *Prefixes.* Shingles are ordered by cell frequency, rarest first, and each set is posted under its first ones, by size class
-   (see ``postings``); linked documents share a block. A count-min sketch drops blocks that occur once. Sets of a block
-   with many rows are joined to a leader; in blocks of at most ``FEW`` rows the pairs are taken, less those that sizes or parity bits
-   prove unlinked. Components of that graph (*regions*) hold every link.
+   (see ``postings``); linked documents share a block. Postings are packed by bucket of blocks and dealt once (see ``pack``);
+   each bucket connects the sets of its blocks (see ``match``): a block of many sets by a leader, one of at most ``FEW`` by
+   pairs, less those that sizes or parity bits prove unlinked. Components of that graph (*regions*) hold every link.
 3. *T-occurrence.* Each region's sets are gathered, one row for each distinct set. Small regions share a group;
    a large region is cut into chunks of ``CHUNK`` sets. Within a group an inverted index over shingles is searched
    with every set: DivideSkip merges the short lists, keeps candidates that reach the required overlap less the
@@ -37,18 +37,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltlab.llm import tokens as T
-from tiltlab.llm.exchange import cell, frequency_sketch, repeat_sketch
+from tiltlab.llm.exchange import cell, framed, frequency_sketch, repeat_sketch, unframed
 from tiltlab.llm.graph import components
 from tiltlab.session import staged
 
 SIZE = 5
 PERCENT = 75
 FREQUENCY_BITS = 22
-POSTED_BITS = 27
 CHOSEN_BITS = 24
 CHUNK = 1000
 FEW = 16
 PARITY_BITS = 1024
+# Of a block's hash this many bits are kept: blocks that fall together cost a comparison, never a link.
+KEY_BITS = 48
+# Postings packed at once in a task, and shingles for which there is one bucket.
+FLUSH = 3_000_000
+BUCKET = 6_000_000
+POST, EDGE, WAIT, LEAD, PAIR = range(5)
+INDEXED, HOT = 1, 2
+_DEALT = pa.schema(
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("key", pa.binary()), ("owner", pa.binary()), ("flag", pa.binary()), ("a", pa.binary()), ("n", pa.binary())]
+)
 
 
 def shingle_sets(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -213,6 +222,128 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     return hashed.mapInArrow(profile, "doc_id long, text_hash long, n_shingles long, a long, b long, parity array<long>")
 
 
+def pack(parts: list[tuple[np.ndarray, ...]], bits: int) -> dict[str, list]:
+    """Rows (bucket, kind, key, owner, flag, a, n) for the postings of a few pieces, one a bucket: keys as sorted steps, owners as
+    numbers in a table of the row's own sets.
+
+    Sets that are equal count once. A block with more than ``FEW`` sets is reduced here: its members are connected to one that is
+    indexed (kind ``EDGE``) and only that one is posted; if none is, one is posted and the members wait (kind ``WAIT``) for an indexed
+    one elsewhere. So a block that very many sets share sends a few postings from each call, whatever its size.
+    """
+    shift = np.cumsum([0, *(len(a) for _, a, _, _, _ in parts)])
+    a, first, number = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+    sizes = np.concatenate([p[2] for p in parts])[first].astype(np.uint32)
+    key = np.concatenate([p[0] for p in parts]) >> np.uint64(64 - KEY_BITS)
+    owner = number[np.concatenate([p[3] + at for p, at in zip(parts, shift, strict=False)])]
+    flag = np.concatenate([p[4] for p in parts]).astype(np.uint8)
+    key, owner, flag = _grouped(key, owner, flag)
+    starts, counts, leader = _leaders(key, owner, flag)
+    hot = np.repeat(counts > FEW, counts)
+    led = np.repeat(leader, counts)
+    x, y = _distinct(owner, led, hot & (led >= 0) & (owner != led))
+    waits = hot & (led < 0)
+    flag = flag | (hot * HOT).astype(np.uint8)
+    opening = np.zeros(len(key), bool)
+    opening[starts] = True
+    stays = ~hot | np.where(led >= 0, owner == led, opening)
+    rows: dict[str, list] = {name: [] for name in _DEALT.names}
+
+    def add(bucket: int, kind: int, *columns: bytes) -> None:
+        for name, value in zip(_DEALT.names, (bucket, kind, *columns), strict=True):
+            rows[name].append(value)
+
+    none = framed(np.zeros(0, np.uint64))
+    if len(x):
+        add(int(a[x[0]]) & ((1 << bits) - 1), EDGE, framed(a[x]), none, none, framed(a[y]), none)
+    if waits.any():
+        add(int(key[waits][0]) >> (KEY_BITS - bits), WAIT, framed(key[waits]), none, none, framed(a[owner[waits]]), none)
+    key, owner, flag = key[stays], owner[stays], flag[stays]
+    bounds = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - bits))
+    for bucket in np.flatnonzero(np.diff(bounds)):
+        part = slice(bounds[bucket], bounds[bucket + 1])
+        steps = np.diff(key[part], prepend=np.uint64(int(bucket) << (KEY_BITS - bits)))
+        wide = steps.max() >= 1 << 32
+        mine, at = np.unique(owner[part], return_inverse=True)
+        at = at.astype(np.uint16 if len(mine) <= 1 << 16 else np.uint32)
+        add(int(bucket), POST, framed(steps if wide else steps.astype(np.uint32)), framed(at), framed(flag[part]), framed(a[mine]), framed(sizes[mine]))
+    return rows
+
+
+def _grouped(key: np.ndarray, owner: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by (key, owner); of equal ones the flags are joined."""
+    order = np.lexsort((owner, key))
+    key, owner, flag = key[order], owner[order], flag[order]
+    if not len(key):
+        return key, owner, flag
+    heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+    return key[heads], owner[heads], np.bitwise_or.reduceat(flag, heads)
+
+
+def _distinct(x: np.ndarray, y: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of numbers below 2 ** 32 among those marked."""
+    pairs = np.unique(x[where].astype(np.int64) << 32 | y[where].astype(np.int64))
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _leaders(key: np.ndarray, owner: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of each block, and its first indexed owner or -1."""
+    if not len(key):
+        return (np.zeros(0, np.int64),) * 3
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    none = np.iinfo(np.int64).max
+    leader = np.minimum.reduceat(np.where(flag & INDEXED, owner, none), starts)
+    return starts, np.diff(np.append(starts, len(key))), np.where(leader == none, -1, leader)
+
+
+def match(table: pa.Table, bits: int, percent: int) -> pa.Table:
+    """(kind, x, y): the sets to be connected that share a block of this bucket.
+
+    In blocks of at most ``FEW`` sets these are the pairs of which the smaller set is indexed and whose sizes may link (kind ``PAIR``);
+    in others each set and a leader (``EDGE``). For blocks with sets that wait, the block and its leader (``LEAD``); what waits passes (``WAIT``).
+    """
+    keys, owners, flags, names, sizes, out, n = [], [], [], [], [], [], 0
+    for bucket, kind, key, owner, flag, a, size in zip(*(c.to_pylist() for c in table.select(_DEALT.names).columns), strict=True):
+        a = unframed(a, np.int64)
+        if kind != POST:
+            out.append((kind, unframed(key, np.int64), a))
+            continue
+        posted = int.from_bytes(flag[:8], "little")
+        steps = unframed(key, np.uint64 if int.from_bytes(key[:8], "little") == 8 * posted else np.uint32)
+        keys.append(np.cumsum(steps, dtype=np.uint64) + np.uint64(bucket << (KEY_BITS - bits)))
+        at = unframed(owner, np.uint32 if int.from_bytes(owner[:8], "little") == 4 * posted else np.uint16)
+        owners.append(at.astype(np.int64) + n)
+        flags.append(unframed(flag, np.uint8))
+        names.append(a)
+        sizes.append(unframed(size, np.uint32))
+        n += len(a)
+    if keys:
+        name, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        size = np.concatenate(sizes)[first].astype(np.int64)
+        key, owner, flag = _grouped(np.concatenate(keys), number[np.concatenate(owners)], np.concatenate(flags))
+        starts, counts, leader = _leaders(key, owner, flag)
+        hot = np.bitwise_or.reduceat(flag, starts) & HOT > 0
+        starred = hot | (counts > FEW)
+        leads = hot & (leader >= 0)
+        out.append((LEAD, key[starts[leads]].view(np.int64), name[leader[leads]]))
+        led, star = np.repeat(leader, counts), np.repeat(starred, counts)
+        x, y = _distinct(owner, led, star & (led >= 0) & (owner != led))
+        out.append((EDGE, name[x], name[y]))
+        few = np.repeat(~starred & (leader >= 0) & (counts > 1), counts)
+        key, owner, flag = key[few], owner[few], flag[few] & INDEXED
+        pairs = []
+        for step in range(1, FEW):
+            x, y = owner[:-step], owner[step:]
+            m, k = size[x], size[y]
+            fit = (key[:-step] == key[step:]) & ((flag[:-step] > 0) & (m <= k) | (flag[step:] > 0) & (k <= m))
+            fit &= 100 * np.minimum(m, k) >= percent * np.maximum(m, k)
+            pairs.append(_distinct(x, y, fit))
+        x, y = (np.concatenate(ends) for ends in zip(*pairs, strict=True))
+        x, y = _distinct(x, y, np.ones(len(x), bool))
+        out.append((PAIR, name[x], name[y]))
+    kinds = np.concatenate([np.full(len(x), kind, np.int32) for kind, x, _ in out])
+    return pa.table({"kind": kinds, "x": np.concatenate([x for _, x, _ in out]), "y": np.concatenate([y for _, _, y in out])})
+
+
 def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root): sets that share a posted shingle with a different set, by fingerprint a, and their region."""
     context = docs.sparkSession.sparkContext
@@ -223,41 +354,38 @@ def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> Da
 
     cells = frequency_sketch(docs, all_shingles, FREQUENCY_BITS)
     level = context.broadcast(np.minimum(255, np.floor(8 * np.log2(cells + 1.0))).astype(np.uint8))
+    total = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    bits = max(6, (total // BUCKET).bit_length())
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
         for piece in T.pieces(batches):
             hashes, first = shingle_sets(piece.column("text"), size)
             a, _ = fingerprints(hashes, first)
             block, owner, role = postings(hashes, first, level.value, percent)
-            yield block, a[owner], role
-
-    sketch = context.broadcast(repeat_sketch(docs, lambda batches: (block for block, _, _ in posted(batches)), POSTED_BITS))
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, a, role in posted(batches):
-            keep = sketch.value.repeated(block)
-            yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(a[keep]), pa.array(role[keep])], names=["block", "a", "indexed"])
-
-    found = staged(docs.mapInArrow(lists, "block long, a long, indexed boolean"))
+            held.append((block, a, np.diff(first), owner, role))
+            waiting += len(block)
+            if waiting > FLUSH:
+                yield pa.RecordBatch.from_pydict(pack(held, bits), schema=_DEALT)
+                held, waiting = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_pydict(pack(held, bits), schema=_DEALT)
+
+    dealt = docs.mapInArrow(deal, "bucket int, kind int, key binary, owner binary, flag binary, a binary, n binary")
+    found = dealt.groupBy("bucket").applyInArrow(lambda table: match(table, bits, percent), "kind int, x long, y long")
+    found = staged(found.distinct())
     level.destroy()
-    sketch.destroy()
-    blocks = found.groupBy("block").agg(
-        F.min(F.when(F.col("indexed"), F.col("a"))).alias("leader"), F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("rows")
-    )
-    blocks = staged(blocks.where("leader IS NOT NULL AND low <> high").select("block", "leader", "rows"))
-    # Many sets in a block: each with the leader.
-    stars = found.join(blocks.where(F.col("rows") > FEW).select("block", "leader"), "block").where("a <> leader")
-    stars = stars.select("a", F.col("leader").alias("b")).distinct()
-    # Few: the pairs of each distinct list, unless their sizes or parities rule a link out.
-    members = found.join(blocks.where(F.col("rows") <= FEW).select("block"), "block").groupBy("block").agg(F.sort_array(F.collect_set("a")).alias("s"))
-    lists = members.select("s").distinct()
-    pairs = lists.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))")).alias("p"))
-    pairs = pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).distinct()
+    edges = found.where(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    waits = found.where(F.col("kind") == WAIT).select(F.col("x").alias("block"), F.col("y").alias("a"))
+    leads = found.where(F.col("kind") == LEAD).select(F.col("x").alias("block"), F.col("y").alias("b"))
+    waited = waits.join(leads, "block").select("a", "b").where("a <> b").distinct()
+    # Pairs whose parities rule a link out are dropped.
+    pairs = found.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))
     sets = profile.dropDuplicates(["a"]).select("a", "n_shingles", "parity")
     pairs = pairs.join(sets.toDF("a", "n", "p"), "a").join(sets.toDF("b", "m", "q"), "b")
     differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m")))
-    return components(stars.unionByName(pairs.where(fits).select("a", "b")))
+    fits = differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m"))
+    return components(edges.unionByName(waited).unionByName(pairs.where(fits).select("a", "b")))
 
 
 def _tiles(sets: DataFrame, percent: int) -> DataFrame:
