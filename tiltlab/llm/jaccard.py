@@ -9,7 +9,7 @@ Two documents link when their sets of distinct five-word shingles have a Jaccard
    (see ``postings``); linked documents share a block. Postings are packed by bucket of blocks and dealt once (see ``pack``);
    each bucket connects the sets of its blocks (see ``match``): a block of many sets by a leader, one of at most ``FEW`` by
    pairs, less those that sizes or parity bits prove unlinked. Components of that graph (*regions*) hold every link.
-3. *T-occurrence.* Each region's sets are gathered, one row for each distinct set. Small regions share a group;
+3. *T-occurrence.* The texts of each region's sets are gathered (they are shorter than their hashes), one for each distinct set. Small regions share a group;
    a large region is cut into chunks of ``CHUNK`` sets. Within a group an inverted index over shingles is searched
    with every set: DivideSkip merges the short lists, keeps candidates that reach the required overlap less the
    number of long lists, probes the long lists by binary search and retains sets that reach the overlap. Sets
@@ -75,7 +75,11 @@ def shingle_sets(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.nda
             for j in range(k):
                 total = T.mix(total * np.uint64(T.SEQ2) + rows[:, j])
             hashes, owner = np.concatenate([hashes, total]), np.concatenate([owner, short])
-    order = np.lexsort((hashes, owner))
+    # One sort by text and leading bits; only if two hashes of a text share these is the order wrong, and a full sort follows.
+    room = np.uint64(max(len(column), 1).bit_length())
+    order = np.argsort(owner.astype(np.uint64) << (np.uint64(64) - room) | hashes >> room)
+    if ((hashes[order[1:]] < hashes[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])).any():
+        order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -388,7 +392,7 @@ def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> Da
     return components(edges.unionByName(waited).unionByName(pairs.where(fits).select("a", "b")))
 
 
-def _tiles(sets: DataFrame, percent: int) -> DataFrame:
+def _tiles(sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Links found in each group of (tile); ``side`` 0 is searched in the index of side 1, or both in one."""
 
     def solve(table: pa.Table) -> pa.Table:
@@ -400,9 +404,8 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
         known = table.column("label").to_numpy()
         _, label = np.unique(known, return_inverse=True)
         label = label.astype(np.int64)
-        sets_column = table.column("shingles").combine_chunks()
-        data, offsets = T.buffers(sets_column)
-        members, first = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        members, first = shingle_sets(texts, size)
         order = np.argsort(sizes, kind="stable")
         if (side == 0).all():
             links = search(sizes, first, members, label, order, order, percent)
@@ -441,18 +444,19 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
                 continue
             hashes, first = shingle_sets(piece.column("text"), size)
             a, b = fingerprints(hashes, first)
-            raw = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(hashes.tobytes())])
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b), raw.cast(pa.binary())], names=["id", "n", "sa", "sb", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b), piece.column("text")], names=["id", "n", "sa", "sb", "text"]
+            )
 
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = named.mapInArrow(sets, "id long, n long, sa long, sb long, shingles binary")
+    found = named.mapInArrow(sets, "id long, n long, sa long, sb long, text string")
     same = (F.col("id") == F.col("rep")) & (F.col("sa") == F.col("a")) & (F.col("sb") == F.col("b"))
-    gathered = staged(found.join(chosen, same).select("rep", "n", "shingles", "region", "members"))
+    gathered = staged(found.join(chosen, same).select("rep", "n", "text", "region", "members"))
     picked.destroy()
-    return _label(profile, classes, _link(gathered, percent, chunk))
+    return _label(profile, classes, _link(gathered, size, percent, chunk))
 
 
-def _link(gathered: DataFrame, percent: int, chunk: int) -> DataFrame:
+def _link(gathered: DataFrame, size: int, percent: int, chunk: int) -> DataFrame:
     """(node, root) over the sets of ``gathered`` that are linked with another set."""
     placed = gathered
     # Small regions share groups of about ``chunk`` sets; a large one is cut at random into chunks of about that size.
@@ -463,12 +467,12 @@ def _link(gathered: DataFrame, percent: int, chunk: int) -> DataFrame:
         "home", F.when(F.col("chunks") == 1, F.concat(F.lit("pool-"), F.pmod(F.xxhash64("region"), pool))).otherwise(F.concat_ws("-", "region", "own"))
     )
     placed = placed.withColumn("label", F.col("rep"))
-    inner = placed.select(F.col("home").alias("tile"), F.lit(0).alias("side"), "rep", "n", "label", "shingles")
+    inner = placed.select(F.col("home").alias("tile"), F.lit(0).alias("side"), "rep", "n", "label", "text")
     big = placed.where("chunks > 1")
-    to_first = big.where("own > 0").select(F.concat_ws("-", "region", F.lit("first"), "own").alias("tile"), F.lit(0).alias("side"), "rep", "n", "label", "shingles")
-    firsts = big.where("own = 0").select("region", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("other"), "rep", "n", "label", "shingles")
-    firsts = firsts.select(F.concat_ws("-", "region", F.lit("first"), "other").alias("tile"), F.lit(1).alias("side"), "rep", "n", "label", "shingles")
-    links = staged(_tiles(inner.unionByName(to_first).unionByName(firsts), percent))
+    to_first = big.where("own > 0").select(F.concat_ws("-", "region", F.lit("first"), "own").alias("tile"), F.lit(0).alias("side"), "rep", "n", "label", "text")
+    firsts = big.where("own = 0").select("region", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("other"), "rep", "n", "label", "text")
+    firsts = firsts.select(F.concat_ws("-", "region", F.lit("first"), "other").alias("tile"), F.lit(1).alias("side"), "rep", "n", "label", "text")
+    links = staged(_tiles(inner.unionByName(to_first).unionByName(firsts), size, percent))
     known = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # What large regions have left: chunks by component and size, paired unless one component or too far apart in size.
     rest = big.drop("label", "home", "own").join(known, F.col("rep") == F.col("node"), "left")
@@ -481,7 +485,7 @@ def _link(gathered: DataFrame, percent: int, chunk: int) -> DataFrame:
     steps = steps.withColumn("before", before)
     rest = rest.join(steps.select("region", "label", "n", "before", "here"), ["region", "label", "n"])
     spread = F.col("before") + F.pmod(F.xxhash64("rep"), F.col("here"))
-    rest = staged(rest.select("region", "rep", "n", "label", "shingles", F.floor(spread / F.lit(chunk)).alias("at")))
+    rest = staged(rest.select("region", "rep", "n", "label", "text", F.floor(spread / F.lit(chunk)).alias("at")))
     blocks = rest.groupBy("region", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     left, right = blocks.alias("l"), blocks.alias("r")
     pairs = left.join(right, (F.col("l.region") == F.col("r.region")) & (F.col("l.at") <= F.col("r.at")))
@@ -491,8 +495,8 @@ def _link(gathered: DataFrame, percent: int, chunk: int) -> DataFrame:
     ends = pairs.select("region", F.col("i").alias("at"), F.lit(0).alias("side"), "i", "j").unionByName(
         pairs.where("i <> j").select("region", F.col("j").alias("at"), F.lit(1).alias("side"), "i", "j")
     )
-    second = rest.join(ends, ["region", "at"]).select(F.concat_ws("-", "region", "i", "j").alias("tile"), "side", "rep", "n", "label", "shingles")
-    more = staged(_tiles(second, percent))
+    second = rest.join(ends, ["region", "at"]).select(F.concat_ws("-", "region", "i", "j").alias("tile"), "side", "rep", "n", "label", "text")
+    more = staged(_tiles(second, size, percent))
     return components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
