@@ -2,9 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,7 +100,9 @@ def test_jaccard(docs, texts, chunk):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
-def test_jaccard_hot_group_in_chunks(spark):
+@pytest.mark.parametrize("flush", [500, 10**6])
+def test_jaccard_hot_group_in_chunks(spark, monkeypatch, flush):
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
     base = rng_words("hot", 100, 10**6).split()
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(60) for k in [(7 * i) % 90 + 5]]
     rows.append((1000, rng_words("alone", 90, 10**6)))
@@ -105,6 +111,41 @@ def test_jaccard_hot_group_in_chunks(spark):
     assert {r.doc_id for r in jaccard.keep_one(frame(spark, rows + [rows[0]])).collect()} == {0, 1000}
 
 
+def test_jaccard_pack_and_match_lose_no_pair():
+    """Postings packed in any parts connect every two sets of a block of which the smaller is indexed."""
+    rng = np.random.default_rng(5)
+    parts, posted = [], collections.defaultdict(dict)
+    sizes = {a: int(rng.integers(20, 24)) for a in range(100, 160)}
+    for lot in np.array_split(rng.permutation(list(sizes)), 4):
+        block, owner, role = [], [], []
+        for i, a in enumerate(lot):
+            for key in {0, 1} if a < 140 else set(rng.integers(2, 40, 5)):
+                block.append(int(key) << 50)
+                owner.append(i)
+                role.append(bool(key != 1 and rng.random() < 0.5 or a == 101))
+                posted[int(key) << 34][int(a)] = role[-1]
+        parts.append((np.array(block, np.uint64), lot.astype(np.int64), np.array([sizes[a] for a in lot]), np.array(owner), np.array(role)))
+    rows = [pa.Table.from_batches([pa.RecordBatch.from_pydict(jaccard.pack([p], 6), schema=jaccard._DEALT)]) for p in parts]
+    table = pa.concat_tables(rows)
+    found = [r for b in set(table["bucket"].to_pylist()) for r in jaccard.match(table.filter(pa.compute.equal(table["bucket"], b)), 6, 75).to_pylist()]
+    leads = {r["x"]: r["y"] for r in found if r["kind"] == jaccard.LEAD}
+    ends = [(r["x"], r["y"]) for r in found if r["kind"] in (jaccard.EDGE, jaccard.PAIR)]
+    ends += [(r["y"], leads[r["x"]]) for r in found if r["kind"] == jaccard.WAIT and r["x"] in leads]
+    root = {a: a for a in sizes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in ends:
+        root[find(x)] = find(y)
+    for members in posted.values():
+        for x, y in itertools.combinations(members, 2):
+            if members[x] and sizes[x] <= sizes[y] or members[y] and sizes[y] <= sizes[x]:
+                assert find(x) == find(y)
+
+
 def test_jaccard_empty(none):
     assert jaccard.near_duplicates(none).count() == 0
 
