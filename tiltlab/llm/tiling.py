@@ -7,7 +7,8 @@ word and extended, lengths falling from long to short. Tiles may lie in any orde
 
 The join on shared tokens comes first: every run of ``least`` words of a document is looked up in the index of the
 items' runs (the seeds). A tile consists of seeds only, so tiling a document needs just the words that seeds cover, and an
-item whose shared seeds are too few to reach the threshold is skipped; both bounds are exact.
+item is skipped if its places with a shared seed (a seed repeated in the item counts at each place) are too few to reach
+the threshold; neither loses a tile.
 
 The index is broadcast in slices of at most about ``SLICE_BYTES`` of item text, one pass over the documents for each
 slice, so a benchmark of any size is handled with bounded memory. Words are lower-cased alphanumeric runs.
@@ -80,7 +81,7 @@ def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int = LEAST, brea
 
 
 class SeedIndex:
-    """Runs of ``least`` words of the items, sorted by hash, with the items that hold each."""
+    """Runs of ``least`` words of the items, sorted by hash, with the items that hold each and at how many places."""
 
     def __init__(self, ids: pa.Array, texts: pa.Array, least: int):
         found = T.words(texts, T.NOT_ALNUM, lower=True)
@@ -89,7 +90,8 @@ class SeedIndex:
         self.sizes = found.counts()
         good = T.inside_one(found.first, least, len(found.hash))
         hashes, owner = T.windows(found.hash, least)[good], found.doc()[: len(good)][good]
-        pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
+        none = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
+        pairs, self.places = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1, return_counts=True) if len(hashes) else none
         self.seeds, self.heads = np.unique(pairs[0], return_index=True)
         self.heads = np.append(self.heads, pairs.shape[1])
         self.owners = pairs[1].astype(np.int64)
@@ -113,18 +115,19 @@ def _covered(found: T.Words, index: SeedIndex, threshold: float) -> Iterator[tup
     at, seed, owner = at[whole], seed[whole], owner[whole]
     if not len(at):
         return
-    # Seeds of each (document, item): a tile of n words has n - least + 1 of them, so at least a share 1 / least.
+    # Places of the item with a shared seed: a tile of n words has n - least + 1 of them, so at least a share 1 / least.
     held = index.heads[seed + 1] - index.heads[seed]
     row = np.repeat(np.arange(len(at)), held)
-    item = index.owners[np.repeat(index.heads[seed], held) + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)]
+    entry = np.repeat(index.heads[seed], held) + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+    item = index.owners[entry]
     order = np.lexsort((seed[row], item, owner[row]))
-    row, item = row[order], item[order]
+    row, item, entry = row[order], item[order], entry[order]
     doc, kind = owner[row], seed[row]
     fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (kind[1:] != kind[:-1])])
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-    distinct = np.add.reduceat(fresh.astype(np.int64), new)
+    places = np.add.reduceat(np.where(fresh, index.places[entry], 0), new)
     ends = np.append(new[1:], len(row))
-    for k in np.flatnonzero(distinct * least >= threshold * index.sizes[item[new]]):
+    for k in np.flatnonzero(places * least >= threshold * index.sizes[item[new]]):
         d, i = int(doc[new[k]]), int(item[new[k]])
         starts = np.sort(at[row[new[k] : ends[k]]])
         # Only words under seeds, a break where they are not adjacent.
