@@ -2,7 +2,7 @@
 
 import pytest
 
-from tiltlab.llm import tiling
+from tiltlab.llm import licenses, tiling
 
 DOCS = "doc_id long, text string"
 
@@ -15,3 +15,27 @@ def test_tiling_finds_items_with_inner_repetition(spark, item):
     n = len(item.split())
     assert [tuple(r) for r in tiling.contaminated(docs, items).select("doc_id", "item_id", "item_words", "covered_words").collect()] == [(1, 7, n, n)]
     assert [r.doc_id for r in tiling.remove_contaminated(docs, items).collect()] == [2]
+
+
+def test_licenses_beside_a_long_notice(spark):
+    """Labels of every notice of a file, however many rarer words another notice brings; checked by looking at every placement."""
+    mit = next(text for label, text, _ in licenses.TEMPLATES if label == "mit" and len(text.split()) > 30)
+    extra = ["licensed under the gnu general public license version 3", "all rights reserved", "licensed under cc by sa 4 0"]
+    common = [" ".join(sorted({w for x in extra for w in x.split()}))] * 40
+    files = [f"{mit} other words {x}" for x in extra] + [" x ".join(t for _, t, _ in licenses.TEMPLATES)] + common
+
+    def brute(text):
+        w, labels = text.split(), set()
+        for label, template, keys in licenses.TEMPLATES:
+            t = template.split()
+            spots = [next(k for k in range(len(t)) if t[k : k + len(p.split())] == p.split()) for p in keys]
+            for start in range(-len(t), len(w)):
+                placed = [w[start + k] if 0 <= start + k < len(w) else None for k in range(len(t))]
+                if all(placed[s : s + len(p.split())] == p.split() for s, p in zip(spots, keys)):
+                    if sum(x == y for x, y in zip(placed, t)) >= licenses.COVERAGE * len(t):
+                        labels.add(label)
+        return labels | {label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in f" {text} "}
+
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(files)), DOCS)).collect()}
+    assert [got[i] for i in range(3)] == ["gpl-3,mit", "mit,proprietary", "cc-by-sa,mit"]
+    assert all(got[i] == ",".join(sorted(brute(text))) for i, text in enumerate(files))

@@ -1,10 +1,9 @@
 """License scan with a positional rare-token index.
 
-Templates (texts, notices and phrases) are indexed by word: a posting is (template, position). A file is scanned in three
-steps. Its words that occur in the templates are looked up by hash, and of those the ``RARE`` distinct ones with the highest
-inverse document frequency over all files are taken. Their postings are intersected by relative position: occurrences of
-different rare words that agree on (file position - template position) support one placement of the template. A placement
-with enough support is verified: the template's mandatory key phrases must stand in the file at that placement, and its
+Templates (texts, notices and phrases) are indexed by the rarest word of their first mandatory key phrase: the one with the
+highest inverse document frequency over all files, with its position in the template. Every occurrence of that word in a file gives
+one placement of the template, so each placement at which the phrase stands is looked at, however many other notices the
+file holds. A placement is verified: the template's mandatory key phrases must stand in the file there, and its
 coverage is the share of template words found in place.
 
 Base labels come from phrases that stand consecutively anywhere, all places counted; the scan adds labels of its own
@@ -83,7 +82,6 @@ TEMPLATES = (
     ("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 
-RARE = 24
 COVERAGE = 0.6
 
 
@@ -110,7 +108,7 @@ def _find(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 class RareTokenIndex:
-    """Postings of the templates' words, and the words' document frequencies once known."""
+    """The templates' words, their document frequencies once known, and each template's rarest word of its key phrase."""
 
     def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES):
         self.templates = []
@@ -124,11 +122,7 @@ class RareTokenIndex:
         self.phrases = [(_hashes(phrase), label) for phrase, label in phrases]
         flat = np.concatenate([t.words for t in self.templates] + [p for p, _ in self.phrases])
         self.vocabulary = np.unique(flat)
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
-        for number, template in enumerate(self.templates):
-            for place, word in enumerate(np.searchsorted(self.vocabulary, template.words).tolist()):
-                self.postings[word].append((number, place))
-        self.frequency = np.zeros(len(self.vocabulary), np.int64)
+        self.rarest: list[tuple[int, int]] = []  # (word, position in the template) of each template
         self.anchor = np.zeros(len(self.vocabulary), bool)
 
     def count_files(self, frequency: np.ndarray) -> None:
@@ -136,10 +130,14 @@ class RareTokenIndex:
 
         A file without any anchor can hold no template and no base phrase.
         """
-        self.frequency = frequency
-        keys = [t.words[k : k + n] for t in self.templates for k, n in t.keys[:1]] + [p for p, _ in self.phrases]
-        for key in keys:
-            kinds = np.searchsorted(self.vocabulary, key)
+        for template in self.templates:
+            start, length = template.keys[0]
+            kinds = np.searchsorted(self.vocabulary, template.words[start : start + length])
+            least = int(np.argmin(frequency[kinds]))
+            self.rarest.append((int(kinds[least]), start + least))
+            self.anchor[kinds[least]] = True
+        for phrase, _ in self.phrases:
+            kinds = np.searchsorted(self.vocabulary, phrase)
             self.anchor[kinds[np.argmin(frequency[kinds])]] = True
 
     def match(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,34 +146,35 @@ class RareTokenIndex:
         at = np.flatnonzero(self.vocabulary[spot] == hashes)
         return at, spot[at]
 
-    def scan(self, words: np.ndarray, at: np.ndarray, kind: np.ndarray, rare: int, coverage: float) -> tuple[set[str], float]:
+    def scan(self, words: np.ndarray, at: np.ndarray, kind: np.ndarray, coverage: float) -> tuple[set[str], float]:
         """Labels verified in one file and the best coverage; ``at`` and ``kind`` are its template words."""
-        distinct = np.unique(kind)
-        chosen = distinct[np.lexsort((distinct, self.frequency[distinct]))][:rare]
-        support: dict[tuple[int, int], set[int]] = {}
-        for place, word in zip(at[np.isin(kind, chosen)].tolist(), kind[np.isin(kind, chosen)].tolist(), strict=True):
-            for number, offset in self.postings[word]:
-                support.setdefault((number, place - offset), set()).add(word)
+        held = np.zeros(len(self.vocabulary), bool)
+        held[kind] = True
         labels, best = set(), 0.0
-        for (number, start), agreed in support.items():
-            template = self.templates[number]
-            n = len(template.words)
-            wanted = set(np.searchsorted(self.vocabulary, template.words).tolist()) & set(chosen.tolist())
-            if 2 * len(agreed) < min(len(wanted), 4) or start + n <= 0 or start >= len(words):
+        for template, (word, offset) in zip(self.templates, self.rarest, strict=True):
+            if not held[word]:
                 continue
-            low, high = max(start, 0), min(start + n, len(words))
-            same = np.zeros(n, bool)
-            same[low - start : high - start] = words[low:high] == template.words[low - start : high - start]
-            if not all(same[k : k + length].all() for k, length in template.keys):
+            starts = at[kind == word] - offset
+            for first, length in template.keys:
+                starts = starts[(starts + first >= 0) & (starts + first + length <= len(words))]
+                for k in range(first, first + length):
+                    starts = starts[words[starts + k] == template.words[k]]
+            if not len(starts):
                 continue
-            share = float(same.mean())
+            n = len(template.words)
+            same = np.zeros(len(starts), np.int64)
+            for k in range(n):
+                spot = starts + k
+                inside = (spot >= 0) & (spot < len(words))
+                same[inside] += words[spot[inside]] == template.words[k]
+            share = float(same.max() / n)
             best = max(best, share)
             if share >= coverage:
                 labels.add(template.label)
         return labels, best
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, rare: int = RARE, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
@@ -219,7 +218,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, ra
                         if len(spots):
                             base.add(label)
                             places.append(spots)
-                    labels, score = index.scan(words, at[part] - found.first[i], kind[part], rare, coverage)
+                    labels, score = index.scan(words, at[part] - found.first[i], kind[part], coverage)
                 spots = np.concatenate(places) if places else None
                 rows["n_base"].append(0 if spots is None else len(spots))
                 rows["first_word"].append(None if spots is None else int(spots.min()))
