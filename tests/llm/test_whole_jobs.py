@@ -2,7 +2,7 @@
 
 import pytest
 
-from tiltlab.llm import licenses, tiling
+from tiltlab.llm import html, licenses, tiling
 
 DOCS = "doc_id long, text string"
 
@@ -39,3 +39,26 @@ def test_licenses_beside_a_long_notice(spark):
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(files)), DOCS)).collect()}
     assert [got[i] for i in range(3)] == ["gpl-3,mit", "mit,proprietary", "cc-by-sa,mit"]
     assert all(got[i] == ",".join(sorted(brute(text))) for i, text in enumerate(files))
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div class='content has-sidebar'><article>", "</article></div>"),
+        ("<div class='elementor-widget elementor-widget-text-editor'>", "</div>"),
+        ("<article class='post tag-legal'>", "</article>"),
+        ("<article class='post category-social'>", "</article>"),
+        ("<div class='sidebar'><main>", "</main></div>"),
+        ("<div class='banner'><article class='post sponsored'>", "</article></div>"),
+    ],
+)
+def test_html_keeps_the_article_in_a_marked_wrapper(start, end):
+    around = ("<div class='ad'>Buy this now</div><div class='related'><article>See also that</article></div>", "<div class='comments-area'><article class='comment-body'>Nice one indeed</article></div>")
+    page = f"<body>{around[0]}{start}<h1>Title of it</h1><p>Words of the first paragraph</p><div class='cookie-notice'>We use cookies</div><p>And a last one</p>{end}{around[1]}</body>"
+    assert html.main_text(page, html.default_tree()) == "Title of it\n\nWords of the first paragraph\n\nAnd a last one"
+
+
+def test_html_tree_weighs_the_mark_with_length_and_links():
+    tree, long = html.default_tree(), "word " * 200
+    text = html.main_text(f"<div class='notice'><p>{long}</p><p>short words here</p><p><a href=x>{long}</a></p></div>", tree)
+    assert text == long.strip()

@@ -3,7 +3,9 @@
 A page is read in one pass by the standard library's tokenizer into a flat list of text blocks: block-level tags end a block,
 inline tags do not; scripts, styles and other unseen content never enter one. A block has its text, word count, link
 density and the words and link density of its neighbours, whether a heading, and what its enclosing elements say: furniture
-(navigation, header, footer, sidebar, form, ...), names that mark adverts, notices or comments, or main content. A decision
+(navigation, header, footer, sidebar, form, ...), names that mark adverts, notices or comments, or main content. A name marks
+if it says nothing else (``has-sidebar`` or ``tag-legal`` say something else), and never counts on a main element, on the page's article (the longest) or
+on what encloses them, except that names of comments count around articles. A decision
 tree over these features tells content from boilerplate; it is trained here, on the small labelled table ``LABELLED``.
 
 Scripts and the like end where their end tag stands, so a ``</p>`` inside a script is script. Unclosed elements end with
@@ -39,12 +41,14 @@ CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An opening tag ends an open element of these kinds first.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|notice|cookie|cookies|consent|gdpr|popup|modal|overlay|"
-    r"sidebar|side|widget|related|recommended|share|sharing|social|subscribe|subscription|newsletter|signup|login|comment|comments|disqus|reply|replies|respond|discussion|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|toolbar|header|masthead|footer|copyright|legal|disclaimer|skip|hidden|tags|toc)(?:$|[\s_-])",
-    re.IGNORECASE,
+# A class or id marks its element if one whole name of it consists of these words, alone or with neutral parts ("cookie-banner", "comment-list", "ad_1").
+COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner notice cookie cookies consent gdpr popup modal overlay "
+    "sidebar related recommended share sharing subscribe subscription newsletter signup login "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar header masthead footer copyright disclaimer skip toc".split()
 )
+NEUTRAL = frozenset("area bar block body bottom box buttons container form inner item left link links list message module outer panel posts right section site slot thread top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "furniture", "marked", "main")
@@ -104,6 +108,18 @@ LABELLED = (
     (8, 0.9, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
     (4, 0.7, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     (12, 0.8, 40, 0.0, 6, 0.9, 0, 0, 0, 0, 0),
+    # long running text under a name that sounds like furniture, and long lists of links
+    (150, 0.0, 90, 0.0, 130, 0.0, 0, 0, 1, 1, 1),
+    (220, 0.1, 150, 0.0, 12, 0.2, 0, 0, 1, 1, 1),
+    (180, 0.0, 6, 0.0, 160, 0.0, 0, 0, 1, 0, 1),
+    (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
+    (160, 0.7, 90, 0.0, 2, 1.0, 0, 0, 1, 0, 0),
+    (240, 0.9, 150, 0.0, 60, 0.0, 0, 0, 1, 1, 0),
+    # paragraphs with many links
+    (40, 0.4, 30, 0.0, 50, 0.1, 0, 0, 0, 0, 1),
+    (25, 0.3, 60, 0.2, 0, 0.0, 0, 0, 0, 0, 1),
+    (12, 0.4, 40, 0.1, 45, 0.3, 0, 0, 0, 0, 1),
+    (70, 0.4, 0, 0.0, 30, 0.4, 0, 0, 0, 0, 1),
 )
 
 
@@ -162,12 +178,36 @@ class Block:
     main: bool
 
 
+def mark_of(names: str) -> str:
+    """The kind of mark in a class or id attribute: "comments", "other" or none."""
+    for name in names.lower().split():
+        parts = [x for x in re.split("[_-]+", name) if x and not x.isdigit()]
+        if any(x in MARKS for x in parts) and all(x in MARKS or x in NEUTRAL for x in parts):
+            return "comments" if any(x in COMMENTS for x in parts) else "other"
+    return ""
+
+
+@dataclass
+class _Mark:
+    kind: str
+    lifted: bool = False
+
+
+@dataclass
+class _Article:
+    """An article outside any other; ``marks`` are its own and those of the elements around it."""
+
+    marks: tuple
+    words: int = 0
+
+
 @dataclass
 class _Open:
     tag: str
     unseen: bool
     furniture: bool
-    marked: bool
+    marks: tuple
+    article: _Article | None
     main: bool
     heading: bool
     link: bool
@@ -182,7 +222,10 @@ class BlockReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open = [_Open("", False, False, False, False, False, False)]
+        self.open = [_Open("", False, False, (), None, False, False, False)]
+        self.articles: list[_Article] = []
+        self.marks: list[tuple] = []  # of each block, until the page's end tells which count
+        self.owners: list[_Article | None] = []
         self.text: list[str] = []
         self.linked = 0
         self.context = self.open[0]
@@ -192,7 +235,11 @@ class BlockReader(HTMLParser):
         if text:
             words = text.count(" ") + 1
             c = self.context
-            self.blocks.append(Block(text, words, min(1.0, self.linked / words), c.heading, c.furniture, c.marked, c.main))
+            self.blocks.append(Block(text, words, min(1.0, self.linked / words), c.heading, c.furniture, False, c.main))
+            self.marks.append(c.marks)
+            self.owners.append(c.article)
+            if c.article:
+                c.article.words += words
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attributes):
@@ -213,13 +260,22 @@ class BlockReader(HTMLParser):
         role = (named.get("role") or "").lower()
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         header_of_article = tag == "header" and up.main
-        own_mark = bool(MARKS.search(names)) and tag not in ("body", "html")
+        kind = "" if tag in ("body", "html") else mark_of(names)
+        marks = (*up.marks, _Mark(kind)) if kind else up.marks
+        if tag == "main" or role == "main":
+            for mark in marks:
+                mark.lifted = True
+        article = up.article
+        if tag == "article" and not article:
+            article = _Article(marks)
+            self.articles.append(article)
         self.open.append(
             _Open(
                 tag,
                 up.unseen or tag in UNSEEN or hidden,
                 up.furniture or (tag in FURNITURE and not header_of_article) or role in ROLES,
-                up.marked or own_mark,
+                marks,
+                article,
                 up.main or tag in CONTENT or role == "main",
                 up.heading or tag in HEADINGS,
                 up.link or tag == "a",
@@ -255,6 +311,15 @@ class BlockReader(HTMLParser):
             self.rawdata = ""
         self.close()
         self._end_block()
+        # The page's article is the longest, if no more unmarked text stands outside it; what it or a main element stands in
+        # is no furniture, whatever its name.
+        page = max(self.articles, key=lambda a: a.words, default=None)
+        rest = sum(b.words for b, marks, owner in zip(self.blocks, self.marks, self.owners, strict=True) if owner is not page and not b.furniture and all(m.lifted for m in marks))
+        if page and page.words >= rest:
+            for mark in page.marks:
+                mark.lifted |= mark.kind != "comments"
+        for block, marks in zip(self.blocks, self.marks, strict=True):
+            block.marked = not all(mark.lifted for mark in marks)
         return self.blocks
 
 
