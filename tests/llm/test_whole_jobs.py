@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
 import pytest
 
-from tiltlab.llm import html, licenses, tiling
+from tests.llm.test_operators import rng_words
+from tiltlab.llm import html, jaccard, licenses, substring, tiling
+from tiltlab.llm import tokens as T
 
 DOCS = "doc_id long, text string"
 
@@ -62,3 +65,15 @@ def test_html_tree_weighs_the_mark_with_length_and_links():
     tree, long = html.default_tree(), "word " * 200
     text = html.main_text(f"<div class='notice'><p>{long}</p><p>short words here</p><p><a href=x>{long}</a></p></div>", tree)
     assert text == long.strip()
+
+
+def test_substring_anchors_of_a_text_beyond_24_bits():
+    n, size = (1 << 24) + 5000, substring.WINDOW
+    hashes = T.mix(np.arange(n, dtype=np.uint64))
+    hashes[-100:] = hashes[1000:1100]
+    starts, at = substring.anchors(T.Words(None, None, hashes, None, None, np.array([0, n])), size)
+    assert len(starts) == n - size + 1 and ((at >= starts) & (at <= starts + size - substring.GRAM)).all()
+    ranks = T.windows(hashes, substring.GRAM) >> np.uint64(24)
+    for k in [*range(0, 50), *range((1 << 24) - 100, (1 << 24) + 100), *range(n - size - 50, n - size + 1)]:
+        assert at[k] == k + np.argmin(ranks[k : k + size - substring.GRAM + 1])
+    assert (at[n - 100 : n - size + 1] - (n - 100) == at[1000 : 1101 - size] - 1000).all()

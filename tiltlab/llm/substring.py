@@ -45,10 +45,15 @@ def anchors(found: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     grams = T.windows(found.hash, GRAM)
     if total < size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ranked = (grams >> _POSITION << _POSITION) | np.arange(len(grams), dtype=np.uint64)
-    low = T.sliding_min(ranked, size - GRAM + 1)
     starts = np.flatnonzero(T.inside_one(found.first, size, total))
-    return starts, (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    span = size - GRAM + 1
+    low = np.empty(total - size + 1, np.int64)
+    step = (1 << int(_POSITION)) - span + 1  # windows of a part whose positions fit beside the hash
+    for at in range(0, len(low), step):
+        part = grams[at : at + step + span - 1]
+        ranked = (part >> _POSITION << _POSITION) | np.arange(len(part), dtype=np.uint64)
+        low[at : at + step] = at + (T.sliding_min(ranked, span) & np.uint64((1 << int(_POSITION)) - 1)).astype(np.int64)
+    return starts, low[starts]
 
 
 def _anchor_hashes(size: int):
