@@ -77,3 +77,15 @@ def test_substring_anchors_of_a_text_beyond_24_bits():
     for k in [*range(0, 50), *range((1 << 24) - 100, (1 << 24) + 100), *range(n - size - 50, n - size + 1)]:
         assert at[k] == k + np.argmin(ranks[k : k + size - substring.GRAM + 1])
     assert (at[n - 100 : n - size + 1] - (n - 100) == at[1000 : 1101 - size] - 1000).all()
+
+def test_jaccard_two_texts_under_one_smallest_id(spark):
+    """Different texts that share the smallest id of both their sets keep the links of both."""
+    rows, texts = [], [rng_words(f"same-id-{k}", 100, 10**6).split() for k in range(2)]
+    for k, text in enumerate(texts):
+        rows += [(1, " ".join(text)), (10 + k, " ".join(text[:50] + ["changed"] + text[51:])), (20 + k, " ".join(text[:90]))]
+    # The two are in one region: a text that shares shingles with both, too few to be near either.
+    rows.append((30, " ".join(texts[0][:60] + texts[1][:60])))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {1: 1, 10: 1, 11: 1, 20: 1, 21: 1, 30: 30}
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 1, 30]

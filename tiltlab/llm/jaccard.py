@@ -451,13 +451,13 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = named.mapInArrow(sets, "id long, n long, sa long, sb long, text string")
     same = (F.col("id") == F.col("rep")) & (F.col("sa") == F.col("a")) & (F.col("sb") == F.col("b"))
-    gathered = staged(found.join(chosen, same).select("rep", "n", "text", "region", "members"))
+    gathered = staged(found.join(chosen, same).select(F.col("a").alias("rep"), "n", "text", "region", "members"))
     picked.destroy()
     return _label(profile, classes, _link(gathered, size, percent, chunk))
 
 
 def _link(gathered: DataFrame, size: int, percent: int, chunk: int) -> DataFrame:
-    """(node, root) over the sets of ``gathered`` that are linked with another set."""
+    """(node, root) over the sets of ``gathered`` that are linked with another set, by fingerprint a (``rep``)."""
     placed = gathered
     # Small regions share groups of about ``chunk`` sets; a large one is cut at random into chunks of about that size.
     pool = F.lit(1) + F.floor(F.lit(placed.select("rep").count()) / F.lit(chunk))
@@ -501,7 +501,10 @@ def _link(gathered: DataFrame, size: int, percent: int, chunk: int) -> DataFrame
 
 
 def _label(profile: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    roots = classes.join(joined, F.col("rep") == F.col("node"), "left").select("a", "b", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    # Components of fingerprints, each under the smallest id of its sets.
+    least = joined.join(classes, F.col("a") == F.col("node")).groupBy("root").agg(F.min("rep").alias("least"))
+    ids = joined.join(least, "root").select("node", "least")
+    roots = classes.join(ids, F.col("a") == F.col("node"), "left").select("a", "b", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
     out = profile.join(roots, ["a", "b", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"))
