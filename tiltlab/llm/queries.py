@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltlab.llm import chat, html, jaccard, katz, licenses, mixing, rules, substring, subword, tiling
+from tiltlab.llm import chat, html, jaccard, katz, licenses, merkle, mixing, rules, substring, subword, tiling
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
+def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Leaf, proof and check of every document in a hash tree over sources."""
+    found = merkle.manifest(_table(spark, root, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_substring_dedup,
         op10_decontaminate,
+        op13_merkle_manifest,
     )
 }
 
@@ -177,5 +184,60 @@ WITH w AS (
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+      coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS other,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [(ord(c) >> b) & 1 for b in range(8)]))::BIGINT[]),
+      lambda a, bit: xor(a >> 1, 3988292384 * (xor(a, bit) & 1))), 4294967295) % 5 = 0 AS tampered
+  FROM documents
+), l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(other) || ':' || other, '-')) END AS changed
+  FROM f
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM l
+), t AS (
+  SELECT 0 AS level, source, place, total, leaf AS digest FROM p
+  UNION ALL
+  SELECT level + 1, source, place // 16, (any_value(total) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM t WHERE total > 1 GROUP BY level, source, place // 16
+), r AS (
+  SELECT source, level AS height, digest AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS place, count(*) OVER () AS total FROM t WHERE total = 1
+), u AS (
+  SELECT 0 AS level, place, total, subroot AS digest FROM r
+  UNION ALL
+  SELECT level + 1, place // 16, (any_value(total) + 15) // 16, sha256(string_agg(digest, '' ORDER BY place)) FROM u WHERE total > 1 GROUP BY level, place // 16
+), low AS (
+  SELECT level, source, place // 16 AS run, list(digest ORDER BY place) AS run_digests FROM t WHERE total > 1 GROUP BY level, source, place // 16
+), high AS (
+  SELECT level, place // 16 AS run, list(digest ORDER BY place) AS run_digests FROM u WHERE total > 1 GROUP BY level, place // 16
+), s AS (
+  SELECT l.source, l.run, l.level, l.run_digests, r.height, r.place AS at FROM low l JOIN r ON l.source IS NOT DISTINCT FROM r.source
+), steps AS (
+  SELECT p.source, p.place, s.level AS step, array_to_string(run_digests[1:(p.place // (16 ** s.level)::BIGINT) % 16], '') AS before,
+    array_to_string(run_digests[(p.place // (16 ** s.level)::BIGINT) % 16 + 2:], '') AS after
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source AND s.run = p.place // (16 ** (s.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.source, p.place, r.height + h.level, array_to_string(run_digests[1:(r.place // (16 ** h.level)::BIGINT) % 16], ''),
+    array_to_string(run_digests[(r.place // (16 ** h.level)::BIGINT) % 16 + 2:], '')
+  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN high h ON h.run = r.place // (16 ** (h.level + 1))::BIGINT
+), fold AS (
+  SELECT source, place, 0 AS step, coalesce(changed, leaf) AS digest FROM p
+  UNION ALL
+  SELECT f.source, f.place, f.step + 1, sha256(s.before || f.digest || s.after) FROM fold f JOIN steps s ON f.source IS NOT DISTINCT FROM s.source AND f.place = s.place AND f.step = s.step
+), done AS (
+  SELECT source, place, max_by(digest, step) AS folded_root FROM fold GROUP BY source, place
+), proof AS (
+  SELECT source, place, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY source, place
+), top AS (
+  SELECT digest AS root FROM u WHERE total = 1
+)
+SELECT p.doc_id, p.leaf, r.subroot, top.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = top.root AS verified
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+  JOIN done d ON p.source IS NOT DISTINCT FROM d.source AND p.place = d.place
+  LEFT JOIN proof q ON p.source IS NOT DISTINCT FROM q.source AND p.place = q.place, top
 """,
 }
