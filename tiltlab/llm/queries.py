@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltlab.llm import chat, html, jaccard, katz, licenses, merkle, mixing, rules, substring, subword, tiling
+from tiltlab.llm import chat, circulant, html, jaccard, katz, licenses, merkle, mixing, rules, substring, subword, tiling
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
+def op12_circulant_minhash(spark: SparkSession, root: str) -> DataFrame:
+    """Classes of documents whose three-word shingles overlap by 85 percent."""
+    return circulant.near_duplicates(_table(spark, root, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Leaf, proof and check of every document in a hash tree over sources."""
     found = merkle.manifest(_table(spark, root, "documents"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_substring_dedup,
         op10_decontaminate,
+        op12_circulant_minhash,
         op13_merkle_manifest,
     )
 }
@@ -102,25 +108,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLES = {
-    "op3_ngram_jaccard": rf"""
+
+
+def _links(size: int, percent: int, more: str) -> str:
+    """Classes of documents whose sets of ``size``-word shingles overlap by ``percent`` in a hundred."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - {size - 2}, 2))) AS t(i) WHERE len(ws) > 0
 ), n AS (
   SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
 ), shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
-  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= {percent} * (p.n + q.n - k)
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM n
   UNION
   SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
 )
-SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN reach r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
-""",
+SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id{more} FROM n JOIN reach r ON r.x = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+ORACLES = {
+    "op3_ngram_jaccard": _links(5, 75, ""),
     "op4_source_mix": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
@@ -185,6 +198,7 @@ WITH w AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """,
+    "op12_circulant_minhash": _links(3, 85, ", n.doc_id = min(r.y) AS kept"),
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE f AS (
   SELECT doc_id, source,
