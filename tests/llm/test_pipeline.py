@@ -7,7 +7,7 @@ ROOT = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {f"op{n}" for n in (*range(1, 11), 12, 13)} == {name.split("_")[0] for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
     assert entry.queries()["pipeline"] is not None and len(corpus_pipeline.STAGES) == 5
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltlab.llm import chat, circulant, html, jaccard, katz, licenses, merkle, mixing, rules, substring, subword, tiling
+from tiltlab.llm import chat, circulant, collocations, html, jaccard, katz, licenses, merkle, mixing, rules, substring, subword, tiling
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
+def op11_phrase_collocations(spark: SparkSession, root: str) -> DataFrame:
+    """The 2,000 highest-scoring collocations of each language."""
+    return collocations.collocations(_table(spark, root, "documents"))
+
+
 def op12_circulant_minhash(spark: SparkSession, root: str) -> DataFrame:
     """Classes of documents whose three-word shingles overlap by 85 percent."""
     return circulant.near_duplicates(_table(spark, root, "documents"))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_substring_dedup,
         op10_decontaminate,
+        op11_phrase_collocations,
         op12_circulant_minhash,
         op13_merkle_manifest,
     )
@@ -197,6 +203,41 @@ WITH w AS (
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op11_phrase_collocations": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), e AS (
+  SELECT id, lang, generate_subscripts(pieces, 1) AS pc, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS ws FROM d
+), w AS (
+  SELECT id, lang, pc, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM e
+), y AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4, lead(word, 4) OVER p AS w5
+  FROM w WINDOW p AS (PARTITION BY id, pc ORDER BY i)
+), g AS (
+  SELECT lang, [w1] AS p, count(*) AS f FROM y GROUP BY lang, w1 HAVING count(*) >= 100 UNION ALL
+  SELECT lang, [w1, w2], count(*) FROM y WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3], count(*) FROM y WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3, w4], count(*) FROM y WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 100 UNION ALL
+  SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM y WHERE w5 IS NOT NULL GROUP BY lang, w1, w2, w3, w4, w5 HAVING count(*) >= 100
+), n AS (
+  SELECT lang, count(*)::HUGEINT AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, p, f AS a FROM g WHERE len(p) > 1
+), covered AS (
+  SELECT lang, p, max(a) AS longer FROM (
+    SELECT lang, p[1:len(p) - 1] AS p, a FROM c WHERE len(p) > 2 UNION ALL SELECT lang, p[2:], a FROM c WHERE len(p) > 2
+  ) GROUP BY lang, p
+), s AS (
+  SELECT c.lang, c.p, c.a, n.n, k, x.f AS l, y.f AS r, (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN n USING (lang), range(1, 5) AS t(k) JOIN g x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN g y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+  WHERE k < len(c.p) AND NOT EXISTS (SELECT 1 FROM covered v WHERE v.lang = c.lang AND v.p = c.p AND 100 * v.longer >= 100 * c.a)
+), b AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, n, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM s GROUP BY ALL
+), o AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, encode(phrase)) AS rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score AS score FROM b
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
 """,
     "op12_circulant_minhash": _links(3, 85, ", n.doc_id = min(r.y) AS kept"),
     "op13_merkle_manifest": rf"""
