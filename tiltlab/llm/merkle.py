@@ -75,14 +75,12 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
 
 
 def pivot(nodes: DataFrame, fanout: int, *carried: str) -> DataFrame:
-    """Parents (tree, place, total, slot columns c0, c1, ...) of the nodes (tree, place, total, digest).
+    """Parents (tree, place, total, lone, slot columns s0, s1, ...) of the nodes (tree, place, total, digest).
 
-    Columns ``carried`` go along in structs k0, k1, ... beside the digests.
+    A slot holds its child's digest and the columns ``carried``; it is null past a run's end.
     """
     slot = F.pmod(F.col("place"), F.lit(fanout))
-    spread = [F.max(F.when(slot == k, F.col("digest"))).alias(f"c{k}") for k in range(fanout)]
-    if carried:
-        spread += [F.max(F.when(slot == k, F.struct(*carried))).alias(f"k{k}") for k in range(fanout)]
+    spread = [F.max(F.when(slot == k, F.struct("digest", *carried))).alias(f"s{k}") for k in range(fanout)]
     parent = F.floor(F.col("place") / F.lit(fanout)).cast("long").alias("place")
     total = F.ceil(F.first("total") / F.lit(fanout)).cast("long").alias("total")
     return nodes.groupBy("tree", parent).agg(total, (F.first("total") == 1).alias("lone"), *spread)
@@ -90,8 +88,8 @@ def pivot(nodes: DataFrame, fanout: int, *carried: str) -> DataFrame:
 
 def parents(runs: DataFrame, fanout: int) -> DataFrame:
     """The node that each run becomes; a lone node stays what it is."""
-    joined = digest(*(F.col(f"c{k}") for k in range(fanout)))
-    return runs.select("tree", "place", "total", F.when(F.col("lone"), F.col("c0")).otherwise(joined).alias("digest"))
+    joined = digest(*(F.col(f"s{k}.digest") for k in range(fanout)))
+    return runs.select("tree", "place", "total", F.when(F.col("lone"), F.col("s0.digest")).otherwise(joined).alias("digest"))
 
 
 def grow(nodes: DataFrame, fanout: int, *carried: str) -> tuple[list[DataFrame], DataFrame]:
@@ -110,40 +108,40 @@ def grow(nodes: DataFrame, fanout: int, *carried: str) -> tuple[list[DataFrame],
             return runs, reduce(DataFrame.unionByName, ends)
 
 
-def children(runs: DataFrame, fanout: int, carried: bool) -> DataFrame:
-    """The children of ``runs`` with ``before`` and ``after``: their own level's digests put in front of the run's.
+def children(runs: DataFrame, fanout: int, *carried: str) -> DataFrame:
+    """The children of ``runs`` with ``before`` and ``after``: the slots but their own, put in front of the run's.
 
     A lone node has null there, a run of one beside other runs the empty string.
     """
-    slots = []
-    for k in range(fanout):
-        own = [F.col(f"c{j}") for j in range(fanout)]
-        left, right = (F.when(~F.col("lone"), F.concat_ws("", F.lit(""), *side)) for side in (own[:k], own[k + 1 :]))
-        extra = [F.col(f"k{k}").alias("carried")] if carried else []
-        slots.append(F.when(own[k].isNotNull(), F.struct(F.lit(k).alias("slot"), own[k].alias("digest"), left.alias("left"), right.alias("right"), *extra)))
-    child = runs.withColumn("child", F.explode(F.array_compact(F.array(*slots))))
+    kept = [c for c in ("subroot",) if c in runs.columns]
+    slots = F.array_compact(F.array(*(f"s{k}" for k in range(fanout))))
+    run = runs.select("tree", "place", "lone", "before", "after", *kept, slots.alias("slots"))
+    run = run.withColumn("digests", F.transform("slots", lambda x: x["digest"]))
+    child = run.select("*", F.posexplode("slots").alias("slot", "child"))
+    left, right = F.slice("digests", F.lit(1), F.col("slot")), F.slice("digests", F.col("slot") + 2, F.lit(fanout))
+    left, right = (F.when(~F.col("lone"), F.array_join(side, "")) for side in (left, right))
     return child.select(
         "tree",
-        (F.col("place") * fanout + F.col("child.slot")).alias("place"),
+        (F.col("place") * fanout + F.col("slot")).alias("place"),
         F.col("child.digest").alias("digest"),
-        F.concat(F.array("child.left"), "before").alias("before"),
-        F.concat(F.array("child.right"), "after").alias("after"),
-        *([F.col("child.carried.*")] if carried else []),
-        *(c for c in ("subroot",) if c in runs.columns),
+        F.concat(F.array(left), "before").alias("before"),
+        F.concat(F.array(right), "after").alias("after"),
+        *(F.col(f"child.{c}").alias(c) for c in carried),
+        *kept,
     )
 
 
-def descend(runs: list[DataFrame], tops: DataFrame, fanout: int, carried: bool = False) -> DataFrame:
+def descend(runs: list[DataFrame], tops: DataFrame, fanout: int, *carried: str) -> DataFrame:
     """The lowest nodes with the digests before and after them at every level; ``tops`` has those of each tree's last node."""
-    # A tree's last run has place 0 and total 1; what is above it comes from ``tops``.
     paths = None
     for level in range(len(runs) - 1, -1, -1):
         here = runs[level]
         first = here.where("total = 1").join(tops, "tree")
         if paths is not None:
-            below = here.where("total > 1").join(paths.drop("digest"), ["tree", "place"])
-            first = first.unionByName(below)
-        paths = children(first, fanout, carried and level == 0)
+            first = first.unionByName(here.where("total > 1").join(paths.drop("digest"), ["tree", "place"]))
+        # Each level but the lowest is written: it has a sixteenth of the nodes below it, and every plan stays one level deep.
+        paths = children(first, fanout, *([] if level else carried))
+        paths = staged(paths) if level else paths
     return paths
 
 
@@ -155,7 +153,8 @@ def folded(start: Column, before: Column, after: Column) -> Column:
 
 def manifest(docs: DataFrame, fanout: int = FANOUT, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """doc_id, leaf, subroot, root, siblings (before, after), proof_sha256, folded_root and verified of every row."""
-    rows = placed(leaves(docs, columns), ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest")
+    # Written first: the ranges are drawn from a sample, which would hash every row once more.
+    rows = placed(staged(leaves(docs, columns)), ["doc_id", "leaf"]).withColumnRenamed("leaf", "digest")
     runs, subroots = grow(rows, fanout, "doc_id", "changed")
     named = staged(subroots)
     # The sources' subroots are the lowest nodes of one more tree.
@@ -163,9 +162,9 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, columns: tuple[str, ...] = C
     upper, root = grow(top, fanout, "source")
     none = F.array().cast("array<string>")
     tops = root.select("tree", none.alias("before"), none.alias("after"))
-    sources = descend(upper, tops, fanout, carried=True).select(F.col("source").alias("tree"), F.col("digest").alias("subroot"), "before", "after")
+    sources = descend(upper, tops, fanout, "source").select(F.col("source").alias("tree"), F.col("digest").alias("subroot"), "before", "after")
     one = root.first()  # the root, a single row
-    found = descend(runs, sources, fanout, carried=True).withColumn("root", F.lit(one["digest"] if one else None).cast("string"))
+    found = descend(runs, staged(sources), fanout, "doc_id", "changed").withColumn("root", F.lit(one["digest"] if one else None).cast("string"))
     proof = F.concat_ws("", F.zip_with("before", "after", lambda left, right: F.concat_ws("", left, right)))
     back = folded(F.coalesce("changed", "digest"), F.col("before"), F.col("after"))
     out = found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "before", "after", digest(proof).alias("proof_sha256"), back.alias("folded_root"))
