@@ -113,13 +113,20 @@ def test_signatures_are_shifts_and_estimate_similarity():
     assert abs((found[:, 0] == found[:, 1]).mean() - 0.7) < 0.1
 
 
-def test_open_pairs_give_the_nearest_of_two_labels():
+def test_open_pairs_give_the_nearest_of_each_label():
     draw = np.random.default_rng(6)
     parity = draw.integers(0, 2**62, 16)
-    rows = [{"tile": "t", "side": 2, "bucket": 1, "s": k, "label": k % 2, "n": 4000, "parity": (parity ^ (1 << k // 4) - 1).tolist()} for k in range(12)]
+    rows = [{"tile": "t", "side": 2, "bucket": b, "s": k, "label": k % 2, "n": 4000, "parity": (parity ^ (1 << k // 4) - 1).tolist()} for k in range(12) for b in (1, 2)]
     table = pa.Table.from_pylist(rows + rows[:2])
     every = circulant.open_pairs(table, 85, 1000).to_pylist()
     assert sorted((r["y"], r["x"]) for r in every) == [(i, j) for i, j in itertools.combinations(range(12), 2) if i % 2 != j % 2]
     assert not any(r["held"] for r in every)
     few = circulant.open_pairs(table, 85, 6).to_pylist()
     assert len(few) == 6 and all(r["held"] and r["x"] // 4 == r["y"] // 4 for r in few)
+
+
+def test_group_of_near_copies_costs_few_pairs():
+    """Every label brings a few pairs, however many it could."""
+    rows = [{"tile": "t", "side": 2, "bucket": 1, "s": k, "label": k, "n": 4000, "parity": [k] * 16} for k in range(300)]
+    found = circulant.open_pairs(pa.Table.from_pylist(rows), 85, 16)
+    assert 300 * 16 / 2 <= found.num_rows <= 300 * 16

@@ -11,10 +11,9 @@ exact integer comparison on the full sets); a document's class is what links rea
 3. *Stars.* Each bucket ties its members to a leader: the least member within a batch, and the least of the batches' leaders. A bucket
    that very many sets share thus sends one row a batch. Each set is compared with the nearest of its leaders.
 4. *Rest.* A bucket whose members are in several classes by then is read whole: pairs across classes that the bounds below leave open are
-   compared as well. A bucket larger than ``CHUNK`` is dealt as pairs of chunks, those within one class left out. Of two
-   classes that share a bucket at most ``OPEN`` pairs are compared at first, nearest first; if some were held back, the step is repeated with
-   the classes as they are then and sixteen times as many, until none is. So classes that meet in many pairs cost few, and no link
-   between classes is lost.
+   compared as well. A bucket larger than ``CHUNK`` is dealt as pairs of chunks, those within one class left out. Each
+   class brings its ``OPEN`` nearest pairs at first; if some were held back, the step is repeated with the classes as they are then and four
+   times as many, until none is. So a group that hangs together in very many pairs costs few, and no link between classes is lost.
 5. *Bounds.* Sizes, and parities: how often a set's shingles hit each of ``PARITY_BITS`` cells, modulo two. Two sets differ in at least as many
    shingles as their parities differ in cells; a pair whose least difference rules a link out is dropped, no other.
 6. *Verification.* The texts of compared sets are gathered by leader, cut by their number of shingles, and their full sets intersected.
@@ -44,7 +43,7 @@ PERCENT = 85
 ROWS = 5
 BANDS = 36
 CHUNK = 2000
-OPEN = 64
+OPEN = 16
 # Shingles of one tile, and of one step of the signatures (which stay in the processor's cache).
 ROOM = 2_000_000
 STEP = 1 << 16
@@ -215,8 +214,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 def open_pairs(table: pa.Table, percent: int, limit: int) -> pa.Table:
     """Pairs of a tile's rows (bucket, side, s, label, n, parity) that share a bucket but no label and that the bounds leave open.
 
-    Rows of side 2 pair with all others of their bucket, sides 0 and 1 with each other. Of two labels the ``limit`` nearest pairs
-    are given; ``held`` says that there were more.
+    Rows of side 2 pair with all others of their bucket, sides 0 and 1 with each other. Given are the ``limit`` nearest pairs of
+    each label; ``held`` says that there were more.
     """
     rows = table.select(["bucket", "side", "s"]).append_column("i", pa.array(np.arange(table.num_rows)))
     table = table.take(rows.group_by(["bucket", "side", "s"]).aggregate([("i", "min")]).column("i_min"))
@@ -238,15 +237,17 @@ def open_pairs(table: pa.Table, percent: int, limit: int) -> pa.Table:
         found.append((i[near], j[near], differ[near] / (n[i] + n[j])[near]))
     i, j, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
     i, j = i.astype(np.int64), j.astype(np.int64)
-    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-    order = np.lexsort((s[j], s[i], far, high, low))
-    low, high, i, j = low[order], high[order], i[order], j[order]
-    head = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
-    place = np.arange(len(low)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(low) else np.zeros(0, np.int64)
-    taken = place < limit
     x, y = np.maximum(s[i], s[j]), np.minimum(s[i], s[j])
-    held = np.full(int(taken.sum()), bool((~taken).any()))
-    return pa.table({"x": x[taken], "y": y[taken], "held": held})
+    order = np.lexsort((y, x))  # a pair may share several buckets
+    once = order[np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])[: len(x)]]
+    i, j, x, y, far = i[once], j[once], x[once], y[once], far[once]
+    ends = np.concatenate([label[i], label[j]])
+    order = np.lexsort((np.tile(y, 2), np.tile(x, 2), np.tile(far, 2), ends))
+    head = np.concatenate([[True], ends[order][1:] != ends[order][:-1]])[: len(ends)]
+    place = np.arange(len(ends)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(ends) else ends
+    taken = np.zeros(len(x), bool)
+    taken[order[place < limit] % max(len(x), 1)] = True
+    return pa.table({"x": x[taken], "y": y[taken], "held": np.full(int(taken.sum()), not taken.all())})
 
 
 def _across(stars: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, chunk: int, limit: int) -> DataFrame:
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, r
         found = _across(stars, classes, labels, percent, chunk, limit)
         pairs = staged(found.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti"))
         held = not found.where("held").isEmpty()
-        limit *= 16
+        limit *= 4
         if not pairs.isEmpty():
             links = links.unionByName(_verified(pairs, classes, docs, size, percent))
             tried = tried.unionByName(pairs)
