@@ -60,23 +60,6 @@ def test_week_windows_start_on_monday(spark, day):
     assert got == [(day("2024-12-30"), day("2025-01-06")), (day("2025-01-06"), day("2025-01-13"))]
 
 
-def test_only_missing_texts_are_scored(spark):
-    calls = spark.sparkContext.accumulator(0)
-
-    def predict(texts):
-        calls.add(len(texts))
-        return [(len(t) / 100, 0.0, 0.0) for t in texts]
-
-    scorer = sentiment.model_scorer(predict, batch_size=2)
-    rows = spark.createDataFrame([(0, "aa"), (1, "bbb"), (2, "aa")], "id int, text string")
-    empty = spark.createDataFrame([], "text string, positive double, negative double, neutral double")
-    got = {r.id: r.positive for r in sentiment.score_all(rows, empty, scorer).collect()}
-    assert got == {0: 0.02, 1: 0.03, 2: 0.02} and calls.value == 2
-    store = spark.createDataFrame([("aa", 0.02, 0.0, 0.0), ("bbb", 0.03, 0.0, 0.0)], empty.schema)
-    assert {r.id: r.positive for r in sentiment.score_all(rows, store, scorer).collect()} == got and calls.value == 2
-    assert sentiment.lookup_scores(rows, store.where("text = 'aa'")).where("id = 1").first().positive == 0.0
-
-
 def test_lexicon_scores(spark):
     df = spark.createDataFrame([("Profit BEATS, shares fall",), ("nothing here",)], "text string")
     got = [tuple(r)[1:] for r in sentiment.lexicon_scorer()(df).collect()]

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from tiltlab.operators import backtest as B
 from tiltlab.operators import panel as P
 from tiltlab.operators import portfolio, universe, validation
-from tiltlab.operators.sentiment import lexicon_scorer
 from tiltlab.params import STRATEGIES, AnalysisParams, EvalParams
 from tiltlab.plans import analysis
 from tiltlab.plans import walkforward as W
 from tiltlab.plans.evaluation import evaluate
 from tiltlab.plans.study import Study
 from tiltlab.sources.reports import write_sections
-from tiltlab.sources.scores import read_store
 from tiltlab.streaming import headlines as H
 
 START = dt.date(2024, 1, 1)
@@ -215,20 +213,15 @@ def test_one_failing_portfolio_leaves_the_others(spark):
     assert {r.run for r in solved} == {"good"} and abs(sum(r.weight for r in solved) - 1) < 1e-9
 
 
-def test_streams(spark, tmp_path):
+def test_windows_over_streams(spark, tmp_path):
     now = dt.datetime(2024, 1, 8)
     rows = [("A", "gain today", now + dt.timedelta(days=k), 0.5, 0.0, 0.5) for k in range(20)] + [("B", "loss today", now, 0.0, 0.5, 0.5)]
     schema = "ticker string, text string, published timestamp, positive double, negative double, neutral double"
-    landed, store = str(tmp_path / "in"), str(tmp_path / "store")
-    spark.createDataFrame(rows[:5], schema).write.mode("append").parquet(landed)
+    landed = str(tmp_path / "in")
+    for part in (rows[:5], rows[5:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(landed)
     stream = lambda: spark.readStream.schema(schema).parquet(landed)
 
-    H.score_stream(stream(), store, lexicon_scorer(), str(tmp_path / "c1")).awaitTermination()
-    assert {r.text for r in read_store(spark, store).collect()} == {"gain today"}
-    spark.createDataFrame(rows[5:], schema).write.mode("append").parquet(landed)
-    H.score_stream(stream(), store, lexicon_scorer(), str(tmp_path / "c1")).awaitTermination()
-    assert spark.read.parquet(store).count() == 2, "seen texts are not scored again"
-
     def drain(df, name):
         query = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()

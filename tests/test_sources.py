@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiltlab.operators.fundamentals import current_fundamentals, facts_slice, filed_by
-from tiltlab.operators.sentiment import lexicon_scorer, score_missing
 from tiltlab.sources import filings, news, prices, reports, scores
 
 DAY = 86400
@@ -131,15 +130,6 @@ def test_score_store(spark, tmp_path):
     got = {r.text: r.positive for r in scores.read_score_lines(spark, str(lines)).collect()}
     assert got == {"aa": 0.5, "bbb": 0.3}
 
-    store = str(tmp_path / "store")
-    assert scores.read_store(spark, store).count() == 0
-    texts = spark.createDataFrame([("gain gain",), ("loss",), ("loss",)], "text string")
-    scores.append_scores(score_missing(texts, scores.read_store(spark, store), lexicon_scorer()), store, 1)
-    scores.append_scores(spark.createDataFrame([("loss", 0.9, 0.0, 0.1)], "text string, positive double, negative double, neutral double"), store, 2)
-    kept = {r.text: r.positive for r in scores.read_store(spark, store).collect()}
-    assert kept["loss"] == 0.9 and len(kept) == 2 and scores.stored_texts(scores.read_store(spark, store)).count() == 2
-    assert score_missing(texts, scores.read_store(spark, store), lexicon_scorer()).count() == 0
-
 
 def test_reports_round_trip(spark, tmp_path, day):
     assert reports.preset_universe(spark, "large").count() == 24 and reports.preset_universe(spark, "small").count() == 34

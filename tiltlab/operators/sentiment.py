@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tiltlab.functions.numeric import total
 from tiltlab.params import CONFIDENCE_HALF_COUNT, HALF_LIFE_DAYS
+from tiltlab.session import staged
+from tiltlab.sources.scores import SCORES, by_digest, text_key
 
 SUMMARY_COLUMNS = (
     "score",
@@ -227,29 +229,60 @@ def model_scorer(predict, batch_size: int = 256) -> Scorer:
     return score
 
 
+def in_store(digests: DataFrame, store: DataFrame) -> DataFrame:
+    """(digest, positive, negative, neutral), null where the store has no score: one row for each distinct digest.
+
+    Copies of a text collapse before they are dealt, and the store is joined where it lies.
+    """
+    return digests.select("digest").where("digest IS NOT NULL").distinct().join(store.hint("merge"), "digest", "left")
+
+
 def missing_texts(texts: DataFrame, store: DataFrame) -> DataFrame:
-    """Distinct texts not yet in the store. Copies collapse map-side before the anti join."""
-    return texts.select("text").distinct().join(store.select("text"), "text", "left_anti")
+    """(digest, text): distinct texts that the store has no score of.
+
+    Digests decide which; only the texts found missing are dealt, one copy each.
+    """
+    keyed = texts.select(text_key().alias("digest"), "text")
+    return _chosen(keyed, in_store(keyed, store).where("positive IS NULL"))
+
+
+def _chosen(keyed: DataFrame, missing: DataFrame) -> DataFrame:
+    found = keyed.join(missing.select("digest"), "digest", "left_semi")
+    return found.groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def score_missing(texts: DataFrame, store: DataFrame, scorer: Scorer) -> DataFrame:
-    """Scores of the unseen texts only."""
-    return scorer(missing_texts(texts, store))
+    """Scores (text and probabilities) of the unseen texts only."""
+    return scorer(missing_texts(texts, store).select("text"))
 
 
 def lookup_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """Attach scores to every input row (copies kept); zeros for texts without a score.
+    """Attach scores to every row of ``rows``, which has a ``digest`` (copies kept); zeros for texts without a score.
 
     A text held by a large share of rows is one hot join key on the left; AQE splits it, and the
-    scores side has one row per text.
+    scores side has one row per digest.
     """
-    return rows.join(scores.select("text", "positive", "negative", "neutral"), "text", "left").na.fill(
-        0.0, ["positive", "negative", "neutral"]
-    )
+    return rows.join(scores.select("digest", *SCORES), "digest", "left").na.fill(0.0, list(SCORES))
+
+
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with the digest of their text in place of it."""
+    return rows.withColumn("digest", text_key()).drop("text")
+
+
+def stored_scores(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """``rows`` without their text, with the scores the store has of it; zeros where it has none."""
+    thin = staged(keyed_rows(rows))
+    return lookup_scores(thin, in_store(thin, store).where("positive IS NOT NULL"))
 
 
 def score_all(rows: DataFrame, store: DataFrame, scorer: Scorer) -> DataFrame:
-    """Memoised scoring: score the unseen texts, then look every row up in old and new scores."""
-    columns = ["text", "positive", "negative", "neutral"]
-    scores = store.select(*columns).unionByName(score_missing(rows, store, scorer).select(*columns))
-    return lookup_scores(rows, scores)
+    """Memoised scoring: ``rows`` without their text, with its score from the store or, for unseen texts, from the scorer.
+
+    The rows are read twice: once for their digests, which are written down, and once for the texts that are missing.
+    """
+    thin = staged(keyed_rows(rows))
+    known = staged(in_store(thin, store))
+    missing = _chosen(rows.select(text_key().alias("digest"), "text"), known.where("positive IS NULL"))
+    fresh = by_digest(scorer(missing.select("text"))).select("digest", *SCORES)
+    return lookup_scores(thin, known.where("positive IS NOT NULL").unionByName(fresh))

@@ -6,6 +6,7 @@ agree on them whatever their summation order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -23,8 +24,8 @@ from tiltlab.plans import study as S
 from tiltlab.plans import walkforward as W
 from tiltlab.plans.evaluation import long_short_books
 from tiltlab.plans.warehouse import brand_study
-from tiltlab.session import cut_lineage
-from tiltlab.sources import tables
+from tiltlab.session import cut_lineage, shared_folder
+from tiltlab.sources import scores, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,16 +702,18 @@ SECOND_WORDS = (("the", "in", "la", "das", "en"), ("of", "is", "le", "und", "los
 
 
 def _store(spark, root) -> DataFrame:
-    """Labelled documents as stored scores; the later record of a text wins."""
+    """A store of labelled documents' scores, written for this call; the later record of a text wins."""
     records = (
         tables.table(spark, root, "documents").select("doc_id", "text")
         .join(tables.table(spark, root, "labels"), "doc_id")
         .select(
-            "text", "doc_id", (F.col("quality") * 0.75).alias("positive"), (F.col("toxic") * 0.25).alias("negative"),
+            scores.text_key().alias("digest"), "text", "doc_id", (F.col("quality") * 0.75).alias("positive"), (F.col("toxic") * 0.25).alias("negative"),
         )
     )
-    latest = records.groupBy("text").agg(F.max_by(F.struct("positive", "negative"), "doc_id").alias("p"))
-    return latest.select("text", "p.*", (1.0 - F.col("p.positive") - F.col("p.negative")).alias("neutral"))
+    latest = records.groupBy("digest").agg(F.max_by(F.struct("text", "positive", "negative"), "doc_id").alias("p"))
+    path = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    scores.append_scores(latest.select("p.*", (1.0 - F.col("p.positive") - F.col("p.negative")).alias("neutral")), path, 0)
+    return scores.read_store(spark, path)
 
 
 def _texts(spark, root) -> DataFrame:
@@ -725,7 +728,7 @@ def scores_missing(spark, root):
 
 @query
 def scores_lookup(spark, root):
-    found = sentiment.lookup_scores(_texts(spark, root), _store(spark, root))
+    found = sentiment.stored_scores(_texts(spark, root), _store(spark, root))
     return rounded(found.select("doc_id", "positive", "negative", "neutral"))
 
 

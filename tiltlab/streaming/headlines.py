@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tiltlab.operators.sentiment import Scorer, polarity, score_missing
-from tiltlab.sources.scores import append_scores, read_store
+from tiltlab.session import staged
+from tiltlab.sources.scores import NAMED, append_scores, read_store, text_key
 
 
 def score_stream(texts: DataFrame, store_path: str, scorer: Scorer, checkpoint: str) -> StreamingQuery:
-    """Score only texts the store has not seen, batch by batch, and append them.
+    """Score only texts the store has not seen, batch by batch, and write them to the batch's own partition.
 
-    The batch id orders records, so a batch replayed after a failure overwrites its own scores.
+    Exactly once: a batch sees the store as it was before it, whatever an earlier attempt at it left behind, so a replay scores the same
+    texts and replaces that attempt's partition. A batch of at most ``NAMED`` texts names their digests to the scan, which opens only
+    the buckets, and in them the pages, that can hold them; a larger one joins the store where it lies.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        store = read_store(batch.sparkSession, store_path)
-        append_scores(score_missing(batch, store, scorer), store_path, batch_id)
+        texts = batch.select("text").where("text IS NOT NULL").distinct().persist()
+        try:
+            named = [r.digest for r in texts.select(text_key().alias("digest")).limit(NAMED + 1).collect()]
+            store = read_store(batch.sparkSession, store_path, before=batch_id, digests=named if len(named) <= NAMED else None)
+            fresh = staged(score_missing(texts, store, scorer))  # a table is not overwritten while it is read
+            append_scores(fresh, store_path, batch_id)
+        finally:
+            texts.unpersist()
 
     return (
         texts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
