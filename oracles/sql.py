@@ -621,6 +621,64 @@ ORACLES["page_titles"] = f"""
 SELECT page_id, {DECODE.format('raw')} AS title,
   {DECODE.format("CASE WHEN src <> '' THEN regexp_replace(regexp_replace(rtrim(left(raw, length(raw) - length(src))), '[-|–]+$', ''), '\\s+$', '') ELSE raw END")} AS stripped
 FROM (SELECT *, regexp_extract(raw, '(\\S+)$', 1) AS src FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw FROM pages))"""
+# Documents -----------------------------------------------------------------------------------------
+
+CTES["chart_lines"] = """
+SELECT 'P' || p_partkey AS ticker, p_name, p_type, p_retailprice, p_size, l_orderkey, l_linenumber, l_quantity,
+  epoch(l_shipdate)::BIGINT + l_linenumber * 5400 AS ts, epoch(l_shipdate)::BIGINT AS day_ts,
+  CASE WHEN p_size % 4 <> 0 THEN (p_size % 25 - 12) * 3600 ELSE 0 END AS off,
+  CASE WHEN p_size % 2 = 0 THEN CASE WHEN l_linenumber <> 3 THEN l_extendedprice / l_quantity * (1 - l_discount) END
+       WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN NULL
+       WHEN l_linenumber = 2 THEN -1 ELSE l_extendedprice / l_quantity END AS px
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+CTES["chart_closes"] = """
+SELECT ticker, CAST(make_timestamp((ts + off) * 1000000) AS DATE) AS date, arg_max(px, {'a': ts, 'b': l_orderkey, 'c': l_linenumber}) AS close
+FROM chart_lines WHERE p_size NOT IN (48, 49) AND px > 0 GROUP BY 1, 2"""
+ORACLES["chart_prices"] = compose(f"SELECT ticker, date, {r('close', 'close', 9)} FROM chart_closes")
+ORACLES["chart_splits"] = compose(f"""
+SELECT ticker, CAST(make_timestamp((day_ts + off) * 1000000) AS DATE) AS date, {r('l_linenumber / (l_quantity - 45)', 'ratio')}
+FROM chart_lines WHERE p_size NOT IN (48, 49) AND l_quantity > 45""")
+ORACLES["chart_instruments"] = compose(f"""
+SELECT ticker, CASE WHEN p_size % 3 <> 0 THEN p_name ELSE p_type END AS name, 'USD' AS currency,
+  {r('CASE WHEN p_size % 5 = 0 THEN p_retailprice ELSE last END', 'last_price')}
+FROM (SELECT DISTINCT ticker, p_name, p_type, p_size, p_retailprice FROM chart_lines)
+  JOIN (SELECT ticker, arg_max(close, date) AS last FROM chart_closes GROUP BY ticker) USING (ticker)""")
+ORACLES["chart_failures"] = compose("""
+SELECT DISTINCT ticker, CASE p_size WHEN 48 THEN 'malformed document' ELSE '{"code":"Not Found"}' END AS reason FROM chart_lines WHERE p_size IN (48, 49)""")
+ORACLES["filing_facts"] = f"""
+WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS d, regexp_replace(o_orderpriority, '[^A-Z]', '', 'g') AS priority FROM orders), f AS (
+  SELECT o_custkey, o_orderkey, 'us-gaap' AS taxonomy, priority AS tag, 'USD' AS unit, d - 90 AS start, d AS until, o_totalprice AS val,
+    CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' END AS form, d + 30 AS filed FROM o
+  UNION ALL
+  SELECT o_custkey, o_orderkey, 'dei', CASE WHEN o_orderkey % 2 = 0 THEN 'URGENT' ELSE 'Shares' END, 'shares', NULL, d, o_orderkey, '10-K', d FROM o WHERE o_orderkey % 5 = 0
+), p AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey, taxonomy, tag ORDER BY o_orderkey) - 1 AS INTEGER) AS pos FROM f
+)
+SELECT lpad(o_custkey::VARCHAR, 10, '0') AS cik, taxonomy, tag, unit, pos, start, until, {r('val', 'val')}, form, filed
+FROM p WHERE form IS NOT NULL AND (taxonomy, tag) IN (('us-gaap', 'URGENT'), ('us-gaap', 'HIGH'), ('dei', 'Shares'))"""
+ORACLES["filing_entities"] = "SELECT DISTINCT lpad(o_custkey::VARCHAR, 10, '0') AS cik, 'Customer ' || o_custkey AS entity_name FROM orders"
+ORACLES["ticker_lookup"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'UNLISTED' ELSE upper(replace(c_name, '#', '-')) END AS ticker,
+  CASE WHEN c_custkey % 4 <> 0 THEN lpad(c_custkey::VARCHAR, 10, '0') END AS cik FROM customer"""
+ORACLES["share_frame_entries"] = f"""
+SELECT o_orderkey // 50 AS frame, o_custkey AS cik, CAST(o_orderdate AS DATE) AS until,
+  {r('CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END', 'val')},
+  CAST(row_number() OVER (PARTITION BY o_orderkey // 50 ORDER BY o_orderkey) - 1 AS INTEGER) AS pos FROM orders"""
+FEED_TITLE = "regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+ORACLES["feed_items"] = f"""
+WITH d AS (
+  SELECT doc_id, doc_id % 10 AS kind, CASE WHEN doc_id % 10 >= 3 THEN source END AS src, {FEED_TITLE} AS t,
+    row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS pos,
+    make_timestamp(2021, doc_id % 12 + 1, doc_id % 28 + 1, doc_id % 24, 30, 0) AS stamp
+  FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT *, CASE WHEN src IS NULL THEN t ELSE regexp_replace(regexp_replace(t || ' -', '[-|–]+$', ''), '\\s+$', '') END AS cut FROM d WHERE kind NOT IN (7, 8)
+)
+SELECT 'F' || (doc_id // 50) AS ticker, pos, md5({DECODE.format("cut")}) AS title_md5,
+  'https://news.test/' || doc_id AS url, coalesce(src, 'Wire') AS source,
+  stamp + CASE kind WHEN 5 THEN INTERVAL 5 HOUR WHEN 6 THEN INTERVAL (-90) MINUTE ELSE INTERVAL 0 HOUR END AS published
+FROM c WHERE len(list_filter(string_split_regex(cut, '\\s+'), lambda w: w <> '')) >= 3
+"""
 ORACLES["headlines_dedup_topk"] = """
 WITH f AS (
   SELECT source AS ticker, text AS title, TIMESTAMP '2024-01-10' - to_minutes(CAST(doc_id * 37 % 20160 AS INTEGER)) AS published, doc_id AS pos, 0 AS feed_rank FROM documents

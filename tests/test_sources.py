@@ -95,6 +95,38 @@ def test_feeds(spark, tmp_path):
     assert news.read_feed(spark, str(tmp_path / "absent"), "x").count() == 0
 
 
+def test_malformed_items_and_documents_drop_alone(spark, charts):
+    good = item("Three words here", "3 Mar 2021 07:45 EST")
+    bodies = [
+        ("A", "<rss>" + good + "<item><title>An open tag here<pubDate>3 Mar 2021 07:45 EST</pubDate></item>" + good.replace("Three", "Four") + "<item/>"),
+        ("B", good.replace("<item>", "<item\n kind='x'>").replace("Three words", "<![CDATA[Q & A]]>")),
+        ("C", None),
+        ("D", "no feed"),
+    ]
+    got = news.parse_feeds(spark.createDataFrame(bodies, "ticker string, body string"), "Default")
+    assert {(r.ticker, r.pos, r.title) for r in got.collect()} == {("A", 0, "Three words here"), ("A", 2, "Four words here"), ("B", 0, "Q & A here")}
+
+    docs = [("OK", json.dumps(chart([{"meta": {}, "timestamp": [], "indicators": {}}]))), ("CUT", '{"chart": {"result"'), ("NULL", None), ("NONE", json.dumps(chart([])))]
+    docs = spark.createDataFrame(docs + [("SAID", json.dumps({"chart": {"result": None, "error": {"code": "Not Found"}}}))], "ticker string, body string")
+    assert {r.ticker for r in prices.parse_charts(docs).collect()} == {"OK"}
+    assert {r.ticker: r.reason for r in prices.chart_failures(docs).collect()} == {
+        "CUT": "malformed document", "NULL": "malformed document", "NONE": "no chart", "SAID": '{"code":"Not Found"}'
+    }
+
+
+def test_facts_are_cut_to_the_wanted_before_they_are_exploded(spark):
+    fact = {"end": "2024-12-31", "val": 1, "form": "10-K", "filed": "2025-02-01"}
+    doc = {"cik": 5, "facts": {x: {t: {"units": {"USD": [fact]}} for t in "abc"} for x in "xyz"}}
+    docs = spark.createDataFrame([(None, json.dumps(doc)), ("7", "{}"), ("8", None), ("9", "{")], "cik string, body string")
+    found = filings.parse_facts(docs, {"x": ["a", "b"], "z": ["c", "none"]})
+    assert {(r.cik, r.taxonomy, r.tag) for r in found.collect()} == {("0000000005", "x", "a"), ("0000000005", "x", "b"), ("0000000005", "z", "c")}
+    assert filings.parse_facts(docs).count() == 9
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = max(k for k, line in enumerate(plan) if "Generate explode" in line)  # plans read upwards: the first to run
+    cuts = [k for k, line in enumerate(plan) if "map_filter" in line]
+    assert cuts and all("map_filter" in plan[k] for k in cuts) and min(cuts) >= last
+
+
 def test_headline_csv(spark, tmp_path, day):
     rows = [
         ["PUBLISHED", "headline", "Stock", "publisher"],

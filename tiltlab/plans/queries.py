@@ -25,7 +25,7 @@ from tiltlab.plans import walkforward as W
 from tiltlab.plans.evaluation import long_short_books
 from tiltlab.plans.warehouse import brand_study
 from tiltlab.session import cut_lineage, shared_folder
-from tiltlab.sources import scores, tables
+from tiltlab.sources import documents, filings, news, prices, scores, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -636,6 +636,66 @@ def title_keys(spark, root):
     )
 
 
+@query
+def chart_prices(spark, root):
+    """Closes of chart documents, one a part: whole adjusted series or raw closes, days in local time, last point of a day."""
+    return rounded(prices.chart_prices(prices.parse_charts(documents.chart_documents(spark, root))), 9)
+
+
+@query
+def chart_splits(spark, root):
+    return rounded(prices.chart_splits(prices.parse_charts(documents.chart_documents(spark, root))))
+
+
+@query
+def chart_instruments(spark, root):
+    """Name and last price of each chart."""
+    return rounded(prices.instruments(prices.parse_charts(documents.chart_documents(spark, root))))
+
+
+@query
+def chart_failures(spark, root):
+    """Chart documents that hold no chart, with the reason."""
+    return prices.chart_failures(documents.chart_documents(spark, root))
+
+
+WANTED_FACTS = {"us-gaap": ("URGENT", "HIGH"), "dei": ("Shares",)}
+
+
+@query
+def filing_facts(spark, root):
+    """Wanted facts of filing documents, one a customer, with their place in their lists."""
+    return rounded(filings.parse_facts(documents.filing_documents(spark, root), WANTED_FACTS).withColumnRenamed("end", "until"))
+
+
+@query
+def filing_entities(spark, root):
+    return filings.parse_entities(documents.filing_documents(spark, root))
+
+
+@query
+def ticker_lookup(spark, root):
+    """Filer of every customer's name, none for unlisted ones."""
+    listed = filings.parse_ticker_map(documents.ticker_documents(spark, root))
+    names = tables.table(spark, root, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 4 == 0, "UNLISTED").otherwise(F.upper(F.replace("c_name", F.lit("#"), F.lit("-")))).alias("ticker")
+    )
+    return filings.lookup_filers(names, listed)
+
+
+@query
+def share_frame_entries(spark, root):
+    """Entries of share frames in their order."""
+    return rounded(filings.parse_share_frames(documents.frame_documents(spark, root)).withColumnRenamed("end", "until"))
+
+
+@query
+def feed_items(spark, root):
+    """Headlines of feed documents with whole texts as titles."""
+    found = news.parse_feeds(documents.feed_documents(spark, root), "Wire")
+    return found.select("ticker", "pos", F.md5(F.col("title").cast("binary")).alias("title_md5"), "url", "source", "published")
+
+
 @query
 def page_titles(spark, root):
     """Page titles decoded, with the last word stripped as publisher."""

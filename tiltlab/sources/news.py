@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiltlab.functions.text import (
@@ -15,6 +15,7 @@ from tiltlab.functions.text import (
     parse_date,
     strip_publisher,
 )
+from tiltlab.sources.prices import landed
 
 # Accepted header names per column.
 CSV_ALIASES = {
@@ -24,31 +25,43 @@ CSV_ALIASES = {
     "source": ("source", "publisher", "publisher_name"),
 }
 ITEM_SCHEMA = "title string, link string, pubDate string, source struct<_VALUE: string, _url: string>"
+ITEM = r"(?s)<item(?=[\s>]).*?</item\s*>"
 HEADLINE_SCHEMA = "ticker string, title string, url string, source string, published timestamp, pos bigint"
 
 
 def read_feed(spark: SparkSession, path: str, default_source: str) -> DataFrame:
-    """``(ticker, title, url, source, published, pos)`` of feed items; the file name is the ticker.
-
-    Items need a title of three words and a publication date. A feed that never landed is empty.
-    """
+    """Headlines of landed feeds (see ``parse_feeds``); the file name is the ticker. A feed that never landed is empty."""
     try:
-        raw = spark.read.format("xml").option("rowTag", "item").schema(ITEM_SCHEMA).load(path)
+        docs = landed(spark, path, r"\.xml|\.rss")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], HEADLINE_SCHEMA)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.xml|\.rss)?(\.gz)?$", 1)
-    source = F.trim("source._VALUE")
-    items = raw.select(
-        F.url_decode(name).alias("ticker"),
-        decode_entities(strip_publisher(F.trim("title"), source)).alias("title"),
-        F.coalesce(F.trim("link"), F.lit("")).alias("url"),
-        F.coalesce(source, F.lit(default_source)).alias("source"),
+    return parse_feeds(docs, default_source)
+
+
+def parse_feeds(docs: DataFrame, default_source: str) -> DataFrame:
+    """``(ticker, title, url, source, published, pos)`` of the items of feed documents ``(ticker, body)``; ``pos`` is the item's place.
+
+    Items need a title of three words and a publication date. Each item is parsed by itself, so one that is not well formed
+    drops out alone.
+    """
+    items = docs.select("ticker", F.posexplode(F.regexp_extract_all("body", F.lit(ITEM), F.lit(0))).alias("pos", "xml"))
+    items = items.select("ticker", F.col("pos").cast("bigint").alias("pos"), F.from_xml("xml", ITEM_SCHEMA, {"rowTag": "item"}).alias("i"))
+    raw = items.select("ticker", "pos", _trimmed("i.title").alias("title"), _trimmed("i.link").alias("link"), "i.pubDate", _trimmed("i.source._VALUE").alias("source"))
+    found = raw.select(
+        "ticker",
+        decode_entities(strip_publisher(F.col("title"), F.col("source"))).alias("title"),
+        F.coalesce("link", F.lit("")).alias("url"),
+        F.coalesce("source", F.lit(default_source)).alias("source"),
         feed_timestamp(F.col("pubDate")).alias("published"),
-        F.monotonically_increasing_id().alias("pos"),
+        "pos",
     )
-    return items.where(F.col("title").isNotNull() & F.col("published").isNotNull() & has_words(F.col("title")))
+    return found.where(F.col("title").isNotNull() & F.col("published").isNotNull() & has_words(F.col("title")))
+
+
+def _trimmed(name: str) -> Column:
+    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
 
 
 def _column(columns: list[str], role: str, required: bool = True) -> str | None:

@@ -1,4 +1,7 @@
-"""Landed chart documents (one JSON document per file) to prices, splits and instruments."""
+"""Chart documents (JSON) to prices, splits and instruments.
+
+Parsing takes a column of document bodies, wherever they come from; ``read_charts`` fills it from files, one document each.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +22,31 @@ chart struct<
 """
 
 
+def landed(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """``(ticker, body)`` of landed documents, one a file; the file name is the ticker."""
+    name = F.regexp_extract(F.input_file_name(), rf"([^/]+?)({suffix})?(\.gz)?$", 1)
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.url_decode(name).alias("ticker"), F.col("value").alias("body"))
+
+
 def read_charts(spark: SparkSession, path: str) -> DataFrame:
-    """``(ticker, chart)`` of the landed documents; the file name is the ticker."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json(\.gz)?$", 1)
-    raw = spark.read.schema(CHART_SCHEMA).option("multiLine", True).json(path)
-    return raw.select(F.url_decode(name).alias("ticker"), F.element_at("chart.result", -1).alias("c")).where(
-        "c is not null"
-    )
+    """``(ticker, c)`` of the landed chart documents."""
+    return parse_charts(landed(spark, path, r"\.json"))
+
+
+def parse_charts(docs: DataFrame) -> DataFrame:
+    """``(ticker, c)``: the last chart of each document ``(ticker, body)``; one without a chart has no row (see ``chart_failures``)."""
+    parsed = docs.select("ticker", F.from_json("body", CHART_SCHEMA).alias("d"))
+    return parsed.select("ticker", F.try_element_at("d.chart.result", F.lit(-1)).alias("c")).where("c IS NOT NULL")
+
+
+def chart_failures(docs: DataFrame) -> DataFrame:
+    """``(ticker, reason)`` of the documents without a chart: what the document says, or that it cannot be read."""
+    parsed = docs.select("ticker", F.from_json("body", f"{CHART_SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    bad = F.col("d").isNull() | F.col("d._corrupt").isNotNull() | F.col("d.chart").isNull()
+    none = F.try_element_at("d.chart.result", F.lit(-1)).isNull()
+    reason = F.when(bad, "malformed document").otherwise(F.coalesce("d.chart.error", F.lit("no chart")))
+    return parsed.where(bad | none).select("ticker", reason.alias("reason"))
 
 
 def _day(stamp: Column) -> Column:
