@@ -847,6 +847,63 @@ v AS (SELECT *, coalesce((q - pi) / volatility, 0.0) AS value,
              coalesce(0.05 * volatility * volatility / (0.05 * volatility * volatility + omega), 0.0) AS confidence FROM q)
 SELECT {A_COLUMNS}, 'calibrated' AS view_mode FROM v""")
 
+# Requests with settings of their own: the tables above, as each run sees them.
+CTES["knobs"] = """
+SELECT r_regionkey AS run, 5000.0::DOUBLE * (r_regionkey + 1) AS budget, 0.3::DOUBLE + 0.1::DOUBLE * r_regionkey AS max_weight,
+  CAST(300 + 200 * r_regionkey AS INTEGER) AS lookback, CAST(5 + 4 * r_regionkey AS INTEGER) AS news, 30 - 6 * r_regionkey AS most,
+  2.0::DOUBLE + 0.5::DOUBLE * r_regionkey AS risk, 0.02::DOUBLE + 0.02::DOUBLE * r_regionkey AS tau, 0.1::DOUBLE + 0.2::DOUBLE * r_regionkey AS scale,
+  0.9::DOUBLE - 0.15::DOUBLE * r_regionkey AS share, r_regionkey % 2 = 0 AS heuristic
+FROM region WHERE r_regionkey <> 3"""
+for _name in ("rets", "dem", "samp", "target", "shrink", "cov", "assets", "rows"):
+    CTES[f"q_{_name}"] = re.sub(r"\ba_(?=[a-z])", "q_", CTES[f"a_{_name}"])
+CTES["q_prices"] = CTES["a_prices"].replace(", today\nWHERE b.date >= today - 365", " JOIN knobs k ON k.run = f.region, today\nWHERE b.date >= today - k.lookback")
+CTES["q_heads"] = """
+SELECT run, ticker, CAST(today - date AS DOUBLE) AS age, positive, negative, neutral FROM (
+  SELECT k.run, k.most, f.ticker, CAST(o_orderdate AS DATE) AS date, o_orderkey, today,
+         o_totalprice / 500000.0 AS positive, 0.5 - o_totalprice / 1000000.0 AS negative,
+         1.0 - o_totalprice / 500000.0 - (0.5 - o_totalprice / 1000000.0) AS neutral
+  FROM orders JOIN filers f ON f.ticker = 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) JOIN knobs k ON k.run = f.region, today WHERE o_orderdate >= today - k.news)
+QUALIFY row_number() OVER (PARTITION BY run, ticker ORDER BY date DESC, o_orderkey) <= most"""
+CTES["q_news"] = summary("q_heads", "run, ticker")
+CTES["q_rows"] = CTES["q_rows"].replace("2.5 * sum(", "max(k.risk) * sum(").replace("FROM q_cov c JOIN q_assets b", "FROM q_cov c JOIN knobs k ON k.run = c.run JOIN q_assets b")
+ORACLES["analysis_requests"] = compose(f"""
+WITH b AS (SELECT *, {BLEND} FROM (SELECT q.*, k.tau, k.scale, k.budget, k.max_weight, k.heuristic, k.share * news_confidence AS ws, CASE WHEN fscore IS NULL THEN 0.0 ELSE (1.0 - k.share) * 0.35 * coverage END AS wf FROM q_rows q JOIN knobs k USING (run))),
+h AS (SELECT *, CASE WHEN confidence >= 0.02 THEN pi + scale * value * volatility END AS q,
+             CASE WHEN confidence >= 0.02 THEN tau * volatility * volatility * (1.0 - confidence) / confidence END AS omega FROM b WHERE heuristic),
+x AS (SELECT *, s0 - avg(s0) OVER g AS xs, fscore - avg(fscore) OVER g AS xf, pow(greatest(dispersion, 0.3), 2) / effective_count AS sv
+      FROM (SELECT * EXCLUDE (value, confidence), CASE WHEN headlines >= 1 THEN score END AS s0 FROM b WHERE NOT heuristic) WINDOW g AS (PARTITION BY run)),
+c AS (SELECT 0.5 * (1 - 1 / 6.25) AS ks, 0.2 * sqrt(1 - 1 / 6.25) AS ss, 0.3 * (1 - 1 / 9.0) AS kf, 0.1 * sqrt(1 - 1 / 9.0) AS sf),
+a AS (SELECT *, coalesce(ks * xs, 0.0) + coalesce(kf * xf, 0.0) AS alpha,
+             coalesce(pow(ss * xs, 2) + ks * ks * sv, 0.0) + coalesce(pow(sf * xf, 2), 0.0) AS var, xs IS NOT NULL OR xf IS NOT NULL AS used FROM x, c),
+q AS (SELECT *, CASE WHEN used THEN pi + volatility * alpha END AS q, CASE WHEN used THEN volatility * volatility * var + 1e-6 END AS omega FROM a),
+v AS (SELECT *, coalesce((q - pi) / volatility, 0.0) AS value, coalesce(tau * volatility * volatility / (tau * volatility * volatility + omega), 0.0) AS confidence FROM q)
+SELECT {A_COLUMNS}, {r('budget', 'budget')}, {r('max_weight', 'max_weight')}, {r('tau', 'tau')}, 'heuristic' AS view_mode FROM h
+UNION ALL SELECT {A_COLUMNS}, {r('budget', 'budget')}, {r('max_weight', 'max_weight')}, {r('tau', 'tau')}, 'calibrated' FROM v""")
+ORACLES["analysis_orders"] = compose("""
+SELECT run, names, names IS NOT NULL OR NULL AS "full", names IS NOT NULL OR NULL AS capped, names IS NOT NULL OR NULL AS affordable, names IS NOT NULL OR NULL AS budgeted, warning FROM (
+  SELECT r_regionkey AS run, n.names, CASE WHEN r_regionkey = 3 THEN 'no result: max_weight:in (0, 1.0]' END AS warning
+  FROM region LEFT JOIN (SELECT run, count(*) AS names FROM q_rows GROUP BY run) n ON n.run = r_regionkey)""")
+ORACLES["request_violations"] = """
+WITH q AS (
+  SELECT c_custkey AS run, c_custkey AS k, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS budget,
+    list_distinct([upper(c_mktsegment), 'N-' || c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 'BAD#ONE' WHEN c_custkey % 7 = 0 THEN 'A-VERY-LONG-TICKER' ELSE 'N-1' END]) AS t
+  FROM customer
+), v AS (
+  SELECT run, unnest([
+    CASE WHEN NOT list_bool_and([regexp_matches(x, '^[A-Za-z0-9^-]{1,12}$') FOR x IN t]) THEN 'tickers:shape' END,
+    CASE WHEN len(t) NOT BETWEEN 2 AND 20 THEN 'tickers:count in 2..20' END,
+    CASE WHEN k % 2000 NOT BETWEEN 60 AND 1825 THEN 'lookback_days:in [60, 1825]' END,
+    CASE WHEN k % 130 NOT BETWEEN 1 AND 100 THEN 'max_headlines:in [1, 100]' END,
+    CASE WHEN k % 40 NOT BETWEEN 1 AND 30 THEN 'news_days:in [1, 30]' END,
+    CASE WHEN k % 120 < 5 OR k % 120 > 105 THEN 'sentiment_weight:in [0.0, 1.0]' END,
+    CASE WHEN k % 250 > 200 THEN 'view_scale:in [0.0, 2.0]' END,
+    CASE WHEN budget IS NULL OR budget <= 0 THEN 'budget:in (0, 1.7976931348623157e+308]' END,
+    CASE WHEN k % 30 = 0 OR k % 30 > 20 THEN 'max_weight:in (0, 1.0]' END,
+    CASE WHEN k % 600 = 0 OR k % 600 > 500 THEN 'risk_aversion:in (0, 50.0]' END,
+    CASE WHEN k % 13 = 0 OR k % 130 = 0 OR k % 130 > 100 THEN 'tau:in (0, 1.0]' END]) AS violation FROM q
+)
+SELECT run, violation FROM v WHERE violation IS NOT NULL"""
+
 # Backtest counters: every solve succeeds; a rebalance is calibrated once a signal has 60 realized dates.
 CTES["all_sections"] = CTES["sections"].replace(", bounds28", "").replace(" AND v.t BETWEEN t_start AND t_end", "")
 ORACLES["backtest_counters"] = compose("""

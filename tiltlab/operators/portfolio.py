@@ -89,16 +89,21 @@ def best_weights(mu: np.ndarray, sigma: np.ndarray, risk_aversion: float, cap: f
     return np.clip(w, 0.0, cap), MAX_STEPS, False
 
 
+def _setting(value: float | str) -> Column:
+    """A number for all portfolios, or the name of a column that holds each one's."""
+    return F.col(value) if isinstance(value, str) else F.lit(float(value))
+
+
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.array(rows["sigma"].tolist(), dtype=float)
 
 
-def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> DataFrame:
+def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float | str) -> DataFrame:
     """``(group, ticker, mu, sigma)`` per asset: posterior mean and its row of the predictive covariance.
 
     ``assets`` is ``(group, ticker, pi, sigma)`` with sigma rows in ticker order; ``views`` is
-    ``(group, view_id, ticker, pick, q, omega)`` and may hold relative views. A group whose solve fails yields
-    no rows, and the others are not touched.
+    ``(group, view_id, ticker, pick, q, omega)`` and may hold relative views. ``tau`` is a number or a column of
+    ``assets``. A group whose solve fails yields no rows, and the others are not touched.
     """
     schema = f"{group} {assets.schema[group].dataType.simpleString()}, ticker string, mu double, sigma array<double>"
     said = (
@@ -123,19 +128,20 @@ def posterior(assets: DataFrame, views: DataFrame, group: str, tau: float) -> Da
             picks[k, asset], q[k], omega[k] = pick, value, variance
         out = rows[[group, "ticker"]]
         try:
-            mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), tau, picks, q, omega)
+            mu, sigma = blend(_matrix(rows), rows["pi"].to_numpy(), rows["_tau"].iloc[0], picks, q, omega)
         except ValueError:  # also numpy's LinAlgError
             return pd.DataFrame(columns=[group, "ticker", "mu", "sigma"], dtype=object)
         return out.assign(mu=mu, sigma=list(sigma))
 
-    viewed = assets.select(group, "ticker", "pi", "sigma").join(said, [group, "ticker"], "left")
+    viewed = assets.select(group, "ticker", "pi", "sigma", _setting(tau).alias("_tau")).join(said, [group, "ticker"], "left")
     return viewed.groupBy(group).applyInPandas(solve, schema)
 
 
-def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_weight: float) -> DataFrame:
+def optimal_weights(assets: DataFrame, group: str, risk_aversion: float | str, max_weight: float | str) -> DataFrame:
     """``(group, ticker, weight, iterations, converged)``; the cap is raised to 1/n where it is infeasible.
 
-    ``assets`` is ``(group, ticker, mu, sigma)`` with sigma rows in ticker order. A group whose solve fails yields no rows.
+    ``assets`` is ``(group, ticker, mu, sigma)`` with sigma rows in ticker order; the settings are numbers or columns of it. A group
+    whose solve fails yields no rows.
     """
     schema = (
         f"{group} {assets.schema[group].dataType.simpleString()}, ticker string, weight double, "
@@ -144,15 +150,16 @@ def optimal_weights(assets: DataFrame, group: str, risk_aversion: float, max_wei
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ticker")
-        cap = max(max_weight, 1.0 / len(rows))
+        cap = max(rows["_cap"].iloc[0], 1.0 / len(rows))
         out = rows[[group, "ticker"]]
         try:
-            w, steps, done = best_weights(rows["mu"].to_numpy(), _matrix(rows), risk_aversion, cap)
+            w, steps, done = best_weights(rows["mu"].to_numpy(), _matrix(rows), rows["_aversion"].iloc[0], cap)
         except ValueError:  # also numpy's LinAlgError
             return pd.DataFrame(columns=[group, "ticker", "weight", "iterations", "converged"], dtype=object)
         return out.assign(weight=w, iterations=steps, converged=done)
 
-    return assets.select(group, "ticker", "mu", "sigma").groupBy(group).applyInPandas(solve, schema)
+    known = assets.select(group, "ticker", "mu", "sigma", _setting(risk_aversion).alias("_aversion"), _setting(max_weight).alias("_cap"))
+    return known.groupBy(group).applyInPandas(solve, schema)
 
 
 def view_weights(assets: DataFrame, keys: tuple[str, ...], tau: float, risk_aversion: float, max_weight: float) -> DataFrame:

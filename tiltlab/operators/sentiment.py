@@ -43,15 +43,15 @@ def recency_weight(age_days: Column) -> Column:
     return F.pow(F.lit(0.5), age_days / HALF_LIFE_DAYS)
 
 
-def moments(headlines: DataFrame, when: str) -> DataFrame:
-    """Per (ticker, ``when``): count, mean polarity, squared deviations and class counts.
+def moments(headlines: DataFrame, when: str, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Per (keys, ``when``): count, mean polarity, squared deviations and class counts.
 
     All aggregates merge map-side, so a ticker travels as one row per distinct time.
     """
     label = summary_label()
     return (
-        headlines.select("ticker", when, polarity().alias("s"), label.alias("label"))
-        .groupBy("ticker", when)
+        headlines.select(*keys, when, polarity().alias("s"), label.alias("label"))
+        .groupBy(*keys, when)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("s").alias("mean"),
@@ -126,21 +126,21 @@ def sentiment_panel(
     )
 
 
-def live_summary(headlines: DataFrame, now: Column, tickers: DataFrame | None = None) -> DataFrame:
-    """Summary per ticker of timestamped headlines as of ``now``; zeros for tickers without any.
+def live_summary(headlines: DataFrame, now: Column, tickers: DataFrame | None = None, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Summary per ticker (or ``keys``) of timestamped headlines as of ``now``; zeros for tickers without any.
 
     Headlines fold to one row per (ticker, second). Two aggregates over those rows follow: weighted
     means, then deviations around them.
     """
     at = F.unix_seconds("published")
     age = F.greatest(F.unix_seconds(F.to_timestamp(now)) - F.col("at"), F.lit(0)) / F.lit(86400.0)
-    aged = moments(headlines.withColumn("at", at), "at").withColumn("w", recency_weight(age))
+    aged = moments(headlines.withColumn("at", at), "at", keys).withColumn("w", recency_weight(age))
     mass = F.col("w") * F.col("n")
-    means = aged.groupBy("ticker").agg((F.sum(mass * F.col("mean")) / F.sum(mass)).alias("mu"))
+    means = aged.groupBy(*keys).agg((F.sum(mass * F.col("mean")) / F.sum(mass)).alias("mu"))
     offset = F.col("mean") - F.col("mu")
     grouped = (
-        aged.join(means, "ticker")
-        .groupBy("ticker")
+        aged.join(means, list(keys))
+        .groupBy(*keys)
         .agg(
             F.sum(mass).alias("w1"),
             F.sum(F.col("w") * mass).alias("w2"),
@@ -153,7 +153,7 @@ def live_summary(headlines: DataFrame, now: Column, tickers: DataFrame | None =
         )
     )
     out = grouped.select(
-        "ticker",
+        *keys,
         *_summary(F.col("w1"), F.col("w2"), F.col("mu"), F.col("ss") / F.col("w1")),
         "headlines",
         "positive",
@@ -162,7 +162,7 @@ def live_summary(headlines: DataFrame, now: Column, tickers: DataFrame | None =
     )
     if tickers is None:
         return out
-    return tickers.select("ticker").join(out, "ticker", "left").na.fill(0, list(SUMMARY_COLUMNS))
+    return tickers.select(*keys).join(out, list(keys), "left").na.fill(0, list(SUMMARY_COLUMNS))
 
 
 # Scoring -----------------------------------------------------------------------------------------

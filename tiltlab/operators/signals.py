@@ -70,9 +70,9 @@ def fundamental_score(growth: Column, margin: Column, leverage: Column) -> Colum
     return F.when(known > 0, F.struct(mean.alias("score"), (known / 3.0).alias("coverage")))
 
 
-def combine(score: Column, confidence: Column, fscore: Column, coverage: Column, sentiment_weight: float) -> Column:
+def combine(score: Column, confidence: Column, fscore: Column, coverage: Column, sentiment_weight: float | Column) -> Column:
     """struct(value, confidence): blend of sentiment and fundamentals by confidence."""
-    share = min(max(sentiment_weight, 0.0), 1.0)
+    share = F.least(F.greatest(sentiment_weight if isinstance(sentiment_weight, Column) else F.lit(sentiment_weight), F.lit(0.0)), F.lit(1.0))
     ws = share * F.coalesce(confidence, F.lit(0.0))
     wf = F.when(
         fscore.isNotNull(), (1.0 - share) * FUNDAMENTALS_CONFIDENCE * coverage

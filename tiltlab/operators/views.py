@@ -9,7 +9,7 @@ from tiltlab.functions.numeric import clamp, score_variance, shrunk
 from tiltlab.params import MAX_VIEW_CONFIDENCE, MIN_VIEW_CONFIDENCE, OMEGA_FLOOR
 
 
-def heuristic_views(assets: DataFrame, tau: float, view_scale: float) -> DataFrame:
+def heuristic_views(assets: DataFrame, tau: float | Column, view_scale: float | Column) -> DataFrame:
     """Add nullable ``q`` and ``omega``: one absolute view per asset with enough confidence.
 
     ``assets`` has ``pi``, ``volatility``, ``value`` and ``confidence``.
@@ -59,7 +59,7 @@ def calibrated_views(assets: DataFrame, group: str, sentiment: Column, fundament
     )
 
 
-def tilt_readback(views: DataFrame, tau: float) -> DataFrame:
+def tilt_readback(views: DataFrame, tau: float | Column) -> DataFrame:
     """Show a calibrated view as (value, confidence): tilt per unit of volatility and its weight
     against the prior; zeros without a view."""
     prior = tau * F.col("volatility") * F.col("volatility")

@@ -17,7 +17,7 @@ from tiltlab.functions import numeric, text
 from tiltlab.operators import backtest as B
 from tiltlab.operators import compare, fundamentals, headlines, longshort, portfolio, risk
 from tiltlab.operators import panel as P
-from tiltlab.operators import sentiment, signals, stats, universe, views
+from tiltlab.operators import sentiment, signals, stats, universe, validation, views
 from tiltlab.params import LEVEL, STRATEGIES, AnalysisParams, EvalParams
 from tiltlab.plans import analysis
 from tiltlab.plans import study as S
@@ -879,9 +879,12 @@ def share_frames(spark, root):
 # Analysis ------------------------------------------------------------------------------------------
 
 
-def _inputs(spark, root, calibrated: bool = False) -> tuple[analysis.AnalysisInputs, AnalysisParams]:
+# As far as any accepted request may look.
+WIDEST = AnalysisParams(lookback_days=1825, news_days=30, max_headlines=100)
+
+
+def _inputs(spark, root, calibrated: bool = False, params: AnalysisParams = AnalysisParams()) -> tuple[analysis.AnalysisInputs, AnalysisParams]:  # noqa: B008
     """One run per region, its five brands as tickers, on the last day with orders."""
-    params = AnalysisParams()
     bars = cut_lineage(tables.prices(tables.brand_bars(spark, root)))
     filers = tables.registrants(spark, root)
     orders = tables.table(spark, root, "orders")
@@ -946,6 +949,67 @@ def analysis_signals_calibrated(spark, root):
     return rounded(analysis.prepare(*_inputs(spark, root, True))[0].select(*SIGNAL_COLUMNS))
 
 
+def _requests(spark, root) -> DataFrame:
+    """A request for each region, with settings of its own; one asks for a cap of nothing."""
+    k = F.col("r_regionkey")
+    return tables.table(spark, root, "region").select(
+        k.alias("run"),
+        (5000.0 * (k + 1)).alias("budget"),
+        F.when(k == 3, 0.0).otherwise(0.3 + 0.1 * k).alias("max_weight"),
+        (300 + 200 * k).cast("int").alias("lookback_days"),
+        (5 + 4 * k).cast("int").alias("news_days"),
+        (30 - 6 * k).cast("int").alias("max_headlines"),
+        (2.0 + 0.5 * k).alias("risk_aversion"),
+        (0.02 + 0.02 * k).alias("tau"),
+        (0.1 + 0.2 * k).alias("view_scale"),
+        (0.9 - 0.15 * k).alias("sentiment_weight"),
+        (k % 2 == 0).alias("heuristic_views"),
+    )
+
+
+@query
+def analysis_requests(spark, root):
+    """Signals and views of runs that differ in every setting; the run that breaks a rule is gone."""
+    inputs, _ = _inputs(spark, root, True, WIDEST)
+    return rounded(analysis.prepare(inputs, _requests(spark, root))[0].select(*SIGNAL_COLUMNS, "budget", "max_weight", "tau"))
+
+
+@query
+def analysis_orders(spark, root):
+    """What the requests' books come to: names, the largest weight and whether orders stay within budget and cap."""
+    inputs, _ = _inputs(spark, root, True, WIDEST)
+    report = analysis.analyze(inputs, _requests(spark, root))
+    told = report.warnings.where(F.col("warning").startswith("no result")).select("run", "warning")
+    books = report.assets.join(_requests(spark, root).select("run", "budget", "max_weight"), "run").groupBy("run").agg(
+        F.count(F.lit(1)).alias("names"),
+        (F.abs(F.sum("weight") - 1) < 1e-9).alias("full"),
+        (F.max("weight") <= F.max("max_weight") + 1e-9).alias("capped"),
+        (F.sum(F.col("shares") * F.col("price")) <= F.max("budget")).alias("affordable"),
+        (F.abs(F.sum("target_value") - F.max("budget")) < 1e-6).alias("budgeted"),
+    )
+    return books.join(told, "run", "full")
+
+
+@query
+def request_violations(spark, root):
+    """Rules that requests made of customers break."""
+    k = F.col("c_custkey")
+    requests = tables.table(spark, root, "customer").select(
+        k.alias("run"),
+        F.concat(F.lower("c_mktsegment"), F.lit(", n."), F.col("c_nationkey").cast("string"), F.when(k % 5 == 0, " bad#one").when(k % 7 == 0, ",a-very-long-ticker").otherwise(" N-1")).alias("tickers"),
+        F.when(k % 11 != 0, F.col("c_acctbal")).alias("budget"),
+        (k % 30 / 20.0).alias("max_weight"),
+        (k % 2000).cast("int").alias("lookback_days"),
+        (k % 40).cast("int").alias("news_days"),
+        (k % 130).cast("int").alias("max_headlines"),
+        (k % 600 / 10.0).alias("risk_aversion"),
+        F.when(k % 13 == 0, float("nan")).otherwise(k % 130 / 100.0).alias("tau"),
+        (k % 250 / 100.0).alias("view_scale"),
+        (k % 120 / 100.0 - 0.05).alias("sentiment_weight"),
+    )
+    return validation.violations(validation.normalized_requests(requests))
+
+
 @query
 def analysis_report(spark, root):
     out = _analysis(spark, root).assets
