@@ -55,6 +55,21 @@ def test_weekly_cap_matches_the_ordered_fold(spark):
         assert got == fold(rows, cap)
 
 
+def test_weekly_cap_builds_without_running_and_reaches_every_copy(spark):
+    # Week n repeats all titles of the weeks before it, then brings two of its own at its end.
+    rows = []
+    for n in range(12):
+        for k, title in enumerate([f"t{m}" for m in range(2 * n)] + [f"t{2 * n}", f"t{2 * n + 1}", "late one", "late two"]):
+            rows.append(("T", title, dt.date(2025, 1, 6) + dt.timedelta(days=7 * n), 1000 * n + k))
+    rows.append((None, "t0", dt.date(2025, 1, 6), 0))
+    df = spark.createDataFrame(rows, "ticker string, title string, date date, pos int")
+    spark.sparkContext.setJobGroup("build", "build")
+    capped = headlines.weekly_cap(df, 2)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("build")) == []
+    got = sorted(((r.ticker or ""), r.pos) for r in capped.collect())
+    assert got == [("", 0)] + sorted(fold(rows[:-1], 2))
+
+
 def test_week_windows_start_on_monday(spark, day):
     got = [(r.a, r.b) for r in headlines.week_windows("2025-01-01", "2025-01-13", spark).collect()]
     assert got == [(day("2024-12-30"), day("2025-01-06")), (day("2025-01-06"), day("2025-01-13"))]

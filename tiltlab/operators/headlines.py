@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltlab.functions.text import dedupe_key, is_relevant, relevance_terms
-from tiltlab.session import cut_lineage
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -79,71 +81,53 @@ def week_windows(start: str, end: str, spark) -> DataFrame:
 def weekly_cap(headlines: DataFrame, per_week: int) -> DataFrame:
     """At most ``per_week`` headlines per (ticker, week) in feed order, no title twice per ticker.
 
-    A title past the cap is never taken, so a later week may still use it: whether a title is taken
-    depends on all earlier weeks. Instead of folding a ticker's weeks in one task, undecided titles are
-    settled in rounds. Call a title free if no earlier week took it or still can. In a round a title is
-
-    * dropped, if an earlier week took it, or the taken and free titles before it fill its week;
-    * taken, if it is free and even all undecided titles before it leave room.
-
-    Every round settles at least the earliest open week of every ticker, and usually nearly all of
-    them; windows are per (ticker, week) and per (ticker, title), never per ticker, and dropped titles
-    leave the data.
+    A title past the cap is never taken, so a later week may still use it: whether a title is taken depends on all earlier weeks of
+    its ticker. Titles out of reach are dropped first (see ``_within_reach``), which leaves a ticker at most ``per_week`` x n titles in
+    its n-th week, whatever its feed holds. The rest is one ordered pass: each ticker's titles stream through a task by week and
+    place, which remembers the titles taken.
     """
     keyed = headlines.withColumn("_key", dedupe_key(F.col("title"))).withColumn(
         "_week", week_start(F.col("date"))
     )
     rest = [c for c in headlines.columns if c not in ("ticker",)]
     titles = keyed.groupBy("ticker", "_week", "_key").agg(
-        F.min_by(F.struct(*rest), "pos").alias("_row"), F.min("pos").alias("_pos"), F.lit(False).alias("_taken")
+        F.min_by(F.struct(*rest), "pos").alias("_row"), F.min("pos").alias("_pos")
     )
-    titles = _within_reach(titles, per_week)
-    while True:
-        for _ in range(2):
-            titles = _settle(titles, per_week)
-        titles = cut_lineage(titles)
-        if titles.where("not _taken").isEmpty():
-            return titles.select("ticker", "_row.*")
+    ordered = _within_reach(titles, per_week).repartition("ticker").sortWithinPartitions("ticker", "_week", "_pos", "_key")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, seen = None, 0, set()
+        for batch in batches:
+            kept = []
+            for ticker, week, key in zip(*(batch.column(c).to_pylist() for c in ("ticker", "_week", "_key")), strict=True):
+                if now is None or ticker != now[0]:
+                    seen = set()
+                if now != (ticker, week):
+                    now, left = (ticker, week), per_week
+                kept.append(left > 0 and key not in seen)
+                if kept[-1]:
+                    left -= 1
+                    seen.add(key)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return ordered.mapInArrow(take, ordered.schema).select("ticker", "_row.*")
 
 
 def _within_reach(titles: DataFrame, per_week: int, salts: int = 32) -> DataFrame:
     """Drop titles that can never be taken: an exact bound, so that a hot week stays small.
 
-    A title is passed over before its week is full only if an earlier week took it, and w weeks take at
-    most ``per_week`` x w titles; so beyond that position in the week nothing is reached. The position
-    is cut in salted parts of the week first, then over what they leave.
+    A title is passed over before its week is full only if an earlier week took it, and the weeks before a ticker's n-th take at
+    most ``per_week`` x (n - 1) titles; so beyond place ``per_week`` x n nothing is reached. The place is cut in salted parts of the
+    week first, then over what they leave.
     """
-    weeks = titles.agg((F.datediff(F.max("_week"), F.min("_week")) / 7 + 1).cast("int").alias("n"))
-    reach = F.coalesce(weeks.scalar(), F.lit(0)) * per_week
-    part = titles.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
+    number = F.row_number().over(Window.partitionBy("ticker").orderBy("_week"))  # one row a week of each ticker
+    weeks = titles.select("ticker", "_week").distinct().withColumn("_reach", number * per_week)
+    same = titles["ticker"].eqNullSafe(weeks["ticker"]) & (titles["_week"] == weeks["_week"])
+    part = titles.join(weeks, same).select(titles["*"], "_reach").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
     for keys in (("ticker", "_week", "_salt"), ("ticker", "_week")):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("_pos", "_key"))
-        part = part.withColumn("_place", place).where(F.col("_place") <= reach)
-    return part.drop("_place", "_salt")
-
-
-def _settle(titles: DataFrame, per_week: int) -> DataFrame:
-    """One round of ``weekly_cap``; rows carry ``_taken`` and undecided rows have it false."""
-    before = Window.partitionBy("ticker", "_week").orderBy("_pos", "_key").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    earlier = Window.partitionBy("ticker", "_key").orderBy("_week").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    taken = F.col("_taken")
-    known = (
-        titles.withColumn("_took", F.count_if(taken).over(earlier))
-        .withColumn("_free", ~taken & (F.count(F.lit(1)).over(earlier) == 0))
-        .where(taken | (F.col("_took") == 0))
-        .withColumn("_full", F.count_if(taken | F.col("_free")).over(before))
-        .withColumn("_most", F.count(F.lit(1)).over(before))
-    )
-    sure = F.col("_free") & (F.col("_most") < per_week)
-    return (
-        known.where(taken | (F.col("_full") < per_week))
-        .withColumn("_taken", taken | sure)
-        .drop("_took", "_free", "_full", "_most")
-    )
+        part = part.withColumn("_place", place).where(F.col("_place") <= F.col("_reach"))
+    return part.drop("_place", "_salt", "_reach")
 
 
 def archive_headlines(headlines: DataFrame, names: DataFrame, start: str, end: str, per_week: int) -> DataFrame:
