@@ -203,3 +203,57 @@ def test_heuristic_views(spark):
     got = {r.ticker: r for r in views.heuristic_views(df, 0.05, 0.25).collect()}
     assert got["A"].q > 0.05 > got["B"].q and got["C"].q is None
     assert abs(got["A"].omega - 0.05 * 0.09) < 1e-12
+
+
+def test_tiles_of_any_size_give_the_same_matrix(spark):
+    rng = np.random.default_rng(12)
+    days = 40
+    rows = [(g, k, f"N{(7 * i) % n:02d}", float(rng.normal())) for g, n in (("small", 3), ("large", 23)) for i in range(n) for k in range(days)]
+    df = spark.createDataFrame(rows, "g string, date int, ticker string, ret double")
+    want = {(r.g, r.i, r.j): r.value for r in risk.covariance(df, "g")[0].collect()}
+    got = {(r.g, r.i, r.j): r.value for r in risk.covariance(df, "g", tile=5)[0].collect()}
+    assert len(want) == 3 * 3 + 23 * 23 and want.keys() == got.keys()
+    assert max(abs(want[k] - got[k]) for k in want) < 1e-12
+    tiles = risk._pairs(risk._vectors(df, "g"), "g", 5)
+    assert tiles.groupBy("g", "i", "j").count().where("count > 1").isEmpty()
+
+
+def test_free_names_are_followed_by_pivots():
+    rng = np.random.default_rng(13)
+    root = rng.normal(size=(9, 12))
+    hess, grad = root @ root.T, rng.normal(size=9)
+    free = portfolio._Free(hess)
+    for name in rng.integers(0, 9, 200):
+        if free.mask.sum() > 1 or not free.mask[name]:
+            free.flip(int(name))
+        at = np.flatnonzero(free.mask)
+        move, price = free.step(grad)
+        assert abs(move.sum()) < 1e-9 and not move[~free.mask].any()
+        assert np.allclose((hess @ move + grad)[at], -price)
+
+
+def test_optimum_with_a_singular_matrix_that_the_constraint_settles():
+    root = np.random.default_rng(14).normal(size=(5, 4))
+    sigma, mu = root @ root.T, np.array([0.1, 0.3, 0.2, 0.0, 0.25])
+    w, _, done = portfolio.best_weights(mu, sigma, 2.5, 0.6)
+    assert done and abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= 0.6
+    slope = 2.5 * sigma @ w - mu
+    inside = (w > 1e-9) & (w < 0.6 - 1e-9)
+    price = slope[inside].mean()
+    assert np.ptp(slope[inside]) < 1e-8 and (slope[w <= 1e-9] >= price - 1e-8).all()
+
+
+def test_whole_shares_remember_cash_only(spark):
+    rows = [(p, f"T{k:03d}", 10.0 + (k * 37 + p) % 91, 1.0 / 200) for p in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "p int, ticker string, price double, weight double")
+    got = portfolio.whole_shares(df, ("p",), F.lit(5000.0)).collect()
+    for p in range(3):
+        mine = {r.ticker: r for r in got if r.p == p}
+        base = {t: int(5000.0 * r.weight // r.price) for t, r in mine.items()}
+        cash = 5000.0 - sum(base[t] * r.price for t, r in mine.items())
+        for t, r in sorted(mine.items(), key=lambda x: (5000.0 * x[1].weight - base[x[0]] * x[1].price, x[0]), reverse=True):
+            if 5000.0 * r.weight - base[t] * r.price > r.price / 2 and r.price <= cash:
+                base[t] += 1
+                cash -= r.price
+        assert {t: r.shares for t, r in mine.items()} == base
+        assert all(abs(r.cash_left - cash) < 1e-6 for r in mine.values())

@@ -6,8 +6,11 @@ it holds. A portfolio's input is its covariance matrix, so a group is as large a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +34,62 @@ def blend(sigma: np.ndarray, pi: np.ndarray, tau: float, picks: np.ndarray, q: n
     return pi + gain @ (q - picks @ pi), sigma + prior - gain @ cross.T
 
 
+class _Free:
+    """The curvature with the free names swept: its block over them is their inverse, negated. A name enters or leaves by one pivot."""
+
+    def __init__(self, hess: np.ndarray):
+        self.hess = hess
+        self.mask = np.ones(len(hess), bool)
+        self.rebuild()
+
+    def rebuild(self) -> None:
+        free, pinned = np.flatnonzero(self.mask), np.flatnonzero(~self.mask)
+        self.swept = np.full_like(self.hess, np.nan)
+        try:
+            inverse = np.linalg.inv(self.hess[np.ix_(free, free)])
+        except np.linalg.LinAlgError:
+            return  # left undefined: ``step`` solves with the constraint instead
+        across = inverse @ self.hess[np.ix_(free, pinned)]
+        self.swept[np.ix_(free, free)] = -inverse
+        self.swept[np.ix_(free, pinned)] = across
+        self.swept[np.ix_(pinned, free)] = across.T
+        self.swept[np.ix_(pinned, pinned)] = self.hess[np.ix_(pinned, pinned)] - self.hess[np.ix_(pinned, free)] @ across
+
+    def flip(self, name: int) -> None:
+        """Let a name enter or leave."""
+        column, pivot = self.swept[:, name].copy(), self.swept[name, name]
+        self.swept -= np.outer(column, column / pivot)
+        self.swept[:, name] = self.swept[name] = (-column if self.mask[name] else column) / pivot
+        self.swept[name, name] = -1.0 / pivot
+        self.mask[name] = not self.mask[name]
+
+    def step(self, grad: np.ndarray) -> tuple[np.ndarray, float]:
+        """The move to the best point with the same sum, zero for names that are not free, and the price of the sum."""
+        mask = self.mask
+        for attempt in range(2):
+            bare, ones = (np.where(mask, self.swept @ np.where(mask, v, 0.0), 0.0) for v in (grad, 1.0))
+            price = -bare.sum() / ones.sum()
+            move = bare + price * ones
+            miss = np.where(mask, self.hess @ move + price + grad, 0.0)
+            if np.abs(miss).max() <= 1e-10 * max(1.0, np.abs(grad).max()):
+                return move, price
+            if attempt == 0:
+                self.rebuild()  # rounding piled up
+        free = np.flatnonzero(mask)  # nearly singular: solve with the constraint
+        kkt = np.ones((len(free) + 1, len(free) + 1))
+        kkt[:-1, :-1], kkt[-1, -1] = self.hess[np.ix_(free, free)], 0.0
+        solved = np.linalg.solve(kkt, np.append(-grad[free], 0.0))
+        move = np.zeros(len(grad))
+        move[free] = solved[:-1]
+        return move, solved[-1]
+
+
 def best_weights(mu: np.ndarray, sigma: np.ndarray, risk_aversion: float, cap: float):
     """Maximise mu'w - risk_aversion/2 w'Sw with sum 1 and 0 <= w <= cap, by an active-set method.
 
-    Each step solves the equality-constrained problem on the free names exactly, then either moves to
-    the first bound it hits or releases the bound with the most negative multiplier. Returns weights,
-    steps and whether it stopped at the optimum.
+    Each step goes to the best point of the free names, or to the first bound on the way, or releases the bound with the most
+    negative multiplier. One bound changes a step, and the inverse over the free names follows it by one pivot, so a step costs
+    names squared. Returns weights, steps and whether it stopped at the optimum.
     """
     n = len(mu)
     if n == 0 or risk_aversion <= 0 or cap * n < 1.0 - TOLERANCE:
@@ -45,18 +98,17 @@ def best_weights(mu: np.ndarray, sigma: np.ndarray, risk_aversion: float, cap: f
     cap = max(cap, 1.0 / n)
     w = np.full(n, 1.0 / n)
     pinned = np.zeros(n, dtype=int)  # -1 at zero, +1 at cap
+    free = _Free(hess)
+    grad = hess @ w - mu
+
+    def release(name: int) -> None:
+        pinned[name] = 0
+        free.flip(name)
+
     for step in range(1, MAX_STEPS + 1):
-        free = np.flatnonzero(pinned == 0)
-        grad = hess @ w - mu
-        move = np.zeros(n)
-        price = 0.0
-        if len(free):
-            k = len(free)
-            kkt = np.zeros((k + 1, k + 1))
-            kkt[:k, :k] = hess[np.ix_(free, free)]
-            kkt[k, :k] = kkt[:k, k] = 1.0
-            solved = np.linalg.solve(kkt, np.append(-grad[free], 0.0))
-            move[free], price = solved[:k], solved[k]
+        move, price = np.zeros(n), 0.0
+        if free.mask.any():
+            move, price = free.step(grad)
         if np.abs(move).max(initial=0.0) > TOLERANCE:
             room = np.full(n, np.inf)
             down, up = move < 0, move > 0
@@ -67,25 +119,28 @@ def best_weights(mu: np.ndarray, sigma: np.ndarray, risk_aversion: float, cap: f
                 w = w + max(room[hit], 0.0) * move
                 pinned[hit] = -1 if move[hit] < 0 else 1
                 w[hit] = 0.0 if move[hit] < 0 else cap
+                free.flip(hit)
             else:
                 w = w + move
+            grad = hess @ w - mu
             continue
         # At the best point of the free set: is any bound holding the wrong way?
         at_zero, at_cap = pinned == -1, pinned == 1
-        if not len(free):
+        if not free.mask.any():
             # Everything pinned: any price between the two groups' gradients supports the point.
             floor = (-grad[at_zero]).max(initial=-np.inf)
             ceiling = (-grad[at_cap]).min(initial=np.inf)
             if floor <= ceiling + TOLERANCE:
                 return np.clip(w, 0.0, cap), step, True
-            pinned[np.flatnonzero(at_zero)[np.argmax(-grad[at_zero])]] = 0
-            pinned[np.flatnonzero(at_cap)[np.argmin(-grad[at_cap])]] = 0
+            first, second = np.flatnonzero(at_zero)[np.argmax(-grad[at_zero])], np.flatnonzero(at_cap)[np.argmin(-grad[at_cap])]
+            release(int(first))
+            release(int(second))
             continue
         slack = np.where(at_zero, grad + price, np.where(at_cap, -(grad + price), np.inf))
         worst = int(np.argmin(slack))
         if slack[worst] >= -TOLERANCE:
             return np.clip(w, 0.0, cap), step, True
-        pinned[worst] = 0
+        release(worst)
     return np.clip(w, 0.0, cap), MAX_STEPS, False
 
 
@@ -242,39 +297,38 @@ def project_capped_simplex(points: DataFrame, keys: tuple[str, ...], value: str,
 
 
 def whole_shares(assets: DataFrame, keys: tuple[str, ...], budget: Column) -> DataFrame:
-    """``(keys, ticker, price, weight, shares, invested, cash_left)``: share counts within the budget.
+    """``(keys, ticker, price, weight, shares, cash_left)``: share counts within the budget.
 
     Floors first. Cash only falls and no asset can gain more than one extra share, so spending the
-    rest is one pass over the portfolio in order of shortfall (ties: later ticker first).
+    rest is one pass over the portfolio in order of shortfall (ties: later ticker first). Rows stream
+    through a task in that order and the pass remembers the cash left, nothing else.
     """
     target = F.col("weight") * budget
+    whole = Window.partitionBy(*keys)
     floored = (
         assets.withColumn("_target", target)
         .withColumn("_shares", F.greatest(F.floor(target / F.col("price")), F.lit(0)).cast("bigint"))
         .withColumn("_short", F.col("_target") - F.col("_shares") * F.col("price"))
+        .withColumn("_budget", budget)
+        .withColumn("_cash", F.col("_budget") - F.sum(F.col("_shares") * F.col("price")).over(whole))
+        .select(*keys, "ticker", "price", "weight", F.col("_shares").alias("shares"), "_short", "_budget", "_cash")
     )
-    row = F.struct(
-        F.col("_short").alias("short"), F.col("ticker").alias("ticker"), F.col("price").alias("price"),
-        F.col("weight").alias("weight"), F.col("_shares").alias("shares"),
-    )
-    packed = floored.groupBy(*keys).agg(
-        F.reverse(F.array_sort(F.collect_list(row))).alias("_rows"),
-        (F.first(budget) - F.sum(F.col("_shares") * F.col("price"))).alias("_cash"),
-    )
-    done = "array<struct<ticker:string,price:double,weight:double,shares:bigint>>"
-
-    def spend(state, r):
-        buy = (r["short"] > r["price"] / 2.0) & (r["price"] <= state["cash"])
-        bought = F.when(buy, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        filled = F.struct(
-            r["ticker"].alias("ticker"), r["price"].alias("price"), r["weight"].alias("weight"),
-            (r["shares"] + bought).alias("shares"),
-        )
-        return F.struct(
-            (state["cash"] - bought * r["price"]).alias("cash"),
-            F.concat(state["done"], F.array(filled)).alias("done"),
-        )
-
-    start = F.struct(F.col("_cash").alias("cash"), F.array().cast(done).alias("done"))
-    spent = packed.withColumn("_end", F.aggregate("_rows", start, spend))
-    return spent.select(*keys, F.inline("_end.done"), F.col("_end.cash").alias("cash_left"))
+    ordered = floored.repartition(*keys).sortWithinPartitions(*keys, F.desc("_short"), F.desc("ticker"))
+
+    def spend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cash = object(), 0.0
+        for batch in batches:
+            shares = []
+            names = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            numbers = (batch.column(c).to_pylist() for c in ("shares", "price", "_short", "_cash"))
+            for name, count, price, short, start in zip(names, *numbers, strict=True):
+                if name != now:
+                    now, cash = name, start
+                buys = short is not None and short > price / 2.0 and price <= cash
+                cash -= price if buys else 0.0
+                shares.append(count + buys)
+            yield batch.set_column(batch.schema.get_field_index("shares"), "shares", pa.array(shares, pa.int64()))
+
+    spent = ordered.mapInArrow(spend, ordered.schema)
+    left = F.col("_budget") - F.sum(F.col("shares") * F.col("price")).over(whole)
+    return spent.select(*keys, "ticker", "price", "weight", "shares", left.alias("cash_left"))

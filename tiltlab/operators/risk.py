@@ -6,12 +6,15 @@ which is the result itself; window lengths bound the arrays carried per name.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltlab.functions.numeric import dot
 from tiltlab.params import MIN_COVARIANCE_ROWS, TRADING_DAYS
 
+TILE = 64  # names of a strip; a tile is two strips
+
 
 def _vectors(returns: DataFrame, group: str) -> DataFrame:
     """One row per (group, ticker): the column-demeaned return vector in date order."""
@@ -22,21 +25,35 @@ def _vectors(returns: DataFrame, group: str) -> DataFrame:
     )
 
 
-def _pairs(vectors: DataFrame, group: str, blocks: int) -> DataFrame:
-    """Sample covariances for i <= j. Left rows are spread over ``blocks`` so one large group is many tasks."""
-    left = vectors.select(
-        group, F.col("ticker").alias("i"), F.col("x").alias("xi"),
-        F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int").alias("_b"),
-    )
-    right = vectors.select(
-        group, F.col("ticker").alias("j"), F.col("x").alias("xj"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"),
-    )
-    return (
-        left.join(right, [group, "_b"])
-        .where(F.col("i") <= F.col("j"))
-        .select(group, "i", "j", (dot(F.col("xi"), F.col("xj")) / F.size("xi")).alias("s"))
-    )
+def _pairs(vectors: DataFrame, group: str, tile: int = TILE) -> DataFrame:
+    """Sample covariances ``(group, i, j, s)`` for i <= j, as a tiled matrix product.
+
+    A group's names are dealt to as many strips as it needs of about ``tile`` names; each pair of strips is a tile, so the number of
+    tiles grows with names squared and a tile's rows and result stay bounded. A name's vector goes to the tiles of its strip.
+    """
+    strips = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_strips"))
+    dealt = vectors.join(strips, group).withColumn("_own", F.pmod(F.xxhash64("ticker"), F.col("_strips")).cast("int"))
+    tiled = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_strips") - 1))).select(
+        group, "ticker", "x", F.least("_own", "_with").alias("_low"), F.greatest("_own", "_with").alias("_high"), (F.col("_own") > F.col("_with")).alias("_right")
+    )
+    schema = f"{group} {vectors.schema[group].dataType.simpleString()}, i string, j string, s double"
+
+    def product(table: pa.Table) -> pa.Table:
+        names = table.column("ticker").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+        right = table.column("_right").to_numpy(zero_copy_only=False)
+        across = table.column("_low")[0] != table.column("_high")[0]
+        rows, columns = (np.flatnonzero(~right), np.flatnonzero(right)) if across else (np.arange(len(names)),) * 2
+        s = (x[rows] @ x[columns].T / x.shape[1]).ravel()
+        i, j = np.repeat(names[rows], len(columns)), np.tile(names[columns], len(rows))
+        swapped = i > j
+        i, j = np.where(swapped, j, i), np.where(swapped, i, j)
+        if not across:  # each pair once
+            s, i, j = s[~swapped], i[~swapped], j[~swapped]
+        kind = table.schema.field(group).type
+        return pa.table({group: pa.array([table.column(group)[0].as_py()] * len(s), kind), "i": pa.array(i, pa.string()), "j": pa.array(j, pa.string()), "s": s})
+
+    return tiled.groupBy(group, "_low", "_high").applyInArrow(product, schema)
 
 
 def trailing_windows(returns: DataFrame, schedule: DataFrame, window: int) -> DataFrame:
@@ -63,7 +80,7 @@ def trailing_windows(returns: DataFrame, schedule: DataFrame, window: int) -> Da
     return sent.select("r", "ticker", "date", "ret", complete.alias("_ok")).where("_ok").drop("_ok")
 
 
-def covariance(returns: DataFrame, group: str, blocks: int = 4) -> tuple[DataFrame, DataFrame]:
+def covariance(returns: DataFrame, group: str, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Annualised covariance ``(group, i, j, value)`` and ``(group, shrinkage, observations, names)``.
 
     ``returns`` is ``(group, date, ticker, ret)`` on dates every name of the group has. Shrinks towards
@@ -71,7 +88,7 @@ def covariance(returns: DataFrame, group: str, blocks: int = 4) -> tuple[DataFra
     ||S||^2 and the trace, the sampling error from the sum over days of |x_k|^4.
     """
     vectors = _vectors(returns, group)
-    pairs = _pairs(vectors, group, blocks)
+    pairs = _pairs(vectors, group, tile)
     day_norms = (
         vectors.select(group, F.posexplode("x").alias("k", "v"))
         .groupBy(group, "k")
