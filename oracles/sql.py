@@ -737,6 +737,23 @@ ORACLES["scores_memoised"] = compose(f"""
 SELECT d.doc_id, {r('coalesce(s.positive, l.positive)', 'positive')}, {r('coalesce(s.negative, l.negative)', 'negative')},
   {r('coalesce(s.neutral, l.neutral)', 'neutral')}
 FROM documents d LEFT JOIN store s ON s.text = d.text JOIN lex_ref l ON l.text = d.text""")
+ORACLES["model_scores"] = f"""
+WITH w AS (SELECT text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT text, exp(0.3::DOUBLE * len(list_filter(w, lambda x: x IN ({W1[0]})))) AS p, exp(0.2::DOUBLE * len(list_filter(w, lambda x: x IN ({W1[1]})))) AS q, exp(0.01::DOUBLE * len(w)) AS u FROM w)
+SELECT md5(text) AS text_md5, {r('p / (p + q + u)', 'positive')}, {r('q / (p + q + u)', 'negative')}, {r('u / (p + q + u)', 'neutral')} FROM l"""
+CTES["landed"] = """
+SELECT event_type AS ticker, ts AS published, value / 100.0 - user_id / 1000.0 AS s, event_id % 40 = 0 AS late FROM events"""
+# A batch drops rows whose window was final before the batch ahead of it.
+CTES["marks"] = """
+SELECT max(published) FILTER (NOT late AND published < TIMESTAMP '2024-01-11') - INTERVAL 3 DAY AS old, max(published) - INTERVAL 3 DAY AS final FROM landed"""
+ORACLES["stream_closed_weeks"] = compose(f"""
+SELECT ticker, CAST(a AS DATE) AS a, count(*) AS headlines, {r('avg(s)', 'score', 9)} FROM (
+  SELECT *, date_trunc('week', published) AS a FROM landed), marks
+WHERE (NOT late OR a + INTERVAL 7 DAY > old) AND a + INTERVAL 7 DAY <= final GROUP BY ALL""")
+ORACLES["stream_sliding_news"] = compose(f"""
+SELECT ticker, CAST(e AS DATE) AS as_of, count(*) AS headlines, {r('avg(s)', 'score', 9)} FROM (
+  SELECT *, unnest(generate_series(date_trunc('day', published) + INTERVAL 1 DAY, date_trunc('day', published) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS e FROM landed), marks
+WHERE (NOT late OR e > old) AND e <= final GROUP BY ALL""")
 LAST = "CASE WHEN {0}.neutral >= {0}.positive AND {0}.neutral >= {0}.negative THEN 2 WHEN {0}.negative >= {0}.positive THEN 1 ELSE 0 END"
 ORACLES["model_agreement"] = compose(f"""
 WITH m AS (SELECT 'reference' AS model, * FROM lex_ref UNION ALL SELECT 'smooth', * FROM lex_smooth UNION ALL SELECT 'other', * FROM lex_other),

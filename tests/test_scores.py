@@ -1,6 +1,8 @@
 """The digest-keyed score store: what its joins move, what is scored, and what a replay leaves."""
 
+import os
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,26 @@ def test_failed_batch_is_replayed_exactly_once(spark, tmp_path, store):
     run()
     assert stored() == [("aa", 0), ("bbb", 0), ("cccc", 1)] and calls.value == 5
     assert {r.positive for r in scores.read_store(spark, store).collect()} == {0.02, 0.03, 0.04}
+
+
+def test_a_worker_loads_its_model_once(spark):
+    loads = spark.sparkContext.accumulator(0)
+    batches = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+
+        def predict(texts):
+            batches.add(1)
+            return [(len(t) / 1000, 0.0, os.getpid()) for t in texts]
+
+        return predict
+
+    texts = spark.range(4000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(16)
+    scorer = sentiment.loaded_scorer(load, f"model-{uuid.uuid4()}", batch_size=50)
+    first = scorer(texts).collect()
+    workers = {r.neutral for r in first}
+    assert loads.value == len(workers) <= 4 < 16 < batches.value  # four workers serve sixteen tasks
+    assert {r.text: r.positive for r in first} == {r.text: len(r.text) / 1000 for r in texts.collect()}
+    again = {r.neutral for r in scorer(texts).collect()}
+    assert loads.value == len(workers | again)

@@ -7,8 +7,9 @@ by days, never by headlines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,24 +208,41 @@ def model_scorer(predict, batch_size: int = 256) -> Scorer:
 
     Runs inside tasks, one Arrow batch at a time, and calls the model on at most ``batch_size`` texts.
     """
+    return loaded_scorer(lambda: predict, None, batch_size)
+
+
+_MODEL: list = [None, None]  # name and model of this Python worker
+
+
+def _worker_model(load, name: str | None):
+    """The worker's model, loaded when it first needs it; workers are reused, so later tasks find it. None is not kept."""
+    if name is None:
+        return load()
+    if _MODEL[0] != name:
+        _MODEL[:] = [name, load()]
+    return _MODEL[1]
+
+
+def loaded_scorer(load, name: str | None, batch_size: int = 256) -> Scorer:
+    """Adapter for a model that is costly to load: ``load()`` gives a ``predict`` as in ``model_scorer``.
+
+    A worker loads the model called ``name`` once and feeds it all batches of all its tasks; another name takes its place.
+    """
 
     def score(texts: DataFrame) -> DataFrame:
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
+            from tiltlab.operators import sentiment  # the worker's own copy, which outlives the task
+
+            predict = sentiment._worker_model(load, name)
             for batch in batches:
-                chunks = [
-                    np.asarray(predict(batch["text"].iloc[i : i + batch_size].tolist()), dtype=float)
-                    for i in range(0, len(batch), batch_size)
-                ]
-                probs = np.concatenate(chunks) if chunks else np.empty((0, 3))
-                yield batch[["text"]].assign(
-                    positive=probs[:, 0], negative=probs[:, 1], neutral=probs[:, 2]
-                )
-
-        return texts.select("text").mapInPandas(
-            run, "text string, positive double, negative double, neutral double"
-        )
+                for at in range(0, batch.num_rows, batch_size):
+                    part = batch.column("text").slice(at, batch_size)
+                    probs = np.asarray(predict(part.to_pylist()), dtype=float).reshape(len(part), 3)
+                    yield pa.RecordBatch.from_arrays([part, *(pa.array(probs[:, k]) for k in range(3))], names=["text", *SCORES])
+
+        return texts.select("text").mapInArrow(run, "text string, positive double, negative double, neutral double")
 
     return score
 

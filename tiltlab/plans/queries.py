@@ -26,6 +26,7 @@ from tiltlab.plans.evaluation import long_short_books
 from tiltlab.plans.warehouse import brand_study
 from tiltlab.session import cut_lineage, shared_folder
 from tiltlab.sources import documents, filings, news, prices, scores, tables
+from tiltlab.streaming import headlines as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -800,6 +801,68 @@ def scores_memoised(spark, root):
     return rounded(done.select("doc_id", "positive", "negative", "neutral"))
 
 
+def _word_model():
+    """A batch model of weighted words: class weights summed over a text's words, as probabilities."""
+    import re
+
+    import numpy as np
+
+    weights = {w: (0.3, 0.0) for w in FIRST_WORDS[0]} | {w: (0.0, 0.2) for w in FIRST_WORDS[1]}
+
+    def predict(batch):
+        found = (re.findall(r"[^\W_]+", t.lower()) for t in batch)
+        logits = np.array([np.sum([(*weights.get(w, (0.0, 0.0)), 0.01) for w in ws] or [(0.0, 0.0, 0.0)], axis=0) for ws in found])
+        powers = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return powers / powers.sum(axis=1, keepdims=True)
+
+    return predict
+
+
+@query
+def model_scores(spark, root):
+    """Every distinct document scored by a batch model that each worker loads once."""
+    texts = _texts(spark, root).where("text IS NOT NULL").groupBy(scores.text_key().alias("digest")).agg(F.first("text").alias("text"))
+    found = sentiment.loaded_scorer(_word_model, "weighted words")(texts)
+    return rounded(found.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "positive", "negative", "neutral"))
+
+
+# Streams -------------------------------------------------------------------------------------------
+
+
+def _landed_stream(spark, root) -> DataFrame:
+    """Events as headlines in three landings, read one a batch: up to the tenth day, the later ones, and stragglers of all days."""
+    events = tables.table(spark, root, "events").select(
+        "event_id", F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("published"),
+        (F.col("value") / 100.0).alias("positive"), (F.col("user_id") / 1000.0).alias("negative"),
+    ).withColumn("neutral", 1.0 - F.col("positive") - F.col("negative"))
+    straggler, early = F.col("event_id") % 40 == 0, F.col("published") < F.lit("2024-01-11").cast("timestamp")
+    path = f"{shared_folder(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    landings = (~straggler & early, ~straggler & ~early, straggler)
+    for part in landings:  # a landing is one file, so that it is one batch
+        events.where(part).drop("event_id").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.drop("event_id").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drained(spark, stream: DataFrame) -> DataFrame:
+    """What a stream's final rows are once all that has landed is read."""
+    path = f"{shared_folder(spark).rstrip('/')}/drained-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@query
+def stream_closed_weeks(spark, root):
+    """Weeks that are final: three days have passed since their end. Stragglers count if their week is still open."""
+    return rounded(_drained(spark, streams.closed_weeks(_landed_stream(spark, root))), 9)
+
+
+@query
+def stream_sliding_news(spark, root):
+    """News of the seven days before each day, final after three days."""
+    return rounded(_drained(spark, streams.sliding_news(_landed_stream(spark, root))), 9)
+
+
 @query
 def model_agreement(spark, root):
     variants = {
