@@ -3,7 +3,8 @@
 A page is read in one pass by the standard library's tokenizer into a flat list of text blocks: block-level tags end a block,
 inline tags do not; scripts, styles and other unseen content never enter one. A block has its text, word count, link
 density and the words and link density of its neighbours, whether a heading, and what its enclosing elements say: furniture
-(navigation, header, footer, sidebar, form, ...), names that mark adverts, notices or comments, or main content. A name marks
+(navigation, header, footer, sidebar, form, ...), names that mark adverts, notices and the like, names that mark comments, or main content.
+Marked blocks are boilerplate at any length. A name marks
 if it says nothing else (``has-sidebar`` or ``tag-legal`` say something else), and never counts on a main element, on the page's article (the longest) or
 on what encloses them, except that names of comments count around articles. A decision
 tree over these features tells content from boilerplate; it is trained here, on the small labelled table ``LABELLED``.
@@ -51,75 +52,81 @@ MARKS = COMMENTS | frozenset(
 NEUTRAL = frozenset("area bar block body bottom box buttons container form inner item left link links list message module outer panel posts right section site slot thread top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "furniture", "marked", "main")
+FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "heading", "furniture", "marked", "comments", "main")
 
 # The labelled table: features of blocks in the order of FEATURES, and whether the block is content.
 LABELLED = (
     # menus, headers, footers and forms
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 14, 0.0, 0, 1, 0, 0, 0),
-    (4, 0.5, 1, 1.0, 40, 0.0, 0, 1, 0, 0, 0),
-    (12, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (40, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (9, 0.1, 30, 0.0, 5, 0.2, 0, 1, 0, 1, 0),
-    (25, 0.0, 70, 0.0, 20, 0.0, 0, 1, 0, 1, 0),
-    (3, 0.0, 20, 0.0, 1, 0.0, 1, 1, 0, 0, 0),
-    (6, 0.0, 90, 0.0, 2, 0.0, 0, 1, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 0, 0),
+    (1, 1.0, 2, 1.0, 14, 0.0, 0, 1, 0, 0, 0, 0),
+    (4, 0.5, 1, 1.0, 40, 0.0, 0, 1, 0, 0, 0, 0),
+    (12, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
+    (40, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0),
+    (9, 0.1, 30, 0.0, 5, 0.2, 0, 1, 0, 0, 1, 0),
+    (25, 0.0, 70, 0.0, 20, 0.0, 0, 1, 0, 0, 1, 0),
+    (3, 0.0, 20, 0.0, 1, 0.0, 1, 1, 0, 0, 0, 0),
+    (6, 0.0, 90, 0.0, 2, 0.0, 0, 1, 1, 0, 0, 0),
     # adverts, notices and comments, wherever they stand
-    (8, 0.0, 1, 1.0, 14, 0.0, 0, 0, 1, 0, 0),
-    (20, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0, 0),
-    (35, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1, 1, 0),
-    (60, 0.0, 50, 0.0, 30, 0.0, 0, 0, 1, 1, 0),
-    (15, 0.3, 45, 0.0, 45, 0.0, 0, 0, 1, 1, 0),
-    (2, 0.0, 15, 0.0, 40, 0.0, 1, 0, 1, 1, 0),
-    (120, 0.0, 20, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    (4, 1.0, 60, 0.0, 50, 0.0, 0, 0, 1, 1, 0),
+    (8, 0.0, 1, 1.0, 14, 0.0, 0, 0, 0, 1, 0, 0),
+    (20, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1, 0, 0, 0),
+    (35, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1, 1, 0),
+    (60, 0.0, 50, 0.0, 30, 0.0, 0, 0, 1, 0, 1, 0),
+    (15, 0.3, 45, 0.0, 45, 0.0, 0, 0, 0, 1, 1, 0),
+    (2, 0.0, 15, 0.0, 40, 0.0, 1, 0, 1, 0, 1, 0),
+    (120, 0.0, 20, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 0),
+    (4, 1.0, 60, 0.0, 50, 0.0, 0, 0, 1, 0, 1, 0),
     # content in an article
-    (7, 0.0, 20, 0.0, 60, 0.0, 1, 0, 0, 1, 1),
-    (2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 1, 1),
-    (1, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1, 1),
-    (30, 0.0, 7, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
-    (90, 0.1, 30, 0.0, 12, 0.0, 0, 0, 0, 1, 1),
-    (55, 0.0, 90, 0.1, 12, 0.2, 0, 0, 0, 1, 1),
-    (3, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (6, 0.8, 80, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
-    (18, 0.3, 40, 0.2, 22, 0.4, 0, 0, 0, 1, 1),
-    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
-    (50, 0.0, 40, 0.0, 1, 1.0, 0, 0, 0, 1, 1),
-    (2, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0, 1, 1),
-    (12, 0.9, 3, 1.0, 8, 0.9, 0, 0, 0, 1, 1),
-    (25, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1, 1),
+    (7, 0.0, 20, 0.0, 60, 0.0, 1, 0, 0, 0, 1, 1),
+    (2, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 0, 1, 1),
+    (1, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 1, 1),
+    (30, 0.0, 7, 0.0, 40, 0.0, 0, 0, 0, 0, 1, 1),
+    (90, 0.1, 30, 0.0, 12, 0.0, 0, 0, 0, 0, 1, 1),
+    (55, 0.0, 90, 0.1, 12, 0.2, 0, 0, 0, 0, 1, 1),
+    (3, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 1, 1),
+    (6, 0.8, 80, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1),
+    (18, 0.3, 40, 0.2, 22, 0.4, 0, 0, 0, 0, 1, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1),
+    (50, 0.0, 40, 0.0, 1, 1.0, 0, 0, 0, 0, 1, 1),
+    (2, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1, 1),
+    (12, 0.9, 3, 1.0, 8, 0.9, 0, 0, 0, 0, 1, 1),
+    (25, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1, 1),
     # pages without an article element
-    (40, 0.0, 2, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (60, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (16, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0, 1),
-    (9, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 1),
-    (3, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (10, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (45, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (30, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (14, 0.1, 6, 0.9, 3, 1.0, 0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.8, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (8, 0.9, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.7, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.8, 40, 0.0, 6, 0.9, 0, 0, 0, 0, 0),
-    # long running text under a name that sounds like furniture, and long lists of links
-    (150, 0.0, 90, 0.0, 130, 0.0, 0, 0, 1, 1, 1),
-    (220, 0.1, 150, 0.0, 12, 0.2, 0, 0, 1, 1, 1),
-    (180, 0.0, 6, 0.0, 160, 0.0, 0, 0, 1, 0, 1),
-    (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 1),
-    (160, 0.7, 90, 0.0, 2, 1.0, 0, 0, 1, 0, 0),
-    (240, 0.9, 150, 0.0, 60, 0.0, 0, 0, 1, 1, 0),
+    (40, 0.0, 2, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1),
+    (60, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1),
+    (16, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 0, 1),
+    (5, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0, 0, 1),
+    (9, 0.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 1),
+    (3, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 1),
+    (10, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (45, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
+    (30, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 1),
+    (14, 0.1, 6, 0.9, 3, 1.0, 0, 0, 0, 0, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0),
+    (1, 1.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 0, 0),
+    (6, 0.8, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 0),
+    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 0),
+    (8, 0.9, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
+    (4, 0.7, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0),
+    (12, 0.8, 40, 0.0, 6, 0.9, 0, 0, 0, 0, 0, 0),
+    # long adverts, notices, sidebars and comments, and long lists of links
+    (150, 0.0, 90, 0.0, 130, 0.0, 0, 0, 0, 1, 1, 0),
+    (220, 0.1, 150, 0.0, 12, 0.2, 0, 0, 1, 0, 1, 0),
+    (180, 0.0, 6, 0.0, 160, 0.0, 0, 0, 0, 1, 0, 0),
+    (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    (160, 0.7, 90, 0.0, 2, 1.0, 0, 0, 0, 1, 0, 0),
+    (240, 0.9, 150, 0.0, 60, 0.0, 0, 0, 1, 0, 1, 0),
+    # long running text that no name marks
+    (150, 0.0, 90, 0.0, 130, 0.0, 0, 0, 0, 0, 1, 1),
+    (220, 0.1, 150, 0.0, 12, 0.2, 0, 0, 0, 0, 1, 1),
+    (180, 0.0, 6, 0.0, 160, 0.0, 0, 0, 0, 0, 0, 1),
+    (300, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (2500, 0.0, 60, 0.0, 900, 0.0, 0, 0, 0, 0, 1, 1),
     # paragraphs with many links
-    (40, 0.4, 30, 0.0, 50, 0.1, 0, 0, 0, 0, 1),
-    (25, 0.3, 60, 0.2, 0, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.4, 40, 0.1, 45, 0.3, 0, 0, 0, 0, 1),
-    (70, 0.4, 0, 0.0, 30, 0.4, 0, 0, 0, 0, 1),
+    (40, 0.4, 30, 0.0, 50, 0.1, 0, 0, 0, 0, 0, 1),
+    (25, 0.3, 60, 0.2, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (12, 0.4, 40, 0.1, 45, 0.3, 0, 0, 0, 0, 0, 1),
+    (70, 0.4, 0, 0.0, 30, 0.4, 0, 0, 0, 0, 0, 1),
 )
 
 
@@ -175,6 +182,7 @@ class Block:
     heading: bool
     furniture: bool
     marked: bool
+    comments: bool
     main: bool
 
 
@@ -235,7 +243,7 @@ class BlockReader(HTMLParser):
         if text:
             words = text.count(" ") + 1
             c = self.context
-            self.blocks.append(Block(text, words, min(1.0, self.linked / words), c.heading, c.furniture, False, c.main))
+            self.blocks.append(Block(text, words, min(1.0, self.linked / words), c.heading, c.furniture, False, False, c.main))
             self.marks.append(c.marks)
             self.owners.append(c.article)
             if c.article:
@@ -319,16 +327,17 @@ class BlockReader(HTMLParser):
             for mark in page.marks:
                 mark.lifted |= mark.kind != "comments"
         for block, marks in zip(self.blocks, self.marks, strict=True):
-            block.marked = not all(mark.lifted for mark in marks)
+            kinds = {mark.kind for mark in marks if not mark.lifted}
+            block.marked, block.comments = "other" in kinds, "comments" in kinds
         return self.blocks
 
 
 def features(blocks: list[Block]) -> list[tuple]:
-    none = Block("", 0, 0.0, False, False, False, False)
+    none = Block("", 0, 0.0, False, False, False, False, False)
     rows = []
     around = [none, *blocks, none]
     for before, block, after in zip(around, blocks, around[2:]):
-        rows.append((block.words, block.links, before.words, before.links, after.words, after.links, block.heading, block.furniture, block.marked, block.main))
+        rows.append((block.words, block.links, before.words, before.links, after.words, after.links, block.heading, block.furniture, block.marked, block.comments, block.main))
     return rows
 
 
