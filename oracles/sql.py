@@ -515,6 +515,29 @@ v AS (SELECT r, ticker, pi, volatility, CASE WHEN used THEN pi + volatility * al
 SELECT r, ticker, {r('q', 'q')}, {r('omega', 'omega')}, {r('coalesce((q - pi) / volatility, 0.0)', 'value')},
   {r('coalesce(0.05 * volatility * volatility / (0.05 * volatility * volatility + omega), 0.0)', 'confidence')} FROM v""")
 
+# Absolute views with independent errors enter one after the other, each as a rank-one update of mean and covariance.
+CTES["bl_views"] = f"""
+SELECT r, ticker, pi, confidence, CASE WHEN confidence >= 0.02 THEN pi + 0.25 * value * volatility END AS q,
+  0.05 * volatility * volatility * (1.0 - confidence) / confidence AS omega,
+  row_number() OVER (PARTITION BY r ORDER BY ticker) - 1 AS k, count(*) OVER (PARTITION BY r) AS n
+FROM (SELECT *, {BLEND} FROM (SELECT *, 0.7 * coalesce(news_confidence, 0.0) AS ws, CASE WHEN fscore IS NULL THEN 0.0 ELSE (1.0 - 0.7) * 0.35 * coverage END AS wf FROM vrows))"""
+CTES["bl_start"] = """
+SELECT v.r, any_value(v.n) AS n, list(v.pi ORDER BY v.k) AS mu, any_value(c.s) AS s, list(v.q ORDER BY v.k) AS q, list(v.omega ORDER BY v.k) AS omega, list(v.ticker ORDER BY v.k) AS names
+FROM bl_views v JOIN (
+  SELECT a.r, list(0.05 * c.value ORDER BY a.k, b.k) AS s FROM bl_views a JOIN bl_views b ON b.r = a.r JOIN cov c ON c.r = a.r AND c.i = a.ticker AND c.j = b.ticker GROUP BY a.r
+) c ON c.r = v.r GROUP BY v.r"""
+ORACLES["bl_posterior"] = compose(f"""
+WITH /*RECURSIVE*/u AS (
+  SELECT r, 0::BIGINT AS k, n, mu, s, q, omega, names FROM bl_start
+  UNION ALL
+  SELECT r, k + 1, n,
+    CASE WHEN q[k + 1] IS NULL THEN mu ELSE list_transform(mu, lambda m, i: m + s[(i - 1) * n + k + 1] * (q[k + 1] - mu[k + 1]) / (s[k * n + k + 1] + omega[k + 1])) END,
+    CASE WHEN q[k + 1] IS NULL THEN s ELSE list_transform(s, lambda x, i: x - s[((i - 1) // n) * n + k + 1] * s[k * n + (i - 1) % n + 1] / (s[k * n + k + 1] + omega[k + 1])) END,
+    q, omega, names
+  FROM u WHERE k < n
+)
+SELECT r, unnest(names) AS ticker, round(unnest(mu), 6) + 0.0 AS mu FROM u WHERE k = n""")
+
 # Portfolios: bisection by recursion for the projection, one asset per step for whole shares.
 ORACLES["simplex_projection"] = compose(f"""
 WITH p AS (SELECT s_nationkey AS portfolio, s_suppkey AS asset, s_acctbal / 10000.0 AS v,
