@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import rng_words
-from tiltlab.llm import html, jaccard, licenses, substring, tiling
+from tiltlab.llm import html, jaccard, licenses, mixing, rules, substring, tiling
 from tiltlab.llm import tokens as T
 
 DOCS = "doc_id long, text string"
@@ -20,28 +20,71 @@ def test_tiling_finds_items_with_inner_repetition(spark, item):
     assert [r.doc_id for r in tiling.remove_contaminated(docs, items).collect()] == [2]
 
 
+def brute_licenses(texts, templates=licenses.TEMPLATES):
+    """Every column by plain loops: all starts, all occurrences, all phrases."""
+    import re
+
+    split = lambda x: re.findall(r"[a-z0-9\x80-\U0010ffff]+", x)
+    files = [split("".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    frequency = {}
+    for w in files:
+        for x in set(w):
+            frequency[x] = frequency.get(x, 0) + 1
+    hashes = {x: int(licenses._hashes(x)[0]) for _, t, _ in templates for x in split(t)}
+    out = []
+    for w in files:
+        stands = lambda phrase: [i for i in range(len(w)) if w[i : i + len(phrase)] == phrase]  # noqa: E731, B023
+        base = {label: stands(split(p)) for p, label in licenses.BASE_PHRASES}
+        places = sorted(i for found in base.values() for i in found)
+        labels, score = {x for x, found in base.items() if found}, 1.0 if places else 0.0
+        for label, text, keys in templates:
+            t = split(text)
+            within = 3 + len(t) // 8
+            if not all(stands(split(key)) for key in keys):
+                continue
+            rare = sorted({x for x in t if x in w}, key=lambda x: (frequency[x], hashes[x]))[:8]
+            starts = {x: {i - k for i, y in enumerate(w) if y == x for k, z in enumerate(t) if z == x} for x in rare}
+            for s in set().union(*starts.values()):
+                near = lambda spots, at: any(abs(i - at) <= within for i in spots)  # noqa: E731, B023
+                if sum(near(v, s) for v in starts.values()) < max(1, len(rare) / 2):
+                    continue
+                if not all(near(stands(split(key)), s + next(k for k in range(len(t)) if t[k : k + len(split(key))] == split(key))) for key in keys):
+                    continue
+                share = sum(near([i for i in range(max(0, s + k - within), min(len(w), s + k + within + 1)) if w[i] == x], s + k) for k, x in enumerate(t)) / len(t)
+                score = max(score, share)
+                if share >= 0.6:
+                    labels.add(label)
+        out.append((len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(x for x, f in base.items() if f)), ",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
 def test_licenses_beside_a_long_notice(spark):
-    """Labels of every notice of a file, however many rarer words another notice brings; checked by looking at every placement."""
-    mit = next(text for label, text, _ in licenses.TEMPLATES if label == "mit" and len(text.split()) > 30)
+    """Labels of every notice of a file, however many rarer words another notice brings, words put in and left out, identifiers."""
+    mit = next(text for label, text, _ in licenses.TEMPLATES if label == "mit" and 30 < len(text.split()) < 60)
+    whole = next(text for label, text, _ in licenses.TEMPLATES if label == "mit" and len(text.split()) > 100)
     extra = ["licensed under the gnu general public license version 3", "all rights reserved", "licensed under cc by sa 4 0"]
+    cases = {
+        f"{mit} other words {extra[0]}": "gpl-3,mit",
+        f"{mit} other words {extra[1]}": "mit,proprietary",
+        f"{mit} other words {extra[2]}": "cc-by-sa,mit",
+        mit.replace("any person", "any natural person").upper(): "mit",
+        mit.replace("any person", "any person or company"): "mit",
+        "Copyright 2020. " + whole.replace("sublicense", "").replace("express or", "express, statutory or") + " End.": "mit",
+        "You may use it under the GNU General Public License, either version 3 of it": "gpl-3",
+        "// SPDX-License-Identifier: MIT\nint main() {}": "mit",
+        "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+        "permission is hereby granted free of charge " + "x " * 90 + "deal in the software without restriction": "",
+        "deal in the software without restriction permission is hereby granted free of charge": "",
+        "version 3 of the general public licence": "",
+    }
     common = [" ".join(sorted({w for x in extra for w in x.split()}))] * 40
-    files = [f"{mit} other words {x}" for x in extra] + [" x ".join(t for _, t, _ in licenses.TEMPLATES)] + common
-
-    def brute(text):
-        w, labels = text.split(), set()
-        for label, template, keys in licenses.TEMPLATES:
-            t = template.split()
-            spots = [next(k for k in range(len(t)) if t[k : k + len(p.split())] == p.split()) for p in keys]
-            for start in range(-len(t), len(w)):
-                placed = [w[start + k] if 0 <= start + k < len(w) else None for k in range(len(t))]
-                if all(placed[s : s + len(p.split())] == p.split() for s, p in zip(spots, keys)):
-                    if sum(x == y for x, y in zip(placed, t)) >= licenses.COVERAGE * len(t):
-                        labels.add(label)
-        return labels | {label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in f" {text} "}
-
-    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(files)), DOCS)).collect()}
-    assert [got[i] for i in range(3)] == ["gpl-3,mit", "mit,proprietary", "cc-by-sa,mit"]
-    assert all(got[i] == ",".join(sorted(brute(text))) for i, text in enumerate(files))
+    files = [*cases, " x ".join(t for _, t, _ in licenses.TEMPLATES), "all rights reserved " * 400, None, "", *common]
+    files += ["Under the MIT License. under the mit license; Apache License, Version 2", "cc by nc cc by nc", "É under the MIT license"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(files)), DOCS)).collect()
+    got = [tuple(r)[1:] for r in sorted(got, key=lambda r: r.doc_id)]
+    assert [g[5] for g in got[: len(cases)]] == list(cases.values())
+    assert [(*g[:6], round(g[6], 9)) for g in got] == brute_licenses(files)
+    assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
 
 
 @pytest.mark.parametrize(
@@ -61,10 +104,18 @@ def test_html_keeps_the_article_in_a_marked_wrapper(start, end):
     assert html.main_text(page, html.default_tree()) == "Title of it\n\nWords of the first paragraph\n\nAnd a last one"
 
 
-def test_html_tree_weighs_the_mark_with_length_and_links():
-    tree, long = html.default_tree(), "word " * 200
-    text = html.main_text(f"<div class='notice'><p>{long}</p><p>short words here</p><p><a href=x>{long}</a></p></div>", tree)
-    assert text == long.strip()
+@pytest.mark.parametrize("name", ["comment", "disqus", "advert", "cookie-notice", "sidebar", "related", "newsletter-box", "footer", "nav"])
+@pytest.mark.parametrize("words", [5, 40, 200, 3000])
+def test_html_drops_marked_blocks_of_any_length(name, words):
+    """Notices, adverts, sidebars and comments, beside and inside the article, with and without links."""
+    tree, long = html.default_tree(), "word " * words
+    article = "".join(f"<p>Paragraph {k} of the article {'goes on and on ' * 300}</p>" for k in range(4))
+    want = "\n\n".join(f"Paragraph {k} of the article {'goes on and on ' * 300}".strip() for k in range(4))
+    for tag in ("div", "section", "p"):
+        block = f"<{tag} class='{name}'>{long}</{tag}>"
+        linked = f"<{tag} id='{name}'><a href=x>{long}</a> {long}</{tag}>"
+        for page in (f"<main>{article}</main>{block}", f"{linked}<article>{article}</article>{block}", f"<article>{article}{block}{linked}</article>", f"<body>{block}{article}{linked}</body>"):
+            assert html.main_text(page, tree) == want, (tag, page[:80])
 
 
 def test_substring_anchors_of_a_text_beyond_24_bits():
@@ -89,3 +140,87 @@ def test_jaccard_two_texts_under_one_smallest_id(spark):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
     assert got == {1: 1, 10: 1, 11: 1, 20: 1, 21: 1, 30: 30}
     assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 1, 30]
+
+
+def brute_tiles(pattern, text, least):
+    """Mark the longest common run of unmarked words, first in the pattern and then in the text, until none is left."""
+    marked, taken, tiles = [False] * len(pattern), [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(pattern)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(pattern) and t + n < len(text) and not marked[p + n] and not taken[t + n] and pattern[p + n] == text[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < least:
+            return tiles
+        tiles.append((p, t, n))
+        marked[p : p + n] = taken[t : t + n] = [True] * n
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_greedy_tiles_equal_brute_force(seed):
+    draw = np.random.default_rng(seed)
+    vocabulary = int(draw.choice([1, 2, 3, 8]))
+    pattern, text = (draw.integers(0, vocabulary, int(draw.integers(0, 40))).astype(np.uint64) for _ in range(2))
+    least = int(draw.choice([1, 2, 4]))
+    assert tiling.greedy_tiles(pattern, text, least) == brute_tiles(pattern.tolist(), text.tolist(), least)
+
+
+def test_tiling_of_long_repetitive_texts_is_quick():
+    import time
+
+    start = time.perf_counter()
+    tiles = tiling.greedy_tiles(np.ones(1000, np.uint64), np.ones(100_000, np.uint64))
+    assert tiles == [(0, 0, 1000)] and time.perf_counter() - start < 2
+    start = time.perf_counter()
+    tiles = tiling.greedy_tiles(np.tile(np.arange(7, dtype=np.uint64), 150), np.tile(np.array([0, 1, 2, 3, 4, 9], np.uint64), 20_000))
+    assert sum(n for _, _, n in tiles) >= 5 * 150 and time.perf_counter() - start < 2
+
+
+def test_slices_of_a_benchmark_give_what_one_index_gives(spark):
+    items = [(k, rng_words(f"item-{k}", 30, 10**6)) for k in range(12)]
+    docs = [(k, f"before {items[k % 12][1]} and {items[(k + 5) % 12][1]} after") for k in range(20)] + [(None, items[3][1]), (99, None)]
+    docs, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda limit: sorted(map(repr, tiling.contaminated(docs, items, limit=limit).drop("text_hash").collect()))
+    assert rows(200) == rows(1 << 20) and len(rows(200)) == 41
+
+
+def test_sketch_grows_with_the_table_and_splits_into_classes():
+    sizes = [substring.sketch_size(n, 35) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == (16, 1) and sizes[-1][0] == substring.SKETCH_BITS
+    for n_bytes in (10**8, 10**9, 10**10, 10**11, 10**12):
+        bits, classes = substring.sketch_size(n_bytes, 35)
+        anchors = n_bytes / 6 * 2 / 29
+        assert anchors <= (classes << bits) / 3.9  # a cell holds a quarter of an anchor at most
+
+
+@pytest.mark.parametrize("bits", [16, 10])
+def test_substring_in_classes_removes_the_same(spark, bits):
+    rows = [(k, rng_words(f"own-{k}", 300, 10**6) + " " + rng_words(f"shared-{k % 9}", 45, 10**6)) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert substring.sketch_size(10**5, 35, 10)[1] > 1
+    got = sorted(tuple(r) for r in substring.removal_digests(docs, bits=bits).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(k, 345, 45) for k in range(40)]
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named like what the stages add are carried along."""
+    item = rng_words("bench", 40, 10**6)
+    long = rng_words("passage", 60, 10**6)
+    rows = [(k, rng_words(f"doc-{k}", 80, 10**6), "en", "s") for k in range(12)]
+    rows += [(20, rows[0][1] + " end", "en", "s"), (21, "x " + item + " y", "en", "s"), (22, rng_words("p", 50, 10**6) + " " + long, "en", "s"), (23, rng_words("q", 50, 10**6) + " " + long, "en", "s")]
+    names = ["_id", "__id", "_hash", "repeat_starts", "_repeat_starts", "_copies", "_mark_id", "_source", "b", "root", "tile"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == {r[0] for r in rows} - {20}
+    assert {r.doc_id for r in tiling.remove_contaminated(docs, items).collect()} == {r[0] for r in rows} - {21}
+    cut = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
+    assert len(cut[22].text.split()) == 50 and len(cut[1].text.split()) == 80 and cut[5]["_repeat_starts"] == "_repeat_starts"
+    assert rules.keep_good(docs).columns == docs.columns
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == [*docs.columns, "copies"] and all(r["_copies"] == "_copies" and r.copies > 0 for r in mixed.collect())

@@ -515,7 +515,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
 
     Equal rows count once; rows without a doc_id stay; different texts under the smallest id stay side by side.
     """
+    doc, text = T.spare(docs, "id", "hash")
     found = near_duplicates(docs, size, percent).where("component_id <> doc_id")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    others = docs.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    found = found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    others = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")
     return others.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(others.where("doc_id IS NULL"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tiltlab.llm import tokens as T
 from tiltlab.session import staged
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -197,5 +198,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
-    rejected = judge(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    doc, text = T.spare(docs, "id", "hash")
+    rejected = judge(docs).where("NOT kept").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")

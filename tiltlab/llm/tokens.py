@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Separators are space and 0x09-0x0D for plain words; all but digits, letters and
 # bytes above 0x7F for alphanumeric words (texts are lower-cased first).
@@ -43,6 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: ``hash``, byte ``start`` and ``end`` in ``data``, and for text i the
