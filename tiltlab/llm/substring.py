@@ -6,7 +6,7 @@ sequence starts at two or more places of the table, the same document included,
 1. Each window names an anchor: the occurrence of its smallest eight-word hash, leftmost if tied. Equal
    windows name anchors of equal hash at equal distance, so a repeated window has an anchor hash that
    occurs at two positions or more. Tasks count anchor occurrences in a count-min sketch; the merged sketch
-   overestimates the windows' counts and underestimates none.
+   overestimates the windows' counts and underestimates none. It is sized by the table's bytes (see ``sketch_size``).
 2. Windows whose anchor is estimated repeated are grouped exactly by a 128-bit fingerprint of their words.
    A window found twice within one piece of the table is settled there and sends a single row without a
    place, so a passage in a third of all documents costs one row a piece, not one a document.
@@ -32,10 +32,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tiltlab.llm import tokens as T
 from tiltlab.llm.exchange import repeat_sketch
+from tiltlab.session import staged
 
 WINDOW = 35
 GRAM = 8
-SKETCH_BITS = 26
+SKETCH_BITS = 28  # at most: two maps of 32 MB
+ROOM = 4
+WORD_BYTES = 6
 _POSITION = np.uint64(24)
 
 
@@ -56,23 +59,54 @@ def anchors(found: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, low[starts]
 
 
-def _anchor_hashes(size: int):
+def _class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
+    """Classes of anchors; sketch cells come from other bits."""
+    return (T.mix(hashes ^ np.uint64(T.SEQ2)) % np.uint64(classes)).astype(np.int64)
+
+
+def _anchor_hashes(size: int, number: int = 0, classes: int = 1):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for piece in T.pieces(batches):
             found = T.words(piece.column("text"))
             _, at = anchors(found, size)
             if len(at):
                 places = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                yield T.windows(found.hash, GRAM)[places]
+                hashes = T.windows(found.hash, GRAM)[places]
+                yield hashes if classes == 1 else hashes[_class_of(hashes, classes) == number]
 
     return keys
 
 
+def sketch_size(n_bytes: int, size: int, most: int = SKETCH_BITS) -> tuple[int, int]:
+    """Bits of the sketch and number of anchor classes for so many bytes of text.
+
+    A window of random words changes its anchor every (size - GRAM + 2) / 2 words on average, and a word is taken to have ``WORD_BYTES``. Cells
+    outnumber anchors by ``ROOM`` to twice that, so an anchor that does not repeat seldom passes. Beyond ``2 ** most`` cells, anchors are split
+    into classes, each with a sketch and a pass of its own: the load of a sketch stays the same at every size.
+    """
+    cells = ROOM * max(n_bytes, 1) * 2 // (WORD_BYTES * (size - GRAM + 2))
+    bits = max(cells.bit_length(), 16)
+    return (bits, 1) if bits <= most else (most, -(-cells >> most))
+
+
 def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, text_hash, starts): first words of the repeated windows of each document that has any."""
-    spark = docs.sparkSession
+    """(doc_id, text_hash, starts): first words of the repeated windows of each document that has any.
+
+    A sketch has at most ``2 ** bits`` cells.
+    """
     narrow = docs.select("doc_id", "text")
-    sketch = spark.sparkContext.broadcast(repeat_sketch(narrow, _anchor_hashes(size), bits))
+    bits, classes = sketch_size(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0, size, bits)
+    found = [_repeated_of_class(narrow, size, bits, number, classes) for number in range(classes)]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("doc_id", "text_hash").agg(F.collect_list("place").alias("starts"))
+
+
+def _repeated_of_class(narrow: DataFrame, size: int, bits: int, number: int, classes: int) -> DataFrame:
+    """(doc_id, text_hash, place) of the repeated windows whose anchors are of one class."""
+    context = narrow.sparkSession.sparkContext
+    sketch = context.broadcast(repeat_sketch(narrow, _anchor_hashes(size, number, classes), bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.pieces(batches):
@@ -81,7 +115,10 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BIT
             if not len(starts):
                 continue
             change = np.concatenate([[True], at[1:] != at[:-1]])
-            known = sketch.value.repeated(T.windows(found.hash, GRAM)[at[change]])
+            hashes = T.windows(found.hash, GRAM)[at[change]]
+            known = sketch.value.repeated(hashes)
+            if classes > 1:
+                known &= _class_of(hashes, classes) == number
             starts = starts[known[np.cumsum(change) - 1]]
             if not len(starts):
                 continue
@@ -124,19 +161,24 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BIT
     # Rows of one sequence: at most one for each piece of the table.
     total = F.sum("n").over(Window.partitionBy("high", "low"))
     matched = rows.where("high IS NOT NULL").withColumn("total", total).where("total > 1 AND place IS NOT NULL").drop("total")
-    return settled.unionByName(matched).groupBy("doc_id", "text_hash").agg(F.collect_list("place").alias("starts"))
+    repeated = settled.unionByName(matched).select("doc_id", "text_hash", "place")
+    if classes > 1:  # written, so that one sketch is held at a time
+        repeated = staged(repeated)
+        sketch.destroy()
+    return repeated
 
 
 _NAMES = ["high", "low", "doc_id", "text_hash", "place", "n"]
 _ROWS = "high long, low long, doc_id long, text_hash long, place int, n int"
 
 
-def with_repeats(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BITS) -> DataFrame:
-    """``docs`` with ``repeat_starts``: the first words of each document's repeated windows, or null."""
+def with_repeats(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BITS, name: str = "repeat_starts") -> DataFrame:
+    """``docs`` with a column ``name``: the first words of each document's repeated windows, or null."""
+    doc, text = T.spare(docs, "id", "hash")
     marks = repeated_windows(docs, size, bits)
-    marks = marks.select(F.col("doc_id").alias("_mark_id"), F.col("text_hash").alias("_mark_hash"), F.col("starts").alias("repeat_starts"))
-    on = F.col("doc_id").eqNullSafe(F.col("_mark_id")) & (F.xxhash64("text") == F.col("_mark_hash"))
-    return docs.join(marks, on, "left").drop("_mark_id", "_mark_hash")
+    marks = marks.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("starts").alias(name))
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(marks, on, "left").drop(doc, text)
 
 
 def covered(starts: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -147,10 +189,10 @@ def covered(starts: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(depth)[:n_words] > 0
 
 
-def _documents(piece: pa.RecordBatch, size: int):
+def _documents(piece: pa.RecordBatch, size: int, name: str = "repeat_starts"):
     """Words of each text of a piece with the mask of removed ones."""
     found = T.words(piece.column("text"))
-    starts = piece.column("repeat_starts")
+    starts = piece.column(name)
     data = found.data.tobytes()
     for i in range(len(found)):
         part = slice(found.first[i], found.first[i + 1])
@@ -185,11 +227,12 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BITS)
     A removed word takes the white space after it along. Texts without a repeated window stay as they are.
     """
     fields = [StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    (name,) = T.spare(docs, "repeat_starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in T.pieces(batches):
             texts = piece.column("text").to_pylist()
-            for data, found, i, part, n, gone in _documents(piece, size):
+            for data, found, i, part, n, gone in _documents(piece, size, name):
                 if gone is None:
                     continue
                 first, last = found.offsets[i], found.offsets[i + 1]
@@ -198,9 +241,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, bits: int = SKETCH_BITS)
                 texts[i] = b"".join(kept).decode()
             at = piece.schema.get_field_index("text")
             out = piece.set_column(at, "text", pa.array(texts, pa.string()))
-            yield out.drop_columns(["repeat_starts"])
+            yield out.drop_columns([name])
 
-    out = with_repeats(docs, size, bits).mapInArrow(cut, StructType(fields))
+    out = with_repeats(docs, size, bits, name).mapInArrow(cut, StructType(fields))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
