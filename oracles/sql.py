@@ -143,10 +143,15 @@ FROM (SELECT ticker,
         CASE WHEN positive >= negative AND positive >= neutral THEN 0 WHEN negative >= neutral THEN 1 ELSE 2 END AS a,
         CASE WHEN neutral >= positive AND neutral >= negative THEN 2 WHEN negative >= positive THEN 1 ELSE 0 END AS b
       FROM heads) GROUP BY ticker""")
+CTES["span_heads"] = "SELECT * FROM heads WHERE date >= DATE '1995-06-01' AND date < DATE '2001-06-01' AND ticker IN (SELECT ticker FROM bars)"
 ORACLES["signal_coverage"] = compose(f"""
 WITH c AS (SELECT (SELECT count(*) FROM news, bounds WHERE t BETWEEN t_start AND t_end) AS covered,
                   (SELECT count(*) FROM grid, bounds WHERE t BETWEEN t_start AND t_end) AS cells)
-SELECT covered, cells, {r('covered::DOUBLE / cells', 'signal_coverage')}, covered::DOUBLE / cells < 0.3 AS sparse FROM c""")
+SELECT covered, cells, {r('covered::DOUBLE / cells', 'signal_coverage')}, covered::DOUBLE / cells < 0.3 AS sparse,
+  (SELECT count(*) FROM span_heads) AS headlines, NULL::BIGINT AS newly_scored FROM c""")
+ORACLES["headlines_in_span"] = compose("""
+SELECT k.ticker, count(h.date) AS headlines, (SELECT count(*) FROM span_heads) AS "of", (SELECT count(*) FROM span_heads) AS newly_scored
+FROM (SELECT DISTINCT ticker FROM bars) k LEFT JOIN span_heads h USING (ticker) GROUP BY 1""")
 ORACLES["headlines_per_ticker"] = compose("""
 SELECT k.ticker, count(h.date) AS headlines FROM (SELECT DISTINCT ticker FROM bars) k LEFT JOIN heads h USING (ticker) GROUP BY 1""")
 ORACLES["split_factors"] = compose(f"""
@@ -886,6 +891,14 @@ q AS (SELECT *, CASE WHEN used THEN pi + volatility * alpha END AS q, CASE WHEN
 v AS (SELECT *, coalesce((q - pi) / volatility, 0.0) AS value,
              coalesce(0.05 * volatility * volatility / (0.05 * volatility * volatility + omega), 0.0) AS confidence FROM q)
 SELECT {A_COLUMNS}, 'calibrated' AS view_mode FROM v""")
+ORACLES["analysis_facts"] = compose(f"""
+SELECT a.run, a.ticker, coalesce(n.headlines, 0) AS headlines, coalesce(n.positive, 0) AS positive, coalesce(n.negative, 0) AS negative, coalesce(n.neutral, 0) AS neutral,
+  {r('coalesce(n.effective_count, 0.0)', 'effective_count')}, {r('k.revenue_growth', 'revenue_growth')}, {r('k.net_margin', 'net_margin')}, {r('k.debt_to_equity', 'debt_to_equity')},
+  k.shares_as_of, k.fiscal_year_end
+FROM a_rows a LEFT JOIN a_news n USING (ticker) JOIN filers f ON f.ticker = a.ticker LEFT JOIN ft_score k ON k.cik = f.cik""")
+ORACLES["analysis_books"] = compose(f"""
+SELECT run, 'Market-cap prior' AS portfolio, ticker, {r('market_weight', 'weight')} FROM a_rows
+UNION ALL SELECT run, 'Equal weight', ticker, {r('1.0 / count(*) OVER (PARTITION BY run)', 'weight')} FROM a_rows""")
 
 # Requests with settings of their own: the tables above, as each run sees them.
 CTES["knobs"] = """

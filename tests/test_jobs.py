@@ -150,7 +150,7 @@ def test_request_validation(spark):
     assert {v.split(":")[0] for v in got["nan"]} == {"budget", "tau"} and len(got["nan"]) == 2
 
 
-def test_analysis(spark):
+def test_analysis(spark, tmp_path):
     now = dt.datetime(2025, 2, 3)
     names = {"A": (0.0005, 0.02), "B": (0.0002, 0.015), "C": (0.0007, 0.03)}
     prices = path(spark, **names).withColumn("run", F.lit("x"))
@@ -178,6 +178,43 @@ def test_analysis(spark):
     cash = {r.run: r for r in report.portfolio.collect()}
     assert all(abs(r.invested + r.cash_left - 10000) < 1e-6 for r in cash.values())
     assert report.benchmarks.count() == 8 and report.correlation.count() == 13
+    # The report's order, its scored headlines, and the sections written and read back.
+    order = [(r.run, r.weight) for r in report.assets.orderBy("run", "position").collect()]
+    assert order == sorted(order, key=lambda x: (x[0], -x[1]))
+    assert [(h.title, h.positive) for h in got[("x", "A")].latest[:2]] == [("title 0", 0.8), ("title 1", 0.8)] and got[("x", "A")].positive == 6
+    write_sections(report.sections(), str(tmp_path / "report"))
+    back = {name: spark.read.json(str(tmp_path / "report" / name)) for name in report.sections()}
+    assert [(r.run, r.ticker) for r in back["assets"].orderBy("run", "position").collect()] == [(r.run, r.ticker) for r in report.assets.orderBy("run", "position").collect()]
+    assert {(r.run, r.portfolio, len(r.weights)) for r in back["benchmarks"].collect()} == {(r.run, r.portfolio, {"x": 3, "y": 2}[r.run]) for r in report.benchmarks.collect()}
+
+
+def test_requests_have_settings_of_their_own(spark):
+    now = dt.datetime(2025, 2, 3)
+    prices = path(spark, A=(0.0005, 0.02), B=(0.0002, 0.015), C=(0.0007, 0.03))
+    runs = spark.createDataFrame([("plain",), ("poor",), ("short",), ("bad",), ("alone",)], "run string")
+    assets = spark.createDataFrame([(n, n, "USD", 100.0 * (k + 1), 1e6, None, 0.4, 1.0) for k, n in enumerate("ABC")],
+                                   "ticker string, name string, currency string, price double, shares double, shares_as_of date, fscore double, coverage double")
+    heads = spark.createDataFrame([("A", f"title {k}", now - dt.timedelta(days=k, hours=1), 0.8, 0.1, 0.1) for k in range(20)],
+                                  "ticker string, title string, published timestamp, positive double, negative double, neutral double")
+    splits = spark.createDataFrame([], "ticker string, date date, ratio double")
+    asked = spark.createDataFrame(
+        [("plain", "A,B C", 10000.0, 0.6, 5, 40), ("poor", "A,B,C", 500.0, 0.6, 5, 40), ("short", "A,B", 10000.0, 0.7, 30, 3), ("bad", "A,B,C", 10000.0, 1.5, 5, 0), ("alone", "A", 10000.0, 0.6, 5, 40)],
+        "run string, tickers string, budget double, max_weight double, news_days int, max_headlines int",
+    )
+    inputs = analysis.AnalysisInputs(runs.crossJoin(assets), runs.crossJoin(prices), heads, splits, F.lit(now))
+    report = analysis.analyze(inputs, validation.normalized_requests(asked))
+    got = {(r.run, r.ticker): r for r in report.assets.collect()}
+    assert {run for run, _ in got} == {"plain", "poor", "short"} and {t for run, t in got if run == "short"} == {"A", "B"}
+    assert got["plain", "A"].headlines == 5 and got["short", "A"].headlines == 3
+    assert got["plain", "A"].weight == got["poor", "A"].weight and got["poor", "B"].target_value == got["poor", "B"].weight * 500
+    for run, budget in (("plain", 10000), ("poor", 500)):
+        assert sum(r.shares * r.price for k, r in got.items() if k[0] == run) <= budget
+    told = {(r.run, r.warning) for r in report.warnings.collect()}
+    assert ("bad", "no result: max_weight:in (0, 1.0]") in told and ("bad", "no result: max_headlines:in [1, 100]") in told and ("alone", "no result: tickers:count in 2..20") in told
+    # The same as a single setting for all runs.
+    same = analysis.analyze(replace(inputs, assets=inputs.assets.where("run = 'plain'")), AnalysisParams(max_weight=0.6, news_days=5))
+    for r in same.assets.collect():
+        assert abs(r.weight - got["plain", r.ticker].weight) < 1e-9 and r.shares == got["plain", r.ticker].shares
 
 
 def test_analysis_settles_its_assets_once(spark):

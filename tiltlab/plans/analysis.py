@@ -43,6 +43,13 @@ class Report:
     correlation: DataFrame
     warnings: DataFrame
 
+    def sections(self) -> dict[str, DataFrame]:
+        """The report as ``sources.reports.write_sections`` takes it; assets in the report's order."""
+        return {
+            "assets": self.assets.orderBy("run", "position"), "portfolio": self.portfolio, "benchmarks": self.benchmarks,
+            "risk": self.risk, "correlation": self.correlation, "warnings": self.warnings,
+        }
+
 
 Settings = AnalysisParams | DataFrame
 """One setting for all runs, or requests ``(run, ..)`` with any of the ``KNOBS``, and ``tickers`` if a run is to see only these."""
@@ -198,7 +205,9 @@ def analyze(inputs: AnalysisInputs, params: Settings) -> Report:
     posterior_cov = post.join(columns, "run").select(
         "run", F.col("ticker").alias("i"), F.inline(F.arrays_zip(F.col("names").alias("j"), F.col("sigma").alias("value")))
     )
-    stats = risk.portfolio_stats(cut_lineage(books), post, posterior_cov, "run", ("portfolio",))
+    books = cut_lineage(books)
+    held = books.groupBy("run", "portfolio").agg(F.array_sort(F.collect_list(F.struct("ticker", "weight"))).alias("weights"))
+    stats = risk.portfolio_stats(books, post, posterior_cov, "run", ("portfolio",)).join(held, ["run", "portfolio"])
 
     orders = portfolio.whole_shares(
         weights.join(rows.select("run", "ticker", "price", "budget"), ["run", "ticker"]).select("run", "ticker", "price", "weight", "budget"),
@@ -207,19 +216,23 @@ def analyze(inputs: AnalysisInputs, params: Settings) -> Report:
     )
     orders = cut_lineage(orders)
     titles = inputs.headlines.groupBy("run", "ticker").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("published", "title")))).alias("latest")
+        F.reverse(F.array_sort(F.collect_list(F.struct("published", "title", "positive", "negative", "neutral")))).alias("latest")
     )
+    known = [c for c in ("revenue_growth", "net_margin", "debt_to_equity", "fiscal_year_end", "shares_as_of") if c in rows.columns]
     report = (
-        rows.drop("shares")
+        rows.withColumnRenamed("shares", "shares_outstanding")
         .join(post.select("run", "ticker", F.col("mu").alias("posterior_return")), ["run", "ticker"])
         .join(orders.select("run", "ticker", "weight", "shares"), ["run", "ticker"])
         .join(titles, ["run", "ticker"], "left")
         .select(
             "run", "ticker", "name", "currency", "price", "market_cap", "market_weight", "volatility",
-            "score", F.col("news_confidence").alias("sentiment_confidence"), "headlines", "dispersion", "fscore",
+            "score", F.col("news_confidence").alias("sentiment_confidence"), "headlines", "positive", "negative", "neutral", "dispersion",
+            "effective_count", "fscore", "shares_outstanding", *known,
             F.col("value").alias("signal"), F.col("confidence").alias("signal_confidence"),
             F.col("pi").alias("prior_return"), F.col("q").alias("view_return"), "posterior_return", "weight",
             (F.col("weight") * F.col("budget")).alias("target_value"), "shares", "view_mode", "latest",
+            # The report's order: heaviest first.
+            F.row_number().over(P.Window.partitionBy("run").orderBy(F.desc("weight"), "ticker")).alias("position"),
         )
     )
     cash = orders.groupBy("run").agg(
@@ -229,7 +242,7 @@ def analyze(inputs: AnalysisInputs, params: Settings) -> Report:
         F.max("iterations").alias("iterations"), F.min("converged").alias("converged")
     )
     summary = (
-        stats.where(F.col("portfolio") == "With views").drop("portfolio").join(cash, "run").join(steps, "run")
+        stats.where(F.col("portfolio") == "With views").drop("portfolio", "weights").join(cash, "run").join(steps, "run")
     )
     return Report(
         report, summary, stats, scalars, risk.correlation(cov, "run"), _warnings(asked, inputs, knobs, rows, solved, params)

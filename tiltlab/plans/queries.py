@@ -169,6 +169,14 @@ def headlines_per_ticker(spark, root):
     return S.headlines_per_ticker(study(spark, root))
 
 
+@query
+def headlines_in_span(spark, root):
+    """Headlines per brand of the evaluated span only, with what had to be scored for all of them."""
+    st = study(spark, root, window=True)
+    total = S.coverage(st, st.dated_headlines())
+    return S.headlines_per_ticker(st).withColumn("of", total.select("headlines").scalar()).withColumn("newly_scored", total.select("newly_scored").scalar())
+
+
 @query
 def signal_surprise(spark, root):
     news = study(spark, root, DENSE).news().select("ticker", "t", F.col("score").alias("level"))
@@ -965,7 +973,7 @@ def _inputs(spark, root, calibrated: bool = False, params: AnalysisParams = Anal
         .join(known.drop("as_of"), "cik", "left")
         .select(
             "run", "ticker", F.col("entity_name").alias("name"), F.lit("USD").alias("currency"), "price", "shares",
-            "shares_as_of", "fscore", "coverage",
+            "shares_as_of", "fscore", "coverage", "revenue_growth", "net_margin", "debt_to_equity", "fiscal_year_end",
         )
     )
     scored = orders.select(
@@ -1080,6 +1088,20 @@ def analysis_report(spark, root):
     return rounded(out.withColumn("titles", titles).drop("latest", "market_cap"))
 
 
+@query
+def analysis_facts(spark, root):
+    """What the report says of each asset besides its solve: counted headlines and reported figures."""
+    out = _analysis(spark, root).assets
+    return rounded(out.select("run", "ticker", "headlines", "positive", "negative", "neutral", "effective_count", "revenue_growth", "net_margin", "debt_to_equity", "shares_as_of", "fiscal_year_end"))
+
+
+@query
+def analysis_books(spark, root):
+    """Weights of the benchmark books that no optimum is needed for."""
+    books = _analysis(spark, root).benchmarks.where(F.col("portfolio").isin("Market-cap prior", "Equal weight"))
+    return rounded(books.select("run", "portfolio", F.inline("weights")).withColumn("weight", F.col("weight")))
+
+
 @query
 def analysis_calibrated(spark, root):
     return rounded(_analysis(spark, root, True).assets.drop("latest", "market_cap"))
@@ -1092,7 +1114,7 @@ def analysis_portfolio(spark, root):
 
 @query
 def analysis_benchmarks(spark, root):
-    return rounded(_analysis(spark, root).benchmarks)
+    return rounded(_analysis(spark, root).benchmarks.drop("weights"))
 
 
 @query

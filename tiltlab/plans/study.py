@@ -46,6 +46,15 @@ class Study:
     def panel(self) -> DataFrame:
         return P.indexed_prices(self.prices, self.days)
 
+    def dated_headlines(self) -> DataFrame:
+        """Headlines of the evaluated span: from ``start`` on, before ``end``; of its priced names."""
+        kept = self.headlines.join(self.prices.select("ticker").distinct(), "ticker", "left_semi")
+        if self.start is not None:
+            kept = kept.where(F.col("date") >= F.lit(self.start).cast("date"))
+        if self.end is not None:
+            kept = kept.where(F.col("date") < F.lit(self.end).cast("date"))
+        return kept
+
     def news(self) -> DataFrame:
         return sentiment.sentiment_panel(
             self.headlines, self.days, self.params.news_window_days, self.params.min_headlines
@@ -185,22 +194,29 @@ def calibration(study: Study, variants: DataFrame) -> DataFrame:
     )
 
 
-def coverage(study: Study) -> DataFrame:
-    """One row: share of (ticker, day) cells of the evaluated days that have a signal."""
+def coverage(study: Study, newly_scored: DataFrame | None = None) -> DataFrame:
+    """One row: share of (ticker, day) cells of the evaluated days that have a signal, and the headlines of the evaluated span.
+
+    ``newly_scored`` holds the texts that had to be scored for it; their number is null if it is not given.
+    """
     days = study.days.where(study.in_window()).agg(F.count(F.lit(1)).alias("days"))
     names = study.prices.agg(F.countDistinct("ticker").alias("names"))
     news = study.news().join(study.prices.select("ticker").distinct(), "ticker", "left_semi")
     covered = news.where(study.in_window()).agg(F.count(F.lit(1)).alias("covered"))
     cells = names.scalar() * days.scalar()
+    total = study.dated_headlines().agg(F.count(F.lit(1)).alias("headlines"))
+    scored = F.lit(None).cast("bigint") if newly_scored is None else newly_scored.agg(F.count(F.lit(1)).alias("n")).scalar()
     return covered.select(
         "covered",
         cells.alias("cells"),
         (F.col("covered") / F.greatest(cells, F.lit(1)).cast("double")).alias("signal_coverage"),
+        total.scalar().alias("headlines"),
+        scored.alias("newly_scored"),
     ).withColumn("sparse", F.col("signal_coverage") < 0.3)
 
 
 def headlines_per_ticker(study: Study) -> DataFrame:
-    """Headline count per ticker, zeros included."""
-    counted = study.headlines.groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines"))
+    """Headlines of the evaluated span per ticker, zeros included."""
+    counted = study.dated_headlines().groupBy("ticker").agg(F.count(F.lit(1)).alias("headlines"))
     names = study.prices.select("ticker").distinct()
     return names.join(counted, "ticker", "left").na.fill(0, ["headlines"])
