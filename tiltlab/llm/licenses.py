@@ -1,20 +1,23 @@
 """License scan with a positional rare-token index.
 
-Templates (texts, notices and phrases) are indexed by the rarest word of their first mandatory key phrase: the one with the
-highest inverse document frequency over all files, with its position in the template. Every occurrence of that word in a file gives
-one placement of the template, so each placement at which the phrase stands is looked at, however many other notices the
-file holds. A placement is verified: the template's mandatory key phrases must stand in the file there, and its
-coverage is the share of template words found in place.
+Templates (texts, notices, phrases and identifiers) are indexed by word: a word's postings are its places in them. Of each template that a
+file may hold, the file's ``RARE`` words of the highest inverse document frequency are looked up. An occurrence of such a word and a
+posting of it agree on where the template would start; the starts of all looked-up words are intersected by relative position, with a
+tolerance (``slack``) for words put in or left out, and a start on which at least ``AGREE`` of them agree is a placement. A placement is
+verified: every mandatory key phrase must stand in the file, in one piece, within the tolerance of its place, and the template's
+coverage, the share of its words that stand within the tolerance of theirs, must reach ``COVERAGE``.
 
-Base labels come from phrases that stand consecutively anywhere, all places counted; the scan adds labels of its own
-and keeps those.
+A file may hold a template if all words of its key phrases occur in it, so no notice of a file hides another. Base labels come from
+phrases that stand consecutively anywhere, all places counted; the scan adds labels of its own and keeps those.
 
 Texts are lower-cased (A-Z); words are runs of digits, letters and code points above 0x7F. The index is fixed and small; files are
 scanned whole, in tasks, without a shuffle. The document frequencies of the templates' words are one small
 aggregate over all files.
 
 Defined results: a null or empty text has no words, no places (first and last word null), empty labels and score 0; a null doc_id
-is kept; equal rows get equal results; an empty table gives an empty result. Extra columns are ignored.
+is kept; equal rows get equal results; words of equal frequency are looked up in order of their hash; an occurrence counts once however many
+placements it supports; a long file costs its template words, not placements times words; an empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +39,21 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Notices as they are commonly worded, with the key phrases that must be present.
+# Licence texts and notices as they are commonly worded, with the key phrases that must be present.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the "
+        "following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any "
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "deal in the software without restriction"),
+    ),
     (
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
@@ -47,18 +62,25 @@ TEMPLATES = (
         ("permission is hereby granted free of charge", "deal in the software without restriction"),
     ),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    (
+        "apache-2",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied",
+        ("except in compliance with the license", "apache org licenses license 2 0"),
+    ),
     (
         "apache-2",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
         ("except in compliance with the license", "apache org licenses license 2 0"),
     ),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
     (
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
         "free software foundation",
-        ("redistribute it and or modify it under the terms of the gnu general public license",),
+        ("redistribute it and or modify", "gnu general public license"),
     ),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
@@ -66,8 +88,17 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "2 0")),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
+    ),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -75,14 +106,35 @@ TEMPLATES = (
     ),
     (
         "isc",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ("for any purpose with or without fee is hereby granted",),
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify", "with or without fee is hereby granted"),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        ("free and unencumbered software",),
     ),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
+    # identifiers
+    *(
+        (label, f"spdx license identifier {name}", (f"spdx license identifier {name}",))
+        for label, name in (
+            ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0"), ("gpl-2", "gpl 2 0"), ("lgpl", "lgpl"), ("agpl", "agpl 3 0"), ("mpl-2", "mpl 2 0"),
+            ("bsd", "bsd"), ("isc", "isc"), ("unlicense", "unlicense"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"),
+        )
+    ),
 )
 
 COVERAGE = 0.6
+RARE = 8
+AGREE = 0.5
+
+
+def slack(n_words: int) -> int:
+    """Words by which places in a template of ``n_words`` may be off."""
+    return 3 + n_words // 8
 
 
 @dataclass
@@ -107,8 +159,16 @@ def _find(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at
 
 
+def _near(places: np.ndarray, spots: np.ndarray, within: int) -> np.ndarray:
+    """Whether some of the sorted ``places`` lies within so many words of each spot."""
+    at = np.searchsorted(places, spots - within)
+    found = at < len(places)
+    found[found] = places[at[found]] <= spots[found] + within
+    return found
+
+
 class RareTokenIndex:
-    """The templates' words, their document frequencies once known, and each template's rarest word of its key phrase."""
+    """Postings of the templates' words, and the words' document frequencies once known."""
 
     def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES):
         self.templates = []
@@ -122,23 +182,21 @@ class RareTokenIndex:
         self.phrases = [(_hashes(phrase), label) for phrase, label in phrases]
         flat = np.concatenate([t.words for t in self.templates] + [p for p, _ in self.phrases])
         self.vocabulary = np.unique(flat)
-        self.rarest: list[tuple[int, int]] = []  # (word, position in the template) of each template
-        self.anchor = np.zeros(len(self.vocabulary), bool)
+        self.kinds = [np.searchsorted(self.vocabulary, t.words) for t in self.templates]
+        # The places of a word in a template.
+        self.postings = [{int(k): np.flatnonzero(kinds == k) for k in np.unique(kinds)} for kinds in self.kinds]
+        # The words without which a file holds no template, or no base phrase.
+        self.needs = np.zeros((len(self.templates) + len(self.phrases), len(self.vocabulary)), bool)
+        for t, (template, kinds) in enumerate(zip(self.templates, self.kinds, strict=True)):
+            for start, length in template.keys:
+                self.needs[t, kinds[start : start + length]] = True
+        for t, (phrase, _) in enumerate(self.phrases, start=len(self.templates)):
+            self.needs[t, np.searchsorted(self.vocabulary, phrase)] = True
+        self.needed = self.needs.sum(axis=1)
 
     def count_files(self, frequency: np.ndarray) -> None:
-        """Take the words' document frequencies; the rarest word of each mandatory phrase becomes its anchor.
-
-        A file without any anchor can hold no template and no base phrase.
-        """
-        for template in self.templates:
-            start, length = template.keys[0]
-            kinds = np.searchsorted(self.vocabulary, template.words[start : start + length])
-            least = int(np.argmin(frequency[kinds]))
-            self.rarest.append((int(kinds[least]), start + least))
-            self.anchor[kinds[least]] = True
-        for phrase, _ in self.phrases:
-            kinds = np.searchsorted(self.vocabulary, phrase)
-            self.anchor[kinds[np.argmin(frequency[kinds])]] = True
+        """Take the words' document frequencies: each template's words from the rarest on."""
+        self.by_rarity = [np.array(sorted(postings, key=lambda k: (frequency[k], k))) for postings in self.postings]
 
     def match(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of words that occur in some template, and which words."""
@@ -146,28 +204,45 @@ class RareTokenIndex:
         at = np.flatnonzero(self.vocabulary[spot] == hashes)
         return at, spot[at]
 
-    def scan(self, words: np.ndarray, at: np.ndarray, kind: np.ndarray, coverage: float) -> tuple[set[str], float]:
+    def possible(self, held: np.ndarray) -> np.ndarray:
+        """Templates, then base phrases, all of whose needed words are among ``held`` (by file)."""
+        return held.astype(np.float32) @ self.needs.T.astype(np.float32) >= self.needed
+
+    def placements(self, template: int, places: dict[int, np.ndarray], present: np.ndarray) -> np.ndarray:
+        """Starts on which enough of the file's rarest words of the template agree; ``places`` are a word's in the file."""
+        order = self.by_rarity[template]
+        looked_up = [int(k) for k in order[present[order]][:RARE]]
+        within = slack(len(self.kinds[template]))
+        starts = [np.unique((places[k][:, None] - self.postings[template][k]).ravel()) for k in looked_up]
+        every = np.unique(np.concatenate(starts))
+        agree = np.zeros(len(every), np.int64)
+        for mine in starts:
+            agree += _near(mine, every, within)
+        return every[agree >= max(1, AGREE * len(looked_up))]
+
+    def scan(self, words: np.ndarray, at: np.ndarray, kind: np.ndarray, possible: np.ndarray, coverage: float) -> tuple[set[str], float]:
         """Labels verified in one file and the best coverage; ``at`` and ``kind`` are its template words."""
-        held = np.zeros(len(self.vocabulary), bool)
-        held[kind] = True
+        order = np.argsort(kind, kind="stable")
+        heads = np.searchsorted(kind[order], np.arange(len(self.vocabulary) + 1))
+        present = heads[1:] > heads[:-1]
+        places = {int(k): at[order[heads[k] : heads[k + 1]]] for k in np.flatnonzero(present)}
         labels, best = set(), 0.0
-        for template, (word, offset) in zip(self.templates, self.rarest, strict=True):
-            if not held[word]:
+        for t in np.flatnonzero(possible[: len(self.templates)]):
+            template, kinds = self.templates[t], self.kinds[t]
+            within = slack(len(kinds))
+            phrases = [_find(words, template.words[first : first + length]) for first, length in template.keys]
+            if not all(len(p) for p in phrases):
                 continue
-            starts = at[kind == word] - offset
-            for first, length in template.keys:
-                starts = starts[(starts + first >= 0) & (starts + first + length <= len(words))]
-                for k in range(first, first + length):
-                    starts = starts[words[starts + k] == template.words[k]]
+            starts = self.placements(t, places, present)
+            for (first, _), stands in zip(template.keys, phrases, strict=True):
+                starts = starts[_near(stands, starts + first, within)]
             if not len(starts):
                 continue
-            n = len(template.words)
             same = np.zeros(len(starts), np.int64)
-            for k in range(n):
-                spot = starts + k
-                inside = (spot >= 0) & (spot < len(words))
-                same[inside] += words[spot[inside]] == template.words[k]
-            share = float(same.max() / n)
+            for k, word in enumerate(kinds.tolist()):
+                if present[word]:
+                    same += _near(places[word], starts + k, within)
+            share = float(same.max() / len(kinds))
             best = max(best, share)
             if share >= coverage:
                 labels.add(template.label)
@@ -205,20 +280,21 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, co
             found = T.words(piece.column("text"), T.NOT_ALNUM, lower=True)
             at, kind = index.match(found.hash)
             bounds = np.searchsorted(at, found.first)
-            anchors = np.concatenate([[0], np.cumsum(index.anchor[kind])])
-            worth = anchors[bounds[1:]] > anchors[bounds[:-1]]
+            held = np.zeros((len(found), len(index.vocabulary)), bool)
+            held[np.repeat(np.arange(len(found)), np.diff(bounds)), kind] = True
+            possible = index.possible(held)
             rows = {"n_base": [], "first_word": [], "last_word": [], "base_labels": [], "labels": [], "score": []}
             for i in range(len(found)):
                 words = found.hash[found.first[i] : found.first[i + 1]]
                 part = slice(bounds[i], bounds[i + 1])
                 places, base, labels, score = [], set(), set(), 0.0
-                if worth[i]:
+                if possible[i].any():
                     for phrase, label in index.phrases:
                         spots = _find(words, phrase)
                         if len(spots):
                             base.add(label)
                             places.append(spots)
-                    labels, score = index.scan(words, at[part] - found.first[i], kind[part], coverage)
+                    labels, score = index.scan(words, at[part] - found.first[i], kind[part], possible[i], coverage)
                 spots = np.concatenate(places) if places else None
                 rows["n_base"].append(0 if spots is None else len(spots))
                 rows["first_word"].append(None if spots is None else int(spots.min()))
