@@ -2,16 +2,16 @@
 
 A document is contaminated by a benchmark item if tiles cover at least ``threshold`` of the item's words. Tiles are
 found greedily: mark the longest match of unmarked words on both sides, repeat with what is left, down to ``least``
-words. Matches are found by running Karp-Rabin: hashes of all unmarked runs of one length, equal hashes verified word by
-word and extended, lengths falling from long to short. Tiles may lie in any order, so reordered passages count.
+words. Matches are found by running Karp-Rabin: rolling hashes of all unmarked runs of one length, equal hashes verified word by
+word, lengths falling from long to short. Tiles may lie in any order, so reordered passages count.
 
 The join on shared tokens comes first: every run of ``least`` words of a document is looked up in the index of the
 items' runs (the seeds). A tile consists of seeds only, so tiling a document needs just the words that seeds cover, and an
 item is skipped if its places with a shared seed (a seed repeated in the item counts at each place) are too few to reach
 the threshold; neither loses a tile.
 
-The index is broadcast in slices of at most about ``SLICE_BYTES`` of item text, one pass over the documents for each
-slice, so a benchmark of any size is handled with bounded memory. Words are lower-cased alphanumeric runs.
+The index is broadcast in slices of at most about ``SLICE_BYTES`` of item text. With several slices each makes its own pass over the
+documents, whose result is written before the next index is built, so a benchmark of any size is handled with bounded memory. Words are lower-cased alphanumeric runs.
 
 Defined results: null or empty texts hold nothing; an item of fewer than ``least`` words, or null, is never found; a repeated
 item is found under each id, a repeated row gives repeated results; a null doc_id is reported as such; no
@@ -28,56 +28,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltlab.llm import tokens as T
+from tiltlab.session import staged
 
 LEAST = 4
 THRESHOLD = 0.5
-START = 20
 SLICE_BYTES = 4 << 20
 _FILTER_BITS = 22
 
 
-def _runs(marked: np.ndarray, length: int) -> np.ndarray:
-    """Starts of runs of ``length`` unmarked words."""
-    if len(marked) < length:
-        return np.zeros(0, np.int64)
-    sums = np.concatenate([[0], np.cumsum(marked)])
-    return np.flatnonzero(sums[length:] == sums[:-length])
+class _Rolling:
+    """Hashes of all runs of a sequence, of any length, from one pass: differences of running sums of scaled words."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = T.powers(len(words), T.SEQ1)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(T.mix(words) * up, out=self.sums[1:])
+
+    def runs(self, marked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the runs of ``length`` unmarked words."""
+        if len(marked) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        before = np.concatenate([[0], np.cumsum(marked)])
+        at = np.flatnonzero(before[length:] == before[:-length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+
+def _matches(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which of ``here`` occur in ``there``, the smaller one sorted."""
+    return np.isin(here, there) if len(here) and len(there) else np.zeros(len(here), bool)
 
 
 def greedy_tiles(pattern: np.ndarray, text: np.ndarray, least: int = LEAST, breaks: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(pattern start, text start, length) of the tiles; ``breaks`` marks words of ``text`` no tile may contain."""
+    """(pattern start, text start, length) of the tiles; ``breaks`` marks words of ``text`` no tile may contain.
+
+    The longest match of unmarked words is marked, the first in the pattern and then in the text if tied, until none of ``least`` words is
+    left. Its length is found by halving, since a match of some length holds matches of all shorter ones; all matches of
+    that length are then marked in order. So a length costs a few passes over both sequences, however often words repeat in them.
+    """
     in_pattern = np.zeros(len(pattern), bool)
     in_text = np.zeros(len(text), bool) if breaks is None else breaks.copy()
+    mine, other = _Rolling(pattern), _Rolling(text)
     tiles: list[tuple[int, int, int]] = []
-    length = max(least, START)
-    while True:
-        matches: list[tuple[int, int, int]] = []
-        longest = 0
-        here, there = _runs(in_pattern, length), _runs(in_text, length)
-        if len(here) and len(there):
-            by_hash: dict[int, list[int]] = {}
-            for t, h in zip(there.tolist(), T.windows(text, length)[there].tolist(), strict=True):
-                by_hash.setdefault(h, []).append(t)
-            for p, h in zip(here.tolist(), T.windows(pattern, length)[here].tolist(), strict=True):
-                for t in by_hash.get(h, ()):
-                    n = 0
-                    while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not in_pattern[p + n] and not in_text[t + n]:
-                        n += 1
-                    if n >= length:
-                        matches.append((n, p, t))
-                        longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n, p, t in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if not in_pattern[p : p + n].any() and not in_text[t : t + n].any():
-                in_pattern[p : p + n] = in_text[t : t + n] = True
-                tiles.append((p, t, n))
-        if matches and any(not in_pattern[p : p + length].any() and not in_text[t : t + length].any() for _, p, t in matches):
-            continue  # a part of an occluded match is still free at this length
-        if length == least:
-            return tiles
-        length = max(least, length // 2)
+    top = min(len(pattern), len(text))
+
+    def shared(length: int) -> bool:
+        return bool(_matches(mine.runs(in_pattern, length)[1], other.runs(in_text, length)[1]).any())
+
+    while top >= least and shared(least):
+        low, high = least, top
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        here, hashes = mine.runs(in_pattern, low)
+        there, others = other.runs(in_text, low)
+        common = _matches(others, hashes)
+        there, others = there[common], others[common]
+        order = np.argsort(others, kind="stable")
+        there, others = there[order], others[order]
+        first = np.searchsorted(others, hashes, side="left").tolist()
+        after = np.searchsorted(others, hashes, side="right").tolist()
+        spent: dict[int, int] = {}  # of the places with one hash, those before are marked by now
+        for p, start, end in zip(here.tolist(), first, after, strict=True):
+            if start == end or in_pattern[p : p + low].any():
+                continue
+            at = spent.get(start, start)
+            while at < end:
+                t = int(there[at])
+                if not in_text[t : t + low].any() and (pattern[p : p + low] == text[t : t + low]).all():
+                    in_pattern[p : p + low] = in_text[t : t + low] = True
+                    tiles.append((p, t, low))
+                    break
+                at += 1
+            spent[start] = at
+        top = low - 1  # a pass leaves no match of its length
+    return tiles
 
 
 class SeedIndex:
@@ -140,13 +164,13 @@ def _covered(found: T.Words, index: SeedIndex, threshold: float) -> Iterator[tup
             yield d, i, covered
 
 
-def _slices(items: DataFrame, limit: int) -> Iterator[pa.Table]:
-    """The items in slices of about ``limit`` bytes of text; the total is measured first."""
+def _slices(items: DataFrame, limit: int) -> Iterator[tuple[pa.Table, int]]:
+    """The items in slices of about ``limit`` bytes of text, with the number of slices; the total is measured first."""
     items = items.select("item_id", "text").where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // limit)
     for number in range(count):
-        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number).toArrow()
+        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number).toArrow(), count
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, limit: int = SLICE_BYTES) -> DataFrame:
@@ -155,7 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, threshol
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = "doc_id long, text_hash long, item_id long, item_words long, covered_words long, coverage double"
     parts = []
-    for table in _slices(items, limit):
+    for table, slices in _slices(items, limit):
         index = SeedIndex(table.column("item_id").combine_chunks().cast(pa.int64()), table.column("text").combine_chunks(), least)
         shared = spark.sparkContext.broadcast(index)
 
@@ -171,7 +195,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, threshol
                         names=["doc_id", "text_hash", "item_id", "item_words", "covered_words", "coverage"],
                     )
 
-        parts.append(narrow.mapInArrow(tile, schema))
+        part = narrow.mapInArrow(tile, schema)
+        if slices > 1:
+            part = staged(part)
+            shared.destroy()
+        parts.append(part)
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -182,5 +210,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, threshol
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text covers some item."""
-    found = contaminated(docs, items, least, threshold).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    doc, text = T.spare(docs, "id", "hash")
+    found = contaminated(docs, items, least, threshold).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")
