@@ -733,6 +733,12 @@ s AS (SELECT ticker, -1 AS n, CAST(NULL AS DATE) AS wk, CAST([] AS VARCHAR[]) AS
       FROM s JOIN g ON g.ticker = s.ticker AND g.n = s.n + 1),
 t AS (SELECT ticker, wk, unnest(took) AS key FROM s)
 SELECT h.ticker, h.date, h.pos, h.title FROM t JOIN u USING (ticker, wk, key) JOIN h ON h.ticker = u.ticker AND h.pos = u.pos"""
+ORACLES["archive_headlines"] = ORACLES["headlines_week_cap"].replace(
+    "SELECT p_brand AS ticker, p_name AS title,", "SELECT * FROM (SELECT p_brand AS ticker, p_name || ' ' || lower(p_type) AS title,"
+).replace("lower(regexp_replace(p_name, ", "lower(regexp_replace(p_name || ' ' || lower(p_type), ").replace(
+    "AS key FROM part)",
+    "AS key FROM part) WHERE date >= DATE '2024-01-15' AND date_trunc('week', date) < DATE '2024-05-02' AND list_contains(string_split(title, ' '), 'gear'))",
+)
 ORACLES["week_windows"] = compose("""
 SELECT a, CAST(a + 7 AS DATE) AS b, count(h.date) AS headlines
 FROM (SELECT CAST(unnest(generate_series(DATE '1995-05-29', DATE '2001-05-31', INTERVAL 7 DAY)) AS DATE) AS a) s
@@ -818,6 +824,24 @@ ORACLES["universe_summary"] = compose(f"""
 SELECT DATE '1999-07-01' AS as_of, 1 AS seed, 'CY1999Q1I' AS share_frame, (SELECT count(*) FROM screened) AS candidates,
   (SELECT count(*) FROM screened WHERE (SELECT count(*) FROM drawn) < 10 OR {U01.format("'1:' || ticker")} <= (SELECT max(u) FROM drawn)) AS screened,
   (SELECT count(*) FROM drawn) AS kept, (SELECT count(*) FROM drawn) = 10 AS filled""")
+CTES["screen_splits"] = """
+SELECT l.ticker, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_discount >= 0.05 THEN 2.0 ELSE 0.5 END::DOUBLE AS ratio
+FROM lineitem JOIN listed l ON l.s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_linenumber = 1"""
+CTES["split_caps"] = """
+SELECT s.ticker, s.cik, s.cap * coalesce((SELECT product(x.ratio) FROM screen_splits x WHERE x.ticker = s.ticker AND x.date > DATE '1999-03-31'), 1.0) AS cap, s.history
+FROM (SELECT l.ticker, l.cik, CASE WHEN DATE '1999-07-01' - p.last <= 7 THEN p.close * l.val END AS cap, CASE WHEN DATE '1999-07-01' - p.last <= 7 THEN p.history END AS history
+  FROM listed l LEFT JOIN (
+    SELECT l_suppkey, max(d) AS last, arg_max(close, d) AS close, count(*) FILTER (d < DATE '1999-07-01') AS history FROM (
+      SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 1, 2)
+    WHERE d <= DATE '1999-07-01' GROUP BY 1) p ON p.l_suppkey = l.s_suppkey WHERE l.val > 0) s"""
+ORACLES["universe_screen_splits"] = compose(f"""
+SELECT ticker, cik, {r('cap / 1e6', 'cap', 4)}, coalesce(cap BETWEEN 5e7 AND 3e9 AND history >= 300, false) AS eligible FROM split_caps""")
+ORACLES["universe_draw_splits"] = compose(f"""
+WITH e AS (SELECT ticker, cap, coalesce(cap BETWEEN 2e7 AND 2e9 AND history >= 300, false) AS eligible, {U01.format("'3:' || ticker")} AS u FROM split_caps),
+d AS (SELECT * FROM e WHERE eligible ORDER BY u, ticker LIMIT 8)
+SELECT DATE '1999-07-01' AS as_of, 3 AS seed, 'CY1999Q1I' AS share_frame, (SELECT count(*) FROM e) AS candidates,
+  (SELECT count(*) FROM e WHERE (SELECT count(*) FROM d) < 8 OR u <= (SELECT max(u) FROM d)) AS screened, (SELECT count(*) FROM d) AS kept, (SELECT count(*) FROM d) = 8 AS filled,
+  2e7::DOUBLE AS min_cap, 2e9::DOUBLE AS max_cap, {r('(SELECT sum(cap / 1e6) FROM d)', 'caps', 3)}""")
 ORACLES["share_frames"] = """
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of FROM orders),
 q AS (SELECT CAST(unnest(generate_series(DATE '1993-01-01', DATE '2003-01-01', INTERVAL 3 MONTH)) AS DATE) AS s),

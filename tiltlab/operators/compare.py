@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tiltlab.functions.numeric import correlation, hashed_uniform
 from tiltlab.operators.sentiment import Scorer
 from tiltlab.session import staged
+from tiltlab.sources.scores import text_key
 
 BUCKETS = 8192
 
@@ -92,10 +93,11 @@ def _p99(pairs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def compare_models(texts: DataFrame, variants: dict[str, Scorer], limit: int | None = None) -> DataFrame:
-    """Score (a hash sample of) distinct texts with every variant; the first one is the reference."""
-    distinct = texts.select("text").distinct()
-    sample = distinct if limit is None else hash_sample(distinct, limit).select("text")
-    scored = score_variants(sample, variants)
-    # Long texts need not travel: a digest identifies them.
-    keyed = scored.withColumn("text", F.sha2(F.col("text"), 256))
-    return agreement(keyed, next(iter(variants)))
+    """Score (a hash sample of) distinct texts with every variant; the first one is the reference.
+
+    Texts are told apart once, by digest, and written; every scorer reads them from there.
+    """
+    distinct = texts.where("text IS NOT NULL").groupBy(text_key().alias("digest")).agg(F.first("text").alias("text")).select("text")
+    sample = staged(distinct if limit is None else hash_sample(distinct, limit).select("text"))
+    scored = score_variants(sample, variants).withColumn("text", text_key())
+    return agreement(scored, next(iter(variants)))

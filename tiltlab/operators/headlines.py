@@ -35,11 +35,16 @@ def relevant(headlines: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def title_digest(title: Column) -> Column:
+    """What tells titles apart, in 32 bytes: copies meet under it, however long the title."""
+    return F.unhex(F.sha2(dedupe_key(title).cast("binary"), 256))
+
+
 def first_copies(headlines: DataFrame, keys: tuple[str, ...] = ("ticker",), order: tuple[str, ...] = ("feed_rank", "pos")) -> DataFrame:
     """First copy of every title per key, in feed order. A map-side aggregate: hot titles collapse early."""
     rest = [c for c in headlines.columns if c not in keys]
     return (
-        headlines.withColumn("_key", dedupe_key(F.col("title")))
+        headlines.withColumn("_key", title_digest(F.col("title")))
         .groupBy(*keys, "_key")
         .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
         .select(*keys, "_row.*")
@@ -86,7 +91,7 @@ def weekly_cap(headlines: DataFrame, per_week: int) -> DataFrame:
     its n-th week, whatever its feed holds. The rest is one ordered pass: each ticker's titles stream through a task by week and
     place, which remembers the titles taken.
     """
-    keyed = headlines.withColumn("_key", dedupe_key(F.col("title"))).withColumn(
+    keyed = headlines.withColumn("_key", title_digest(F.col("title"))).withColumn(
         "_week", week_start(F.col("date"))
     )
     rest = [c for c in headlines.columns if c not in ("ticker",)]

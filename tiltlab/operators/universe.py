@@ -66,7 +66,7 @@ def draw(screened: DataFrame, n: int, seed: int) -> DataFrame:
     """The first ``n`` eligible candidates in seeded order with their position.
 
     The order is a hash of (seed, ticker), so no shuffle of the pool is drawn: each partition keeps its
-    own first n and the merge sees n rows per partition.
+    own first n and the merge sees n rows per partition. Positions are numbered over the n rows drawn, in one task.
     """
     ordered = screened.where("eligible").withColumn("u", hashed_uniform(F.lit(str(seed)), F.col("ticker")))
     first = ordered.orderBy("u", "ticker").limit(n)
@@ -75,8 +75,8 @@ def draw(screened: DataFrame, n: int, seed: int) -> DataFrame:
     ).select("position", "ticker", "cap", "u")
 
 
-def draw_summary(screened: DataFrame, drawn: DataFrame, n: int, seed: int, as_of: Column) -> DataFrame:
-    """One row: candidates, how many were examined before the sample was full, and what was kept."""
+def draw_summary(screened: DataFrame, drawn: DataFrame, n: int, seed: int, as_of: Column, min_cap: float | None = None, max_cap: float | None = None) -> DataFrame:
+    """One row: candidates, how many were examined before the sample was full, and what was kept; with the cap range if it is given."""
     last = drawn.agg(F.max(F.struct("u", "ticker")).alias("last"), F.count(F.lit(1)).alias("kept"))
     here = F.struct(hashed_uniform(F.lit(str(seed)), F.col("ticker")).alias("u"), F.col("ticker"))
     full = last.select("kept").scalar() == n
@@ -91,6 +91,7 @@ def draw_summary(screened: DataFrame, drawn: DataFrame, n: int, seed: int, as_of
         "screened",
         last.select("kept").scalar().alias("kept"),
         full.alias("filled"),
+        *(F.lit(float(c)).alias(name) for c, name in ((min_cap, "min_cap"), (max_cap, "max_cap")) if c is not None),
     )
 
 
@@ -104,4 +105,4 @@ def sample(
     pool = candidates(frame, ticker_map)
     screened = cut_lineage(screen(pool, prices, splits, as_of, min_cap, max_cap, min_history))
     drawn = cut_lineage(draw(screened, n, seed))
-    return drawn, draw_summary(screened, drawn, n, seed, as_of)
+    return drawn, draw_summary(screened, drawn, n, seed, as_of, min_cap, max_cap)

@@ -754,6 +754,18 @@ def headlines_week_cap(spark, root):
     return headlines.weekly_cap(rows, 2).select("ticker", "date", "pos", "title")
 
 
+@query
+def archive_headlines(spark, root):
+    """Titles of the covered weeks that are about their brand, two a brand and week, no title twice."""
+    rows = tables.table(spark, root, "part").select(
+        F.col("p_brand").alias("ticker"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size") * 3).alias("date"),
+        F.col("p_partkey").alias("pos"),
+    )
+    names = rows.select("ticker").distinct().withColumn("name", F.lit("Gear Company"))
+    return headlines.archive_headlines(rows, names, "2024-01-18", "2024-05-02", 2).select("ticker", "date", "pos", "title")
+
+
 @query
 def week_windows(spark, root):
     """Headlines per Monday-aligned window of the evaluated span."""
@@ -911,11 +923,22 @@ def _frame(spark, root) -> DataFrame:
     )
 
 
-def _screened(spark, root) -> DataFrame:
+def _supplier_closes(spark, root) -> DataFrame:
     pool = universe.candidates(_frame(spark, root), _ticker_map(spark, root))
     names = pool.select(F.col("cik").cast("bigint").alias("instrument"), "ticker")
-    prices = tables.supplier_prices(spark, root).join(names, "instrument").select("ticker", "date", "close")
-    return universe.screen(pool, prices, None, F.lit("1999-07-01").cast("date"), 5e7, 3e9, 300)
+    return tables.supplier_prices(spark, root).join(names, "instrument").select("ticker", "date", "close")
+
+
+def _supplier_splits(spark, root) -> DataFrame:
+    """A split wherever a supplier ships 50 units as the first line of an order."""
+    pool = universe.candidates(_frame(spark, root), _ticker_map(spark, root)).select(F.col("cik").cast("bigint").alias("l_suppkey"), "ticker")
+    lines = tables.table(spark, root, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
+    return lines.join(pool, "l_suppkey").select("ticker", F.col("l_shipdate").cast("date").alias("date"), F.when(F.col("l_discount") >= 0.05, 2.0).otherwise(0.5).alias("ratio"))
+
+
+def _screened(spark, root, splits: DataFrame | None = None) -> DataFrame:
+    pool = universe.candidates(_frame(spark, root), _ticker_map(spark, root))
+    return universe.screen(pool, _supplier_closes(spark, root), splits, F.lit("1999-07-01").cast("date"), 5e7, 3e9, 300)
 
 
 @query
@@ -941,6 +964,22 @@ def universe_summary(spark, root):
     return universe.draw_summary(screened, drawn, 10, 1, F.lit("1999-07-01").cast("date"))
 
 
+@query
+def universe_screen_splits(spark, root):
+    """The screen with splits after the date of the share counts."""
+    return rounded(_screened(spark, root, _supplier_splits(spark, root)).withColumn("cap", F.col("cap") / 1e6), 4)
+
+
+@query
+def universe_draw_splits(spark, root):
+    """A sample drawn and summed up in one call, with its cap range."""
+    day = F.lit("1999-07-01").cast("date")
+    listed, prices = _ticker_map(spark, root), _supplier_closes(spark, root)
+    drawn, told = universe.sample(_frame(spark, root), listed, prices, _supplier_splits(spark, root), day, 8, 3, 2e7, 2e9)
+    total = drawn.agg(F.sum(F.col("cap") / 1e6).alias("caps"))
+    return rounded(told.withColumn("caps", total.scalar()), 3)
+
+
 @query
 def share_frames(spark, root):
     days = tables.table(spark, root, "orders").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
