@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltlab.llm import tokens as T
 from tiltlab.session import staged
 
 WEIGHTS = (3, 1, 2)
@@ -29,6 +30,8 @@ MOST = 2
 BITS = 12
 LEVELS = 5
 SALT = "mix"
+# Up to so many sources their targets are broadcast (some 50 bytes each).
+SOURCES = 100_000
 
 
 def words_of(text: str = "text") -> Column:
@@ -103,6 +106,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PER
     goals = goals.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     limits = thresholds(narrow.select("source", "hash", "size"), goals.where("source_size > 0").select("source", "budget"))
     goals = goals.join(limits.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    goals = staged(goals)
+    if goals.count() <= SOURCES:  # so few rows go to every task, and no source's rows meet in one
+        goals = F.broadcast(goals)
     out = narrow.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     more = (F.col("whole") < most) & (F.col("hash") < F.coalesce("threshold", F.lit(0)))
     copies = F.col("whole") + more.cast("long")
@@ -110,8 +116,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PER
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies``: how often each is taken."""
-    taken = plan(docs, weights, percent, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
-    taken = taken.groupBy("_id", "_hash").agg(F.max("_copies").alias("copies"))
-    kept = docs.drop("copies").join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return kept.drop("_id", "_hash")
+    """The rows of ``docs`` that the mix takes, with ``copies``: how often each is taken (in place of a column of that name)."""
+    doc, text, times = T.spare(docs, "id", "hash", "copies")
+    taken = plan(docs, weights, percent, most).where("copies > 0").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("copies").alias(times))
+    taken = taken.groupBy(doc, text).agg(F.max(times).alias(times))
+    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)))
+    return kept.drop(doc, text, "copies").withColumnRenamed(times, "copies")
