@@ -70,7 +70,7 @@ def rows():
     return out + chains("d")
 
 
-@pytest.mark.parametrize("more", [{}, {"chunk": 3, "open_limit": 1, "rows": 1, "bands": 60}, {"chunk": 4, "open_limit": 2, "rows": 2, "bands": 60}])
+@pytest.mark.parametrize("more", [{}, {"chunk": 3, "open_limit": 1, "rows": 1, "bands": 60}])
 def test_classes_equal_brute_force(spark, rows, more):
     """Also where buckets are cut into chunks and pairs are held back at first."""
     assert found_rows(frame(spark, rows), **more) == by_hand(rows)

@@ -60,12 +60,12 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("more", [{}, {"budget": 60}, {"head": 4, "budget": 300}, {"top": 7}])
+@pytest.mark.parametrize("more", [{"budget": 60}, {"head": 4, "budget": 300, "top": 60}])
 def test_collocations_equal_brute_force(spark, rows, more):
     least, top = 8, more.get("top", 2000)
     got = found_rows(spark, rows, least=least, **more)
     assert got == by_hand(rows, least, top)
-    assert any(len(r[2].split()) == 5 for r in got) or top == 7
+    assert any(len(r[2].split()) == 5 for r in got) or top < 100
 
 
 def test_plan_lengthens_prefixes_beyond_the_budget(spark, rows):

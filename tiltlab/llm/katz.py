@@ -1,28 +1,34 @@
 """Katz back-off language model over words.
 
-Tokens are a text's words (A-Z lower-cased) and one end. The model's vocabulary is the ``VOCABULARY`` most frequent training words and
-the end; all other words, known or not, are its class ``rare``. Within the class a word has its add-one share of the class's training tokens, one
-share being left for words never seen, so every word of every text has a probability and all sum to one.
+Tokens are a text's words (A-Z lower-cased) and one end. Every training word is in the model; words that occur in no training text are one class.
 
 * Bigram: P(w | h) = d(c) * c(h, w) / (c(h) + 1) if the pair occurs in training, else bow(h) * P(w). A text's first token has the history start.
-* Unigram: P(w) = d(c) * c(w) / (N + 1), and P(rare) is what is left.
+* Unigram: P(w) = d(c) * c(w) / (N + 1); what is left is the probability of the class of unseen words.
 * The one added below each line keeps some mass for back-off even where no count is discounted.
 * d is Good-Turing's r* / r for counts up to ``GOOD_TURING``, with Katz's correction, from the counts of counts, smoothed if uneven;
   where even those give no proper discount (very few counts), d is 1 - 1 / (2 r + 1).
 * bow(h) = (1 - seen mass) / (1 - unigram mass of the words seen after h): exactly normalised. If everything was seen after h, the seen
-  mass is scaled to one.
+  mass is scaled to one. A history that was never seen has bow 1.
 
-Everything is evaluated from (bigram) to (unigram) to (class) for each token.
+The recursion is evaluated for each token as a sum of three logs: that of P(w), that of bow(h), and, if the pair was seen, its *change*, log P(w | h)
+less both. So a text's score is a sum of values looked up by word, by history and by pair, each wherever it lies.
 
-How it runs. Words and pairs are counted in two passes: a task counts a piece of the table in numpy, deals the distinct keys to
-buckets and sends each bucket one packed block; buckets merge blocks as they arrive. A frequent key thus costs one entry a piece, not one
-an occurrence. Counts are stored as tables partitioned by bucket. The vocabulary, the per-history weights and the ``HEAD`` most
-frequent pairs are broadcast: their size is set by these parameters, not by the data. A last pass scores what the broadcast part
-covers in place; other pairs and rare words are sent to their buckets, where the count tables wait, and return as sums per text.
+How it runs. Counts and values are stored as tables partitioned by bucket, a word's and its history's in the bucket of the word.
+
+1. Tasks count a piece of the table in numpy and send each bucket one packed block of its distinct words.
+2. Pairs are counted likewise and go to the bucket of their history. A pair of a word outside the head goes by way of the word's
+   bucket, where it is told the word's count, since bow(h) needs the unigram mass of the words after h.
+3. Buckets add up each history's sums: its bow, and the change of each of its pairs.
+4. A last pass asks for what it does not know, and the answers return as sums per text.
+
+The *head* is a cache: the ``VOCABULARY`` most frequent words with their counts and bows, and up to ``HEAD`` of the most frequent pairs, are
+broadcast, which settles most tokens in place. It bounds what is broadcast, not the model: results do not depend on it. The number of buckets
+follows the bytes of the table.
 
 Defined results: a null text is empty and has its end only; equal rows get equal
 results and count each in training; a row whose fold is unknown (null doc_id) is trained on; an empty training fold gives every token the class
-probabilities that are left; an empty table gives an empty result. Extra columns are ignored.
+probabilities that are left; an empty table gives an empty result. Extra columns are ignored. Values of pairs are stored in 32 bits,
+the pairs of a bucket told apart by 48.
 """
 
 from __future__ import annotations
@@ -36,16 +42,19 @@ from pyspark.sql import functions as F
 
 from tiltlab.llm import tokens as T
 from tiltlab.llm.exchange import framed, unframed
-from tiltlab.session import staged
+from tiltlab.session import dropped, staged
 
 VOCABULARY = 1 << 17
 HEAD = 1 << 20
 GOOD_TURING = 5
-BITS = np.uint64(20)  # of an id in a pair key; more than VOCABULARY needs
-PAIR_BYTES = 8 << 20
+PAIR_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
+NAMED = np.uint64(1 << 63)  # set in the hash that names a word, in no number
+# Rows that travel or wait in a bucket.
+WORDS, HISTORIES, PAIRS, NEAR, FAR = -3, -2, -1, 0, 1
 
-_BLOCK = "bucket int, kind int, keys binary, counts binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BLOCK = "bucket int, kind int, keys binary, words binary, counts binary, more binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "words", "counts", "more"))])
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -73,15 +82,14 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unframed(data, np.uint64), dtype=np.uint64)
 
 
-def _blocks(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """One packed block for each bucket; ``keys`` are sorted and distinct."""
-    bucket = _deal(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[bounds[b] : bounds[b + 1]]
-        if len(part):
-            yield b, kind, pack_keys(keys[part]), framed(_narrow(counts[part]))
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Codes byte by byte of like weight: numbers leave their upper bytes empty."""
+    return framed(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8).T))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    planes = unframed(data, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,86 +101,60 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def _count(docs: DataFrame, pieces_of, buckets: int) -> DataFrame:
-    """(bucket, kind, keys, counts), one row a bucket: sums of the counts that ``pieces_of`` yields as (kind, keys, counts)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, keys, counts in pieces_of(batches):
-            rows = list(_blocks(kind, keys, counts, buckets))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        waiting: dict[int, int] = {}
-        for batch in batches:
-            for bucket, _, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = unpack_keys(keys)
-                held.setdefault(bucket, []).append((k, _wide(counts, len(k))))
-                waiting[bucket] = waiting.get(bucket, 0) + len(k)
-                if waiting[bucket] > 2 * len(held[bucket][0][0]) + 1_000_000:
-                    held[bucket] = [_merged(held[bucket])]
-                    waiting[bucket] = 0
-        for bucket, parts in held.items():
-            keys, counts = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([pack_keys(keys)]), pa.array([framed(_narrow(counts))])], schema=_SCHEMA)
-
-    return docs.mapInArrow(count, _BLOCK).repartition(buckets, "bucket").mapInArrow(merge, _BLOCK)
+def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each bucket that has any, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)):
+        yield int(b), order[bounds[b] : bounds[b + 1]]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _block(bucket: int, kind: int, keys: np.ndarray, counts: np.ndarray, words: np.ndarray | None = None, more: np.ndarray | None = None) -> tuple:
+    """A packed row; ``keys`` are sorted."""
+    return bucket, kind, pack_keys(keys), None if words is None else pack_codes(words), framed(_narrow(counts)), None if more is None else framed(_narrow(more))
 
 
-def _training_words(found: T.Words, training: np.ndarray) -> np.ndarray:
-    return found.hash[np.repeat(training, found.counts())]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _word_pieces(batches: Iterator[pa.RecordBatch]):
-    for piece in T.pieces(batches, limit=PAIR_BYTES):
-        found = T.words(piece.column("text"), lower=True)
-        held = piece.column("held_out").to_numpy(zero_copy_only=False)
-        yield 0, *_distinct(_training_words(found, ~held))
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    """(bucket, row) of every row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {f.name: batch.column(f.name)[i].as_py() for f in batch.schema}
+            yield row["bucket"], row
 
 
-class Vocabulary:
-    """Ids of the frequent words by hash: 0..n-1, then the end, then the class of rare words; start is one more."""
+def _training(piece: pa.RecordBatch) -> np.ndarray:
+    return ~piece.column("held_out").to_numpy(zero_copy_only=False)
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.rank = order
-        self.sorted = hashes[order]
-        self.counts = counts
-        self.end, self.rare, self.start = len(hashes), len(hashes) + 1, len(hashes) + 2
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[hashes >> np.uint64(42)] = True
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.rare, np.int64)
-        at = np.flatnonzero(self.filter[hashes >> np.uint64(42)])
-        if len(self.sorted):
-            spot = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
-            same = self.sorted[spot] == hashes[at]
-            out[at[same]] = self.rank[spot[same]]
-        return out
+def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """The words' table: one row a bucket."""
 
-    def sequence(self, found: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, previous id, text) of every token of the texts, ends included, and the history of each."""
-        n = len(found.hash) + len(found)
-        ids = np.empty(n, np.int64)
-        ends = found.first[1:] + np.arange(len(found))
-        inner = np.ones(n, bool)
-        inner[ends] = False
-        ids[inner] = self.ids(found.hash)
-        ids[ends] = self.end
-        history = np.empty(n, np.int64)
-        history[1:] = ids[:-1]
-        history[found.first[:-1] + np.arange(len(found))] = self.start
-        return ids, history, np.repeat(np.arange(len(found)), found.counts() + 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in T.pieces(batches, limit=PAIR_BYTES):
+            found = T.words(piece.column("text"), lower=True)
+            keys, counts = np.unique(found.hash[np.repeat(_training(piece), found.counts())] | NAMED, return_counts=True)
+            rows = [_block(b, WORDS, keys[at], counts[at]) for b, at in _split(_deal(keys, buckets), buckets)]
+            if rows:
+                yield _batch(rows)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        waiting: dict[int, int] = {}
+        for bucket, row in _by_bucket(batches):
+            keys = unpack_keys(row["keys"])
+            held.setdefault(bucket, []).append((keys, _wide(row["counts"], len(keys))))
+            waiting[bucket] = waiting.get(bucket, 0) + len(keys)
+            if waiting[bucket] > 2 * len(held[bucket][0][0]) + 1_000_000:
+                held[bucket] = [_merged(held[bucket])]
+                waiting[bucket] = 0
+        for bucket, parts in held.items():
+            yield _batch([_block(bucket, WORDS, *_merged(parts))])
 
-def pair_keys(history: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (history.astype(np.uint64) << BITS) | ids.astype(np.uint64)
+    return docs.mapInArrow(count, _BLOCK).repartition(buckets, "bucket").mapInArrow(merge, _BLOCK)
 
 
 def discounts(of_counts: np.ndarray, k: int = GOOD_TURING) -> np.ndarray:
@@ -199,161 +181,290 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * d[np.minimum(counts, len(d) - 1)] * (counts < len(d)) + counts * (counts >= len(d))
 
 
-class Model:
-    """What is broadcast: vocabulary, unigram and class weights, history weights and frequent pairs."""
-
-    def __init__(self, vocabulary: Vocabulary, tokens: int, types: int, ends: int, d1: np.ndarray):
-        self.vocabulary, self.tokens, self.types, self.ends = vocabulary, tokens, types, ends
-        known = vocabulary.counts
-        self.rare_tokens = tokens - ends - int(known.sum())
-        self.rare_types = types - len(known) - (ends > 0)
-        mass = np.concatenate([discounted(known, d1), discounted(np.array([ends]), d1)]) / (tokens + 1)
-        self.unigram = np.append(mass, 1 - mass.sum())
-        self.log_unigram = np.log10(np.maximum(self.unigram, 1e-300))
-        self.rare_share = self.rare_tokens + self.rare_types + 1
+class Head:
+    """Numbers of the frequent words by name: 0 to n - 1, then the end and the start; with their counts."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray, ends: int):
+        order = np.argsort(names)
+        self.rank, self.sorted = order, names[order]
+        self.end, self.start = np.uint64(len(names)), np.uint64(len(names) + 1)
+        self.counts = np.append(counts, ends)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[(names << np.uint64(1)) >> np.uint64(42)] = True
+
+    def codes(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of words of the head, names of others."""
+        out = names.copy()
+        at = np.flatnonzero(self.filter[(names << np.uint64(1)) >> np.uint64(42)])
+        if len(self.sorted):
+            spot = np.minimum(np.searchsorted(self.sorted, names[at]), len(self.sorted) - 1)
+            same = self.sorted[spot] == names[at]
+            out[at[same]] = self.rank[spot[same]].astype(np.uint64)
+        return out
+
+    def sequence(self, found: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code, history and text of every token of the texts, ends included."""
+        n = len(found.hash) + len(found)
+        codes = np.empty(n, np.uint64)
+        ends = found.first[1:] + np.arange(len(found))
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        codes[inner] = self.codes(found.hash | NAMED)
+        codes[ends] = self.end
+        history = np.empty(n, np.uint64)
+        history[1:] = codes[:-1]
+        history[found.first[:-1] + np.arange(len(found))] = self.start
+        return codes, history, np.repeat(np.arange(len(found)), found.counts() + 1)
+
+
+def pair_keys(history: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What tells the pairs of a bucket apart: 48 bits."""
+    return T.mix(T.mix(history + T.M1) * T.M3 + words) >> np.uint64(16)
+
+
+class Unigrams:
+    """Probabilities of words by their counts."""
+
+    def __init__(self, tokens: int, types: int, of_counts: np.ndarray):
+        self.tokens, self.d = tokens, discounts(of_counts)
+        r = np.arange(GOOD_TURING + 1)
+        taken = (r * of_counts[: GOOD_TURING + 1] * (1 - self.d)).sum()
+        self.left = 1 - (tokens - taken) / (tokens + 1)
         self.base = np.log10(tokens + types + 1)
 
-    def backed(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of bow(history) * P(word)."""
-        return self.log_bow[history] + self.log_unigram[word]
+    def mass(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, discounted(counts, self.d) / (self.tokens + 1), self.left)
 
 
-def scores(docs: DataFrame, held_out, vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; rows of ``held_out`` are not learnt from."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    narrow = docs.select("text", "held_out")
+def _summed(history: np.ndarray, words: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs in order of (history, word), the first value summed and the others taken from one of them."""
+    order = np.lexsort((words, history))
+    history, words, values = history[order], words[order], [v[order] for v in values]
+    if not len(history):
+        return history, words, *values
+    heads = np.flatnonzero(np.concatenate([[True], (history[1:] != history[:-1]) | (words[1:] != words[:-1])]))
+    return history[heads], words[heads], np.add.reduceat(values[0], heads), *(v[heads] for v in values[1:])
 
-    # Words.
-    words = staged(_count(narrow, _word_pieces, buckets))
-    ends = docs.where("NOT held_out").count()
-    frequent, of_counts, tokens, types = _summary(words, vocabulary)
-    of_counts[min(ends, GOOD_TURING + 2)] += ends > 0
-    known = Vocabulary(frequent[0], frequent[1])
-    model = Model(known, tokens + ends, types + (ends > 0), ends, discounts(of_counts))
-    lexicon = context.broadcast(known)
 
-    # Pairs.
-    def pair_pieces(batches: Iterator[pa.RecordBatch]):
+def _pair_counts(docs: DataFrame, words: DataFrame, shared, buckets: int) -> DataFrame:
+    """The pairs' table, one row a bucket of histories: history, word, count, and the word's count where it is outside the head."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: Head = shared.value
         for piece in T.pieces(batches, limit=PAIR_BYTES):
-            found = T.words(piece.column("text"), lower=True)
-            training = ~piece.column("held_out").to_numpy(zero_copy_only=False)
-            ids, history, text = lexicon.value.sequence(found)
-            yield 0, *_distinct(pair_keys(history, ids)[training[text]])
-
-    pairs = staged(_count(narrow, pair_pieces, buckets))
-    frequent, of_counts, _, _ = _summary(pairs, head)
-    d2 = discounts(of_counts)
-    order = np.argsort(frequent[0])
-    model.head_keys, model.head_logs, model.d2 = frequent[0][order], np.log10(np.maximum(discounted(frequent[1][order], d2), 1e-300)), d2
-    _histories(pairs, model)
-    shared = context.broadcast(model)
-
-    # Scores.
-    return _looked_up(docs, words, pairs, shared, buckets).select(
-        "doc_id", "held_out", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+            codes, history, text = head.sequence(T.words(piece.column("text"), lower=True))
+            taught = _training(piece)[text]
+            h, w, counts = _summed(history[taught], codes[taught], np.ones(int(taught.sum()), np.int64))
+            far = w >= NAMED
+            rows = []
+            for kind, part in ((NEAR, np.flatnonzero(~far)), (FAR, np.flatnonzero(far))):
+                dealt = _deal(h[part] if kind == NEAR else w[part], buckets)
+                rows += [_block(b, kind, h[part[at]], counts[part[at]], w[part[at]]) for b, at in _split(dealt, buckets)]
+            if rows:
+                yield _batch(rows)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now, held, waiting = None, None, [], 0
+
+        def whole() -> tuple[np.ndarray, ...]:
+            return _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            h, w, counts = whole()
+            more = _found(table, w)
+            for b, at in _split(_deal(h, buckets), buckets):
+                yield _batch([_block(b, NEAR, h[at], counts[at], w[at], more[at])])
+
+        for bucket, row in _by_bucket(batches):  # by bucket; a bucket's words come first
+            if bucket != now:
+                if held:
+                    yield from told()
+                table, now, held, waiting = None, bucket, [], 0
+            keys = unpack_keys(row["keys"])
+            counts = _wide(row["counts"], len(keys))
+            if row["kind"] == WORDS:
+                table = keys, counts
+                continue
+            held.append((keys, unpack_codes(row["words"]), counts))
+            waiting += len(keys)
+            if waiting > 2 * len(held[0][0]) + 500_000:
+                held = [whole()]
+                waiting = 0
+        if held:
+            yield from told()
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting = None, [], 0
 
-def _summary(table: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, int, int]:
-    """The ``most`` most frequent keys with counts (ties by key), counts of counts up to GOOD_TURING + 1, all counts and keys."""
-    cut = GOOD_TURING + 2
-    cells = 64 * 16
+        def whole() -> tuple[np.ndarray, ...]:
+            return _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        for bucket, row in _by_bucket(batches):
+            if bucket != now and held:
+                h, w, counts, more = whole()
+                yield _batch([_block(now, NEAR, h, counts, w, more)])
+                held, waiting = [], 0
+            now = bucket
+            keys = unpack_keys(row["keys"])
+            more = np.zeros(len(keys), np.int64) if row["more"] is None else _wide(row["more"], len(keys))
+            held.append((keys, unpack_codes(row["words"]), _wide(row["counts"], len(keys)), more))
+            waiting += len(keys)
+            if waiting > 2 * len(held[0][0]) + 500_000:
+                held = [whole()]
+                waiting = 0
+        if held:
+            h, w, counts, more = whole()
+            yield _batch([_block(now, NEAR, h, counts, w, more)])
+
+    raw = staged(docs.mapInArrow(count, _BLOCK))
+    far = raw.where(F.col("kind") == FAR).unionByName(words).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(tell, _BLOCK)
+    near = raw.where(F.col("kind") == NEAR).unionByName(far)
+    pairs = staged(near.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _BLOCK))
+    dropped(raw)
+    return pairs
+
+
+def _grade(counts: np.ndarray) -> np.ndarray:
+    return np.floor(16 * np.log2(counts.astype(float))).astype(np.int64)
+
+
+CELLS = 64 * 16
 
-    def grade(counts: np.ndarray) -> np.ndarray:
-        return np.floor(16 * np.log2(counts.astype(float))).astype(np.int64)
+
+def _profile(table: DataFrame, most: int) -> tuple[int, np.ndarray, int, int]:
+    """Of a table's counts: the lowest grade of which at most ``most`` are left, counts of counts up to GOOD_TURING + 1, their sum and number."""
+    cut = GOOD_TURING + 2
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells + cut + 2, np.int64)
-        for batch in batches:
-            for keys, data in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = _wide(data, len(unframed(keys, np.uint64)))
-                total[:cells] += np.bincount(grade(counts), minlength=cells)
-                total[cells:-1] += np.bincount(np.minimum(counts, cut), minlength=cut + 1)
-                total[-1] += counts.sum()
+        total = np.zeros(CELLS + cut + 2, np.int64)
+        for _, row in _by_bucket(batches):
+            counts = _wide(row["counts"], len(unframed(row["keys"], np.uint64)))
+            total[:CELLS] += np.bincount(_grade(counts), minlength=CELLS)
+            total[CELLS:-1] += np.bincount(np.minimum(counts, cut), minlength=cut + 1)
+            total[-1] += counts.sum()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["at", "n"])
 
-    rows = table.mapInArrow(profile, "at long, n long")
-    got = dict(rows.groupBy("at").agg(F.sum("n").alias("n")).collect())  # one row a cell
-    grades = np.array([got.get(i, 0) for i in range(cells)], dtype=np.int64)
-    small = np.array([got.get(cells + i, 0) for i in range(cut + 1)], dtype=np.int64)
-    # Lowest grade that still fits; keys of the next grade are not needed.
-    down = np.cumsum(grades[::-1])[::-1]
+    got = dict(table.select("bucket", "keys", "counts").mapInArrow(profile, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect())  # one row a cell
+    down = np.cumsum(np.array([got.get(i, 0) for i in range(CELLS)], dtype=np.int64)[::-1])[::-1]
     fits = np.flatnonzero(down <= most)
-    least = int(fits[0]) if len(fits) else cells
+    small = np.array([got.get(CELLS + i, 0) for i in range(cut + 1)], dtype=np.int64)
+    return int(fits[0]) if len(fits) else CELLS, small, int(got.get(CELLS + cut + 1, 0)), int(down[0])
+
+
+def _frequent(words: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and counts of the words of grade ``least`` or more, most frequent first."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, data in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys = unpack_keys(keys)
-                counts = _wide(data, len(keys))
-                chosen = grade(counts) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[chosen].view(np.int64)), pa.array(counts[chosen])], names=["key", "n"])
-
-    top = table.mapInArrow(pick, "key long, n long").toArrow()  # at most ``most`` rows
-    keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.lexsort((keys, -counts))
-    return (keys[order], counts[order]), small, int(got.get(cells + cut + 1, 0)), int(down[0])
-
-
-def _histories(pairs: DataFrame, model: Model) -> None:
-    """Count, back-off weight and scale of every history of the vocabulary, from sums over the pair table."""
-    size = model.vocabulary.start + 1
-    shared = pairs.sparkSession.sparkContext.broadcast((model.unigram, model.d2, size))
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram, d2, size = shared.value
-        total = np.zeros((3, size))
-        for batch in batches:
-            for keys, data in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys = unpack_keys(keys)
-                counts = _wide(data, len(keys))
-                history = (keys >> BITS).astype(np.int64)
-                word = (keys & np.uint64((1 << int(BITS)) - 1)).astype(np.int64)
-                for k, weights in enumerate((counts, discounted(counts, d2), unigram[word])):
-                    total[k] += np.bincount(history, weights, size)
-        # Fixed-size slices, added up bucket by bucket.
-        for number, part in enumerate(np.array_split(np.arange(size), 16)):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([framed(total[:, part])])], names=["slice", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[number] = total.get(number, 0.0) + unframed(sums, float)
-        for number, whole in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([framed(whole)])], names=["slice", "sums"])
-
-    got = dict(pairs.mapInArrow(partial, "slice int, sums binary").repartition("slice").mapInArrow(add, "slice int, sums binary").collect())
-    total = np.zeros((3, size))
-    for number, part in enumerate(np.array_split(np.arange(size), 16)):
-        if number in got:
-            total[:, part] = unframed(got[number], float).reshape(3, -1)
-    count, seen, backed = total
-    left, open_ = 1 - seen / (count + 1), 1 - backed
-    whole = (open_ <= 1e-12) & (count > 0)
-    model.log_count = np.log10(np.where(whole, np.maximum(seen, 1e-300), count + 1))
-    model.log_bow = np.log10(np.where(count > 0, left / np.maximum(open_, 1e-12), 1.0))
+        for _, row in _by_bucket(batches):
+            keys = unpack_keys(row["keys"])
+            counts = _wide(row["counts"], len(keys))
+            chosen = _grade(counts) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(keys[chosen].view(np.int64)), pa.array(counts[chosen])], names=["key", "n"])
+
+    top = words.mapInArrow(pick, "key long, n long").toArrow()  # at most VOCABULARY rows
+    names, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.lexsort((names, -counts))
+    return names[order], counts[order]
+
+
+_VALUES = "bucket int, kind int, keys binary, counts binary"
+TOLD_HISTORIES, TOLD_PAIRS = 2, 3
+
+
+def _values(pairs: DataFrame, shared, d2: np.ndarray, least: int) -> DataFrame:
+    """Rows of values by key: log bow of histories and change of pairs; those for the broadcast head in kinds of their own."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, unigrams = shared.value
+        for bucket, row in _by_bucket(batches):
+            h = unpack_keys(row["keys"])
+            w, counts, more = unpack_codes(row["words"]), _wide(row["counts"], len(h)), _wide(row["more"], len(h))
+            known = w < NAMED
+            more[known] = head.counts[w[known].astype(np.int64)]
+            mass, weight = unigrams.mass(more), discounted(counts, d2)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total, seen, backed = (np.add.reduceat(v, first) for v in (counts.astype(float), weight, mass))
+            left, open_ = 1 - seen / (total + 1), 1 - backed
+            whole = open_ <= 1e-12
+            below = np.log10(np.where(whole, np.maximum(seen, 1e-300), total + 1))
+            bow = np.log10(np.maximum(left, 1e-300) / np.maximum(open_, 1e-12))
+            owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            change = np.log10(np.maximum(weight, 1e-300)) - below[owner] - bow[owner] - np.log10(np.maximum(mass, 1e-300))
+            keys = pair_keys(h, w)
+            top = _grade(counts) >= least
+            rows = []
+            for kind, names, values, width in (
+                (HISTORIES, h[first][h[first] >= NAMED], bow[h[first] >= NAMED], float), (TOLD_HISTORIES, h[first][h[first] < NAMED], bow[h[first] < NAMED], float),
+                (PAIRS, keys[~top], change[~top], np.float32), (TOLD_PAIRS, keys[top], change[top], float),
+            ):
+                order = np.argsort(names)
+                rows.append((bucket, kind, pack_keys(names[order]), framed(values[order].astype(width))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return pairs.mapInArrow(solve, _VALUES)
+
+
+def _told(values: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of one kind, sorted by key; bounded by the head."""
+    rows = values.where(F.col("kind") == kind).select("keys", "counts").toArrow()
+    keys = [unpack_keys(k) for k in rows.column("keys").to_pylist()]
+    numbers = [unframed(v, float) for v in rows.column("counts").to_pylist()]
+    keys, numbers = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0), *numbers])
+    order = np.argsort(keys)
+    return keys[order], numbers[order]
+
+
+class Model:
+    """What is broadcast to score: the head with its logs, and the values of its histories and of frequent pairs."""
+
+    def __init__(self, head: Head, unigrams: Unigrams, histories: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
+        self.head, self.unigrams, self.pairs = head, unigrams, pairs
+        self.log_unigram = np.log10(np.maximum(unigrams.mass(head.counts), 1e-300))
+        self.log_bow = np.zeros(int(head.start) + 1)
+        self.log_bow[histories[0].astype(np.int64)] = histories[1]
 
 
+def scores(docs: DataFrame, held_out, vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; rows of ``held_out`` are not learnt from.
+
+    ``vocabulary`` and ``head`` bound the words and pairs that are broadcast.
+    """
+    context = docs.sparkSession.sparkContext
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    narrow = docs.select("text", "held_out")
+    size, ends = narrow.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
+
+    words = staged(_word_counts(narrow, buckets))
+    least, of_counts, tokens, types = _profile(words, vocabulary)
+    of_counts[min(ends, GOOD_TURING + 2)] += ends > 0
+    unigrams = Unigrams(tokens + ends, types + (ends > 0), of_counts)
+    known = Head(*_frequent(words, least), ends)
+    pairs = _pair_counts(narrow, words, context.broadcast(known), buckets)
+    least, of_counts, _, _ = _profile(pairs, head)
+    values = staged(_values(pairs, context.broadcast((known, unigrams)), discounts(of_counts), least))
+    dropped(pairs)
+    shared = context.broadcast(Model(known, unigrams, _told(values, TOLD_HISTORIES), _told(values, TOLD_PAIRS)))
+    return _looked_up(docs, words, values.where(F.col("kind") < 0), shared, buckets).select(
+        "doc_id", "held_out", F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.lit(unigrams.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
+_QUESTIONS = ("word_keys", "word_counts", "word_texts", "pair_keys", "pair_counts", "pair_texts")
 _ASKED = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), ("piece", pa.int64())]
-    + [(name, pa.binary()) for name in ("word_keys", "word_counts", "word_texts", "pair_keys", "pair_counts", "pair_texts", "local")]
+    + [(name, pa.binary()) for name in (*_QUESTIONS, "local")]
     + [("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.bool_()))]
 )
-_ASKED_DDL = (
-    "bucket int, kind int, piece long, word_keys binary, word_counts binary, word_texts binary, pair_keys binary, pair_counts binary, pair_texts binary, "
-    "local binary, doc_ids array<long>, folds array<boolean>"
-)
+_ASKED_DDL = "bucket int, kind int, piece long, " + ", ".join(f"{c} binary" for c in (*_QUESTIONS, "local")) + ", doc_ids array<long>, folds array<boolean>"
 _TOLD = pa.schema(
     [("kind", pa.int32()), ("piece", pa.int64())]
-    + [(name, pa.binary()) for name in ("texts", "known", "class_value", "change")]
+    + [(name, pa.binary()) for name in ("texts", "known", "base", "score")]
     + [("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.bool_()))]
 )
-_TOLD_DDL = "kind int, piece long, texts binary, known binary, class_value binary, change binary, doc_ids array<long>, folds array<boolean>"
+_TOLD_DDL = "kind int, piece long, texts binary, known binary, base binary, score binary, doc_ids array<long>, folds array<boolean>"
 
 
 def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
@@ -372,32 +483,30 @@ def _long(data: bytes, n: int) -> np.ndarray:
     return unframed(data, np.uint16 if int.from_bytes(data[:8], "little") == 2 * n else np.int64).astype(np.int64)
 
 
-def _question(keys: np.ndarray, text: np.ndarray, buckets: int) -> dict[int, tuple[bytes, bytes, bytes]]:
+def _question(keys: np.ndarray, bucket: np.ndarray, text: np.ndarray, buckets: int) -> dict[int, tuple[bytes, bytes, bytes]]:
     """Per bucket: its distinct keys, how often each occurs, and the texts of the occurrences in key order."""
-    bucket = _deal(keys, buckets)
     order = np.lexsort((text, keys, bucket))
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     out = {}
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(bounds)):
         part = order[bounds[b] : bounds[b + 1]]
-        if len(part):
-            mine = keys[part]
-            new = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            counts = np.diff(np.append(new, len(mine)))
-            out[b] = pack_keys(mine[new]), framed(_narrow(counts)), framed(_short(text[part]))
+        mine = keys[part]
+        new = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        counts = np.diff(np.append(new, len(mine)))
+        out[int(b)] = pack_keys(mine[new]), framed(_narrow(counts)), framed(_short(text[part]))
     return out
 
 
 def _found(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> np.ndarray:
-    counts = np.zeros(len(keys), np.int64)
-    if table is not None and len(table[0]):
+    counts = np.zeros(len(keys), np.int64 if table is None else table[1].dtype)
+    if table is not None and len(table[0]) and len(keys):
         spot = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
         same = table[0][spot] == keys
         counts[same] = table[1][spot[same]]
     return counts
 
 
-def _looked_up(docs: DataFrame, words: DataFrame, pairs: DataFrame, shared, buckets: int) -> DataFrame:
+def _looked_up(docs: DataFrame, words: DataFrame, values: DataFrame, shared, buckets: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score and score of every row.
 
     Pieces ask buckets and get their answers back under a hash of their rows; equal pieces have equal answers, so sums of
@@ -406,77 +515,74 @@ def _looked_up(docs: DataFrame, words: DataFrame, pairs: DataFrame, shared, buck
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known = model.vocabulary
+        head = model.head
         for piece in T.pieces(batches, limit=PAIR_BYTES):
             found = T.words(piece.column("text"), lower=True)
-            ids, history, text = known.sequence(found)
+            codes, history, text = head.sequence(found)
             n = len(found)
-            keys = pair_keys(history, ids)
-            rare = ids == known.rare
-            # Words of the vocabulary and ends have their counts here; rare words are looked up.
-            counts = np.append(np.append(known.counts, model.ends), 0)[ids]
-            base = np.where(rare, 0.0, np.log10(counts + 1.0)) - model.base
-            value = np.where(rare, -np.log10(model.rare_share), 0.0)
-            # Frequent pairs are settled here; others count as unseen until their bucket says otherwise.
+            # Words and histories of the head, and frequent pairs, are settled here; the rest is looked up. A word outside the head is
+            # the history of the token after it, so its bow is asked for with its probability.
+            far, distant = codes >= NAMED, history >= NAMED
+            number, before = np.where(far, 0, codes).astype(np.int64), np.where(distant, 0, history).astype(np.int64)
+            counts = np.where(far, 0, head.counts[number])
+            value = np.where(far, 0.0, model.log_unigram[number]) + np.where(distant, 0.0, model.log_bow[before])
+            keys = pair_keys(history, codes)
             settled = np.zeros(len(keys), bool)
-            if len(model.head_keys):
-                spot = np.minimum(np.searchsorted(model.head_keys, keys), len(model.head_keys) - 1)
-                settled = model.head_keys[spot] == keys
-                value[settled] += model.head_logs[spot[settled]] - model.log_count[history[settled]]
-            rest = ~settled
-            value[rest] += model.backed(history[rest], ids[rest])
-            local = np.stack([np.bincount(text, w, n) for w in (np.ones(len(ids)), ~rare & (counts > 0), base, value)])
+            if len(model.pairs[0]):
+                spot = np.minimum(np.searchsorted(model.pairs[0], keys), len(model.pairs[0]) - 1)
+                settled = model.pairs[0][spot] == keys
+                value[settled] += model.pairs[1][spot[settled]]
+            base = np.log10(counts + 1.0) - model.unigrams.base
+            local = np.stack([np.bincount(text, w, n) for w in (np.ones(len(codes)), counts > 0, base, value)])
             hashes = piece.column("text_hash").to_numpy().view(np.uint64)
             identity = T.mix(T.mix(hashes + T.M1 * piece.column("doc_id").fill_null(-1).to_numpy().view(np.uint64)) + np.arange(n, dtype=np.uint64) * T.M3).sum()
             name = int(np.array([identity]).view(np.int64)[0])
             home = int(identity % np.uint64(buckets))
             yield _row(_ASKED, bucket=home, kind=0, piece=name, local=framed(local), doc_ids=_list(piece.column("doc_id")), folds=_list(piece.column("held_out")))
-            inner = np.flatnonzero(ids != known.end)
-            mine = rare[inner]
-            asked_words = _question(found.hash[mine], text[inner][mine], buckets)
-            asked_pairs = _question(keys[rest], text[rest], buckets)
-            none = (None, None, None)
-            for b in sorted({*asked_words, *asked_pairs}):
-                w, p = asked_words.get(b, none), asked_pairs.get(b, none)
-                yield _row(_ASKED, bucket=b, kind=1, piece=name, word_keys=w[0], word_counts=w[1], word_texts=w[2], pair_keys=p[0], pair_counts=p[1], pair_texts=p[2])
+            rest = np.flatnonzero(~settled)
+            asked = {
+                "word": _question(codes[far], _deal(codes[far], buckets), text[far], buckets),
+                "pair": _question(keys[rest], _deal(history[rest], buckets), text[rest], buckets),
+            }
+            for b in sorted(set().union(*asked.values())):
+                parts = {f"{what}_{c}": v for what, by in asked.items() if b in by for c, v in zip(("keys", "counts", "texts"), by[b], strict=True)}
+                yield _row(_ASKED, bucket=b, kind=1, piece=name, **parts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in ("bucket", "kind", "piece")}
-                held = {name: batch.column(name)[i].as_py() for name in ("word_keys", "word_counts", "word_texts", "pair_keys", "pair_counts", "pair_texts", "local")}
-                if row["kind"] < 0:  # a count table of the bucket; these come first
-                    keys = unpack_keys(held["word_keys"])
-                    tables[row["bucket"], row["kind"]] = keys, _wide(held["word_counts"], len(keys))
+                bucket, kind, piece = (batch.column(c)[i].as_py() for c in ("bucket", "kind", "piece"))
+                if bucket != now:
+                    now, tables = bucket, {}
+                if kind < 0:  # a table of the bucket; these come first
+                    keys, data = unpack_keys(batch.column("word_keys")[i].as_py()), batch.column("word_counts")[i].as_py()
+                    tables[kind] = keys, _wide(data, len(keys)) if kind == WORDS else unframed(data, float if kind == HISTORIES else np.float32)
                     continue
-                if row["kind"] == 0:
+                if kind == 0:
                     lists = {c: _list(batch.column(c)[i].values) for c in ("doc_ids", "folds")}
-                    yield _row(_TOLD, kind=0, piece=row["piece"], texts=held["local"], **lists)
+                    yield _row(_TOLD, kind=0, piece=piece, texts=batch.column("local")[i].as_py(), **lists)
                     continue
-                total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-                if held["word_keys"] is not None:
-                    keys = unpack_keys(held["word_keys"])
-                    steps = _wide(held["word_counts"], len(keys))
-                    counts = np.repeat(_found(tables.get((row["bucket"], -1)), keys), steps)
-                    texts = _long(held["word_texts"], len(counts))
-                    total["known"], total["class_value"] = (texts, counts > 0), (texts, np.log10(counts + 1.0))
-                if held["pair_keys"] is not None:
-                    keys = unpack_keys(held["pair_keys"])
-                    steps = _wide(held["pair_counts"], len(keys))
-                    counts = _found(tables.get((row["bucket"], -2)), keys)
-                    history, word = (keys >> BITS).astype(np.int64), (keys & np.uint64((1 << int(BITS)) - 1)).astype(np.int64)
-                    seen = np.log10(np.maximum(discounted(counts, model.d2), 1e-300)) - model.log_count[history]
-                    change = np.where(counts > 0, seen - model.backed(history, word), 0.0)
-                    texts = _long(held["pair_texts"], int(steps.sum()))
-                    total["change"] = (texts, np.repeat(change, steps))
-                touched = np.unique(np.concatenate([t for t, _ in total.values()]))
-                sums = {}
-                for name in ("known", "class_value", "change"):
-                    at, weight = total.get(name, (np.zeros(0, np.int64), np.zeros(0)))
-                    sums[name] = framed(np.bincount(np.searchsorted(touched, at), weight, len(touched)).astype(np.float32 if name == "known" else float))
-                yield _row(_TOLD, kind=1, piece=row["piece"], texts=framed(touched.astype(np.uint32)), **sums)
+                told: list[tuple[str, np.ndarray, np.ndarray]] = []
+                for what, table in (("word", WORDS), ("pair", PAIRS)):
+                    packed = batch.column(f"{what}_keys")[i].as_py()
+                    if packed is None:
+                        continue
+                    keys = unpack_keys(packed)
+                    steps = _wide(batch.column(f"{what}_counts")[i].as_py(), len(keys))
+                    texts = _long(batch.column(f"{what}_texts")[i].as_py(), int(steps.sum()))
+                    found = _found(tables.get(table), keys)
+                    if what == "word":
+                        told += [("known", texts, np.repeat(found > 0, steps)), ("base", texts, np.repeat(np.log10(found + 1.0), steps))]
+                        found = np.log10(np.maximum(model.unigrams.mass(found), 1e-300)) + _found(tables.get(HISTORIES), keys)
+                    told.append(("score", texts, np.repeat(found.astype(float), steps)))
+                touched = np.unique(np.concatenate([t for _, t, _ in told]))
+                sums = {c: np.zeros(len(touched)) for c in ("known", "base", "score")}
+                for c, texts, weight in told:
+                    sums[c] += np.bincount(np.searchsorted(touched, texts), weight, len(touched))
+                yield _row(_TOLD, kind=1, piece=piece, texts=framed(touched.astype(np.uint32)), known=framed(sums["known"].astype(np.float32)), base=framed(sums["base"]), score=framed(sums["score"]))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.float64()) for c in ("n_tokens", "n_known", "base_score", "score"))])
@@ -498,17 +604,14 @@ def _looked_up(docs: DataFrame, words: DataFrame, pairs: DataFrame, shared, buck
                     identities.append((batch.column("doc_ids")[i].values, batch.column("folds")[i].values))
                     continue
                 at = unframed(texts, np.uint32)
-                known, value, change = (unframed(batch.column(c)[i].as_py(), k) for c, k in (("known", np.float32), ("class_value", float), ("change", float)))
-                total[1][at] += known
-                total[2][at] += value
-                total[3][at] += value + change
+                for place, (c, width) in enumerate((("known", np.float32), ("base", float), ("score", float)), start=1):
+                    total[place][at] += unframed(batch.column(c)[i].as_py(), width)
         yield from results()
 
-    nothing = {f: F.lit(None).cast(t) for f, t in (("piece", "long"), ("word_texts", "binary"), ("pair_keys", "binary"), ("pair_counts", "binary"), ("pair_texts", "binary"), ("local", "binary"), ("doc_ids", "array<long>"), ("folds", "array<boolean>"))}
+    nothing = {f.name: F.lit(None).cast({"piece": "long", "doc_ids": "array<long>", "folds": "array<boolean>"}.get(f.name, "binary")) for f in _ASKED if f.name not in ("bucket", "kind", "word_keys", "word_counts")}
     asked = docs.mapInArrow(ask, _ASKED_DDL)
-    for kind, table in ((-1, words), (-2, pairs)):
-        rows = table.select("bucket", F.lit(kind).alias("kind"), F.col("keys").alias("word_keys"), F.col("counts").alias("word_counts"))
-        asked = asked.unionByName(rows.withColumns(nothing))
-    told = asked.repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(answer, _TOLD_DDL)
+    for table in (words, values):
+        asked = asked.unionByName(table.select("bucket", "kind", F.col("keys").alias("word_keys"), F.col("counts").alias("word_counts")).withColumns(nothing))
+    told = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _TOLD_DDL)
     told = told.repartition("piece").sortWithinPartitions("piece", "kind")
     return told.mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens double, n_known double, base_score double, score double")
