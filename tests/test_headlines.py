@@ -24,6 +24,38 @@ def test_live_headlines(spark):
     assert {r.title for r in out} == {"Tesla opens a plant", "Old TSLA news here"}
 
 
+def test_relevant_titles_stay_where_they_are_read(spark):
+    number = F.col("id")
+    title = F.when(number % 3 == 0, "Acme opens a plant").when(number % 3 == 1, "HOT again").otherwise("Quiet markets")
+    ticker = F.when(number % 10 == 0, "ACM").when(number % 10 == 1, None).otherwise("HOT")
+    rows = spark.range(0, 30_000, 1, 12).select("id", ticker.alias("ticker"), title.alias("title"))
+    names = rows.select("ticker").distinct().withColumn("name", F.when(F.col("ticker") == "ACM", "Acme Inc."))
+    want = [n for n in range(30_000) if (n % 3 == 0 and n % 10 == 0) or (n % 3 == 1 and n % 10 > 1)]
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "64k",  # less than what the names are read from
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        place = F.spark_partition_id().alias("p")
+        out = headlines.relevant(rows, names)
+        assert out.columns == ["ticker", "id", "title"] and sorted(r.id for r in out.collect()) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert out.select(place).distinct().count() == 12
+
+        # A list too long to be sent around: the hot ticker is dealt to several tasks.
+        long = headlines.relevant(rows, names, short=0)
+        assert long.columns == out.columns and sorted(r.id for r in long.collect()) == want
+        assert long.groupBy(place).count().agg(F.max("count")).first()[0] < len(want) / 2
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def fold(rows, per_week):
     """One pass per ticker over weeks and positions."""
     seen, out = {}, []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltlab.functions.text import dedupe_key, is_relevant, relevance_terms
+from tiltlab.session import staged
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -24,15 +25,22 @@ def recent(headlines: DataFrame, now: Column, max_age_days: int) -> DataFrame:
     return headlines.where(F.col("published") >= F.to_timestamp(now) - F.make_dt_interval(F.lit(max_age_days)))
 
 
-def relevant(headlines: DataFrame, names: DataFrame) -> DataFrame:
-    """Headlines about their ticker; ``names`` is ``(ticker, name)`` with one row per ticker."""
-    terms = names.select("ticker", relevance_terms(F.col("ticker"), F.col("name")).alias("_terms"))
+def relevant(headlines: DataFrame, names: DataFrame, short: int = 100_000, salts: int = 16) -> DataFrame:
+    """Headlines about their ticker; ``names`` is ``(ticker, name)`` with one row per ticker.
+
+    The terms are written and counted first. Those of up to ``short`` tickers are broadcast, so titles stay where they are read in
+    place of travelling whole to one task a ticker. A longer list meets the titles under ticker and salt: a hot ticker is spread over
+    ``salts`` parts, and what follows by ticker alone cannot keep AQE from splitting them further.
+    """
+    terms = staged(names.select("ticker", relevance_terms(F.col("ticker"), F.col("name")).alias("_terms")))
+    if terms.count() <= short:
+        found = headlines.join(F.broadcast(terms), "ticker", "left")
+    else:
+        dealt = headlines.withColumn("_salt", F.pmod(F.xxhash64(*headlines.columns), F.lit(salts)))
+        repeated = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+        found = dealt.join(repeated, ["ticker", "_salt"], "left").drop("_salt")
     empty = F.array().cast("array<string>")
-    return (
-        headlines.join(terms, "ticker", "left")
-        .where(is_relevant(F.col("title"), F.col("ticker"), F.coalesce("_terms", empty)))
-        .drop("_terms")
-    )
+    return found.where(is_relevant(F.col("title"), F.col("ticker"), F.coalesce("_terms", empty))).drop("_terms")
 
 
 def title_digest(title: Column) -> Column:
