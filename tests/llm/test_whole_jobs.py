@@ -224,3 +224,52 @@ def test_stages_with_clashing_names(spark):
     assert rules.keep_good(docs).columns == docs.columns
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == [*docs.columns, "copies"] and all(r["_copies"] == "_copies" and r.copies > 0 for r in mixed.collect())
+
+
+def test_signatures_rule_out_large_unrelated_sets_and_no_link():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 3, 100, 127, 129, 700, 1500, 2049, 5000, 9000, 40000]
+    common = rng.integers(0, 2**63, 40000).astype(np.uint64)
+    for share in (0, 0.5, 0.9):  # of its shingles each set has in common with the others
+        sets = [np.unique(np.concatenate([common[: int(n * share)], rng.integers(0, 2**63, n - int(n * share)).astype(np.uint64)])) for n in sizes]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        found = jaccard.signatures(np.concatenate(sets), first)
+        x, y = (np.array(z) for z in zip(*[(x, y) for x in range(len(sets)) for y in range(len(sets))], strict=True))
+        differ = jaccard.differing(found.take(x), found.take(y))
+        real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+        n, m = (np.array(sizes)[z] for z in (x, y))
+        assert (differ <= real).all()
+        fits = differ * 175 <= 25 * (n + m)
+        assert fits[jaccard.linked((n + m - real) // 2, n, m) & (n + m > 0)].all()
+        near = (np.minimum(n, m) > 100) & (100 * np.minimum(n, m) >= 75 * np.maximum(n, m)) & (x != y)
+        assert share > 0.5 or not fits[near].any()
+
+
+def test_long_texts_that_share_a_part_make_no_region(spark):
+    """A chain of texts with half in common with the next one each: none links, so none is to be compared in full."""
+    parts = [rng_words(f"part-{k}", 2000, 10**6) for k in range(9)]
+    docs = spark.createDataFrame([(k, f"{parts[k]} {parts[k + 1]}") for k in range(8)], DOCS)
+    assert jaccard._regions(docs, jaccard._profile(docs, 5), 5, 75).count() == 0
+
+
+@pytest.mark.parametrize("flush", [100, 10**6])
+def test_frequency_levels_of_many_cells(spark, monkeypatch, flush):
+    """Levels of cells that are sent by steps are those of all sums."""
+    from tiltlab.llm import exchange
+
+    docs = spark.createDataFrame([(k, rng_words(f"level-{k % 7}", 300, 50)) for k in range(40)], DOCS).repartition(3)
+    keys = lambda batches: (jaccard.shingle_sets(p.column("text"), 1)[0] for p in T.pieces(batches))
+    cells = sum(np.bincount(exchange.cell(x, 0, 16).astype(np.int64), minlength=1 << 16) for x in keys(docs.toArrow().to_batches()))
+    monkeypatch.setattr(exchange, "SUMS_FLUSH", flush)
+    for dense in (10, 16):
+        monkeypatch.setattr(exchange, "DENSE_BITS", dense)
+        assert (exchange.frequency_levels(docs, keys, 16) == np.floor(8 * np.log2(cells + 1.0))).all()
+
+
+def test_cells_for_the_order_grow_with_the_table(spark, monkeypatch):
+    bits = [jaccard.frequency_bits(n) for n in (0, 10**8, 10**9, 2 * 10**9, 10**12)]
+    assert bits == [22, 22, 25, 26, 26]
+    base = rng_words("cells", 100, 10**6).split()
+    docs = spark.createDataFrame([(k, " ".join([*base[:50], f"x{k}", *base[50:]])) for k in range(20)], DOCS)
+    monkeypatch.setattr(jaccard, "FREQUENCY_BITS", (23, 23))
+    assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0}

@@ -16,6 +16,9 @@ from tiltlab.llm.tokens import M3, mix
 
 SLICES = 64
 FLUSH = 2_000_000
+# Keys counted at once where a task's sums of all cells would take too much memory.
+DENSE_BITS = 22
+SUMS_FLUSH = 6_000_000
 Keys = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
 
 
@@ -117,31 +120,70 @@ def _cells(keys: np.ndarray, bits: int, width: int, least: int) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]))
 
 
-def frequency_sketch(df: DataFrame, keys: Keys, bits: int) -> np.ndarray:
-    """Occurrences by hash cell over all partitions: one row, exact sums, ``2 ** bits`` cells."""
-    width = bits - 4
+def frequency_levels(df: DataFrame, keys: Keys, bits: int) -> np.ndarray:
+    """How frequent each of ``2 ** bits`` hash cells is over all partitions: eight times the binary logarithm of its exact sum plus one.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to ``DENSE_BITS`` a task sends its sums of all cells, beyond that its cells with keys, by sorted steps; only levels reach the driver.
+    """
+    width = bits - SLICES.bit_length() + 1
+    none = framed(np.zeros(0, np.uint32))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for part in keys(batches):
             total += np.bincount(cell(part, 0, bits).astype(np.int64), minlength=1 << bits)
         if total.any():
-            parts = total.reshape(16, -1)
-            yield pa.RecordBatch.from_pydict({"slice": list(range(16)), "sums": [framed(p) for p in parts]}, schema=_SUMS)
+            parts = total.reshape(SLICES, -1)
+            yield pa.RecordBatch.from_pydict({"slice": list(range(SLICES)), "steps": [none] * SLICES, "sums": [framed(p) for p in parts]}, schema=_SUMS)
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for part in keys(batches):
+            held.append(cell(part, 0, bits).astype(np.uint32))
+            size += len(part)
+            if size > SUMS_FLUSH:
+                yield _sums(np.concatenate(held), width)
+                held, size = [], 0
+        if size:
+            yield _sums(np.concatenate(held), width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for number, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[number] = total.get(number, 0) + unframed(sums, np.int64)
-        for number, sums in total.items():
-            yield pa.RecordBatch.from_pydict({"slice": [number], "sums": [framed(sums)]}, schema=_SUMS)
-
-    found = df.mapInArrow(count, "slice int, sums binary").repartition("slice").mapInArrow(merge, "slice int, sums binary").collect()
-    cells = np.zeros(1 << bits, np.int64)
-    for number, sums in found:
-        cells[number << width : (number + 1) << width] = unframed(sums, np.int64)
-    return cells
-
-
-_SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
+            for number, steps, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = total.setdefault(number, np.zeros(1 << width, np.int64))
+                if steps == none:
+                    counts += unframed(sums, np.int64)
+                else:
+                    sums = unframed(sums, np.uint32)
+                    wide = int.from_bytes(steps[:8], "little") == 4 * len(sums)
+                    counts[np.cumsum(unframed(steps, np.uint32 if wide else np.uint16), dtype=np.int64)] += sums
+        for number, counts in total.items():
+            levels = np.minimum(255, np.floor(8 * np.log2(counts + 1.0))).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"slice": [number], "levels": [framed(levels)]}, schema=_LEVELS)
+
+    found = df.mapInArrow(dense if bits <= DENSE_BITS else sparse, "slice int, steps binary, sums binary")
+    found = found.repartition("slice").mapInArrow(merge, "slice int, levels binary")
+    levels = np.zeros(1 << bits, np.uint8)
+    for number, part in found.collect() if bits <= DENSE_BITS else found.toLocalIterator():
+        levels[number << width : (number + 1) << width] = unframed(part, np.uint8)
+    return levels
+
+
+_SUMS = pa.schema([("slice", pa.int32()), ("steps", pa.binary()), ("sums", pa.binary())])
+_LEVELS = pa.schema([("slice", pa.int32()), ("levels", pa.binary())])
+
+
+def _sums(cells: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each slice: its cells as sorted steps, and how often each was hit."""
+    at, counts = np.unique(cells, return_counts=True)
+    bounds = np.searchsorted(at, np.arange(SLICES + 1, dtype=np.int64) << width)
+    rows: dict[str, list] = {name: [] for name in _SUMS.names}
+    for number in np.flatnonzero(np.diff(bounds)):
+        part = slice(bounds[number], bounds[number + 1])
+        steps = np.diff(at[part], prepend=np.uint32(int(number) << width))
+        rows["slice"].append(int(number))
+        rows["steps"].append(framed(steps if steps.max() >= 1 << 16 else steps.astype(np.uint16)))
+        rows["sums"].append(framed(counts[part].astype(np.uint32)))
+    return pa.RecordBatch.from_pydict(rows, schema=_SUMS)

@@ -37,17 +37,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltlab.llm import tokens as T
-from tiltlab.llm.exchange import cell, framed, frequency_sketch, repeat_sketch, unframed
+from tiltlab.llm.exchange import cell, framed, frequency_levels, repeat_sketch, unframed
 from tiltlab.llm.graph import components
 from tiltlab.session import staged
 
 SIZE = 5
 PERCENT = 75
-FREQUENCY_BITS = 22
+# Cells for the order of shingles: one for each ``CELL_LOAD`` shingles, within these bounds. Other orders post more, none loses a link.
+FREQUENCY_BITS = (22, 26)
+CELL_LOAD = 32
 CHOSEN_BITS = 24
 CHUNK = 1000
 FEW = 16
 PARITY_BITS = 1024
+# A set's signature has two bits a shingle at least, within these bounds.
+SIGNATURE_BITS = (1 << 8, 1 << 16)
 # Of a block's hash this many bits are kept: blocks that fall together cost a comparison, never a link.
 KEY_BITS = 48
 # Postings packed at once in a task, and shingles for which there is one bucket.
@@ -114,6 +118,46 @@ def parities(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(longs))
 
 
+def signatures(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Parities as in ``parities``, of as many bits as the set's size asks for: a power of two.
+
+    A set of many more shingles than bits sets half of them, whatever it holds, so that a fixed number of bits tells large sets not apart.
+    """
+    n = np.diff(first)
+    low, high = SIGNATURE_BITS
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), low, high)
+    at = np.concatenate([[0], np.cumsum(width)])
+    hit = np.repeat(at[:-1], n) + ((T.mix(hashes) >> np.uint64(48)).astype(np.int64) & np.repeat(width - 1, n))
+    bits = np.bincount(hit, minlength=at[-1]).astype(np.uint8) & 1
+    data = np.packbits(bits, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def differing(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """In how many bits each two signatures differ, the longer one folded to the shorter: no more than the shingles in which the sets differ."""
+    sides = [T.buffers(x) for x in (p, q)]
+    lengths = [np.diff(offsets) for _, offsets in sides]
+    out = np.zeros(len(p), np.int64)
+    kinds = lengths[0] << 32 | lengths[1]
+    for kind in np.unique(kinds):
+        both = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+        least = min(both)
+        rows = np.flatnonzero(kinds == kind)
+        for part in np.array_split(rows, len(rows) * max(both) // (1 << 22) + 1):
+            folded = [
+                np.bitwise_xor.reduce(data[offsets[part][:, None] + np.arange(size)].reshape(len(part), -1, least), axis=1)
+                for (data, offsets), size in zip(sides, both, strict=True)
+            ]
+            out[part] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def frequency_bits(total: int) -> int:
+    """Bits of a shingle's cell when there are so many shingles."""
+    low, high = FREQUENCY_BITS
+    return min(high, max(low, (total // CELL_LOAD).bit_length()))
+
+
 def least_overlap(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shingles that a set of this size shares at least with any set it links with."""
     return -(-percent * sizes // 100)
@@ -145,7 +189,7 @@ def postings(hashes: np.ndarray, first: np.ndarray, level: np.ndarray, percent:
     owner = np.repeat(np.arange(len(n)), n)
     # Sets come sorted by hash, so a stable sort by text, level and leading bits orders ties by the whole hash.
     room = np.uint64(max(len(n), 1).bit_length())
-    rank = (owner.astype(np.uint64) << (np.uint64(64) - room)) | (level[cell(hashes, 0, FREQUENCY_BITS)].astype(np.uint64) << (np.uint64(56) - room))
+    rank = (owner.astype(np.uint64) << (np.uint64(64) - room)) | (level[cell(hashes, 0, len(level).bit_length() - 1)].astype(np.uint64) << (np.uint64(56) - room))
     order = np.argsort(rank | (hashes >> (np.uint64(8) + room)), kind="stable")
     place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
     indexed = place < np.repeat(n + (2 * percent * n // -(100 + percent)) + 1, n)
@@ -218,12 +262,12 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             hashes, first = shingle_sets(piece.column("text"), size)
             a, b = fingerprints(hashes, first)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(first)), pa.array(a), pa.array(b), parities(hashes, first)],
-                names=["doc_id", "text_hash", "n_shingles", "a", "b", "parity"],
+                [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(first)), pa.array(a), pa.array(b), signatures(hashes, first)],
+                names=["doc_id", "text_hash", "n_shingles", "a", "b", "signature"],
             )
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return hashed.mapInArrow(profile, "doc_id long, text_hash long, n_shingles long, a long, b long, parity array<long>")
+    return hashed.mapInArrow(profile, "doc_id long, text_hash long, n_shingles long, a long, b long, signature binary")
 
 
 def pack(parts: list[tuple[np.ndarray, ...]], bits: int) -> dict[str, list]:
@@ -356,9 +400,8 @@ def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> Da
         for piece in T.pieces(batches):
             yield shingle_sets(piece.column("text"), size)[0]
 
-    cells = frequency_sketch(docs, all_shingles, FREQUENCY_BITS)
-    level = context.broadcast(np.minimum(255, np.floor(8 * np.log2(cells + 1.0))).astype(np.uint8))
     total = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    level = context.broadcast(frequency_levels(docs, all_shingles, frequency_bits(total)))
     bits = max(6, (total // BUCKET).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,13 +426,19 @@ def _regions(docs: DataFrame, profile: DataFrame, size: int, percent: int) -> Da
     waits = found.where(F.col("kind") == WAIT).select(F.col("x").alias("block"), F.col("y").alias("a"))
     leads = found.where(F.col("kind") == LEAD).select(F.col("x").alias("block"), F.col("y").alias("b"))
     waited = waits.join(leads, "block").select("a", "b").where("a <> b").distinct()
-    # Pairs whose parities rule a link out are dropped.
+    # Pairs whose signatures rule a link out are dropped.
     pairs = found.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    sets = profile.dropDuplicates(["a"]).select("a", "n_shingles", "parity")
+    sets = profile.dropDuplicates(["a"]).select("a", "n_shingles", "signature")
     pairs = pairs.join(sets.toDF("a", "n", "p"), "a").join(sets.toDF("b", "m", "q"), "b")
-    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    fits = differ * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("m"))
-    return components(edges.unionByName(waited).unionByName(pairs.where(fits).select("a", "b")))
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = differing(batch.column("p"), batch.column("q"))
+            n, m = (batch.column(name).to_numpy() for name in ("n", "m"))
+            yield batch.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= (100 - percent) * (n + m)))
+
+    pairs = pairs.select("a", "b", "n", "m", "p", "q").mapInArrow(fits, "a long, b long")
+    return components(edges.unionByName(waited).unionByName(pairs))
 
 
 def _tiles(sets: DataFrame, size: int, percent: int) -> DataFrame:
