@@ -273,3 +273,15 @@ def test_cells_for_the_order_grow_with_the_table(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join([*base[:50], f"x{k}", *base[50:]])) for k in range(20)], DOCS)
     monkeypatch.setattr(jaccard, "FREQUENCY_BITS", (23, 23))
     assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0}
+
+
+def test_stage_gathers_no_text_of_long_unlinked_rows(spark, monkeypatch):
+    """The pipeline's second stage keeps a chain of long texts whole without sending any of them to a comparison."""
+    import corpus_pipeline
+
+    sent, link = [], jaccard._link
+    monkeypatch.setattr(jaccard, "_link", lambda gathered, *a: sent.append(gathered.count()) or link(gathered, *a))
+    parts = [rng_words(f"stage-{k}", 2000, 10**6) for k in range(7)]
+    rows = [(k, f"{parts[k]} {parts[k + 1]}") for k in range(6)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(tuple(r) for r in kept.collect()) == rows and sent == [0]
